@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import format_chats, read_back, turns_to_events
 from .common import table
 from .exact_dedup import exact_dedup
+from .source_mix import mix_sources
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +26,88 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    awkward = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", awkward), (-7, 1, "assistant", awkward)], "conv_id long, turn long, role string, text string")
+    read = read_back(format_chats(turns_to_events(rows.unionByName(more))))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP2_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|start|><|message|><|end|>') + 2 * length(role || text) - length(translate(role || text, '<[\', '')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(concat_ws(' ', doc_id::VARCHAR, coalesce(text, ''))) AS key, row_number() OVER () AS uid
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no,
+         ([3, 1, 2])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM d GROUP BY source
+), level(step, l) AS (  -- share out by weight, cap, share the rest again until no source is above its cap
+  SELECT 0, (SELECT 1.5::DOUBLE * sum(source_size) / sum(weight) FROM s)
+  UNION ALL
+  SELECT step + 1, (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - (SELECT coalesce(sum(2.0::DOUBLE * source_size), 0) FROM s WHERE 2.0::DOUBLE * source_size <= l * weight))
+                   / (SELECT sum(weight) FROM s WHERE 2.0::DOUBLE * source_size > l * weight)
+  FROM level WHERE step < (SELECT count(*) FROM s)
+), goal AS (
+  SELECT s.*, least(2.0::DOUBLE * source_size, coalesce((SELECT max(l) FROM level), 0) * weight) AS target FROM s
+), c AS (
+  SELECT sum(size) AS words, greatest(1, least(1024, (1.5::DOUBLE * sum(size))::BIGINT // 65536)) AS block FROM d
+), span AS (
+  SELECT no, floor((sum(target) OVER (ORDER BY no) - target) / sum(target) OVER () * 2147483648) AS lo,
+         floor(sum(target) OVER (ORDER BY no) / sum(target) OVER () * 2147483648) AS hi FROM goal
+), slot AS (
+  SELECT i, (i % 2147483648) * 1327217885 % 2147483648 AS point
+  FROM (SELECT unnest(range(ceil(1.05::DOUBLE * 1.5::DOUBLE * words / block)::BIGINT)) AS i FROM c)
+), served AS (
+  SELECT no, row_number() OVER (PARTITION BY no ORDER BY i) - 1 AS rank FROM slot JOIN span ON point >= lo AND point < hi
+), placed AS (
+  SELECT d.doc_id, d.uid, d.size, source_size, no, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, uid) - size AS pos
+  FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source
+), run AS (
+  SELECT uid, no, pos + k * source_size AS lo, least(pos + k * source_size + size, floor(target)::BIGINT) AS hi FROM placed, (VALUES (0), (1)) r(k)
+), piece AS (
+  SELECT uid, no, lo, hi, unnest(range((lo // block)::BIGINT, ((hi - 1) // block + 1)::BIGINT)) AS rank, block FROM run, c WHERE hi > lo
+), got AS (
+  SELECT uid, sum(least(hi, (rank + 1) * block) - greatest(lo, rank * block))::BIGINT AS taken FROM piece JOIN served USING (no, rank) GROUP BY uid
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN got USING (uid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_chat_formatting": op2_chat_formatting,
+        "op10_source_mixing": op10_source_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op10_source_mixing": OP10_SQL}
