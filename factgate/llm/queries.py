@@ -14,6 +14,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .source_mix import mix_sources
 from .token_counts import count_tokens
+from .topk_pivot import top_k
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +75,23 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -125,9 +143,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_formatting": op2_chat_formatting,
         "op6_token_counts": op6_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
+        "op9_exact_topk": op9_exact_topk,
         "op10_source_mixing": op10_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op10_source_mixing": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op9_exact_topk": OP9_SQL, "op10_source_mixing": OP10_SQL}
