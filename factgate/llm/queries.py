@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_knn, toxicity_ssk
 from .byte_bpe import decode_ids, encode_texts
 from .chat_format import format_chats, read_back, turns_to_events
-from .common import table
+from .common import crc_mod, table
 from .exact_dedup import exact_dedup
 from .source_mix import mix_sources
 from .token_counts import count_tokens
@@ -60,6 +61,20 @@ FROM t GROUP BY conv_id
 """
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
+    voters = quality_knn.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
+    scored = quality_knn.score_quality(docs, voters)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
+    machine = toxicity_ssk.train(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out)
+    scored = toxicity_ssk.score_toxicity(docs, machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -141,6 +156,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_chat_formatting": op2_chat_formatting,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_exact_topk": op9_exact_topk,
