@@ -13,6 +13,7 @@ from .byte_bpe import decode_ids, encode_texts
 from .chat_format import format_chats, read_back, turns_to_events
 from .common import crc_mod, table
 from .exact_dedup import exact_dedup
+from .lm_logbilinear import score_texts
 from .source_mix import mix_sources
 from .token_counts import count_tokens
 from .topk_pivot import top_k
@@ -90,6 +91,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -160,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_exact_topk": op9_exact_topk,
         "op10_source_mixing": op10_source_mixing,
     }
