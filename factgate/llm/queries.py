@@ -14,6 +14,7 @@ from .chat_format import format_chats, read_back, turns_to_events
 from .common import crc_mod, table
 from .exact_dedup import exact_dedup
 from .lm_logbilinear import score_texts
+from .ngram_join import ngram_join
 from .source_mix import mix_sources
 from .token_counts import count_tokens
 from .topk_pivot import top_k
@@ -62,6 +63,10 @@ FROM t GROUP BY conv_id
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
     voters = quality_knn.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
@@ -161,6 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_chat_formatting": op2_chat_formatting,
+        "op3_ngram_join": op3_ngram_join,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_toxicity": op5_toxicity,
         "op6_token_counts": op6_token_counts,
