@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import prepare, whole
 
-#: Distinct matches a Python worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Distinct matches, and pairs of tokens, a Python worker remembers before it starts anew.
+REMEMBERED, PAIRS = 300_000, 400_000
+#: Lengths of beginnings whose prefixes are kept for other matches.
+STEMS = (9, 7, 5)
 #: Texts are handed on in batches of about this many bytes.
 BATCH_BYTES = 4 << 20
 
@@ -36,7 +38,7 @@ class Ranks:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: b for b, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._own: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -57,30 +59,40 @@ class Ranks:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their bytes are encoded together."""
-        if (known := self._fits.get((left, right))) is None:
-            known = self._fits[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        key = left << 32 | right
+        if (known := self._fits.get(key)) is None:
+            if len(self._fits) >= PAIRS:
+                self._fits.clear()
+            known = self._fits[key] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
 
 class Prefixes:
-    """The last tokens of all prefixes of one byte string."""
-
-    def __init__(self, ranks: Ranks, data: bytes = b""):
-        self.ranks, self.data, self.last = ranks, b"", []
-        self.append(data)
-
-    def _token_at(self, end: int) -> int:
-        ids, r = self.ranks.ids, self.ranks
-        for start in range(max(0, end - r.longest), end):
-            if (t := ids.get(self.data[start:end])) is not None and (r.stands(t) if not start else r.follows(self.last[start - 1], t)):
-                return t
-        raise ValueError("a byte is missing from the vocabulary")
+    """The last tokens of all prefixes of one byte string; known: those of its first prefixes, if made before."""
+
+    def __init__(self, ranks: Ranks, data: bytes = b"", known: tuple[int, ...] = ()):
+        self.ranks, self.data, self.last = ranks, data, list(known)
+        self._extend(len(data))
+
+    def _extend(self, stop: int) -> None:
+        """Last tokens up to prefix length `stop`.  Only one candidate is valid, so their order is free; most are short."""
+        data, last, r = self.data, self.last, self.ranks
+        get, fits, longest = r.ids.get, r._fits.get, r.longest
+        for end in range(len(last) + 1, stop + 1):
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                if (t := get(data[start:end])) is not None:
+                    if not start:
+                        if r.stands(t):
+                            break
+                    elif (known := fits(last[start - 1] << 32 | t)) or (known is None and r.follows(last[start - 1], t)):
+                        break
+            else:
+                raise ValueError("a byte is missing from the vocabulary")
+            last.append(t)
 
     def append(self, more: bytes) -> None:
-        start = len(self.data)
         self.data += more
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._token_at(end))
+        self._extend(len(self.data))
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace data[start:stop]; the number of prefixes whose last token was made again."""
@@ -93,7 +105,7 @@ class Prefixes:
             if back >= start + len(new) and self.last[back : end - 1] == old[back - shift : end - 1 - shift]:
                 self.last += old[end - 1 - shift :]
                 return end - 1 - start
-            self.last.append(self._token_at(end))
+            self._extend(end)
         return len(self.data) - start
 
     def tokens(self) -> list[int]:
@@ -109,15 +121,29 @@ class Encoder(dict):
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks, self.find = Ranks(ranks_path), regex.compile(pattern).findall
+        self.stems: dict[bytes, tuple[int, ...]] = {}
 
     def __missing__(self, match: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = tuple(Prefixes(self.ranks, match.encode()).tokens())
+        data = match.encode()
+        whole = self.ranks.ids.get(data)
+        ids = (whole,) if whole is not None and self.ranks.stands(whole) else self._made(data)
         if len(match) <= 64:
             self[match] = ids
         return ids
 
+    def _made(self, data: bytes) -> tuple[int, ...]:
+        """From the prefixes of the longest stem already met: matches share their beginnings."""
+        known = next((k for n in STEMS if (k := self.stems.get(data[:n])) is not None), ())
+        p = Prefixes(self.ranks, data, known)
+        if len(self.stems) >= REMEMBERED // 2:
+            self.stems.clear()
+        for n in STEMS:
+            if len(known) < n <= len(data):
+                self.stems[data[:n]] = tuple(p.last[:n])
+        return tuple(p.tokens())
+
     def encode(self, text: str) -> array:
         return array("i", chain.from_iterable(map(self.__getitem__, self.find(text))))
 
@@ -135,11 +161,11 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, step)
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """(id, ids array<int>): the whole text of every row, each match of the pattern encoded on its own, without special tokens.
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, *keep, ids array<int>): the whole text of every row, each match of the pattern encoded on its own, without special tokens.
 
-    Null and empty texts have no tokens.  Rows are independent: repeated and null ids stay as they are, and only the two
-    named columns are read.  ranks_path must be readable on every executor.
+    Null and empty texts have no tokens.  Rows are independent: repeated and null ids stay as they are, and only the
+    named columns are read; keep names further columns to carry along.  ranks_path must be readable on every executor.
     """
     prepare(docs.sparkSession)
 
@@ -147,28 +173,24 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         encode = encoder(ranks_path, pattern).encode
         for b in _slices(batches):
             ids, ends = array("i"), [0]
-            for text in b.column(1).to_pylist():
+            for text in b.column(0).to_pylist():
                 ids += encode(text)
                 ends.append(len(ids))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], lists], [*b.schema.names[1:], "ids"])
 
-    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    return rows.mapInArrow(per_task, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").select(F.col("id").alias(id_col), F.col("ids").alias(ids_col))
+    carried = [id_col, *keep]
+    rows = docs.select(whole(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(carried)))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(per_task, f"{kinds}, ids array<int>").select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(carried)), F.col("ids").alias(ids_col))
 
 
-def decode_ids(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """(id, ids, decoded binary): the bytes of the ids, which need not be valid UTF-8.  Null ids decode to no bytes; an id outside the vocabulary raises."""
-    prepare(encoded.sparkSession)
+def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """encoded with one more column (or another in its place), binary: the bytes of the ids, which need not be valid UTF-8.
 
-    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = Ranks(ranks_path).bytes_of.__getitem__
-        for b in _slices(batches):
-            lists = b.column(1)
-            ends, flat = lists.offsets.to_pylist(), lists.values.to_pylist()
-            out = [b"".join(map(piece, flat[i:j])) for i, j in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(out, pa.binary())], ["id", "ids", "decoded"])
-
-    rows = encoded.select(F.col(id_col).alias("id"), F.coalesce(ids_col, F.array().cast("array<int>")).alias("ids"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(per_task, f"id {kind}, ids array<int>, decoded binary").select(F.col("id").alias(id_col), F.col("ids").alias(ids_col), F.col("decoded").alias(out_col))
+    Null ids decode to no bytes; an id outside the vocabulary raises.  The vocabulary is a constant of the plan, so this
+    runs without Python workers.
+    """
+    of = Ranks(ranks_path).bytes_of
+    table = F.split(F.lit(",".join(of[i].hex() if i in of else "?" for i in range(max(of) + 1))), ",")
+    return encoded.withColumn(out_col, F.unhex(F.coalesce(F.array_join(F.transform(ids_col, lambda i: table[i]), ""), F.lit(""))))
