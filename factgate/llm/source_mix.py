@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,7 +71,7 @@ def schedule(goals: DataFrame, slots: int) -> DataFrame:
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken.
+    """One row per input row: id, size, source_size, target, taken; see _mixed.
 
     size counts the words of the whole text (null: 0); taken counts the words that the mix takes of the document, once
     for each time they are taken, and is at most cap * size.  A source takes its target, less what the points leave
@@ -79,11 +79,20 @@ def mix_sources(
     the result, depends on ids and texts only: rows that repeat both are interchangeable, and each counts.  Only the
     named columns are read.  An empty table, or one without words, takes nothing.
     """
+    mixed = _mixed(docs, id_col, source_col, text_col, weights, share, cap, block_words)
+    return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.md5(F.concat_ws(" ", F.col(id_col).cast("string"), whole(text_col)))
+
+
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(id, key, size, source_size, target, taken) of every row; key stands for the row's id and text."""
     prepare(docs.sparkSession)
-    text = whole(text_col)
-    key = F.md5(F.concat_ws(" ", F.col(id_col).cast("string"), text))
+    size = F.regexp_count(whole(text_col), F.lit(WORD)).cast("long")
     base = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("uid")
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _key(id_col, text_col).alias("key"), F.monotonically_increasing_id().alias("uid")
     ).checkpoint()  # some 70 bytes a row: the texts are scanned once
     rows, words = base.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(1, min(block_words, int(share * words) // LEAST_SLOTS))
@@ -101,7 +110,7 @@ def mix_sources(
     placed = (
         base.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
-        .select("id", "uid", "size", "source_size", "no", "target", (F.col("offset") + F.col("before")).alias("at"))
+        .select("id", "key", "uid", "size", "source_size", "no", "target", (F.col("offset") + F.col("before")).alias("at"))
     )
     # The stream of a source is its documents over and over; its first `target` words can be taken.
     rounds = F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1))
@@ -115,4 +124,12 @@ def mix_sources(
     )
     overlap = F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block)
     taken = runs.join(schedule(goals, slots), ["no", "rank"]).groupBy("uid").agg(F.sum(overlap).alias("taken"))
-    return placed.join(taken, "uid", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(taken, "uid", "left").select("id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def take_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix made of whole documents: each row of docs as often as its taken words, rounded to whole takes, say (0 to ceil(cap) times), with all its columns."""
+    taken = _mixed(docs, id_col, source_col, text_col, **options).groupBy("id", "key").agg(F.round(F.avg("taken") / F.greatest(F.max("size"), F.lit(1))).cast("int").alias("__takes"))
+    taken = taken.where("__takes > 0").select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__takes")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_key(id_col, text_col) == F.col("__key"))
+    return docs.join(taken, same).withColumn("__take", F.explode(F.sequence(F.lit(1), F.col("__takes")))).select(*docs.columns)
