@@ -182,3 +182,12 @@ def finalize(drafts: DataFrame, reports: DataFrame) -> DataFrame:
 
 def needs_revision(status: Column, auto_rounds: Column, cap: int = 2) -> Column:
     return status.isin("blocked", "flagged") & (auto_rounds < cap)
+
+
+def citations_view(units: DataFrame, claims: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(item_id, view): each cited sentence with its claim's text and source, in order; claims of evidence sources (source_id) are left out."""
+    c = claims.select(F.col("id").alias("cited_id"), "text", "source_id")
+    c = c if evidence is None else c.join(evidence, "source_id", "left_anti")
+    line = F.concat_ws(" | ", F.col("index").cast("string"), "cited_id", F.coalesce("text", F.lit("-")), F.coalesce(F.col("source_id").cast("string"), F.lit("-")))
+    rows = units.join(c, "cited_id", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("index", "cited_id", line.alias("line")))).alias("l"))
+    return rows.select("item_id", F.array_join(F.col("l.line"), "\n").alias("view"))

@@ -93,3 +93,38 @@ def run_rules(*found: DataFrame) -> DataFrame:
 
 
 Rule = Callable[[DataFrame], DataFrame]
+
+
+def budget_state(runs: DataFrame, by: str, cost: str, budget: float) -> DataFrame:
+    """Per group: runs, what they spent, and whether that reaches the budget."""
+    return runs.groupBy(by).agg(F.count(F.lit(1)).alias("runs"), F.sum(cost).alias("spent")).withColumn("over_budget", F.col("spent") >= budget)
+
+
+def correction_notes(claims: DataFrame, rulings: DataFrame) -> DataFrame:
+    """(claim_id, created_at, ruling_id, text, source_id) of claims that a ruling found wrong in the documents."""
+    wrong = rulings.where("kind = 'doc-wrong'").select(F.col("id").alias("ruling_id"), "claim_id", "created_at")
+    return wrong.join(claims.select(F.col("id").alias("claim_id"), "text", "source_id"), "claim_id")
+
+
+def browse(claims: DataFrame, status: str | None = None, category: str | None = None, contains: str | None = None, limit: int = 100) -> DataFrame:
+    """A page of claims in numeric order of their ids."""
+    for cond in (status and (F.col("status") == status), category and (F.col("category") == category), contains and (F.contains("text", F.lit(contains)) | F.contains("id", F.lit(contains)))):
+        if cond is not None and not isinstance(cond, str):
+            claims = claims.where(cond)
+    return claims.orderBy(F.regexp_extract("id", r"(\d+)$", 1).cast("long"), "id").limit(limit)
+
+
+def batches(rows: DataFrame, by: str, order: str, size: int = 40) -> DataFrame:
+    """rows with batch: fixed batches per group, in order."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+
+
+def leaked_names(texts: DataFrame, key: str, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """Keys whose texts hold a name: two or more capitalised words in a row that are not in the allow-list."""
+    names = F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"), 0)
+    return texts.where(F.exists(names, lambda n: ~n.isin(*allowed) if allowed else F.lit(True))).select(key).distinct()
+
+
+def estimate_tokens(claims: DataFrame, per_claim: int = 40, base: int = 2000) -> DataFrame:
+    """(product_id, tokens): a content run's estimate from the claims it may cite and the length of their texts."""
+    return claims.groupBy("product_id").agg((F.lit(base) + F.lit(per_claim) * F.count(F.lit(1)) + F.sum(F.ceil(F.length("text") / 4))).cast("long").alias("tokens"))

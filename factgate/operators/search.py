@@ -51,3 +51,15 @@ def slice_for(hits: DataFrame, must: DataFrame, cap: int = 150) -> DataFrame:
     both = must.select("page_id", F.lit(-1).alias("query_pos"), F.lit(0).alias("rank"), "id").unionByName(hits.select("page_id", "query_pos", "rank", "id"))
     first = both.groupBy("page_id", "id").agg(F.min(F.struct("query_pos", "rank")).alias("at"))
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("at", "id"))).where(F.col("pos") <= cap).select("page_id", "id", "pos")
+
+
+def proof_links(pairs: DataFrame, least: float = 0.6, k: int = 3) -> DataFrame:
+    """(query_id, target_id): of each query's k best targets the best one that covers `least` of the query; without one it needs a claim."""
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return top_matches(pairs, k).where(F.col("overlap") >= least).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("query_id", "target_id")
+
+
+def search_blocks(queries: DataFrame, targets: DataFrame, k: int = 10) -> DataFrame:
+    """Blocks by number of shared tokens, for discovery: (query_id, target_id, shared, rank)."""
+    pairs = queries.select("query_id", "token").join(targets.select("target_id", "token"), "token").groupBy("query_id", "target_id").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "target_id"))).where(F.col("rank") <= k)

@@ -195,4 +195,25 @@ ORACLES: dict[str, str] = {
     "log_rollup": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     "audit_rollup_stream": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     "rebuild_text": "SELECT doc_id AS source_id, md5(text) AS digest FROM documents",
+    "vocabulary": f"""WITH w AS (SELECT source, doc_id, unnest({_tokens('text')}) AS word FROM documents WHERE lang = 'en'), c AS (
+          SELECT source, word, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id), word) AS r FROM w WHERE length(word) > 3 AND NOT regexp_full_match(word, '\\d+') GROUP BY source, word)
+        SELECT * FROM (SELECT source, word, n, (row_number() OVER (PARTITION BY source ORDER BY r))::INTEGER AS rank FROM c WHERE r <= 60 AND n >= 3) WHERE rank <= 20""",
+    "seed_set": f"""WITH {CLAIMS_SQL}, s AS (SELECT product_id, unnest(CASE WHEN status <> 'verified' THEN ['not-citable'] WHEN regexp_matches(text, '\\d') THEN ['true', 'untagged', 'false', 'overstated'] ELSE ['true', 'untagged', 'overstated'] END) AS label FROM claims)
+        SELECT product_id, label, least(12, count(*)) AS n, CASE label WHEN 'untagged' THEN 0 ELSE least(12, count(*)) END AS n_tagged FROM s GROUP BY product_id, label""",
+    "off_brand": r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\byour\b', 'the user''s', 'g'), '(?i)\byou\b', 'the user', 'g') AS third FROM documents WHERE lang = 'en'),
+        v AS (SELECT doc_id, 'hype' AS variant, 'A revolutionary, game-changing way! ' || replace(text, '.', '!') AS t FROM d UNION ALL SELECT doc_id, 'third-person', regexp_replace(third, '\.\s+', ', and ', 'g') FROM d
+              UNION ALL SELECT doc_id, 'wrong-name', 'Productify: ' || text FROM d UNION ALL SELECT doc_id, 'banned', text || ' seamless leverage.' FROM d)
+        SELECT doc_id, variant, md5(t) AS digest FROM v""",
+    "allowed_claims": f"WITH {CLAIMS_SQL} SELECT id, product_id FROM claims WHERE NOT regexp_matches(lower(text), CASE WHEN length(product_id) % 2 = 0 THEN '\\bplanned\\b' ELSE '\\bencrypts\\b' END)",
+    "citations_view": f"""WITH {CLAIMS_SQL}, {UNITS_SQL} SELECT item_id, md5(string_agg(index::VARCHAR || ' | ' || cited_id || ' | ' || coalesce(text, '-') || ' | ' || coalesce(source_id::VARCHAR, '-'), chr(10) ORDER BY index, cited_id)) AS digest
+        FROM units LEFT JOIN claims ON id = cited_id GROUP BY item_id""",
+    "proof_links": f"""WITH {SIMILAR}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS r FROM pairs)
+        SELECT query_id, target_id FROM t WHERE r <= 3 AND overlap >= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r) = 1""",
+    "search_blocks": f"WITH {SIMILAR} SELECT query_id, target_id, shared, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, target_id))::INTEGER AS rank FROM pairs) WHERE rank <= 10",
+    "budget_state": "SELECT user_id, count(*) AS runs, sum(value::DECIMAL(18, 2))::DOUBLE AS spent, sum(value::DECIMAL(18, 2)) >= 500 AS over_budget FROM events GROUP BY user_id",
+    "correction_notes": f"WITH {CLAIMS_SQL} SELECT o_orderkey AS ruling_id, id AS claim_id, text, source_id FROM orders JOIN claims ON id = 'PT-' || lpad(o_custkey::VARCHAR, 8, '0') WHERE o_orderstatus = 'P'",
+    "browse": f"WITH {RATED} SELECT id, text, category FROM rated WHERE status = 'needs-review' AND contains(text, 'units') ORDER BY num LIMIT 50",
+    "seed_batches": f"WITH {CLAIMS_SQL}, b AS (SELECT product_id, id, (row_number() OVER (PARTITION BY product_id ORDER BY num) - 1) // 40 AS batch FROM claims) SELECT product_id, batch, count(*) AS n, min(id) AS first_id FROM b GROUP BY ALL",
+    "leaked_names": r"SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' AND regexp_matches(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b')",
+    "token_estimate": f"WITH {CLAIMS_SQL} SELECT product_id, (2000 + 40 * count(*) + sum(ceil(length(text) / 4)))::BIGINT AS tokens FROM claims GROUP BY product_id",
 }

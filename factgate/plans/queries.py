@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import gate, measures, registry, reports, search
+from ..operators import gate, measures, registry, reports, search, style
 from ..sources import driver_tables as D
 from ..sources import parse, store
 from ..streaming import feeds
@@ -311,8 +311,70 @@ def rebuild_text(spark: SparkSession, d: str) -> DataFrame:
     return store.rebuild_text(lines).select("source_id", F.md5("text").alias("digest"))
 
 
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return style.preferred_vocabulary(_english(spark, d), ["source"]).select("source", "word", "n", "rank")
+
+
+def seed_set(spark: SparkSession, d: str) -> DataFrame:
+    return style.seed_set(D.claims(spark, d)).groupBy("product_id", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(T.tags_in(F.col("text"))) > 0).alias("n_tagged"))
+
+
+def off_brand(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _english(spark, d).select("doc_id", F.lit(0).alias("chunk"), "text")
+    return style.off_brand(chunks).select("doc_id", "variant", F.md5("text").alias("digest"))
+
+
+def allowed_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Claims that stay citable under one decision per product, on a word that depends on the product."""
+    c = D.claims(spark, d)
+    word = F.when(F.length("product_id") % 2 == 0, "planned").otherwise("encrypts")
+    decisions = c.select("product_id").distinct().select(F.concat(F.lit("DEC-"), "product_id").alias("id"), "product_id", F.concat(F.lit("Never use the word '"), word, F.lit("' in copy.")).alias("text"))
+    return style.allowed_claims(c, style.term_lists(style.guardrails(decisions))).select("id", "product_id")
+
+
+def citations_view(spark: SparkSession, d: str) -> DataFrame:
+    return gate.citations_view(D.units(spark, d), D.claims(spark, d)).select("item_id", F.md5("view").alias("digest"))
+
+
+def proof_links(spark: SparkSession, d: str) -> DataFrame:
+    q = search.token_sets(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
+    return search.proof_links(search.similar(q, search.token_sets(_english(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text")))
+
+
+def search_blocks(spark: SparkSession, d: str) -> DataFrame:
+    q = search.token_sets(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
+    return search.search_blocks(q, search.token_sets(_english(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text"))
+
+
+def budget_state(spark: SparkSession, d: str) -> DataFrame:
+    return reports.budget_state(D.load(spark, d, "events").withColumn("cost", F.col("value").cast("decimal(18,2)")), "user_id", "cost", 500).withColumn("spent", F.col("spent").cast("double"))
+
+
+def correction_notes(spark: SparkSession, d: str) -> DataFrame:
+    r = D.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), D.claim_id(F.col("o_custkey")).alias("claim_id"), F.when(F.col("o_orderstatus") == "P", "doc-wrong").otherwise("confirmed").alias("kind"), F.col("o_orderdate").alias("created_at"))
+    return reports.correction_notes(D.claims(spark, d), r).select("ruling_id", "claim_id", "text", "source_id")
+
+
+def browse(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of claims to review that speak of units."""
+    return reports.browse(D.claims(spark, d), "needs-review", contains="units", limit=50).select("id", "text", "category")
+
+
+def seed_batches(spark: SparkSession, d: str) -> DataFrame:
+    return reports.batches(D.claims(spark, d), "product_id", "num").groupBy("product_id", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+def leaked_names(spark: SparkSession, d: str) -> DataFrame:
+    return reports.leaked_names(_english(spark, d), "doc_id")
+
+
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return reports.estimate_tokens(D.claims(spark, d))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gate_citations, category_mix, registry_stats, word_counts, sentence_split, tags, text_measure, style_scores, claim_extract, registry_build, registry_absent, id_allocation, ruling_fold, conflict_pairs, page_tension,
     doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences,
+    vocabulary, seed_set, off_brand, allowed_claims, citations_view, proof_links, search_blocks, budget_state, correction_notes, browse, seed_batches, leaked_names, token_estimate,
     value_counts, phrases, links, html_blocks, markdown_blocks, draft_units, greedy_chunks, quality_dash, cost_dash, review_queue, coverage, gaps, section_alloc, dq_rules, log_rollup, audit_rollup_stream, rebuild_text,
 )}
