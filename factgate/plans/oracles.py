@@ -214,6 +214,6 @@ ORACLES: dict[str, str] = {
     "correction_notes": f"WITH {CLAIMS_SQL} SELECT o_orderkey AS ruling_id, id AS claim_id, text, source_id FROM orders JOIN claims ON id = 'PT-' || lpad(o_custkey::VARCHAR, 8, '0') WHERE o_orderstatus = 'P'",
     "browse": f"WITH {RATED} SELECT id, text, category FROM rated WHERE status = 'needs-review' AND contains(text, 'units') ORDER BY num LIMIT 50",
     "seed_batches": f"WITH {CLAIMS_SQL}, b AS (SELECT product_id, id, (row_number() OVER (PARTITION BY product_id ORDER BY num) - 1) // 40 AS batch FROM claims) SELECT product_id, batch, count(*) AS n, min(id) AS first_id FROM b GROUP BY ALL",
-    "leaked_names": r"SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' AND regexp_matches(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b')",
+    "leaked_names": "SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' AND regexp_matches(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')",
     "token_estimate": f"WITH {CLAIMS_SQL} SELECT product_id, (2000 + 40 * count(*) + sum(ceil(length(text) / 4)))::BIGINT AS tokens FROM claims GROUP BY product_id",
 }
