@@ -12,6 +12,7 @@ a short sum, which collapses into one weight per triple: documents are scored by
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -97,42 +98,58 @@ class Machine(NamedTuple):
 def kernel(left: list, right: list) -> np.ndarray:
     """Normalised kernel of words given by their features."""
     out, row = np.empty((len(left), len(right))), np.zeros(ALPHABET**3)
-    for j, (keys, v) in enumerate(right):
-        row[keys] = v
-        out[:, j] = [row[k] @ x for k, x in left]
-        row[keys] = 0
+    keys, values = np.concatenate([k for k, _ in left]), np.concatenate([v for _, v in left])
+    starts = np.cumsum([0, *(len(k) for k, _ in left)])[:-1]
+    for j, (k, v) in enumerate(right):
+        row[k] = v
+        out[:, j] = np.add.reduceat(row[keys] * values, starts)
+        row[k] = 0
     return out
 
 
+@lru_cache(maxsize=64)
+def _paired(n: int) -> tuple[np.ndarray, ...]:
+    """The first two positions of all pairs, and for all triples the number of their pair, their last position and their weight."""
+    t, w = triples(n)
+    first, second = np.triu_indices(n, 1)
+    number = np.zeros((n, n), np.int32)
+    number[first, second] = np.arange(len(first))
+    return first, second, number[t[:, 0], t[:, 1]], t[:, 2], w
+
+
+def self_kernel(c: np.ndarray) -> np.ndarray:
+    """The kernel of each row of codes with itself, by the subsequence dynamic programme, all rows at once."""
+    m, n = c.shape
+    same = (c[:, :, None] == c[:, None, :]) * (DECAY * DECAY)
+    before = np.ones((n + 1, n + 1, m))  # of subsequences of one length less, by prefixes of both copies
+    for _ in range(2):
+        now = np.zeros((n + 1, n + 1, m))
+        for i in range(1, n + 1):
+            run = np.zeros(m)
+            for j in range(1, n + 1):
+                run = DECAY * run + same[:, i - 1, j - 1] * before[i - 1, j - 1]
+                now[i, j] = DECAY * now[i - 1, j] + run
+        before = now
+    return np.einsum("mij,ijm->m", same, before[:n, :n])
+
+
 def margins(m: Machine, words: list[bytes]) -> np.ndarray:
     """The SVM's margins, by length: the table's weights over all triples, divided by the word's norm."""
     out = np.full(len(words), -1.0)
     sizes = np.array([len(w) for w in words])
     for n in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == n)
-        t, w = triples(int(n) + 2)
-        for part in np.array_split(at, max(1, len(at) * len(t) // 4_000_000)):
-            c = np.full((len(part), n + 2), OPEN, np.int64)
+        first, second, pair, third, w = _paired(int(n) + 2)
+        for part in np.array_split(at, max(1, len(at) * len(w) // 1_000_000)):
+            c = np.full((len(part), n + 2), OPEN, np.int32)
             c[:, 1:-1] = CODES[np.frombuffer(b"".join(words[i] for i in part), np.uint8)].reshape(len(part), n)
             c[:, -1] = CLOSE
-            keys = (c[:, t[:, 0]] * ALPHABET + c[:, t[:, 1]]) * ALPHABET + c[:, t[:, 2]]
-            raw = m.table[keys] @ w
-            keys.sort(axis=1)  # equal triples add up in the norm; most words have none
-            same = keys[:, 1:] == keys[:, :-1]
-            norm2 = np.full(len(part), float((w**2).sum()))
-            for i in np.flatnonzero(same.any(axis=1)):
-                norm2[i] = _norm2(words[part[i]])
-            out[part] = raw / np.sqrt(norm2) + m.bias
+            pairs = (c[:, first] * ALPHABET + c[:, second]) * ALPHABET
+            raw = m.table[pairs[:, pair] + c[:, third]] @ w
+            out[part] = raw / np.sqrt(self_kernel(c)) + m.bias
     return out
 
 
-def _norm2(word: bytes) -> float:
-    c = coded([word])[0]
-    t, w = triples(len(c))
-    _, at = np.unique((c[t[:, 0]] * ALPHABET + c[t[:, 1]]) * ALPHABET + c[t[:, 2]], return_inverse=True)
-    return float((np.bincount(at, w) ** 2).sum())
-
-
 def variants(word: bytes) -> list[bytes]:
     """Inserted and gapped forms that the training adds."""
     if len(word) < 4:
@@ -217,7 +234,7 @@ def _margins(words: DataFrame, machine: Machine) -> DataFrame:
 
 
 class _Seen(dict):
-    """Margins of words already met by a worker."""
+    """Margins of words already met by a worker, kept from task to task."""
 
     def worst(self, machine: Machine, words: list[set[bytes]]) -> list[float]:
         new = list({w for ws in words for w in ws if w not in self})
@@ -229,6 +246,11 @@ class _Seen(dict):
         return [max(map(self.__getitem__, ws), default=-math.inf) for ws in words]
 
 
+@lru_cache(maxsize=1)
+def _seen(token: str) -> _Seen:
+    return _Seen()
+
+
 def score_toxicity(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row's whole text.
 
@@ -239,10 +261,10 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, id_col: str = "doc_
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     if machine is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
-    shared = spark.sparkContext.broadcast(machine)
+    shared, token = spark.sparkContext.broadcast(machine), uuid.uuid4().hex
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
+        seen = _seen(token)
         for b in _slices(batches):
             worst = np.array(seen.worst(shared.value, [words_of(t) for t in b.column(1).to_pylist()]))
             score = 1 / (1 + np.exp(-np.clip(8 * (worst - shared.value.cut) + math.log(0.7 / 0.3), -60, 60)))
