@@ -67,6 +67,22 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS uid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (SELECT uid, len(w) AS words, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w), g AS (
+  SELECT uid, words, i, hash(concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o)) AS sh FROM t WINDOW o AS (PARTITION BY uid ORDER BY i)
+), d AS (SELECT DISTINCT uid, sh FROM g WHERE i <= greatest(1, words - 4)), s AS (
+  SELECT w.doc_id, w.uid, count(d.sh) AS n FROM w LEFT JOIN d USING (uid) GROUP BY w.doc_id, w.uid
+), x AS (SELECT uid, n, sh FROM d JOIN s USING (uid)), e AS (
+  SELECT a.uid AS a, b.uid AS b FROM x a JOIN x b USING (sh) WHERE a.uid <> b.uid AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n
+  GROUP BY a.uid, b.uid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(uid, r) AS (SELECT uid, uid FROM s UNION SELECT reach.uid, e.b FROM reach JOIN e ON e.a = reach.r),
+least AS (SELECT reach.uid, min(s.doc_id) AS component_id FROM reach JOIN s ON s.uid = reach.r GROUP BY reach.uid)
+SELECT doc_id, n AS n_shingles, component_id FROM s JOIN least USING (uid)
+"""
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
     voters = quality_knn.train(docs, table(spark, sf_dir, "labels"), "quality", ~held_out)
@@ -178,4 +194,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op9_exact_topk": OP9_SQL, "op10_source_mixing": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_source_mixing": OP10_SQL}
