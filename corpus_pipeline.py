@@ -21,7 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
     voters = quality_knn.train(docs, labels, "quality", crc_mod("doc_id", 5) != 0)
     others = [c for c in docs.columns if c != "doc_id"]
-    return quality_knn.score_quality(docs, voters, keep=others).where(F.col("score") >= 0.3).select(*docs.columns)
+    name = "quality_score" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    return quality_knn.score_quality(docs, voters, keep=others, score_col=name).where(F.col(name) >= 0.3).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

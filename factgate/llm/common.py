@@ -53,3 +53,8 @@ def crc_mod(ident: Column | str, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n; null ids count as the empty string."""
     c = F.col(ident) if isinstance(ident, str) else ident
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % n
+
+
+def packed(docs: DataFrame, **named: Column) -> DataFrame:
+    """All columns of docs as one struct `row`, beside the named ones, so that no name can clash; select("row.*") unpacks them."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(name) for name, c in named.items()))

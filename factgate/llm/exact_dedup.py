@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, whole
+from .common import packed, prepare, whole
 
 #: Counters of the sketch, and so the most rows that are ever broadcast (about 100 bytes each).
 COUNTERS = 2048
@@ -94,10 +94,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Where rows repeat the winner's id and text, one of them is left: the first by the JSON of the whole row.
     """
     flags = _flagged(docs, id_col, text_col, counters).where(F.col("id").eqNullSafe(F.col("best.id")))
-    keys = flags.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg((F.count(F.lit(1)) > 1).alias("__tied"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.unhex(F.sha2(whole(text_col), 256)) == F.col("__digest"))
-    if keys.where("__tied").isEmpty():
-        return docs.join(keys, same, "left_semi")
-    row = F.struct(*docs.columns)
-    tied = docs.join(keys.where("__tied"), same).groupBy("__id", "__digest").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
-    return docs.join(keys.where("NOT __tied"), same, "left_semi").unionByName(tied)
+    keys = flags.groupBy(F.col("id").alias("k_id"), F.col("digest").alias("k_digest")).agg((F.count(F.lit(1)) > 1).alias("tied"))
+    rows = packed(docs, id=F.col(id_col), digest=F.unhex(F.sha2(whole(text_col), 256)))
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest"))
+    if keys.where("tied").isEmpty():
+        return rows.join(keys, same, "left_semi").select("row.*")
+    tied = rows.join(keys.where("tied"), same).groupBy("k_id", "k_digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return rows.join(keys.where("NOT tied"), same, "left_semi").select("row.*").unionByName(tied)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import _slices
-from .common import prepare, stored, whole
+from .common import packed, prepare, stored, whole
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 80
@@ -351,7 +351,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     every = _joined(docs, id_col, text_col, percent)
     rank = F.min(F.struct(F.col("id").isNull(), "id", "tkey"))
-    kept = every.where("member IS NOT NULL").groupBy(F.coalesce("label", "member")).agg(rank.alias("r")).select(F.col("r.id").alias("__id"), F.col("r.tkey").alias("__key"))
-    empty = every.where("member IS NULL").select(F.col("id").alias("__id"), F.col("tkey").alias("__key"))
-    key = F.xxhash64(whole(text_col), F.length(whole(text_col)))
-    return docs.join(kept.unionByName(empty), F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
+    kept = every.where("member IS NOT NULL").groupBy(F.coalesce("label", "member")).agg(rank.alias("r")).select(F.col("r.id").alias("k_id"), F.col("r.tkey").alias("k_key"))
+    empty = every.where("member IS NULL").select(F.col("id").alias("k_id"), F.col("tkey").alias("k_key"))
+    rows = packed(docs, id=F.col(id_col), key=F.xxhash64(whole(text_col), F.length(whole(text_col))))
+    return rows.join(kept.unionByName(empty), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key")), "left_semi").select("row.*")

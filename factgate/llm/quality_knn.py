@@ -111,8 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_co
     return fit(counts, np.array([r["label"] for r in got]))
 
 
-def score_quality(docs: DataFrame, voters: Voters | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, *keep, score) of every row's whole text; keep names further columns to carry along.
+def score_quality(docs: DataFrame, voters: Voters | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    """(id, *keep, score) of every row's whole text; keep names further columns to carry along, score_col the score's.
 
     Scores lie in 0..1, higher where label 1 is likelier; equal texts have equal scores.  Null and empty texts resemble
     nothing and score 0.5, as does every text when there are no labelled documents.
@@ -122,7 +122,7 @@ def score_quality(docs: DataFrame, voters: Voters | None, id_col: str = "doc_id"
     rows = docs.select(whole(text_col).alias("text"), *carried)
     names = [F.col(f"k{i}").alias(c) for i, c in enumerate([id_col, *(keep or [])])]
     if voters is None:
-        return rows.select(*names, F.lit(0.5).alias("score"))
+        return rows.select(*names, F.lit(0.5).alias(score_col))
     shared = spark.sparkContext.broadcast(voters)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,4 +133,4 @@ def score_quality(docs: DataFrame, voters: Voters | None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(scores).astype(np.float64))], [*b.schema.names[1:], "score"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(per_task, f"{kinds}, score double").select(*names, F.least(F.lit(1.0), "score").alias("score"))
+    return rows.mapInArrow(per_task, f"{kinds}, score double").select(*names, F.least(F.lit(1.0), "score").alias(score_col))

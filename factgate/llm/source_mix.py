@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, prepare, whole
+from .common import WORD, packed, prepare, whole
 
 #: Weights by position in the sources' order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -129,7 +129,8 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights
 
 def take_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix made of whole documents: each row of docs as often as its taken words, rounded to whole takes, say (0 to ceil(cap) times), with all its columns."""
-    taken = _mixed(docs, id_col, source_col, text_col, **options).groupBy("id", "key").agg(F.round(F.avg("taken") / F.greatest(F.max("size"), F.lit(1))).cast("int").alias("__takes"))
-    taken = taken.where("__takes > 0").select(F.col("id").alias("__id"), F.col("key").alias("__key"), "__takes")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (_key(id_col, text_col) == F.col("__key"))
-    return docs.join(taken, same).withColumn("__take", F.explode(F.sequence(F.lit(1), F.col("__takes")))).select(*docs.columns)
+    taken = _mixed(docs, id_col, source_col, text_col, **options).groupBy("id", "key").agg(F.round(F.avg("taken") / F.greatest(F.max("size"), F.lit(1))).cast("int").alias("takes"))
+    taken = taken.where("takes > 0").select(F.col("id").alias("k_id"), F.col("key").alias("k_key"), "takes")
+    rows = packed(docs, id=F.col(id_col), key=_key(id_col, text_col))
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key"))
+    return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("takes")))).select("row.*")
