@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, f"{ROOT}/tests"]
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
 
 
