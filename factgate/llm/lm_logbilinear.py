@@ -30,7 +30,7 @@ from .common import prepare, stored, whole
 CLASSES, SINGLE = 128, 50
 START = CLASSES - 1
 #: Words with broadcast counts at most, and the longest of them in bytes; entries a task counts before it hands on.
-HEAD, HEAD_BYTES, FLUSH = 200_000, 64, 300_000
+HEAD, HEAD_BYTES, FLUSH = 150_000, 64, 300_000
 #: Vector size, noise samples per word, training steps, and the mass added to each count.
 SIZE, NOISE, STEPS, ADDED = 32, 10, 150, 0.1
 END = b""
@@ -145,6 +145,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(per_task, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def head_words(counts: DataFrame) -> Column:
+    """Which rows of (word, n) are the head: those from the smallest count on that at most HEAD words reach, by eighths of octaves.
+
+    A histogram of counts decides, so no task sorts words and only the head itself reaches the driver.
+    """
+    short = F.length("word").between(1, HEAD_BYTES)
+    octave = F.floor(8 * F.log2(F.col("n").cast("double")))
+    seen, least = 0, 0
+    for r in sorted(counts.where(short).groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["o"]):
+        seen += r["words"]
+        if seen > HEAD:
+            least = r["o"] + 1
+            break
+    return short & (octave >= least)
+
+
 def count_trigrams(texts: DataFrame, head: Words) -> np.ndarray:
     """[class before last, last class, class] over all tokens of all texts; at most CLASSES**3 numbers reach the driver."""
     shared = texts.sparkSession.sparkContext.broadcast(head)
@@ -180,15 +196,15 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     learnt = rows.where(~F.col("held_out")).select("text")
     counts = stored(count_words(learnt))
     n_all, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where((F.length("word") <= HEAD_BYTES) & (F.length("word") > 0)).orderBy(F.desc("n"), "word").limit(HEAD).collect()  # bounded
+    in_head = head_words(counts)
+    top = counts.where(in_head).toArrow()  # at most HEAD rows
     end = counts.where(F.col("word") == F.lit(END)).collect()
-    words = [(END, end[0]["n"] if end else 0)] + [(bytes(r["word"]), r["n"]) for r in top]
+    words = [(END, end[0]["n"] if end else 0)] + sorted(zip(top.column("word").to_pylist(), top.column("n").to_pylist()), key=lambda x: (-x[1], x[0]))
     # -1, the number of words beyond the head, reads the last entry: a filler.
     head = Words({w: i for i, (w, _) in enumerate(words)}, np.array([i if i < SINGLE else ending_class(w) for i, (w, _) in enumerate(words)] + [0]), np.array([n for _, n in words] + [0], np.float64))
     model = train(count_trigrams(learnt, head))
     # Mass of each shared class: all its words and one unknown.
-    in_head = spark.createDataFrame([(w,) for w, _ in words], "word binary")
-    tail = counts.join(F.broadcast(in_head), "word", "left_anti")
+    tail = counts.where(~in_head & (F.col("word") != F.lit(END)))
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(CLASSES)
