@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, whole
+from .common import hold, prepare, whole
 
 #: Distinct matches, and pairs of tokens, a Python worker remembers before it starts anew.
 REMEMBERED, PAIRS = 300_000, 400_000
@@ -170,6 +170,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     prepare(docs.sparkSession)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("byte_bpe", encoder.cache_clear)
         encode = encoder(ranks_path, pattern).encode
         for b in _slices(batches):
             ids, ends = array("i"), [0]

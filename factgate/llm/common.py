@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,3 +59,13 @@ def crc_mod(ident: Column | str, n: int) -> Column:
 def packed(docs: DataFrame, **named: Column) -> DataFrame:
     """All columns of docs as one struct `row`, beside the named ones, so that no name can clash; select("row.*") unpacks them."""
     return docs.select(F.struct(*docs.columns).alias("row"), *(c.alias(name) for name, c in named.items()))
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """In a Python worker: this operator's caches stay from task to task, those of other operators go."""
+    for other in [x for x in _HELD if x != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = clear

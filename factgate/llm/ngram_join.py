@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import _slices
-from .common import packed, prepare, stored, whole
+from .common import hold, packed, prepare, stored, whole
 
 #: Words of a shingle; a link needs 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 80
@@ -36,7 +36,7 @@ WORDS, PERCENT = 5, 80
 SKETCH, PARTS = 1 << 22, 64
 #: Entries of a block in the exhaustive step; keys that are broadcast at most when texts are fetched.
 BLOCK, FETCH_BROADCAST = 256, 200_000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class _Hashes(dict):
@@ -102,10 +102,12 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
     size = SKETCH // PARTS
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("ngram_join", HASHES.clear)
         held = np.zeros(SKETCH, np.uint32)
         for b in _slices(batches):
             sets = [shingles(t) for t in b.column(0).to_pylist()]
-            held += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            slots, times = np.unique(np.concatenate(sets) & np.uint64(SKETCH - 1), return_counts=True)
+            held[slots] += times.astype(np.uint32)
         small = np.minimum(held, 65535).astype(np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([small[i * size : (i + 1) * size].tobytes() for i in range(PARTS)], pa.binary())], ["part", "counts"])
 
@@ -129,6 +131,7 @@ def _described(docs: DataFrame, logs: np.ndarray, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(logs)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("ngram_join", HASHES.clear)
         logs = shared.value
         for b in _slices(batches):
             out: list[list] = [[], [], [], [], []]
@@ -211,6 +214,7 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: in
     side = lambda x: texts.select(F.col("member").alias(x), F.col("text").alias(f"{x}_text"))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("ngram_join", HASHES.clear)
         last, left = None, None
         for batch in _slices(batches):
             keep = []
