@@ -11,6 +11,8 @@ the shingles of their prefixes:
 2. What is left to find are links between different components.  Shingles whose postings still lie in several components
    are joined exhaustively, in blocks of bounded size: size, position and parity-signature bounds, none of which can lose
    a link, drop nearly all pairs there, groups are expanded to their members, and the rest is verified on the texts.
+   Members of one group share all of its prefix: a group in several components is opened by its first shingle, whether or
+   not another group has that shingle.
 
 So every pair that could link two components is looked at, and no task, broadcast or result grows with the square of a
 group of copies.
@@ -321,9 +323,14 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     # 2. Whatever may still link two components.
     placed = members.join(components(links), "member", "left").select("member", "grp", "n", "sig", F.coalesce("label", "member").alias("comp")).checkpoint()
     spread = placed.groupBy("grp").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size"))
+    split = real.select("grp", F.element_at("prefix", 1).alias("shingle")).join(spread.where("least <> most").select("grp"), "grp")
+    split = split.groupBy("grp").agg(F.first("shingle").alias("shingle")).select("shingle", "grp", F.lit(0).alias("pos"))
+    met = met.select("shingle", "grp", "pos")
+    # Postings that no other group has are not in met.
+    met = met.unionByName(split.join(met.where("pos = 0").select("grp"), "grp", "left_anti"))
     mixed = met.join(spread, "grp").groupBy("shingle").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("size").alias("size")).where("least <> most")
     mixed = mixed.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = met.select("shingle", "grp", "pos").join(mixed, "shingle").join(placed, "grp")
+    open_ = met.join(mixed, "shingle").join(placed, "grp")
     open_ = open_.withColumn("side", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "member", "comp", "n", "pos", "sig")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

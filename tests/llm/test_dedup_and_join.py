@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from factgate.llm import ngram_join
@@ -97,6 +98,19 @@ def test_exhaustive_step_finds_what_neighbours_miss(spark, monkeypatch):
     assert calls and sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_links_within_a_group_that_meets_no_other(spark, monkeypatch, block):
+    """Texts of equal size and prefix, of which the two that link need not follow each other by digest; nothing else has their shingles."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "frequency_sketch", lambda texts: np.zeros(ngram_join.SKETCH, np.uint8))
+    rows = []
+    for i in range(60):
+        w = [f"g{i}w{j}" for j in range(14)]
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w[:12] + [f"g{i}p", f"g{i}q"])), (10 * i + 2, " ".join(w[:13] + [f"g{i}r"]))]
+    got = ngram_join.ngram_join(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+
+
 def test_near_copies_leave_one_of_each_group(spark):
     rows = [r for r in near_copies() if r[0] not in (None, 300)]
     kept = {r.doc_id for r in drop_near_copies(docs(spark, rows)).collect()}
