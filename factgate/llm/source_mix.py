@@ -2,7 +2,8 @@
 
 Each source's documents are laid end to end in hashed order and cut into blocks of equally many words.  Slot i of the
 mix takes the point i * golden ratio mod 1, which the cumulative targets map to a source; the r-th slot of a source
-gets the r-th block of that source's stream, and the stream starts over when it ends.  Ranks and running sums are made
+gets the r-th block of that source's stream, and the stream starts over when it ends.  Blocks of a source beyond the
+slots that the points give it follow behind all slots, so every source fills its target to the word.  Ranks and running sums are made
 in two levels (chunk totals, then within the chunk), so no window holds more than about the square root of a source's
 rows, and all joins are on fine keys.
 """
@@ -26,7 +27,7 @@ SHARE, CAP = 1.5, 2.0
 BLOCK_WORDS, LEAST_SLOTS = 1024, 65536
 #: 2**31 / golden ratio, rounded to an odd number: i * GOLDEN mod SPAN is a Weyl sequence.
 GOLDEN, SPAN, CELLS = 1327217885, 1 << 31, 1024
-#: Slots beyond share / block, so that sources which the points serve late still fill their targets.
+#: Slots beyond share / block, so that few blocks of sources which the points serve late come behind all slots.
 SPARE = 1.05
 
 
@@ -49,8 +50,11 @@ def targets(totals: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     return t.select("source", "source_size", "no", "weight", F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0)).alias("target"))
 
 
-def schedule(goals: DataFrame, slots: int) -> DataFrame:
-    """(no, rank, slot): which source each slot serves, and the how-manieth slot of that source it is, from 0."""
+def schedule(goals: DataFrame, slots: int, block: int) -> DataFrame:
+    """(no, rank, slot): which source each slot serves, and the how-manieth slot of that source it is, from 0.
+
+    A source's ranks are those of the blocks of its target.  Ranks that no point serves get slots from `slots` on.
+    """
     spark = goals.sparkSession
     upto = F.sum("target").over(Window.orderBy("no"))
     all_of = F.sum("target").over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -63,9 +67,16 @@ def schedule(goals: DataFrame, slots: int) -> DataFrame:
     served = points.join(spans, "cell").where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))).select("no", "slot", "chunk")
     per_chunk = served.groupBy("no", "chunk").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.select("no", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("done"))
+    per_chunk = per_chunk.select("no", "chunk", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("done"))
     within = F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1
-    return served.withColumn("within", within).join(per_chunk, ["no", "chunk"]).select("no", (F.col("done") + F.col("within")).alias("rank"), "slot")
+    ranked = served.withColumn("within", within).join(per_chunk.drop("n"), ["no", "chunk"]).select("no", (F.col("done") + F.col("within")).alias("rank"), "slot")
+    need = goals.select("no", F.ceil(F.floor("target") / block).alias("need"))
+    lacking = need.join(per_chunk.groupBy("no").agg(F.max(F.col("done") + F.col("n")).alias("given")), "no", "left")
+    lacking = lacking.select("no", "need", F.coalesce("given", F.lit(0)).alias("given")).where("need > given")
+    behind = F.coalesce(F.sum(F.col("need") - F.col("given")).over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    late = lacking.withColumn("behind", behind).select("no", "given", "behind", F.explode(F.sequence(F.col("given"), F.col("need") - 1)).alias("rank"))
+    late = late.select("no", "rank", (F.lit(slots) + F.col("behind") + F.col("rank") - F.col("given")).alias("slot"))
+    return ranked.join(need, "no").where("rank < need").select("no", "rank", "slot").unionByName(late)
 
 
 def mix_sources(
@@ -74,8 +85,8 @@ def mix_sources(
     """One row per input row: id, size, source_size, target, taken; see _mixed.
 
     size counts the words of the whole text (null: 0); taken counts the words that the mix takes of the document, once
-    for each time they are taken, and is at most cap * size.  A source takes its target, less what the points leave
-    unserved (a few blocks at most).  Sources and ids may be null; rows with null source form one source.  Order, and so
+    for each time they are taken, and is at most cap * size.  A source takes its target, rounded down
+    to whole words.  Sources and ids may be null; rows with null source form one source.  Order, and so
     the result, depends on ids and texts only: rows that repeat both are interchangeable, and each counts.  Only the
     named columns are read.  An empty table, or one without words, takes nothing.
     """
@@ -123,7 +134,7 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights
         .select("uid", "no", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("rank"))
     )
     overlap = F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block)
-    taken = runs.join(schedule(goals, slots), ["no", "rank"]).groupBy("uid").agg(F.sum(overlap).alias("taken"))
+    taken = runs.join(schedule(goals, slots, block), ["no", "rank"]).groupBy("uid").agg(F.sum(overlap).alias("taken"))
     return placed.join(taken, "uid", "left").select("id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

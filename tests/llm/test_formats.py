@@ -9,7 +9,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
-from factgate.llm import token_counts
+from factgate.llm import source_mix, token_counts
 from factgate.llm.byte_bpe import Prefixes, Ranks, decode_ids, encode_texts
 from factgate.llm.chat_format import escaped, final_messages, format_chats, read_back, turns_to_events, unescaped
 from factgate.llm.source_mix import mix_sources, take_documents, targets
@@ -147,5 +147,17 @@ def test_mix_near_targets_and_reruns_agree(spark):
     assert mix_sources(df.limit(0)).collect() == [] and mix_sources(df.where("text IS NULL")).first()["taken"] == 0
 
 
+@pytest.mark.parametrize("block_words", [16, 1024])
+def test_small_sources_fill_their_targets_with_large_blocks(spark, monkeypatch, block_words):
+    monkeypatch.setattr(source_mix, "LEAST_SLOTS", 1)
+    rows = [(i, "w " * 500, "big") for i in range(200)] + [(1000 + 10 * k + j, "w " * (20 + k), f"s{k:02}") for k in range(40) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = mix_sources(df, block_words=block_words).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(by) == 41 and all(r.taken == int(r.target) for r in by)
+    goals = spark.createDataFrame([(0, 10000.0), (1, 5.0), (2, 0.0), (3, 33.5)], "no long, target double")
+    got = source_mix.schedule(goals, 20, 10).collect()
+    assert sorted((r.no, r["rank"]) for r in got) == [(0, i) for i in range(1000)] + [(1, 0)] + [(3, i) for i in range(4)] and len({r.slot for r in got}) == len(got)
+
+
 def test_sha_of_turns_needs_no_separator_inside():
     assert hashlib.sha256(b"user\nhi\n").hexdigest() != hashlib.sha256(b"user\nhi").hexdigest()
