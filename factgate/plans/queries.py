@@ -239,7 +239,7 @@ def draft_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
-    p = _english(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    p = D.load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return measures.greedy_chunks(p)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factgate.functions import text as T
 from factgate.operators import gate, measures, registry, reports, search
+from factgate.plans import queries
 from factgate.sources import parse, store
 from factgate.streaming import feeds
 
@@ -190,3 +191,19 @@ def test_final_copy_only_for_its_own_hash(spark):
     r = d.select("item_id", F.lit("approved").alias("status"), F.when(F.col("item_id") == 1, F.sha2("md", 256)).otherwise(F.lit("other")).alias("draft_hash"))
     assert [(x.item_id, x.final_text) for x in gate.finalize(d, r).collect()] == [(1, "A fact.\n\nB")]
     assert T is not None
+
+
+def test_greedy_chunks_reads_all_languages(spark, tmp_path):
+    paragraphs = {1: ("en", [100, 90, 20]), 2: ("fr", [60, 60, 60, 95]), 3: ("es", [7]), 4: ("de", [200, 89]), 5: (None, [170, 11, 90])}
+    rows = [(i, "\n".join(" ".join(["été"] * n) for n in sizes), lang) for i, (lang, sizes) in paragraphs.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, (_, sizes) in paragraphs.items():
+        chunks, words = [], 0
+        for n in sizes:
+            words += n
+            if words >= 180:
+                chunks, words = chunks + [words], 0
+        chunks += [words] if words >= 90 or words and not chunks else []
+        want += [(i, k, n) for k, n in enumerate(chunks)]
+    assert sorted((r.doc_id, r.chunk, r.words) for r in queries.greedy_chunks(spark, str(tmp_path)).collect()) == want
