@@ -3,7 +3,7 @@
 The encoding of every byte prefix ends in exactly one valid last token, so one token id per prefix is the whole state:
 the last token at position i is the token ending there whose predecessor, the last token at its start, is compatible
 with it.  Appending bytes only adds entries, and after an edit only entries behind it are made again, up to where they
-agree with the old ones.
+agree with the old ones.  Texts are cut where matches surely begin, and each distinct piece of a batch is encoded once.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import base64
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import hold, prepare, whole
 
-#: Distinct matches, and pairs of tokens, a Python worker remembers before it starts anew.
-REMEMBERED, PAIRS = 300_000, 400_000
+#: Distinct matches of a generation, of which a Python worker remembers two, and pairs of tokens before it starts anew.
+REMEMBERED, PAIRS = 400_000, 600_000
 #: Lengths of beginnings whose prefixes are kept for other matches.
 STEMS = (9, 7, 5)
 #: Texts are handed on in batches of about this many bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 
 class Ranks:
@@ -117,23 +116,27 @@ class Prefixes:
 
 
 class Encoder(dict):
-    """Text to ids; as a dict it holds the ids of matches already seen."""
+    """Text to ids.  As a dict it holds the ids of matches met lately, as bytes of int32; `older` those of the generation before."""
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks, self.find = Ranks(ranks_path), regex.compile(pattern).findall
         self.stems: dict[bytes, tuple[int, ...]] = {}
-
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        data = match.encode()
-        whole = self.ranks.ids.get(data)
-        ids = (whole,) if whole is not None and self.ranks.stands(whole) else self._made(data)
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, match: str) -> bytes:
+        ids = self.older.get(match)
+        if ids is None:
+            data = match.encode()
+            whole = self.ranks.ids.get(data)
+            ids = array("i", (whole,) if whole is not None and self.ranks.stands(whole) else self._made(data)).tobytes()
         if len(match) <= 64:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[match] = ids
         return ids
 
-    def _made(self, data: bytes) -> tuple[int, ...]:
+    def _made(self, data: bytes) -> list[int]:
         """From the prefixes of the longest stem already met: matches share their beginnings."""
         known = next((k for n in STEMS if (k := self.stems.get(data[:n])) is not None), ())
         p = Prefixes(self.ranks, data, known)
@@ -142,10 +145,31 @@ class Encoder(dict):
         for n in STEMS:
             if len(known) < n <= len(data):
                 self.stems[data[:n]] = tuple(p.last[:n])
-        return tuple(p.tokens())
+        return p.tokens()
 
     def encode(self, text: str) -> array:
-        return array("i", chain.from_iterable(map(self.__getitem__, self.find(text))))
+        return array("i", b"".join(map(self.__getitem__, self.find(text))))
+
+    def encode_all(self, texts: pa.StringArray, cut_before: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's ids begin and the last ones end).
+
+        Every distinct piece of the batch is encoded once; the rest is gathering in numpy.
+        """
+        offsets, data = _bytes_of(texts)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[_cuts(data, cut_before)] = True
+        cut[offsets] = True
+        cuts = np.flatnonzero(cut)
+        if len(cuts) < 2:
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        find, ids_of = self.find, self.__getitem__
+        made = [b"".join(map(ids_of, find(p))) for p in pieces.dictionary.to_pylist()]
+        n = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        flat, first, which = np.frombuffer(b"".join(made), np.int32), np.cumsum(n) - n, pieces.indices.to_numpy()
+        n, first = n[which], first[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)], ends[np.searchsorted(cuts, offsets)]
 
 
 @lru_cache(maxsize=1)
@@ -154,6 +178,29 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return Encoder(ranks_path, pattern)
 
 
+def _bytes_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each text begins and the last one ends, UTF-8 of all texts) of an array without nulls."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data
+
+
+def _cuts(data: np.ndarray, cut_before: bytes) -> np.ndarray:
+    """Places in front of one of the bytes where neither neighbour is white space, nor may be (beyond ASCII, the bytes decide)."""
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+    opens = space.copy()
+    opens[[0xC2, 0xE1, 0xE2, 0xE3]] = True  # first bytes of white space beyond ASCII
+    at = np.flatnonzero(np.isin(data, np.frombuffer(cut_before, np.uint8)))
+    at = at[(at > 0) & (at < len(data) - 1)]
+    at = at[~space[data[at - 1]] & ~opens[data[at + 1]]]
+    two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    return at[~((two == 0xC2) | np.isin(three, [0xE1, 0xE2, 0xE3]) & (data[at - 1] >= 0x80))]
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         step = max(1, min(b.num_rows, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
@@ -161,23 +208,24 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, step)
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", keep: Sequence[str] = ()) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", keep: Sequence[str] = (), cut_before: bytes = b" \n"
+) -> DataFrame:
     """(id, *keep, ids array<int>): the whole text of every row, each match of the pattern encoded on its own, without special tokens.
 
     Null and empty texts have no tokens.  Rows are independent: repeated and null ids stay as they are, and only the
-    named columns are read; keep names further columns to carry along.  ranks_path must be readable on every executor.
+    named columns are read; keep names further columns to carry along.  Texts of any length are encoded whole.
+    ranks_path must be readable on every executor.  cut_before: ASCII white space that, single between other characters,
+    always begins a match of the pattern; texts are cut there first.  Empty for patterns of which that holds for none.
     """
     prepare(docs.sparkSession)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("byte_bpe", encoder.cache_clear)
-        encode = encoder(ranks_path, pattern).encode
+        encode = encoder(ranks_path, pattern).encode_all
         for b in _slices(batches):
-            ids, ends = array("i"), [0]
-            for text in b.column(0).to_pylist():
-                ids += encode(text)
-                ends.append(len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+            ids, ends = encode(b.column(0), cut_before)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], lists], [*b.schema.names[1:], "ids"])
 
     carried = [id_col, *keep]
@@ -189,9 +237,10 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 def decode_ids(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded with one more column (or another in its place), binary: the bytes of the ids, which need not be valid UTF-8.
 
-    Null ids decode to no bytes; an id outside the vocabulary raises.  The vocabulary is a constant of the plan, so this
-    runs without Python workers.
+    A null list, an empty one and null ids in it decode to no bytes; an id outside the vocabulary raises.  The
+    vocabulary is a constant of the plan, so this runs without Python workers.
     """
     of = Ranks(ranks_path).bytes_of
     table = F.split(F.lit(",".join(of[i].hex() if i in of else "?" for i in range(max(of) + 1))), ",")
-    return encoded.withColumn(out_col, F.unhex(F.coalesce(F.array_join(F.transform(ids_col, lambda i: table[i]), ""), F.lit(""))))
+    made = F.unhex(F.coalesce(F.array_join(F.transform(ids_col, lambda i: table[i]), ""), F.lit("")))
+    return encoded.withColumn(out_col, F.coalesce(made, F.raise_error(F.lit("an id is not in the vocabulary")).cast("binary")))

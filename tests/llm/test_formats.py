@@ -4,13 +4,14 @@ import random
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 
-from factgate.llm import source_mix, token_counts
-from factgate.llm.byte_bpe import Prefixes, Ranks, decode_ids, encode_texts
+from factgate.llm import byte_bpe, source_mix, token_counts
+from factgate.llm.byte_bpe import Encoder, Prefixes, Ranks, decode_ids, encode_texts
 from factgate.llm.chat_format import escaped, final_messages, format_chats, read_back, turns_to_events, unescaped
 from factgate.llm.source_mix import mix_sources, take_documents, targets
 from factgate.llm.token_counts import Transducer, count_tokens
@@ -40,6 +41,32 @@ def test_bpe_round_trip_as_tiktoken(spark):
     assert encode_texts(table(spark, []).limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_cuts_only_where_matches_begin():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    spaces = [" ", "\n", "\t", "\u2003", "\u3000", "\x85", "\x1c", "\u00a0", "\u1680", "a", "b", "'s", "1", "é", "à", "。", "!", "x ", "\r\n", "\u2019"]
+    rng = random.Random(11)
+    rows = ["".join(rng.choices(spaces, k=rng.randint(0, 30))) for _ in range(5000)]
+    for cut_before in (b" \n", b""):
+        ids, ends = Encoder(RANKS, public_tokenizers.PATTERN).encode_all(pa.array(["skipped", *rows]).slice(1), cut_before)
+        assert [ids[ends[i] : ends[i + 1]].tolist() for i in range(len(rows))] == [enc.encode_ordinary(t) for t in rows]
+
+
+def test_bpe_keeps_results_when_its_cache_turns_over(monkeypatch):
+    rows, first = [t or "" for t in texts(12)], Encoder(RANKS, public_tokenizers.PATTERN)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 20)
+    small = Encoder(RANKS, public_tokenizers.PATTERN)
+    assert [small.encode(t) for t in rows + rows] == [first.encode(t) for t in rows + rows] and len(small) + len(small.older) <= 40
+
+
+def test_ids_outside_the_vocabulary_raise(spark):
+    used = set(Ranks(RANKS).bytes_of)
+    gap = next((i for i in range(max(used)) if i not in used), max(used) + 1)
+    assert decode_ids(spark.createDataFrame([(None,), ([],), ([None, 65],)], "ids array<int>"), RANKS).where("length(decoded) > 1").count() == 0
+    with pytest.raises(Exception):
+        decode_ids(spark.createDataFrame([([65, gap],)], "ids array<int>"), RANKS).collect()
+
+
 def test_bpe_appends_and_edits():
     ranks, rng = Ranks(RANKS), random.Random(2)
     for _ in range(200):
