@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from . import lexicon as L
 
 
+#: White space as Unicode has it, for patterns of Java and of RE2.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -19,9 +23,17 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), group)
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def single_spaced(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+
+
 def norm_ws(c: Column) -> Column:
     """Straight quotes, single spaces, trimmed; null counts as empty."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "’“”", "'\"\""), r"\s+", " "))
+    return single_spaced(F.translate(F.coalesce(c, F.lit("")), "’“”", "'\"\""))
 
 
 def quote_hash(c: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..functions import lexicon as L
+from ..functions.text import SPACE
 from ..sources.driver_tables import CLAIMS_SQL, UNITS_SQL
+from . import parse_sql
 
 
 def _q(s: str) -> str:
@@ -23,6 +25,14 @@ def _tokens(text: str) -> str:
     return f"list_filter({words}, lambda w: w <> '' AND NOT list_contains({_list(L.STOPWORDS)}, w))"
 
 
+def _normal(c: str) -> str:
+    return f"trim(regexp_replace(translate({c}, '’“”', '''\"\"'), '{SPACE}+', ' ', 'g'))"
+
+
+def _strip_tags(text: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({text}, {_q(L.TAG)}, '', 'g'), '[ \\t]+([.,;:!?])', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g')"
+
+
 CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), {_q(p)}) THEN '{c}'" for c, p in L.CATEGORIES) + f" ELSE '{L.DEFAULT_CATEGORY}' END"
 CONFIDENCE = f"CASE WHEN regexp_matches(text, {_q(L.ROADMAP)}) THEN 'low' WHEN regexp_matches(text, {_q(L.HEDGE)}) THEN 'medium' ELSE 'high' END"
 RATED = f"{CLAIMS_SQL}, rated AS (SELECT *, {CATEGORY} AS category, {CONFIDENCE} AS confidence FROM claims)"
@@ -39,13 +49,13 @@ REPORTS = f"""{VERDICTS}, counted AS (
 ), reports AS (SELECT *, CASE WHEN blocks > 0 THEN 'blocked' WHEN flags > 0 THEN 'flagged' ELSE 'approved' END AS status FROM counted)"""
 
 _ABBREV = "|".join(a.replace(".", r"\.") for a in L.ABBREVIATIONS)
-_SPLIT = "trim(regexp_replace(translate(coalesce(text, ''), '’“”', '''\"\"'), '\\s+', ' ', 'g'))"
+_SPLIT = _normal("coalesce(text, '')")
 _SPLIT = f"regexp_replace({_SPLIT}, '(?i)(^|[^A-Za-z.])({_ABBREV})\\.(\\s)', '\\1\\2' || chr(2) || '\\3', 'g')"
 for _ in range(2):
     _SPLIT = f"regexp_replace({_SPLIT}, '(\\d)\\.( ?\\d)', '\\1' || chr(2) || '\\2', 'g')"
 _SPLIT = f"regexp_replace({_SPLIT}, '([.!?](?:\\s*\\[\\[[A-Z0-9\\-]+\\]\\])*)\\s+([\"''(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g')"
 _SPLIT = f"list_filter(list_transform(string_split({_SPLIT}, chr(1)), lambda s: trim(replace(s, chr(2), '.'))), lambda s: s <> '')"
-SENTENCES = f"sentences AS (SELECT doc_id, source, {_SPLIT} AS s FROM documents WHERE lang = 'en')"
+SENTENCES = f"sentences AS (SELECT doc_id, source, {_SPLIT} AS s FROM documents)"
 MEASURED = rf"""{SENTENCES}, one AS (SELECT source, unnest(s) AS t FROM sentences), w AS (
   SELECT source, len(regexp_extract_all(t, {_q(L.WORD)}))::BIGINT AS w, ends_with(t, '?') AS q, ends_with(t, '!') AS x, regexp_matches(t, '(?i)\b(you|your|yours)\b') AS y FROM one
 ), measured AS (
@@ -95,15 +105,15 @@ f AS (
     WHEN both_ >= 3 AND ((aabs AND bexc AND NOT babs) OR (babs AND aexc AND NOT aabs)) THEN 'absolute'
     WHEN j >= 0.6 AND same AND aneg <> bneg THEN 'negation' END AS rule FROM r
 )"""
-SIMILAR = f"""q AS (SELECT item_id AS query_id, list_distinct({_tokens('text')}) AS t FROM benchmark), d AS (SELECT doc_id AS target_id, list_distinct({_tokens('text')}) AS t FROM documents WHERE lang = 'en'),
+SIMILAR = f"""q AS (SELECT item_id AS query_id, list_distinct({_tokens('text')}) AS t FROM benchmark), d AS (SELECT doc_id AS target_id, list_distinct({_tokens('text')}) AS t FROM documents),
 pairs AS (
   SELECT query_id, target_id, count(*) AS shared, round(count(*) / (sqrt(qn) * sqrt(dn)), 3) AS score, count(*) / qn AS overlap
   FROM (SELECT query_id, len(t) AS qn, unnest(t) AS token FROM q) JOIN (SELECT target_id, len(t) AS dn, unnest(t) AS token FROM d) USING (token) GROUP BY query_id, target_id, qn, dn
 )"""
 ROUNDS = "rounds AS (SELECT o_custkey AS item_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INTEGER AS round, CASE o_orderstatus WHEN 'F' THEN 'approved' ELSE 'blocked' END AS status, o_orderdate AS created_at FROM orders)"
-VERSIONS = """docs AS (SELECT doc_id, source AS source_id, md5(text) AS text, md5(lower(text)) AS quote_hash FROM documents),
-old AS (SELECT 'DOC-' || lpad(doc_id::VARCHAR, 8, '0') AS id, source_id, quote_hash, text FROM docs WHERE doc_id % 3 <> 0),
-new AS (SELECT doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN 'elsewhere' ELSE source_id END AS source_id, quote_hash, text FROM docs WHERE doc_id % 5 <> 0),
+VERSIONS = """a AS (SELECT doc_id, source AS source_id, text || CASE WHEN doc_id % 3 = 0 THEN ' before' ELSE '' END AS was, text || CASE WHEN doc_id % 5 = 0 THEN ' after' ELSE '' END AS now_ FROM documents),
+old AS (SELECT 'DOC-' || lpad(doc_id::VARCHAR, 8, '0') AS id, source_id, md5(lower(was)) AS quote_hash, md5(was) AS text FROM a),
+new AS (SELECT doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN 'elsewhere' ELSE source_id END AS source_id, md5(lower(now_)) AS quote_hash, md5(now_) AS text FROM a),
 n1 AS (SELECT *, row_number() OVER (PARTITION BY source_id, quote_hash, text ORDER BY pos) AS k FROM new), o1 AS (SELECT *, row_number() OVER (PARTITION BY source_id, quote_hash, text ORDER BY id) AS k FROM old),
 exact AS (SELECT pos, n1.source_id, quote_hash, text, id FROM n1 LEFT JOIN o1 USING (source_id, quote_hash, text, k)),
 free AS (SELECT id, quote_hash, text, row_number() OVER (PARTITION BY quote_hash, text ORDER BY id) AS k FROM old WHERE id NOT IN (SELECT id FROM exact WHERE id IS NOT NULL)),
@@ -149,8 +159,9 @@ ORACLES: dict[str, str] = {
     "doc_freq": f"WITH {CLAIMS_SQL} SELECT product_id, stem, count(*) AS n FROM (SELECT product_id, id, unnest({STEMS}) AS stem FROM claims) GROUP BY product_id, stem",
     "topk_claims": f"WITH {SIMILAR} SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id))::INTEGER AS rank, target_id, shared, score FROM pairs) WHERE rank <= 3",
     "unanswered": f"WITH {SIMILAR} SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM pairs WHERE overlap >= 0.9)",
-    "staleness": f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN reverse(left(text, 60)) ELSE left(text, 60) END AS quote, text AS body FROM documents)
-        SELECT doc_id, contains(lower({{}}), lower({{}})) AS verbatim FROM t""".format(*(f"trim(regexp_replace(translate({c}, '’“”', '''\"\"'), '\\s+', ' ', 'g'))" for c in ("body", "quote"))),
+    "staleness": f"""WITH {SENTENCES}, t AS (SELECT doc_id, s[ceil(len(s) * (doc_id % 4 + 1) / 4)::INT] AS quote, CASE WHEN doc_id % 2 = 1 THEN left(text, floor(length(text) * 3 / 4)::INT) ELSE replace(text, ' ', '  ') END AS body
+          FROM sentences JOIN documents USING (doc_id) WHERE len(s) > 0)
+        SELECT doc_id, contains(lower({_normal('body')}), lower({_normal('quote')})) AS verbatim FROM t""",
     "stale_sources": """WITH s AS (SELECT doc_id AS source_id, sha256(text) AS sha, doc_id % 11 <> 0 AS active FROM documents),
         b AS (SELECT source_id, CASE WHEN source_id % 9 = 0 THEN sha256(sha) ELSE sha END AS built FROM s WHERE source_id % 4 <> 1)
         SELECT source_id, CASE WHEN sha IS NULL THEN 'removed' WHEN built IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT * FROM s WHERE active) FULL JOIN b USING (source_id) WHERE sha IS DISTINCT FROM built""",
@@ -194,13 +205,16 @@ ORACLES: dict[str, str] = {
         SELECT rule, count(*) AS n FROM b GROUP BY rule""",
     "log_rollup": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     "audit_rollup_stream": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
+    "markdown_blocks": parse_sql.MARKDOWN,
+    "draft_units": parse_sql.draft_units(_SPLIT, _strip_tags("said")),
+    "html_blocks": parse_sql.HTML,
     "rebuild_text": "SELECT doc_id AS source_id, md5(text) AS digest FROM documents",
-    "vocabulary": f"""WITH w AS (SELECT source, doc_id, unnest({_tokens('text')}) AS word FROM documents WHERE lang = 'en'), c AS (
+    "vocabulary": f"""WITH w AS (SELECT source, doc_id, unnest({_tokens('text')}) AS word FROM documents), c AS (
           SELECT source, word, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id), word) AS r FROM w WHERE length(word) > 3 AND NOT regexp_full_match(word, '\\d+') GROUP BY source, word)
         SELECT * FROM (SELECT source, word, n, (row_number() OVER (PARTITION BY source ORDER BY r))::INTEGER AS rank FROM c WHERE r <= 60 AND n >= 3) WHERE rank <= 20""",
     "seed_set": f"""WITH {CLAIMS_SQL}, s AS (SELECT product_id, unnest(CASE WHEN status <> 'verified' THEN ['not-citable'] WHEN regexp_matches(text, '\\d') THEN ['true', 'untagged', 'false', 'overstated'] ELSE ['true', 'untagged', 'overstated'] END) AS label FROM claims)
         SELECT product_id, label, least(12, count(*)) AS n, CASE label WHEN 'untagged' THEN 0 ELSE least(12, count(*)) END AS n_tagged FROM s GROUP BY product_id, label""",
-    "off_brand": r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\byour\b', 'the user''s', 'g'), '(?i)\byou\b', 'the user', 'g') AS third FROM documents WHERE lang = 'en'),
+    "off_brand": r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\byour\b', 'the user''s', 'g'), '(?i)\byou\b', 'the user', 'g') AS third FROM documents),
         v AS (SELECT doc_id, 'hype' AS variant, 'A revolutionary, game-changing way! ' || replace(text, '.', '!') AS t FROM d UNION ALL SELECT doc_id, 'third-person', regexp_replace(third, '\.\s+', ', and ', 'g') FROM d
               UNION ALL SELECT doc_id, 'wrong-name', 'Productify: ' || text FROM d UNION ALL SELECT doc_id, 'banned', text || ' seamless leverage.' FROM d)
         SELECT doc_id, variant, md5(t) AS digest FROM v""",
@@ -214,6 +228,6 @@ ORACLES: dict[str, str] = {
     "correction_notes": f"WITH {CLAIMS_SQL} SELECT o_orderkey AS ruling_id, id AS claim_id, text, source_id FROM orders JOIN claims ON id = 'PT-' || lpad(o_custkey::VARCHAR, 8, '0') WHERE o_orderstatus = 'P'",
     "browse": f"WITH {RATED} SELECT id, text, category FROM rated WHERE status = 'needs-review' AND contains(text, 'units') ORDER BY num LIMIT 50",
     "seed_batches": f"WITH {CLAIMS_SQL}, b AS (SELECT product_id, id, (row_number() OVER (PARTITION BY product_id ORDER BY num) - 1) // 40 AS batch FROM claims) SELECT product_id, batch, count(*) AS n, min(id) AS first_id FROM b GROUP BY ALL",
-    "leaked_names": "SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' AND regexp_matches(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')",
+    "leaked_names": "SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')",
     "token_estimate": f"WITH {CLAIMS_SQL} SELECT product_id, (2000 + 40 * count(*) + sum(ceil(length(text) / 4)))::BIGINT AS tokens FROM claims GROUP BY product_id",
 }

@@ -19,8 +19,8 @@ from ..streaming import feeds
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _english(spark: SparkSession, d: str) -> DataFrame:
-    return D.load(spark, d, "documents").where("lang = 'en'")
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return D.load(spark, d, "documents")
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     s = T.split_sentences(F.col("text"))
-    return _english(spark, d).select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("digest"))
+    return _documents(spark, d).select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("digest"))
 
 
 def tags(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_measure(spark: SparkSession, d: str) -> DataFrame:
-    return measures.measure_text(_english(spark, d).select("source", "text"), "source")
+    return measures.measure_text(_documents(spark, d).select("source", "text"), "source")
 
 
 def style_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -67,15 +67,18 @@ def style_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_extract(spark: SparkSession, d: str) -> DataFrame:
-    blocks = _english(spark, d).select(F.col("doc_id").alias("source_id"), F.lit(0).alias("block_pos"), "text")
+    blocks = _documents(spark, d).select(F.col("doc_id").alias("source_id"), F.lit(0).alias("block_pos"), "text")
     return registry.extract_claims(blocks).groupBy("source_id").agg(F.count(F.lit(1)).alias("n_claims"), F.count_if(F.col("confidence") == "high").alias("n_high"))
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = D.load(spark, d, "documents").select("doc_id", F.col("source").alias("source_id"), F.md5("text").alias("text"), F.md5(F.lower("text")).alias("quote_hash"))
-    old = docs.where("doc_id % 3 <> 0").select(F.concat(F.lit("DOC-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id"), "source_id", "quote_hash", "text")
+    """All documents as two builds of a registry: every fifth text is another one in the new build, every third in the old one, and every seventh has moved."""
+    docs = D.load(spark, d, "documents").select("doc_id", F.col("source").alias("source_id"), "text")
+    hashed = lambda c: (F.md5(c).alias("text"), F.md5(F.lower(c)).alias("quote_hash"))
+    other = lambda n, mark: F.when(F.col("doc_id") % n == 0, F.concat("text", F.lit(mark))).otherwise(F.col("text"))
+    old = docs.select(F.concat(F.lit("DOC-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id"), "source_id", *hashed(other(3, " before")))
     moved = F.when(F.col("doc_id") % 7 == 0, F.lit("elsewhere")).otherwise(F.col("source_id"))
-    new = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("pos"), moved.alias("source_id"), "quote_hash", "text")
+    new = docs.select(F.col("doc_id").alias("pos"), moved.alias("source_id"), *hashed(other(5, " after")))
     return new, old
 
 
@@ -118,21 +121,24 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
 
 def topk_claims(spark: SparkSession, d: str) -> DataFrame:
     q = search.token_sets(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    t = search.token_sets(_english(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text")
+    t = search.token_sets(_documents(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text")
     return search.top_matches(search.similar(q, t), 3).select("query_id", "rank", "target_id", "shared", "score")
 
 
 def unanswered(spark: SparkSession, d: str) -> DataFrame:
     b = D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
-    pairs = search.similar(search.token_sets(b, "query_id", "text"), search.token_sets(_english(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text"))
+    pairs = search.similar(search.token_sets(b, "query_id", "text"), search.token_sets(_documents(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text"))
     return search.unanswered(b, pairs, 0.9).select("query_id")
 
 
 def staleness(spark: SparkSession, d: str) -> DataFrame:
-    docs = D.load(spark, d, "documents")
-    start = F.substring("text", 1, 60)
-    quotes = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.reverse(start)).otherwise(start).alias("quote"))
-    return search.contained(quotes, docs.select("doc_id", "text"), "doc_id").select("doc_id", "verbatim")
+    """Is a quoted sentence (the first, second, third quarter's or the last one) still in the new snapshot, which lost its last quarter or got other spaces?"""
+    n = F.col("doc_id") % 4 + 1
+    docs = D.load(spark, d, "documents").withColumn("s", T.split_sentences(F.col("text"))).where("size(s) > 0")
+    quotes = docs.select("doc_id", F.element_at("s", F.ceil(F.size("s") * n / 4).cast("int")).alias("quote"))
+    shorter = F.substring("text", F.lit(1), F.floor(F.length("text") * 3 / 4).cast("int"))
+    now = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 1, shorter).otherwise(F.replace(F.col("text"), F.lit(" "), F.lit("  "))).alias("text"))
+    return search.contained(quotes, now, "doc_id").select("doc_id", "verbatim")
 
 
 def stale_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -222,16 +228,18 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return parse.html_blocks(D.load(spark, d, "pages")).select("page_id", "block_pos", "title", F.array_join("path", " > ").alias("path"), "text")
+    return parse.html_blocks(D.load(spark, d, "pages")).select("page_id", "block_pos", "level", "title", F.array_join("path", " > ").alias("path"), "text")
 
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
-    docs = D.load(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("source_id"), F.concat(F.lit("# "), "source", F.lit("\n\n### "), "lang", F.lit("\n\n"), F.regexp_replace("text", r"\n", "\n\n")).alias("body"))
+    """Every document as Markdown: front matter, headings, wrapped paragraphs, list items and a table."""
+    item, wrap = F.replace(F.col("text"), F.lit("\n"), F.lit("\n- ")), lambda c: F.replace(c, F.lit(", "), F.lit(",\n"))
+    body = F.concat(F.lit("---\ntitle: "), "source", F.lit("\n---\n# "), "source", F.lit("\n\n### "), "lang", F.lit("\n\n"), wrap(item), F.lit("\n## `end`\n| "), "lang", F.lit(" | **x** |\n|---|:-:|"))
+    return D.load(spark, d, "documents").select(F.col("doc_id").alias("source_id"), body.alias("body"))
 
 
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return parse.markdown_blocks(_markdown(spark, d)).select("source_id", "block_pos", "loc", "text")
+    return parse.markdown_blocks(_markdown(spark, d)).select("source_id", "block_pos", "level", "loc", "text")
 
 
 def draft_units(spark: SparkSession, d: str) -> DataFrame:
@@ -312,7 +320,7 @@ def rebuild_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return style.preferred_vocabulary(_english(spark, d), ["source"]).select("source", "word", "n", "rank")
+    return style.preferred_vocabulary(_documents(spark, d), ["source"]).select("source", "word", "n", "rank")
 
 
 def seed_set(spark: SparkSession, d: str) -> DataFrame:
@@ -320,7 +328,7 @@ def seed_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def off_brand(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _english(spark, d).select("doc_id", F.lit(0).alias("chunk"), "text")
+    chunks = _documents(spark, d).select("doc_id", F.lit(0).alias("chunk"), "text")
     return style.off_brand(chunks).select("doc_id", "variant", F.md5("text").alias("digest"))
 
 
@@ -338,12 +346,12 @@ def citations_view(spark: SparkSession, d: str) -> DataFrame:
 
 def proof_links(spark: SparkSession, d: str) -> DataFrame:
     q = search.token_sets(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    return search.proof_links(search.similar(q, search.token_sets(_english(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text")))
+    return search.proof_links(search.similar(q, search.token_sets(_documents(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text")))
 
 
 def search_blocks(spark: SparkSession, d: str) -> DataFrame:
     q = search.token_sets(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    return search.search_blocks(q, search.token_sets(_english(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text"))
+    return search.search_blocks(q, search.token_sets(_documents(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text"))
 
 
 def budget_state(spark: SparkSession, d: str) -> DataFrame:
@@ -365,7 +373,7 @@ def seed_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leaked_names(spark: SparkSession, d: str) -> DataFrame:
-    return reports.leaked_names(_english(spark, d), "doc_id")
+    return reports.leaked_names(_documents(spark, d), "doc_id")
 
 
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:

@@ -32,27 +32,27 @@ def claim_id(key):
     return F.concat(F.lit("PT-"), F.lpad(key.cast("string"), 8, "0"))
 
 
-def claims(spark: SparkSession, sf_dir: str, all_parts: bool = False) -> DataFrame:
-    """(id, product_id, num, source_id, text, category, confidence, status); every eleventh part is left out, so that citations can miss."""
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, product_id, num, source_id, text, category, confidence, status) of every part."""
     part = load(spark, sf_dir, "part")
     ending = [F.replace(F.lit(t), F.lit("{n}"), F.col("p_size").cast("string")) for t in TEMPLATES]
     which = F.col("p_partkey") % len(TEMPLATES)
     text = F.concat_ws(" ", "p_brand", "p_type", reduce(lambda acc, i: acc.when(which == i, ending[i]), range(1, len(TEMPLATES)), F.when(which == 0, ending[0])))
     status = F.when(F.col("p_partkey") % 7 == 0, "deprecated").when(F.col("p_partkey") % 7 == 1, "needs-review").otherwise("verified")
     rows = part.select(claim_id(F.col("p_partkey")).alias("id"), F.col("p_brand").alias("product_id"), F.col("p_partkey").alias("num"), (F.col("p_partkey") % 5).alias("source_id"), text.alias("text"), status.alias("status"))
-    rows = rows if all_parts else rows.where("num % 11 <> 0")
     return rows.withColumns({"category": T.category(F.col("text")), "confidence": T.confidence(F.col("text"))})
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, index, cited_id): one cited sentence per line item."""
-    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("index"), claim_id(F.col("l_partkey")).alias("cited_id"))
+    """(item_id, index, cited_id): one cited sentence per line item; those of every eleventh part cite a claim that does not exist."""
+    cited = F.col("l_partkey") + F.when(F.col("l_partkey") % 11 == 0, 90_000_000).otherwise(0)
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("index"), claim_id(cited).alias("cited_id"))
 
 
 CLAIMS_SQL = (
     "claims AS (SELECT 'PT-' || lpad(p_partkey::VARCHAR, 8, '0') AS id, p_brand AS product_id, p_partkey AS num, p_partkey % 5 AS source_id, "
     "p_brand || ' ' || p_type || ' ' || CASE p_partkey % 10 "
     + " ".join(f"WHEN {i} THEN replace('{t}', '{{n}}', p_size::VARCHAR)" for i, t in enumerate(TEMPLATES))
-    + " END AS text, CASE p_partkey % 7 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'needs-review' ELSE 'verified' END AS status FROM part WHERE p_partkey % 11 <> 0)"
+    + " END AS text, CASE p_partkey % 7 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'needs-review' ELSE 'verified' END AS status FROM part)"
 )
-UNITS_SQL = "units AS (SELECT l_orderkey AS item_id, l_linenumber AS index, 'PT-' || lpad(l_partkey::VARCHAR, 8, '0') AS cited_id FROM lineitem)"
+UNITS_SQL = "units AS (SELECT l_orderkey AS item_id, l_linenumber AS index, 'PT-' || lpad((l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 90000000 ELSE 0 END)::VARCHAR, 8, '0') AS cited_id FROM lineitem)"
