@@ -5,7 +5,8 @@ products are the smallest distances.  Every vector is keyed by its nearest pivot
 distances are cut into annuli of about equally many rows, and an annulus of too many equal distances is split further.
 A query first visits the annuli around its own distance to its nearest pivot.  Its k-th best score there gives a radius,
 and by the triangle inequality only annuli that |d(query, pivot) - radius| reaches can hold anything better; those are
-visited in a second round, and no others need be.  Queries meet annuli in blocks, as matrix products.
+visited in a second round, and no others need be.  Queries of one nearest pivot form blocks, which meet the annuli that
+any of them visits as matrix products; a vector is copied only to blocks that visit its annulus.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql.window import Window
 from .common import prepare
 
 #: Pivots, the vectors that they are fitted on, distance bins of a pivot, rows of a cell and queries of a block.
-PIVOTS, FIT_ROWS, BINS, CELL_ROWS, BLOCK_QUERIES = 64, 4096, 1024, 2048, 2048
+PIVOTS, FIT_ROWS, BINS, CELL_ROWS, BLOCK_QUERIES = 64, 4096, 1024, 512, 2048
+#: Distances between queries and annuli that are held at once.
+HELD_GAPS = 1 << 21
 
 
 def usable(v: Column) -> Column:
@@ -95,8 +98,13 @@ def top_k(
     bins, rings = bins.select("pivot", "bin", "ring").checkpoint(), rings.checkpoint()
     cells = index.join(F.broadcast(bins), ["pivot", "bin"]).join(F.broadcast(rings.select("pivot", "ring", "parts")), ["pivot", "ring"])
     cells = cells.select("id", "uid", "v", "pivot", "ring", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"))
-    asked = index.where("is_query").select(F.col("id").alias("query_id"), F.col("uid").alias("quid"), "v")
-    blocks = max(1, -(-asked.count() // block_queries))
+    # Blocks: the queries of a pivot, dealt by hash where they are many.
+    per_pivot = {r["pivot"]: -(-r["n"] // block_queries) for r in index.where("is_query").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first_block = dict(zip(per_pivot, np.cumsum([0, *per_pivot.values()]).tolist()))
+    number = F.lit(0)
+    for pivot, n in per_pivot.items():
+        number = F.when(F.col("pivot") == pivot, F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int") + first_block[pivot]).otherwise(number)
+    asked = index.where("is_query").select(F.col("id").alias("query_id"), F.col("uid").alias("quid"), "v", number.alias("block"))
     ring_rows = [(r["pivot"], r["ring"], r["lo"] * bin_width, (r["hi"] + 1) * bin_width, r["n"]) for r in rings.orderBy("pivot", "lo").collect()]  # bounded by pivots * BINS
     r_pivot, r_ring = np.array([r[0] for r in ring_rows], np.int32), np.array([r[1] for r in ring_rows], np.int64)
     r_lo, r_hi, r_n = (np.array([r[i] for r in ring_rows], np.float64) for i in (2, 3, 4))
@@ -105,7 +113,8 @@ def top_k(
         """Which annuli each query visits: the nearest ones that hold over k rows, or all others within its radius."""
 
         def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            step = max(1, HELD_GAPS // max(1, len(r_n)))
+            for b in (x.slice(at, step) for x in batches for at in range(0, x.num_rows, step)):
                 q = _matrix(b.column(2), width)
                 q2 = (q**2).sum(1)
                 d = np.sqrt(np.maximum(0, q2[:, None] - 2 * np.hstack([q, np.zeros((len(q), 1))]) @ centres.T + (centres**2).sum(1)))[:, r_pivot]
@@ -117,11 +126,11 @@ def top_k(
                 if first:
                     rows, rings_ = np.nonzero(early)
                 else:
-                    best = b.column(3).to_numpy(zero_copy_only=False).astype(np.float64)  # NaN: fewer than k found
+                    best = b.column(4).to_numpy(zero_copy_only=False).astype(np.float64)  # NaN: fewer than k found
                     bound = (q2 + most2)[:, None] / 2 - gap**2 / 2 + 1e-6 * (1 + most2)
                     rows, rings_ = np.nonzero(~early & ~(bound < best[:, None]))
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(3)), pa.array(r_pivot[rings_]), pa.array(r_ring[rings_])], ["query_id", "quid", "v", "pivot", "ring"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(4)), pa.array(r_pivot[rings_]), pa.array(r_ring[rings_])], ["query_id", "quid", "v", "block", "pivot", "ring"])
 
         return per_task
 
@@ -142,17 +151,19 @@ def top_k(
         kinds = (pa.int64(), left.schema.field("query_id").type, right.schema.field("id").type, pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(found, kinds)], ["quid", "query_id", "id", "score"])
 
+    keys = ["pivot", "ring", "part", "block"]
+
     def met(first: bool, known: DataFrame) -> DataFrame:
-        goes = known.mapInArrow(visits(first), f"query_id {kind}, quid long, v array<double>, pivot int, ring long")
-        block = F.pmod(F.xxhash64("quid"), F.lit(blocks)).cast("int")
-        goes = goes.join(F.broadcast(rings.select("pivot", "ring", "parts")), ["pivot", "ring"]).select("query_id", "quid", "v", "pivot", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), block.alias("block"))
-        rows = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        keys = ["pivot", "ring", "part", "block"]
+        """The k best rows of each visited cell for each query of a block that visits it."""
+        goes = known.mapInArrow(visits(first), f"query_id {kind}, quid long, v array<double>, block int, pivot int, ring long")
+        goes = goes.join(F.broadcast(rings.select("pivot", "ring", "parts")), ["pivot", "ring"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").checkpoint()
+        visited = goes.select(*(F.col(c).alias(f"to_{c}") for c in keys)).distinct()
+        rows = cells.join(visited, [F.col(c) == F.col(f"to_{c}") for c in keys[:3]]).select("id", "uid", "v", *keys[:3], F.col("to_block").alias("block"))
         return goes.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(product, out)
 
     best_of = Window.partitionBy("quid").orderBy(F.desc("score"), "id")
     near = met(True, asked).withColumn("rank", F.row_number().over(best_of)).where(F.col("rank") <= k).checkpoint()
     radius = near.where(F.col("rank") == k).select("quid", F.col("score").alias("kth"))
-    rest = met(False, asked.join(radius, "quid", "left").select("query_id", "quid", "v", "kth"))
+    rest = met(False, asked.join(radius, "quid", "left").select("query_id", "quid", "v", "block", "kth"))
     both = near.drop("rank").unionByName(rest).withColumn("rank", F.row_number().over(best_of)).where(F.col("rank") <= k)
     return both.select(*final)
