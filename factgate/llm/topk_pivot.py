@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,6 +75,9 @@ def top_k(
     if not width:
         return spark.createDataFrame([], out + ", rank int").select(*final)
 
+    # Integers up to 2^24 are exact in single precision too, and half as long to shuffle.
+    narrow = "float" if scale and most2 < 2.0**48 else "double"
+
     def lifted(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(0, most2 - (x**2).sum(1)))[:, None]])
 
@@ -88,9 +92,9 @@ def top_k(
             d2 = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
             near = d2.argmin(1)
             far = np.sqrt(np.maximum(0, d2[np.arange(len(near)), near]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(near, pa.int32()), pa.array(np.minimum(BINS - 1, far // bin_width), pa.int32())], ["id", "is_query", "v", "uid", "pivot", "bin"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.list_(pa.float32() if narrow == "float" else pa.float64())), b.column(3), pa.array(near, pa.int32()), pa.array(np.minimum(BINS - 1, far // bin_width), pa.int32())], ["id", "is_query", "v", "uid", "pivot", "bin"])
 
-    index = base.mapInArrow(keyed, f"id {kind}, is_query boolean, v array<double>, uid long, pivot int, bin int").checkpoint()
+    index = base.mapInArrow(keyed, f"id {kind}, is_query boolean, v array<{narrow}>, uid long, pivot int, bin int").checkpoint()
     # Bins of a pivot are joined to annuli of about cell_rows rows: at most pivots * BINS rows here.
     upto = F.sum("n").over(Window.partitionBy("pivot").orderBy("bin"))
     bins = index.groupBy("pivot", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("ring", F.floor((upto - F.col("n")) / cell_rows))
@@ -98,12 +102,14 @@ def top_k(
     bins, rings = bins.select("pivot", "bin", "ring").checkpoint(), rings.checkpoint()
     cells = index.join(F.broadcast(bins), ["pivot", "bin"]).join(F.broadcast(rings.select("pivot", "ring", "parts")), ["pivot", "ring"])
     cells = cells.select("id", "uid", "v", "pivot", "ring", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int").alias("part"))
-    # Blocks: the queries of a pivot, dealt by hash where they are many.
-    per_pivot = {r["pivot"]: -(-r["n"] // block_queries) for r in index.where("is_query").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first_block = dict(zip(per_pivot, np.cumsum([0, *per_pivot.values()]).tolist()))
-    number = F.lit(0)
-    for pivot, n in per_pivot.items():
-        number = F.when(F.col("pivot") == pivot, F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int") + first_block[pivot]).otherwise(number)
+    # Blocks of queries: those of a pivot together, several small pivots in one, a large one dealt by hash.
+    number, blocks, room = F.lit(0), 0, 0
+    for r in index.where("is_query").groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).orderBy("pivot").collect():
+        if r["n"] > room:
+            blocks, room = blocks + max(1, r["n"] // block_queries), block_queries
+        parts = max(1, r["n"] // block_queries)
+        number = F.when(F.col("pivot") == r["pivot"], blocks - 1 - F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int")).otherwise(number)
+        room = 0 if parts > 1 else room - r["n"]
     asked = index.where("is_query").select(F.col("id").alias("query_id"), F.col("uid").alias("quid"), "v", number.alias("block"))
     ring_rows = [(r["pivot"], r["ring"], r["lo"] * bin_width, (r["hi"] + 1) * bin_width, r["n"]) for r in rings.orderBy("pivot", "lo").collect()]  # bounded by pivots * BINS
     r_pivot, r_ring = np.array([r[0] for r in ring_rows], np.int32), np.array([r[1] for r in ring_rows], np.int64)
@@ -136,27 +142,30 @@ def top_k(
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
         """A block of queries against a cell: the k best of the cell for each query."""
-        found: list[list] = [[], [], [], []]
-        if left.num_rows and right.num_rows:
-            scores = _matrix(left.column("v"), width) @ _matrix(right.column("v"), width).T
-            quid, query, uid, ids = left.column("quid").to_pylist(), left.column("query_id").to_pylist(), right.column("uid").to_numpy(), right.column("id").to_pylist()
-            by_id = np.argsort(np.argsort(np.array([-(1 << 63) if i is None else i for i in ids], dtype=object if kind == "string" else np.int64), kind="stable"))
-            for i, row in enumerate(scores):
-                row[uid == quid[i]] = -np.inf
-                near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                for j in near[np.lexsort((by_id[near], -row[near]))][:k]:
-                    if row[j] > -np.inf:
-                        for to, x in zip(found, (quid[i], query[i], ids[j], float(row[j]))):
-                            to.append(x)
-        kinds = (pa.int64(), left.schema.field("query_id").type, right.schema.field("id").type, pa.float64())
-        return pa.table([pa.array(x, t) for x, t in zip(found, kinds)], ["quid", "query_id", "id", "score"])
+        ids = right.column("id")
+        right = right.take(pc.sort_indices(ids, null_placement="at_start"))  # so that ties fall to the smaller id
+        m = right.num_rows
+        scores = _matrix(left.column("v"), width) @ _matrix(right.column("v"), width).T if m else np.zeros((left.num_rows, 0))
+        quid, uid = left.column("quid").to_numpy(), right.column("uid").to_numpy()
+        if m:
+            of = np.argsort(uid)
+            own = of[np.minimum(np.searchsorted(uid, quid, sorter=of), m - 1)]
+            scores[np.flatnonzero(uid[own] == quid), own[uid[own] == quid]] = -np.inf
+        least = np.partition(scores, m - k, axis=1)[:, m - k, None] if m > k else -np.inf
+        query, at = np.nonzero((scores >= least) & (scores > -np.inf))
+        value = scores[query, at]
+        order = np.lexsort((at, -value, query))
+        query, at, value = query[order], at[order], value[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        query, at, value = query[rank < k], at[rank < k], value[rank < k]
+        return pa.table([left.column("quid").take(query), left.column("query_id").take(query), right.column("id").take(at), pa.array(value)], ["quid", "query_id", "id", "score"])
 
     keys = ["pivot", "ring", "part", "block"]
 
     def met(first: bool, known: DataFrame) -> DataFrame:
         """The k best rows of each visited cell for each query of a block that visits it."""
-        goes = known.mapInArrow(visits(first), f"query_id {kind}, quid long, v array<double>, block int, pivot int, ring long")
-        goes = goes.join(F.broadcast(rings.select("pivot", "ring", "parts")), ["pivot", "ring"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").checkpoint()
+        goes = known.mapInArrow(visits(first), f"query_id {kind}, quid long, v array<{narrow}>, block int, pivot int, ring long")
+        goes = goes.join(F.broadcast(rings.select("pivot", "ring", "parts")), ["pivot", "ring"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         visited = goes.select(*(F.col(c).alias(f"to_{c}") for c in keys)).distinct()
         rows = cells.join(visited, [F.col(c) == F.col(f"to_{c}") for c in keys[:3]]).select("id", "uid", "v", *keys[:3], F.col("to_block").alias("block"))
         return goes.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(product, out)
