@@ -10,25 +10,30 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from .search import similar, token_sets, top_matches
+
+
+CHECKERS = ("style-checker", "best-practice-auditor", "synthetic-buyer")
 
 
 def cited(units: DataFrame, claims: DataFrame, high_risk: Sequence[str] = L.HIGH_RISK) -> DataFrame:
     """units (…, cited_id) with the cited claim's status and the rule that citing it breaks: (…, claim_status, verdict, reason).
 
     Claims that do not exist block, as do deprecated and unreviewed ones, and low-confidence ones of a high-risk
-    category; other low-confidence claims flag.
+    category unless a reviewer confirmed them (claims.decision); other low-confidence claims flag.
     """
-    c = claims.select(F.col("id").alias("cited_id"), F.col("status").alias("claim_status"), "category", "confidence")
+    decision = F.col("decision") if "decision" in claims.columns else F.lit(None).cast("string")
+    c = claims.select(F.col("id").alias("cited_id"), F.col("status").alias("claim_status"), "category", "confidence", decision.alias("__decision"))
     low = F.col("confidence") == "low"
     reason = (
         F.when(F.col("claim_status").isNull(), "missing-claim")
         .when(F.col("claim_status") == "deprecated", "deprecated")
         .when(F.col("claim_status") != "verified", "needs-review")
-        .when(low & F.col("category").isin(*high_risk), "low-confidence-high-risk")
+        .when(low & F.col("category").isin(*high_risk) & ~F.col("__decision").eqNullSafe("confirmed"), "high-risk-low-confidence")
         .when(low, "low-confidence")
     )
     verdict = F.when(F.col("reason").isNull(), "pass").when(F.col("reason") == "low-confidence", "flag").otherwise("block")
-    return units.join(c, "cited_id", "left").withColumn("reason", reason).withColumn("verdict", verdict).drop("category", "confidence")
+    return units.join(c, "cited_id", "left").withColumn("reason", reason).withColumn("verdict", verdict).drop("category", "confidence", "__decision")
 
 
 def unit_verdicts(citations: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,20 +43,97 @@ def unit_verdicts(citations: DataFrame, keys: Sequence[str]) -> DataFrame:
     return citations.groupBy(*keys).agg(first).select(*keys, "v.verdict", "v.reason")
 
 
-def enforce(units: DataFrame, mechanical: DataFrame, reviewed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Final verdicts: a missing review blocks as untagged, a mechanical block always wins, a mechanical flag only lifts a pass."""
-    m = mechanical.select(*keys, F.col("verdict").alias("m_verdict"), F.col("reason").alias("m_reason"))
-    r = reviewed.select(*keys, F.col("verdict").alias("r_verdict"), F.col("reason").alias("r_reason"))
-    both = units.join(m, list(keys), "left").join(r, list(keys), "left")
-    takes = F.when(F.col("m_verdict") == "block", F.struct(F.col("m_verdict").alias("verdict"), F.col("m_reason").alias("reason")))
-    takes = takes.when(F.col("r_verdict").isNull(), F.struct(F.lit("block").alias("verdict"), F.lit("untagged").alias("reason")))
-    takes = takes.when((F.col("m_verdict") == "flag") & (F.col("r_verdict") == "pass"), F.struct(F.col("m_verdict").alias("verdict"), F.col("m_reason").alias("reason")))
-    takes = takes.otherwise(F.struct(F.col("r_verdict").alias("verdict"), F.col("r_reason").alias("reason")))
-    return both.withColumn("t", takes).select(*units.columns, "t.verdict", "t.reason")
+def _said(text: Column) -> Column:
+    """What two versions of a sentence are compared by: without tags, single spaces, lower case."""
+    return F.lower(T.single_spaced(T.strip_tags(text)))
+
+
+def align_verdicts(units: DataFrame, reviewed: DataFrame, key: str = "item_id") -> DataFrame:
+    """units (key, index, text, …) with the verifier's r_verdict, r_reason: that of the index where the texts agree, else that of the text.
+
+    reviewed: (key, index, text, verdict, reason); of several for an index or a text the last by seq (index without it) counts.
+    """
+    seq = F.col("seq") if "seq" in reviewed.columns else F.col("index")
+    r = reviewed.select(F.col(key).alias("__key"), F.col("index").alias("__index"), _said(F.col("text")).alias("__said"), F.struct(seq.alias("seq"), "index", "verdict", "reason").alias("v"))
+    last = lambda of: r.groupBy("__key", of).agg(F.max_by(F.struct("__said", "v"), F.col("v")).alias("last")).select("__key", of, "last.*")
+    by_index = last("__index").select(F.col("__key").alias(key), F.col("__index").alias("index"), F.col("__said").alias("__i_said"), F.col("v").alias("__i"))
+    by_text = r.groupBy("__key", "__said").agg(F.max("v").alias("__t")).withColumnRenamed("__key", key)
+    both = units.withColumn("__said", _said(F.col("text"))).join(by_index, [key, "index"], "left").join(by_text, [key, "__said"], "left")
+    v = F.when(F.col("__i_said") == F.col("__said"), F.col("__i")).otherwise(F.col("__t"))
+    return both.withColumn("__v", v).select(*units.columns, F.col("__v.verdict").alias("r_verdict"), F.col("__v.reason").alias("r_reason"))
+
+
+def enforce(units: DataFrame, mechanical: DataFrame, marks: DataFrame | None = None, key: str = "item_id") -> DataFrame:
+    """Final verdicts (key, index, text, verdict, reason) of aligned units: the verifier's, made stricter by the rules of citing.
+
+    No verdict blocks as untagged; a mechanical block always wins, a mechanical flag lifts a pass only.  A reviewer's mark
+    (key, sentence) clears a sentence that cites nothing and is blocked as untagged.
+    """
+    m = mechanical.select(key, "index", F.col("verdict").alias("m_verdict"), F.col("reason").alias("m_reason"))
+    both = units.join(m, [key, "index"], "left")
+    outcome = lambda v, r: F.struct(v.alias("verdict"), r.alias("reason"))
+    takes = (
+        F.when((F.col("m_verdict") == "block") | ((F.col("m_verdict") == "flag") & (F.col("r_verdict") == "pass")), outcome(F.col("m_verdict"), F.col("m_reason")))
+        .when(F.col("r_verdict").isNull(), outcome(F.lit("block"), F.lit("untagged")))
+        .otherwise(outcome(F.col("r_verdict"), F.col("r_reason")))
+    )
+    both = both.withColumn("__t", takes)
+    if marks is not None:
+        marked = marks.select(key, _said(F.col("sentence")).alias("__said")).distinct().withColumn("__marked", F.lit(True))
+        both = both.withColumn("__said", _said(F.col("text"))).join(marked, [key, "__said"], "left")
+        clears = F.col("__marked") & (F.col("__t.verdict") == "block") & (F.col("__t.reason") == "untagged") & (F.size(T.tags_in(F.col("text"))) == 0)
+        both = both.withColumn("__t", F.when(clears, outcome(F.lit("pass"), F.lit(None).cast("string"))).otherwise(F.col("__t")))
+    return both.select(key, "index", "text", "__t.verdict", "__t.reason")
+
+
+def usable_verdicts(drafts: DataFrame, reviewed: DataFrame, results: DataFrame, key: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """(verdicts of gate results for exactly the draft's hash, drafts without such a result).
+
+    drafts: (key, draft_hash); results: (key, draft_hash), one per draft, a null hash fits every draft.
+    """
+    of = results.select(key, F.col("draft_hash").alias("__hash"), F.lit(True).alias("__has"))
+    with_result = drafts.select(key, "draft_hash").join(of, key, "left")
+    fits = F.coalesce(F.col("__has") & (F.col("__hash").isNull() | (F.col("__hash") == F.col("draft_hash"))), F.lit(False))
+    return reviewed.join(with_result.where(fits).select(key), key, "left_semi"), with_result.where(~fits).select(key)
+
+
+def checker_flags(enabled: DataFrame, reports: DataFrame, raised: DataFrame, key: str = "item_id") -> DataFrame:
+    """(key, source, severity, missing): what the enabled checkers (key, checker) say about each draft.
+
+    reports: (key, checker, status, verdict); raised: (key, checker, severity).  A missing or unavailable checker counts
+    high and as missing, a missing buyer only as missing (null severity); a buyer who does not say yes counts low.
+    """
+    both = enabled.join(reports.withColumn("__has", F.lit(True)), [key, "checker"], "left")
+    buyer, here = F.col("checker") == "synthetic-buyer", F.coalesce(F.col("__has"), F.lit(False))
+    away = ~here | (~buyer & F.col("status").eqNullSafe("checker-unavailable"))
+    severity = F.when(away, F.when(~buyer, "high")).when(buyer & ~F.col("verdict").eqNullSafe("yes"), "low")
+    own = both.select(key, F.col("checker").alias("source"), severity.alias("severity"), away.alias("missing")).where("missing OR severity IS NOT NULL")
+    heard = both.where(~away & ~buyer).select(key, "checker").join(raised, [key, "checker"])
+    return own.unionByName(heard.select(key, F.col("checker").alias("source"), "severity", F.lit(False).alias("missing")))
+
+
+def combine(drafts: DataFrame, verdicts: DataFrame, unchecked: DataFrame, page_checks: DataFrame, checkers: DataFrame, overrides: DataFrame | None = None, key: str = "item_id") -> DataFrame:
+    """One report per draft (key, draft_hash): (key, block_count, high_count, low_count, missing, status).
+
+    Sentence and page blocks block, as does a missing gate result; their flags count low.  Any block makes a draft
+    blocked, else any high flag flagged, else it is approved; an override (key, draft_hash) of the same text approves what is not.
+    """
+    gate = verdicts.unionByName(page_checks, allowMissingColumns=True).where("verdict <> 'pass'").select(key, F.when(F.col("verdict") == "block", "block").otherwise("low").alias("severity"), F.lit(None).cast("string").alias("missing"))
+    none = unchecked.select(key, F.lit("block").alias("severity"), F.lit(None).cast("string").alias("missing"))
+    heard = checkers.select(key, "severity", F.when(F.col("missing"), F.col("source")).alias("missing"))
+    n = lambda s: F.count_if(F.col("severity") == s).alias(f"{s}_count")
+    counted = gate.unionByName(none).unionByName(heard).groupBy(key).agg(n("block"), n("high"), n("low"), F.array_sort(F.collect_set("missing")).alias("missing"))
+    out = drafts.select(key, "draft_hash").join(counted, key, "left").fillna(0, ["block_count", "high_count", "low_count"])
+    status = F.when(F.col("block_count") > 0, "blocked").when(F.col("high_count") > 0, "flagged").otherwise("approved")
+    out = out.withColumn("status", status).withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+    if overrides is not None:
+        same = overrides.select(key, "draft_hash").distinct().withColumn("__over", F.lit(True))
+        out = out.join(same, [key, "draft_hash"], "left").withColumn("status", F.when(F.col("__over") & (F.col("status") != "approved"), "approved-override").otherwise(F.col("status"))).drop("__over")
+    return out.drop("draft_hash")
 
 
 def report_status(verdicts: DataFrame, key: str = "item_id") -> DataFrame:
-    """One row per draft: sentence counts by verdict and reason, and blocked over flagged over approved."""
+    """One row per draft from its citations alone: sentence counts by verdict and reason; flags of the gate are low, so only blocks stop it."""
     n = lambda cond: F.count_if(cond)
     out = verdicts.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_units"),
@@ -61,7 +143,12 @@ def report_status(verdicts: DataFrame, key: str = "item_id") -> DataFrame:
         n(F.col("reason") == "deprecated").alias("deprecated"),
         n(F.col("reason") == "needs-review").alias("unreviewed"),
     )
-    return out.withColumn("status", F.when(F.col("blocks") > 0, "blocked").when(F.col("flags") > 0, "flagged").otherwise("approved"))
+    return out.withColumn("status", F.when(F.col("blocks") > 0, "blocked").otherwise("approved"))
+
+
+def can_export(live_status: Column) -> Column:
+    """Whether a live version of this status (null: none) may leave the house."""
+    return F.coalesce(live_status.isin("approved", "approved-override"), F.lit(False))
 
 
 def classify(text: Column, kind: Column, reg_n: Column, reg_ratio: Column) -> Column:
@@ -110,23 +197,51 @@ def support(text: Column, claim: Column, n_cited: Column, vocabulary: Column) ->
     )
 
 
-def verify(sentences: DataFrame, claims: DataFrame, vocabulary: Column) -> DataFrame:
-    """(item_id, index, kind, text, reg_n, reg_ratio) with (classification, verdict, reason) against the claims their tags cite."""
+def registry_overlap(sentences: DataFrame, claims: DataFrame, keys: Sequence[str] = ("item_id", "index"), product: str = "product_id") -> DataFrame:
+    """sentences (keys, product, text, …) with best_id, the nearest claim of the product's registry, and reg_n, reg_ratio: the stems shared with it.
+
+    Equal sentences are matched once.
+    """
+    text = T.strip_tags(F.col("text"))
+    said = sentences.select(product, text.alias("__q")).distinct()
+    pairs = similar(token_sets(said.select(product, F.col("__q").alias("query_id"), F.col("__q").alias("t")), "query_id", "t", (product,)), token_sets(claims.withColumnRenamed("id", "target_id"), "target_id", "text", (product,)), (product,))
+    best = top_matches(pairs, 1, (product,)).select(product, F.col("query_id").alias("__q"), F.col("target_id").alias("best_id"))
+    best = best.join(claims.select(product, F.col("id").alias("best_id"), F.col("text").alias("__c")), [product, "best_id"])
+    own = F.array_except(T.stems_gate(F.col("__q")), T.strings(L.GENERIC_STEMS))
+    shared = F.size(F.array_intersect(own, T.stems_gate(F.col("__c"))))
+    best = best.select(product, "__q", "best_id", shared.alias("reg_n"), F.when(F.size(own) > 0, shared / F.size(own)).otherwise(0.0).alias("reg_ratio"))
+    out = sentences.withColumn("__q", text).join(best, [product, "__q"], "left").drop("__q")
+    return out.withColumns({"reg_n": F.coalesce("reg_n", F.lit(0)), "reg_ratio": F.coalesce("reg_ratio", F.lit(0.0))})
+
+
+def known_vocabulary(claims: DataFrame, product: str = "product_id") -> DataFrame:
+    """(product, vocabulary): stems that at least two, but not many, of the product's claims have."""
+    df = claims.select(product, "id", F.explode(T.stems_gate(F.col("text"))).alias("stem")).groupBy(product, "stem").agg(F.count(F.lit(1)).alias("n"))
+    size = claims.groupBy(product).agg(F.count(F.lit(1)).alias("size"))
+    kept = df.join(size, product).where((F.col("n") >= 2) & (F.col("n") < F.greatest(F.lit(5.0), F.col("size") * 0.2)))
+    return kept.groupBy(product).agg(F.array_sort(F.collect_list("stem")).alias("vocabulary"))
+
+
+def verify(sentences: DataFrame, claims: DataFrame, keys: Sequence[str] = ("item_id", "index")) -> DataFrame:
+    """(keys, kind, text, reg_n, reg_ratio, vocabulary, best_id) with (classification, verdict, reason, suggested_id): against the claims their tags cite.
+
+    A factual sentence without a tag is blocked, and its nearest claim suggested.
+    """
     s = sentences.withColumns({"classification": classify(F.col("text"), F.col("kind"), F.col("reg_n"), F.col("reg_ratio")), "ids": T.tags_in(F.col("text"))})
-    keys = ["item_id", "index"]
     c = claims.select(F.col("id").alias("cid"), F.col("status").alias("cstatus"), F.col("text").alias("ctext"))
     exploded = s.select(*keys, F.posexplode("ids").alias("pos", "cid")).join(c, "cid", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "ctext", "cstatus")))
-    joined = exploded.groupBy(*keys).agg(ordered.alias("c"))
+    joined = exploded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "ctext", "cstatus"))).alias("c"))
     bad = F.filter(F.col("c.cstatus"), lambda x: x != "verified")
+    vocabulary = F.coalesce("vocabulary", F.array().cast("array<string>"))
     why = (
         F.when(F.col("c").isNull(), "untagged")
         .when(F.exists("c", lambda x: x["cstatus"].isNull()), "missing-claim")
         .when(F.size(bad) > 0, F.when(bad[0] == "deprecated", "deprecated").otherwise("needs-review"))
         .otherwise(support(F.trim(T.strip_tags(F.col("text"))), F.array_join(F.col("c.ctext"), " "), F.size("c"), vocabulary))
     )
-    out = s.join(joined, keys, "left").withColumn("reason", F.when(F.col("classification") != "positioning", why))
-    return out.withColumn("verdict", F.when(F.col("reason").isNull(), "pass").otherwise("block")).drop("c")
+    out = s.join(joined, list(keys), "left").withColumn("reason", F.when(F.col("classification") != "positioning", why))
+    suggested = F.when(F.col("reason") == "untagged", F.col("best_id"))
+    return out.withColumn("verdict", F.when(F.col("reason").isNull(), "pass").otherwise("block")).withColumn("suggested_id", suggested).drop("c")
 
 
 def implied_conclusions(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
@@ -140,10 +255,40 @@ def implied_conclusions(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
     return pairs.join(said, ["item_id", "index"]).where(F.size(extra) >= 2).select("item_id", "before", "index", F.lit("combined-conclusion").alias("reason"))
 
 
-def page_tension(units: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(item_id, conflict_id, kind, first_index, n_sentences) of drafts that cite a member of an open conflict (id, kind, status, claim_ids)."""
-    members = conflicts.where("status = 'open'").select(F.col("id").alias("conflict_id"), "kind", F.explode("claim_ids").alias("cited_id"))
-    return units.join(members, "cited_id").groupBy("item_id", "conflict_id", "kind").agg(F.min("index").alias("first_index"), F.countDistinct("index").alias("n_sentences"))
+def page_tension(units: DataFrame, conflicts: DataFrame, claims: DataFrame) -> DataFrame:
+    """(item_id, conflict_id, kind, first_index, n_sentences, verdict, reason) of drafts that cite a member of an open conflict (id, kind, status, claim_ids).
+
+    An absolute against an exception is a collision, and blocks where a claim that the page cites has a superlative; all else flags as tension.
+    """
+    members = conflicts.where("status = 'open'").select(F.col("id").alias("conflict_id"), F.col("kind").alias("__kind"), F.explode("claim_ids").alias("cited_id"))
+    bold = claims.select(F.col("id").alias("cited_id"), F.col("text").rlike(L.SUPERLATIVE).alias("__bold"))
+    found = units.join(members.join(bold, "cited_id", "left"), "cited_id").groupBy("item_id", "conflict_id", "__kind").agg(
+        F.min("index").alias("first_index"), F.countDistinct("index").alias("n_sentences"), F.coalesce(F.max("__bold"), F.lit(False)).alias("__bold")
+    )
+    collides = F.col("__kind") == "absolute-vs-exception"
+    found = found.withColumn("verdict", F.when(collides & F.col("__bold"), "block").otherwise("flag"))
+    kind, reason = F.when(collides, "colliding-absolutes").otherwise("tension"), F.when(F.col("verdict") == "block", "overstated").otherwise("tension")
+    return found.select("item_id", "conflict_id", kind.alias("kind"), "first_index", "n_sentences", "verdict", reason.alias("reason"))
+
+
+def affected(stale: DataFrame, live: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(kind, id, claim_ids): live content (item_id, cited_id) and conflicts (id, claim_ids) that stale claims (id) touch."""
+    s = stale.select(F.col("id").alias("claim_id")).distinct()
+    items = live.select(F.lit("content").alias("kind"), F.col("item_id").cast("string").alias("id"), F.col("cited_id").alias("claim_id"))
+    pairs = conflicts.select(F.lit("conflict").alias("kind"), F.col("id").cast("string").alias("id"), F.explode("claim_ids").alias("claim_id"))
+    return items.unionByName(pairs).join(s, "claim_id").groupBy("kind", "id").agg(F.array_sort(F.collect_set("claim_id")).alias("claim_ids"))
+
+
+def repairs(flagged: DataFrame, claims: DataFrame, keys: Sequence[str] = ("item_id", "index")) -> DataFrame:
+    """flagged (keys, text, reason, best_id) with suggested_text: the words of its one verified claim, or of the nearest claim if that covers 0.8 of the stems of an untagged sentence; null: drop it."""
+    s = flagged.withColumn("__ids", T.tags_in(F.col("text")))
+    narrow = F.col("reason").isin("overstated", "partial", "contradicted", "combined-conclusion") & (F.size("__ids") == 1)
+    s = s.withColumn("__id", F.when(narrow, F.col("__ids")[0]).when(F.col("reason") == "untagged", F.col("best_id")))
+    s = s.join(claims.where("status = 'verified'").select(F.col("id").alias("__id"), F.col("text").alias("__c")), "__id", "left")
+    own = T.stems_gate(F.col("text"))
+    near = F.size(F.array_intersect(own, T.stems_gate(F.col("__c")))) / F.greatest(F.lit(1), F.size(own)) >= 0.8
+    words = T.tag(F.col("__c"), F.array("__id"))
+    return s.withColumn("suggested_text", F.when(narrow | near, words)).drop("__ids", "__id", "__c")
 
 
 def reflag(live: DataFrame, claims: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -106,26 +106,55 @@ def doc_freq(tokens: DataFrame, keys: Sequence[str] = ("product_id",), token: st
     return tokens.select(*keys, "id", token).distinct().groupBy(*keys, token).agg(F.count(F.lit(1)).alias("n"))
 
 
-def conflict_pairs(claims: DataFrame) -> DataFrame:
-    """(product_id, a, b, kind, rule): active claims that contradict each other, by the first rule that fits.
+def _candidates(feats: DataFrame) -> DataFrame:
+    """(product_id, a, b): pairs that may satisfy a rule, by prefix filters on stems in order of rarity.
 
-    Candidates come from an inverted index on stems, never from a cross join.  Stems of more than a fifth of a product's
-    claims (and of at least five) are dropped first: that is a rule, and it also bounds the longest posting list.
+    Sets whose Jaccard similarity is at least t share one of the first n - ceil(t * n) + 1 stems of each, in any common
+    order; those that share three, one of the first n - 2.  Only claims that a rule can apply to look for partners under it.
+    """
+    ranked = F.col("ranked")
+    plain = F.filter(ranked, lambda w: ~w.isin(*L.STATUS_TOKENS))
+    first = lambda c, t: F.slice(c, F.lit(1), F.greatest(F.lit(0), F.size(c) - F.ceil(F.size(c) * t - 1e-9).cast("int") + 1))
+    three = F.slice(ranked, F.lit(1), F.greatest(F.lit(0), F.size(ranked) - 2))
+    some = lambda c: F.size(c) > 0
+    subject = some("subj")
+    ways = [
+        (some("rel"), some("rel"), first(plain, 0.25)), (some("nn") & subject, some("nn") & subject, first(ranked, 0.4)),
+        (F.col("abs"), F.col("exc"), three), (F.col("exc"), F.col("abs"), three), (F.col("neg") & subject, ~F.col("neg") & subject, first(ranked, 0.6)), (~F.col("neg") & subject, F.col("neg") & subject, first(ranked, 0.6)),
+    ]
+    entries = [(F.when(left, F.lit(True)), F.when(right, F.lit(True)), stems) for left, right, stems in ways]
+    way = F.explode(F.array(*(F.struct(F.lit(i).alias("way"), lf.alias("left"), rt.alias("right"), F.when(lf | rt, st).alias("stems")) for i, (lf, rt, st) in enumerate(entries)))).alias("w")
+    posted = feats.select("product_id", "id", way).where("w.stems IS NOT NULL").select("product_id", "id", "w.way", "w.left", "w.right", F.explode("w.stems").alias("stem"))
+    keys = ["product_id", "way", "stem"]
+    pairs = posted.where("left").select(*keys, F.col("id").alias("a")).join(posted.where("right").select(*keys, F.col("id").alias("b")), keys)
+    return pairs.where("a < b").select("product_id", "a", "b").distinct()
+
+
+def conflict_pairs(claims: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(product_id, a, b, kind, rule, interim_default): active claims that contradict each other, by the first rule that fits.
+
+    Stems of more than a fifth of a product's claims (and of at least five) do not count.  sources: (source_id, kind,
+    updated, fetched_at); a release status that differs between a living page and a changelog is a kind of its own, and
+    the claim of the newest living source, or without one of the newest source, holds for the time being, but for
+    absolutes against exceptions.
     """
     active = claims.where("status <> 'deprecated' AND category <> 'market-evidence'")
     stems = active.select("product_id", "id", F.explode(T.stems_registry(F.col("text"))).alias("stem"))
     sizes = active.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_claims"))
-    common = doc_freq(stems).join(sizes, "product_id").where(F.col("n") > F.greatest(F.lit(4), F.floor(F.col("n_claims") / 5)))
-    salient = stems.join(common.select("product_id", "stem"), ["product_id", "stem"], "left_anti")
-    per_claim = salient.groupBy("product_id", "id").agg(F.collect_set("stem").alias("salient"))
+    freq = doc_freq(stems).join(sizes, "product_id").withColumn("is_common", F.col("n") > F.greatest(F.lit(4), F.floor(F.col("n_claims") / 5)))
+    common = freq.where("is_common")
+    per_claim = stems.join(freq.where("NOT is_common").select("product_id", "stem", "n"), ["product_id", "stem"]).groupBy("product_id", "id").agg(F.array_sort(F.collect_list(F.struct("n", "stem"))).alias("r"))
+    per_claim = per_claim.select("product_id", "id", F.transform("r", lambda x: x["stem"]).alias("ranked"))
     shared_common = common.groupBy("product_id").agg(F.collect_set("stem").alias("common"))
+    if sources is None:
+        sources = active.select("source_id").distinct().select("source_id", *(F.lit(None).cast("string").alias(c) for c in ("kind", "updated", "fetched_at")))
+    source = sources.select("source_id", F.col("kind").alias("src"), F.struct(F.coalesce(F.col("updated").cast("string"), F.lit("")), F.coalesce(F.col("fetched_at").cast("string"), F.lit(""))).alias("age"))
     text = F.col("text")
-    feats = active.join(per_claim, ["product_id", "id"]).join(shared_common, "product_id", "left").select(
-        "product_id", "id", "text", "salient", F.coalesce("common", F.array().cast("array<string>")).alias("common"), T.release_status(text).alias("rel"), T.num_nouns(text).alias("nn"), T.subject(text).alias("subj"),
-        T.qualifiers(text).alias("scope"), text.rlike(L.ABSOLUTE).alias("abs"), text.rlike(L.EXCEPTION).alias("exc"), text.rlike(L.REGISTRY_NEGATION).alias("neg"),
-    )
-    l, r = salient.select("product_id", "stem", F.col("id").alias("a")), salient.select("product_id", "stem", F.col("id").alias("b"))
-    pairs = l.join(r, ["product_id", "stem"]).where("a < b").select("product_id", "a", "b").distinct()
+    feats = active.join(per_claim, ["product_id", "id"]).join(shared_common, "product_id", "left").join(source, "source_id", "left").select(
+        "product_id", "id", "text", F.col("ranked").alias("salient"), "ranked", "src", "age", F.coalesce("common", F.array().cast("array<string>")).alias("common"), T.release_status(text).alias("rel"), T.num_nouns(text).alias("nn"),
+        T.subject(text).alias("subj"), T.qualifiers(text).alias("scope"), text.rlike(L.ABSOLUTE).alias("abs"), text.rlike(L.EXCEPTION).alias("exc"), text.rlike(L.REGISTRY_NEGATION).alias("neg"),
+    ).persist()
+    pairs = _candidates(feats)
     side = lambda x: feats.select("product_id", *(F.col(c).alias(f"{x}_{c}") for c in feats.columns if c != "product_id")).withColumnRenamed(f"{x}_id", x)
     p = pairs.join(side("a"), ["product_id", "a"]).join(side("b"), ["product_id", "b"]).where("a_text <> b_text")
     sa, sb = F.col("a_salient"), F.col("b_salient")
@@ -142,7 +171,11 @@ def conflict_pairs(claims: DataFrame) -> DataFrame:
     negation_rule = (T.jaccard(sa, sb) >= 0.6) & subject & (F.col("a_neg") != F.col("b_neg"))
     rule = F.when(status_rule, "status").when(number_rule, "number").when(absolute_rule, "absolute").when(negation_rule, "negation")
     found = p.withColumn("rule", rule).where("rule IS NOT NULL")
-    return found.select("product_id", "a", "b", F.when(F.col("rule") == "absolute", "absolute-vs-exception").otherwise("contradiction").alias("kind"), "rule")
+    living = lambda x: F.col(f"{x}_src").eqNullSafe("living")
+    mixed = (living("a") & F.col("b_src").eqNullSafe("changelog")) | (living("b") & F.col("a_src").eqNullSafe("changelog"))
+    kind = F.when(F.col("rule") == "absolute", "absolute-vs-exception").when((F.col("rule") == "status") & mixed, "living-vs-changelog").otherwise("contradiction")
+    newest = F.when(living("a") & ~living("b"), F.col("a")).when(living("b") & ~living("a"), F.col("b")).when(F.col("b_age") > F.col("a_age"), F.col("b")).otherwise(F.col("a"))
+    return found.select("product_id", "a", "b", kind.alias("kind"), "rule", F.when(F.col("rule") != "absolute", newest).alias("interim_default"))
 
 
 def merge_conflicts(found: DataFrame, existing: DataFrame) -> DataFrame:

@@ -9,34 +9,57 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 
+#: Token rows of the queries up to which they are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 def token_sets(rows: DataFrame, id_col: str, text_col: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, id, n, token): one row per distinct token of each text, with the size of its set."""
-    sets = rows.select(*by, id_col, F.array_distinct(T.tokens(F.col(text_col))).alias("__t"))
+    """(by, id, n, token): one row per distinct token of each text, with the size of its set; the rows of an id share a partition."""
+    sets = rows.select(*by, id_col, F.array_distinct(T.tokens(F.col(text_col))).alias("__t")).repartition(*by, id_col)
     return sets.select(*by, id_col, F.size("__t").alias("n"), F.explode("__t").alias("token"))
 
 
-def similar(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), common: DataFrame | None = None) -> DataFrame:
-    """(by, query_id, target_id, shared, score) of all pairs that share a token: shared / sqrt(sizes), rounded to 3 digits.
+def _small(queries: DataFrame) -> DataFrame:
+    """The queries, to be broadcast if they are counted few."""
+    return F.broadcast(queries) if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else queries
+
+
+def similar(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query_id, target_id, shared, score, overlap) of all pairs that share a token: shared / sqrt(sizes), and shared / size of the query.
 
-    queries and targets are token_sets with ids query_id and target_id.  An inverted index: the join is on the token, and
-    counts are pre-aggregated.  With common, (by, token) rows found there start no pair.
+    queries and targets are token_sets with ids query_id and target_id.  Few queries are broadcast: as the rows of a
+    target share a partition, its pairs are counted there, and none is shuffled before the best are chosen.
     """
-    q = queries if common is None else queries.join(common, [*by, "token"], "left_anti")
-    pairs = q.withColumnRenamed("n", "q_n").join(targets.withColumnRenamed("n", "t_n"), [*by, "token"])
-    n = pairs.groupBy(*by, "query_id", "target_id", "q_n", "t_n").agg(F.count(F.lit(1)).alias("shared"))
-    return n.select(*by, "query_id", "target_id", "shared", F.round(F.col("shared") / (F.sqrt("q_n") * F.sqrt("t_n")), 3).alias("score"), (F.col("shared") / F.col("q_n")).alias("overlap"))
+    pairs = targets.withColumnRenamed("n", "t_n").join(_small(queries.withColumnRenamed("n", "q_n")), [*by, "token"])
+    n = pairs.groupBy(*by, "target_id", "query_id", "q_n", "t_n").agg(F.count(F.lit(1)).alias("shared"))
+    return n.select(*by, "query_id", "target_id", "shared", (F.col("shared") / (F.sqrt("q_n") * F.sqrt("t_n"))).alias("score"), (F.col("shared") / F.col("q_n")).alias("overlap"))
 
 
 def top_matches(pairs: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """The k best targets of each query by score, ties to the smaller id."""
+    """The k best targets of each query by score, ties to the smaller id; scores are rounded to 3 digits after ranking."""
     w = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "target_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 3))
+
+
+def covered(queries: DataFrame, targets: DataFrame, least: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, query_id, target_id) of pairs where the target has at least `least` of the query's tokens; both are (by, id, tokens).
+
+    A target that has them has one of any n - ceil(least * n) + 1 of the n tokens: only the longest ones, which tend to be
+    rare, look for targets.
+    """
+    tokens = F.array_distinct("tokens")
+    q = queries.select(*by, "query_id", tokens.alias("q"))
+    rank = F.transform(F.array_sort(F.transform("q", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), lambda x: x["t"])
+    seeds = q.select(*by, "query_id", "q", F.explode(F.slice(rank, F.lit(1), F.size("q") - F.ceil(F.size("q") * least - 1e-9).cast("int") + 1)).alias("token")).where("size(q) > 0")
+    t = targets.select(*by, "target_id", tokens.alias("t")).select(*by, "target_id", "t", F.explode("t").alias("token"))
+    found = t.join(_small(seeds), [*by, "token"]).where(F.size(F.array_intersect("q", "t")) >= F.size("q") * least - 1e-9)
+    return found.select(*by, "query_id", "target_id").distinct()
 
 
-def unanswered(queries: DataFrame, pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Queries whose best overlap with any target stays below `least`."""
-    answered = pairs.where(F.col("overlap") >= least).select("query_id").distinct()
-    return queries.join(answered, "query_id", "left_anti")
+def unanswered(queries: DataFrame, targets: DataFrame, least: float = 0.5) -> DataFrame:
+    """Queries (query_id, text) of which no target (target_id, text) has at least `least` of the tokens."""
+    sets = lambda df, i: df.select(i, T.tokens(F.col("text")).alias("tokens"))
+    return queries.join(covered(sets(queries, "query_id"), sets(targets, "target_id"), least).select("query_id").distinct(), "query_id", "left_anti")
 
 
 def contained(quotes: DataFrame, texts: DataFrame, key: str) -> DataFrame:
@@ -61,5 +84,5 @@ def proof_links(pairs: DataFrame, least: float = 0.6, k: int = 3) -> DataFrame:
 
 def search_blocks(queries: DataFrame, targets: DataFrame, k: int = 10) -> DataFrame:
     """Blocks by number of shared tokens, for discovery: (query_id, target_id, shared, rank)."""
-    pairs = queries.select("query_id", "token").join(targets.select("target_id", "token"), "token").groupBy("query_id", "target_id").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = similar(queries, targets).select("query_id", "target_id", "shared")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "target_id"))).where(F.col("rank") <= k)

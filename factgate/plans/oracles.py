@@ -3,34 +3,14 @@
 from __future__ import annotations
 
 from ..functions import lexicon as L
-from ..functions.text import SPACE
-from ..sources.driver_tables import CLAIMS_SQL, UNITS_SQL
-from . import parse_sql
-
-
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def _list(values: tuple[str, ...]) -> str:
-    return "[" + ", ".join(map(_q, values)) + "]"
-
-
-def _stem(w: str, suffixes: tuple[str, ...] = L.REGISTRY_SUFFIXES) -> str:
-    return "CASE " + " ".join(f"WHEN length({w}) > {len(s) + 3} AND ends_with({w}, '{s}') THEN left({w}, length({w}) - {len(s)})" for s in suffixes) + f" ELSE {w} END"
-
-
-def _tokens(text: str) -> str:
-    words = f"list_transform(regexp_extract_all({text}, {_q(L.WORD)}), lambda w: regexp_replace(lower(w), '^[.''’-]+|[.''’-]+$', '', 'g'))"
-    return f"list_filter({words}, lambda w: w <> '' AND NOT list_contains({_list(L.STOPWORDS)}, w))"
-
-
-def _normal(c: str) -> str:
-    return f"trim(regexp_replace(translate({c}, '’“”', '''\"\"'), '{SPACE}+', ' ', 'g'))"
-
-
-def _strip_tags(text: str) -> str:
-    return f"regexp_replace(regexp_replace(regexp_replace({text}, {_q(L.TAG)}, '', 'g'), '[ \\t]+([.,;:!?])', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g')"
+from ..sources.driver_tables import CLAIMS_SQL, SOURCES_SQL, UNITS_SQL
+from . import gate_sql, parse_sql
+from .sql_text import listed as _list
+from .sql_text import normal as _normal
+from .sql_text import q as _q
+from .sql_text import stem as _stem
+from .sql_text import stripped_tags as _strip_tags
+from .sql_text import tokens as _tokens
 
 
 CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), {_q(p)}) THEN '{c}'" for c, p in L.CATEGORIES) + f" ELSE '{L.DEFAULT_CATEGORY}' END"
@@ -39,14 +19,14 @@ RATED = f"{CLAIMS_SQL}, rated AS (SELECT *, {CATEGORY} AS category, {CONFIDENCE}
 HIGH = ", ".join(map(_q, L.HIGH_RISK))
 VERDICTS = f"""{RATED}, {UNITS_SQL}, v AS (
   SELECT u.*, CASE WHEN c.id IS NULL THEN 'missing-claim' WHEN status = 'deprecated' THEN 'deprecated' WHEN status <> 'verified' THEN 'needs-review'
-              WHEN confidence = 'low' AND category IN ({HIGH}) THEN 'low-confidence-high-risk' WHEN confidence = 'low' THEN 'low-confidence' END AS reason
+              WHEN confidence = 'low' AND category IN ({HIGH}) THEN 'high-risk-low-confidence' WHEN confidence = 'low' THEN 'low-confidence' END AS reason
   FROM units u LEFT JOIN rated c ON c.id = u.cited_id
 ), verdicts AS (SELECT *, CASE WHEN reason IS NULL THEN 'pass' WHEN reason = 'low-confidence' THEN 'flag' ELSE 'block' END AS verdict FROM v)"""
 REPORTS = f"""{VERDICTS}, counted AS (
   SELECT item_id, count(*) AS n_units, count(*) FILTER (verdict = 'block') AS blocks, count(*) FILTER (verdict = 'flag') AS flags,
          count(*) FILTER (reason = 'missing-claim') AS missing, count(*) FILTER (reason = 'deprecated') AS deprecated, count(*) FILTER (reason = 'needs-review') AS unreviewed
   FROM verdicts GROUP BY item_id
-), reports AS (SELECT *, CASE WHEN blocks > 0 THEN 'blocked' WHEN flags > 0 THEN 'flagged' ELSE 'approved' END AS status FROM counted)"""
+), reports AS (SELECT *, CASE WHEN blocks > 0 THEN 'blocked' ELSE 'approved' END AS status FROM counted)"""
 
 _ABBREV = "|".join(a.replace(".", r"\.") for a in L.ABBREVIATIONS)
 _SPLIT = _normal("coalesce(text, '')")
@@ -77,20 +57,20 @@ _HEAD = f"CASE WHEN regexp_extract(text, {_q('(?s)^(.+?)' + L.SUBJECT_END.replac
 _SUBJECT = f"list_distinct(list_transform(list_filter({_tokens(_HEAD)}, lambda w: length(w) > 1), lambda w: {_stem('w')}))"
 _EMPTY = "[]::VARCHAR[]"
 _TOKENS = _list(L.STATUS_TOKENS)
-CONFLICTS = f"""{RATED}, active AS (SELECT * FROM rated WHERE status <> 'deprecated' AND category <> 'market-evidence'),
+CONFLICTS = f"""{RATED}, {SOURCES_SQL}, active AS (SELECT * FROM rated WHERE status <> 'deprecated' AND category <> 'market-evidence'),
 st AS (SELECT product_id, id, unnest({STEMS}) AS stem FROM active),
 size AS (SELECT product_id, count(*) AS n FROM active GROUP BY product_id),
 common AS (SELECT st.product_id, stem FROM st JOIN size USING (product_id) GROUP BY st.product_id, stem, n HAVING count(*) > greatest(4, n // 5)),
 sal AS (SELECT product_id, id, list(stem) AS salient FROM st ANTI JOIN common USING (product_id, stem) GROUP BY product_id, id),
 cs AS (SELECT product_id, list(stem) AS common FROM common GROUP BY product_id),
 f AS (
-  SELECT a.product_id, a.id, text, salient, coalesce(cs.common, {_EMPTY}) AS common, {_STATUS} AS rel, {_NN} AS nn, {_SUBJECT} AS subj,
+  SELECT a.product_id, a.id, text, src.kind AS src, src.updated AS age, salient, coalesce(cs.common, {_EMPTY}) AS common, {_STATUS} AS rel, {_NN} AS nn, {_SUBJECT} AS subj,
          list_sort(list_distinct(list_transform(regexp_extract_all(text, {_q(L.QUALIFIER)}, 1), lambda x: lower(x)))) AS scope,
          regexp_matches(text, {_q(L.ABSOLUTE)}) AS abs_, regexp_matches(text, {_q(L.EXCEPTION)}) AS exc, regexp_matches(text, {_q(L.REGISTRY_NEGATION)}) AS neg,
          list_filter(salient, lambda x: NOT list_contains({_TOKENS}, x)) AS plain
-  FROM active a JOIN sal USING (product_id, id) LEFT JOIN cs ON cs.product_id = a.product_id
+  FROM active a JOIN sal USING (product_id, id) LEFT JOIN cs ON cs.product_id = a.product_id LEFT JOIN sources src ON src.source_id = a.source_id
 ), p AS (
-  SELECT a.product_id, a.id AS a, b.id AS b, a.rel AS arel, b.rel AS brel, a.scope AS ascope, b.scope AS bscope, a.abs_ AS aabs, b.abs_ AS babs, a.exc AS aexc, b.exc AS bexc, a.neg AS aneg, b.neg AS bneg, a.nn AS ann, b.nn AS bnn,
+  SELECT a.product_id, a.id AS a, b.id AS b, a.src AS asrc, b.src AS bsrc, a.age AS aage, b.age AS bage, a.rel AS arel, b.rel AS brel, a.scope AS ascope, b.scope AS bscope, a.abs_ AS aabs, b.abs_ AS babs, a.exc AS aexc, b.exc AS bexc, a.neg AS aneg, b.neg AS bneg, a.nn AS ann, b.nn AS bnn,
          len(list_intersect(a.salient, b.salient)) AS both_, len(list_intersect(a.plain, b.plain)) AS plain_, len(a.plain) + len(b.plain) AS plains,
          len(a.salient) + len(b.salient) AS sizes, len(a.subj) AS asub, len(b.subj) AS bsub, len(list_intersect(a.subj, b.subj)) AS sub,
          list_filter(list_intersect(list_transform(a.nn, lambda x: x.noun), list_transform(b.nn, lambda x: x.noun)), lambda x: NOT list_contains(a.common, x)) AS nouns
@@ -98,16 +78,20 @@ f AS (
 ), r AS (
   SELECT *, asub > 0 AND bsub > 0 AND sub / greatest(1, asub + bsub - sub) >= 0.75 AS same, both_ / greatest(1, sizes - both_) AS j,
          list_transform(list_filter(ann, lambda v: list_contains(nouns, v.noun)), lambda v: v.number) AS va, list_transform(list_filter(bnn, lambda v: list_contains(nouns, v.noun)), lambda v: v.number) AS vb FROM p
-), conflicts AS (
-  SELECT product_id, a, b, CASE
+), ruled AS (
+  SELECT product_id, a, b, asrc, bsrc, aage, bage, CASE
     WHEN len(arel) > 0 AND len(brel) > 0 AND arel <> brel AND plain_ >= 1 AND plain_ / greatest(1, plains - plain_) >= 0.25 THEN 'status'
     WHEN len(nouns) > 0 AND both_ >= 2 AND same AND j >= 0.4 AND NOT (len(ascope) > 0 AND len(bscope) > 0 AND ascope <> bscope) AND len(list_intersect(va, vb)) = 0 THEN 'number'
     WHEN both_ >= 3 AND ((aabs AND bexc AND NOT babs) OR (babs AND aexc AND NOT aabs)) THEN 'absolute'
     WHEN j >= 0.6 AND same AND aneg <> bneg THEN 'negation' END AS rule FROM r
+), conflicts AS (
+  SELECT product_id, a, b, rule, CASE WHEN rule = 'absolute' THEN 'absolute-vs-exception' WHEN rule = 'status' AND list_sort([asrc, bsrc]) = ['changelog', 'living'] THEN 'living-vs-changelog' ELSE 'contradiction' END AS kind,
+         CASE WHEN rule = 'absolute' THEN NULL WHEN asrc = 'living' AND bsrc <> 'living' THEN a WHEN bsrc = 'living' AND asrc <> 'living' THEN b WHEN bage > aage THEN b ELSE a END AS interim_default
+  FROM ruled WHERE rule IS NOT NULL
 )"""
 SIMILAR = f"""q AS (SELECT item_id AS query_id, list_distinct({_tokens('text')}) AS t FROM benchmark), d AS (SELECT doc_id AS target_id, list_distinct({_tokens('text')}) AS t FROM documents),
 pairs AS (
-  SELECT query_id, target_id, count(*) AS shared, round(count(*) / (sqrt(qn) * sqrt(dn)), 3) AS score, count(*) / qn AS overlap
+  SELECT query_id, target_id, count(*) AS shared, count(*) / (sqrt(qn) * sqrt(dn)) AS score, count(*) / qn AS overlap
   FROM (SELECT query_id, len(t) AS qn, unnest(t) AS token FROM q) JOIN (SELECT target_id, len(t) AS dn, unnest(t) AS token FROM d) USING (token) GROUP BY query_id, target_id, qn, dn
 )"""
 ROUNDS = "rounds AS (SELECT o_custkey AS item_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INTEGER AS round, CASE o_orderstatus WHEN 'F' THEN 'approved' ELSE 'blocked' END AS status, o_orderdate AS created_at FROM orders)"
@@ -153,11 +137,13 @@ ORACLES: dict[str, str] = {
                  last(CASE o_orderstatus WHEN 'P' THEN 'deprecated' ELSE CASE WHEN o_orderkey % 2 = 1 THEN 'needs-review' ELSE 'verified' END END ORDER BY o_orderdate, o_orderkey) FILTER (o_orderstatus IN ('F', 'P')) AS s
           FROM orders GROUP BY o_custkey)
         SELECT c.id, coalesce(s, c.status) AS status, coalesce(low, false) AS deprioritized, coalesce(n_rulings, 0) AS n_rulings FROM claims c LEFT JOIN r ON r.id = c.id""",
-    "conflict_pairs": f"WITH {CONFLICTS} SELECT product_id, a, b, CASE rule WHEN 'absolute' THEN 'absolute-vs-exception' ELSE 'contradiction' END AS kind, rule FROM conflicts WHERE rule IS NOT NULL",
-    "page_tension": f"""WITH {CONFLICTS}, {UNITS_SQL}, m AS (SELECT a || '~' || b AS conflict_id, CASE rule WHEN 'absolute' THEN 'absolute-vs-exception' ELSE 'contradiction' END AS kind, unnest([a, b]) AS cited_id FROM conflicts WHERE rule IS NOT NULL)
-        SELECT item_id, conflict_id, kind, min(index) AS first_index, count(DISTINCT index) AS n_sentences FROM units JOIN m USING (cited_id) GROUP BY item_id, conflict_id, kind""",
+    "conflict_pairs": f"WITH {CONFLICTS} SELECT product_id, a, b, kind, rule, interim_default FROM conflicts",
+    "page_tension": f"""WITH {CONFLICTS}, {UNITS_SQL}, m AS (SELECT a || '~' || b AS conflict_id, kind, unnest([a, b]) AS cited_id FROM conflicts),
+        t AS (SELECT item_id, conflict_id, m.kind, min(index) AS first_index, count(DISTINCT index) AS n_sentences, bool_or(regexp_matches(text, {_q(L.SUPERLATIVE)})) AS bold FROM units JOIN m USING (cited_id) JOIN claims ON id = cited_id GROUP BY item_id, conflict_id, m.kind)
+        SELECT item_id, conflict_id, first_index, n_sentences, CASE kind WHEN 'absolute-vs-exception' THEN 'colliding-absolutes' ELSE 'tension' END AS kind,
+               CASE WHEN kind = 'absolute-vs-exception' AND bold THEN 'block' ELSE 'flag' END AS verdict, CASE WHEN kind = 'absolute-vs-exception' AND bold THEN 'overstated' ELSE 'tension' END AS reason FROM t""",
     "doc_freq": f"WITH {CLAIMS_SQL} SELECT product_id, stem, count(*) AS n FROM (SELECT product_id, id, unnest({STEMS}) AS stem FROM claims) GROUP BY product_id, stem",
-    "topk_claims": f"WITH {SIMILAR} SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id))::INTEGER AS rank, target_id, shared, score FROM pairs) WHERE rank <= 3",
+    "topk_claims": f"WITH {SIMILAR} SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id))::INTEGER AS rank, target_id, shared, round(score, 3) AS score FROM pairs) WHERE rank <= 3",
     "unanswered": f"WITH {SIMILAR} SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM pairs WHERE overlap >= 0.9)",
     "staleness": f"""WITH {SENTENCES}, t AS (SELECT doc_id, s[ceil(len(s) * (doc_id % 4 + 1) / 4)::INT] AS quote, CASE WHEN doc_id % 2 = 1 THEN left(text, floor(length(text) * 3 / 4)::INT) ELSE replace(text, ' ', '  ') END AS body
           FROM sentences JOIN documents USING (doc_id) WHERE len(s) > 0)
@@ -182,6 +168,15 @@ ORACLES: dict[str, str] = {
         SELECT lang, j, (score + coalesce(lower_, score)) / 2 AS threshold FROM j QUALIFY row_number() OVER (PARTITION BY lang ORDER BY j DESC, score) = 1""",
     "gate_eval_score": f"""WITH {VERDICTS}, o AS (SELECT (['true', 'false', 'untagged', 'overstated', 'partial'])[index % 5 + 1] AS label, (verdict = 'block')::INTEGER AS b FROM verdicts)
         SELECT avg(b) FILTER (label IN ('false', 'overstated', 'partial')) AS catch_rate, avg(b) FILTER (label = 'true') AS false_block_rate, avg(b) FILTER (label = 'untagged') AS untagged_rate, count(*) AS n FROM o""",
+    "gate_report": gate_sql.report(RATED, HIGH),
+    "registry_overlap": f"WITH {gate_sql.overlap(CLAIMS_SQL)} SELECT item_id, index, best_id, reg_n, round(reg_ratio, 6) AS reg_ratio FROM near",
+    "verify_sentences": f"""WITH {gate_sql.verified(CLAIMS_SQL)} SELECT label, claim_status, classification, verdict, reason, count(*) AS n, count(*) FILTER (reason = 'untagged' AND best_id = item_id) AS n_suggested, sum(reg_n)::BIGINT AS reg_n FROM verdicts GROUP BY ALL""",
+    "gate_eval_run": f"""WITH {gate_sql.verified(CLAIMS_SQL)}, o AS (SELECT label, (verdict = 'block')::INTEGER AS b FROM verdicts WHERE claim_status = 'verified')
+        SELECT avg(b) FILTER (label IN ('false', 'overstated', 'partial')) AS catch_rate, avg(b) FILTER (label = 'true') AS false_block_rate, avg(b) FILTER (label = 'untagged') AS untagged_rate, count(*) AS n FROM o""",
+    "repairs": gate_sql.repairs(CLAIMS_SQL),
+    "affected": f"""WITH {CONFLICTS}, {UNITS_SQL}, stale AS (SELECT id AS claim_id FROM claims WHERE status <> 'verified'),
+        t AS (SELECT 'content' AS kind, item_id::VARCHAR AS id, cited_id AS claim_id FROM units UNION ALL SELECT 'conflict', a || '~' || b, unnest([a, b]) FROM conflicts)
+        SELECT kind, id, string_agg(DISTINCT claim_id, ',' ORDER BY claim_id) AS claim_ids FROM t JOIN stale USING (claim_id) GROUP BY kind, id""",
     "value_counts": """SELECT event_type, props, n, rank FROM (SELECT event_type, props, count(*) AS n, (row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, min(event_id), props))::INTEGER AS rank
         FROM events GROUP BY event_type, props HAVING count(*) >= 3) WHERE rank <= 5""",
     "phrases": """WITH w AS (SELECT role, conv_id * 1000 + turn AS at_, string_split(lower(text), ' ') AS w FROM conversations),
@@ -195,7 +190,7 @@ ORACLES: dict[str, str] = {
     "coverage": f"WITH {RATED} SELECT t.category, count(rated.id) AS n FROM {TOPICS} t LEFT JOIN rated ON rated.category = t.category GROUP BY t.category",
     "gaps": f"""WITH {CONFLICTS} SELECT 'zero-coverage' AS gap_type, t.category AS key, '0' AS detail FROM {TOPICS} t WHERE t.category NOT IN (SELECT category FROM rated)
         UNION ALL SELECT 'review-backlog', product_id || '/' || category, count(*)::VARCHAR FROM rated WHERE status = 'needs-review' GROUP BY product_id, category
-        UNION ALL SELECT 'open-conflict', product_id, count(*)::VARCHAR FROM conflicts WHERE rule IS NOT NULL GROUP BY product_id""",
+        UNION ALL SELECT 'open-conflict', product_id, count(*)::VARCHAR FROM conflicts GROUP BY product_id""",
     "section_alloc": f"""WITH {CLAIMS_SQL}, cand AS (SELECT c_custkey AS brief_id, id, num FROM customer JOIN claims ON product_id = 'Brand#' || (c_custkey % 25 + 1)::VARCHAR WHERE status = 'verified'),
         s0 AS ({_PICK.format(s=0, m=3, anti="")}), s1 AS ({_PICK.format(s=1, m=4, anti=" ANTI JOIN s0 USING (brief_id, id)")}),
         s2 AS ({_PICK.format(s=2, m=5, anti=" ANTI JOIN (SELECT * FROM s0 UNION ALL SELECT * FROM s1) USING (brief_id, id)")}) SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2""",

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as T
 from ..sources import parse
-
-
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+from .sql_text import q as _q
 
 
 def _strip(c: str) -> str:

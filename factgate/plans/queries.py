@@ -107,28 +107,30 @@ def ruling_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return registry.conflict_pairs(D.claims(spark, d))
+    return registry.conflict_pairs(D.claims(spark, d), D.sources(spark, d))
 
 
 def page_tension(spark: SparkSession, d: str) -> DataFrame:
     c = conflict_pairs(spark, d).select(F.concat_ws("~", "a", "b").alias("id"), "kind", F.lit("open").alias("status"), F.array("a", "b").alias("claim_ids"))
-    return gate.page_tension(D.units(spark, d), c)
+    return gate.page_tension(D.units(spark, d), c, D.claims(spark, d))
 
 
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
     return registry.doc_freq(D.claims(spark, d).select("product_id", "id", F.explode(T.stems_registry(F.col("text"))).alias("stem")))
 
 
+def _matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    q, t = D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), D.load(spark, d, "documents").withColumnRenamed("doc_id", "target_id")
+    return search.token_sets(q, "query_id", "text"), search.token_sets(t, "target_id", "text")
+
+
 def topk_claims(spark: SparkSession, d: str) -> DataFrame:
-    q = search.token_sets(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    t = search.token_sets(_documents(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text")
-    return search.top_matches(search.similar(q, t), 3).select("query_id", "rank", "target_id", "shared", "score")
+    return search.top_matches(search.similar(*_matches(spark, d)), 3).select("query_id", "rank", "target_id", "shared", "score")
 
 
 def unanswered(spark: SparkSession, d: str) -> DataFrame:
     b = D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
-    pairs = search.similar(search.token_sets(b, "query_id", "text"), search.token_sets(_documents(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text"))
-    return search.unanswered(b, pairs, 0.9).select("query_id")
+    return search.unanswered(b, D.load(spark, d, "documents").withColumnRenamed("doc_id", "target_id"), 0.9).select("query_id")
 
 
 def staleness(spark: SparkSession, d: str) -> DataFrame:
@@ -204,14 +206,79 @@ def gate_eval_score(spark: SparkSession, d: str) -> DataFrame:
     return measures.gate_score(_verdicts(spark, d).select(label.alias("label"), (F.col("verdict") == "block").alias("blocked")))
 
 
-def verify_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded sentences of every claim (as it is, changed number, added absolute, without tag) against the registry."""
-    c = D.claims(spark, d)
-    kinds = [("true", F.col("text")), ("false", F.regexp_replace("text", r"(\d+) (units|per|connectors)", "9$1 $2")), ("overstated", F.concat(F.lit("Always "), F.col("text"))), ("untagged", F.col("text"))]
+def gate_report(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as drafts, line items as their sentences: verdicts aligned, enforced, joined with page checks and checkers, and a report for each."""
+    text = F.concat(F.lit("It leaves with "), F.col("l_quantity").cast("int").cast("string"), F.lit(" others from "), F.col("l_suppkey").cast("string"), F.when(F.col("l_tax") == 0, F.lit("")).otherwise(F.concat(F.lit(" [["), D.claim_id(F.col("l_partkey")), F.lit("]]"))), F.lit("."))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))  # line numbers repeat
+    li = D.load(spark, d, "lineitem").select("*", F.col("l_orderkey").alias("item_id"), nth.alias("index"), text.alias("text"))
+    orders = D.load(spark, d, "orders").withColumn("item_id", F.col("o_orderkey"))
+    drafts = orders.select("item_id", F.md5(F.col("o_orderkey").cast("string")).alias("draft_hash"))
+    results = orders.where("o_orderstatus <> 'P'").select("item_id", F.when(F.col("o_orderkey") % 13 == 0, "another").when(F.col("o_orderkey") % 17 != 0, F.md5(F.col("o_orderkey").cast("string"))).alias("draft_hash"))
+    way = F.pmod(F.col("l_suppkey") + F.col("index"), F.lit(9))
+    shifted = F.col("index") + F.when(F.col("item_id") % 3 == 0, 1).otherwise(0)
+    reviewed = li.where(way != 8).select("item_id", shifted.alias("index"), "text", F.when(way < 2, "block").otherwise("pass").alias("verdict"), F.when(way == 0, "partial").when(way == 1, "untagged").alias("reason"))
+    marks = li.where("l_suppkey % 2 = 0").select("item_id", F.upper("text").alias("sentence"))
+    pages = li.where("index = 3 AND l_quantity > 40").select("item_id", F.when(F.col("l_quantity") > 47, "block").otherwise("flag").alias("verdict"))
+    wanted = F.explode(F.array_compact(F.array(F.lit("style-checker"), F.when(F.col("o_orderpriority") < "3", F.lit("best-practice-auditor")), F.when(F.col("o_custkey") % 2 == 0, F.lit("synthetic-buyer"))))).alias("checker")
+    enabled = orders.select("item_id", "o_custkey", wanted)
+    told = F.pmod(F.col("item_id") + F.length("checker"), F.lit(6))
+    reports = enabled.where(told > 0).select("item_id", "checker", F.when(told == 1, "checker-unavailable").otherwise("done").alias("status"), F.when(told < 4, "yes").otherwise("maybe").alias("verdict"))
+    raised = li.where("l_discount >= 0.08").select("item_id", F.lit("style-checker").alias("checker"), F.when(F.col("l_discount") >= 0.1, "high").otherwise("low").alias("severity"))
+    overrides = orders.where("o_totalprice > 300000").select("item_id", F.md5(F.col("o_orderkey").cast("string")).alias("draft_hash"))
+
+    verdicts, unchecked = gate.usable_verdicts(drafts, reviewed, results)
+    cites = li.where("l_tax <> 0").select("item_id", "index", F.lit(0).alias("pos"), D.claim_id(F.col("l_partkey")).alias("cited_id"))
+    mechanical = gate.unit_verdicts(gate.cited(cites, D.claims(spark, d)), ["item_id", "index"])
+    units = gate.align_verdicts(li.select("item_id", "index", "text"), verdicts)
+    final = gate.enforce(units, mechanical, marks.join(unchecked, "item_id", "left_anti"))
+    report = gate.combine(drafts, final.select("item_id", "verdict"), unchecked, pages.join(unchecked, "item_id", "left_anti"), gate.checker_flags(enabled.drop("o_custkey"), reports, raised), overrides)
+    return report.withColumn("missing", F.array_join("missing", ","))
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of every claim: as it is, with another number, with an absolute, without tag, with more than it says."""
+    kinds = [
+        ("true", F.col("text")), ("false", F.regexp_replace("text", r"(\d+) (units|per|connectors)", "9$1 $2")), ("overstated", F.concat(F.lit("Always "), F.col("text"))), ("untagged", F.col("text")),
+        ("partial", F.concat(F.regexp_replace("text", r"\.$", ""), F.lit(" and reconciles quarterly ledgers across warehouses."))),
+    ]
     seeds = F.explode(F.array(*(F.struct(F.lit(i).alias("index"), F.lit(k).alias("label"), (e if k == "untagged" else T.tag(e, F.array("id"))).alias("text")) for i, (k, e) in enumerate(kinds))))
-    s = c.select(F.col("id").alias("item_id"), F.col("status").alias("claim_status"), seeds.alias("s")).select("item_id", "claim_status", "s.*", F.lit("sentence").alias("kind"), F.lit(3).alias("reg_n"), F.lit(1.0).alias("reg_ratio"))
-    v = gate.verify(s, c.select("id", "text", "status"), F.array().cast("array<string>"))
-    return v.groupBy("label", "claim_status", "verdict", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return D.claims(spark, d).select(F.col("id").alias("item_id"), "product_id", F.col("status").alias("claim_status"), seeds.alias("s")).select("item_id", "product_id", "claim_status", "s.*", F.lit("sentence").alias("kind"))
+
+
+def _verified(spark: SparkSession, d: str) -> DataFrame:
+    c = D.claims(spark, d)
+    s = gate.registry_overlap(_seeds(spark, d), c).join(gate.known_vocabulary(c), "product_id", "left")
+    return gate.verify(s, c.select("id", "text", "status"))
+
+
+def verify_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded sentences of every claim against the registry."""
+    v = _verified(spark, d)
+    return v.groupBy("label", "claim_status", "classification", "verdict", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("suggested_id") == F.col("item_id")).alias("n_suggested"), F.sum("reg_n").alias("reg_n"))
+
+
+def registry_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """How much each claim's sentences share with the nearest claim of their product."""
+    return gate.registry_overlap(_seeds(spark, d), D.claims(spark, d)).select("item_id", "index", "best_id", "reg_n", F.round("reg_ratio", 6).alias("reg_ratio"))
+
+
+def gate_eval_run(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's rates on seeded sentences of verified claims, as measured by its own verdicts."""
+    v = _verified(spark, d).where("claim_status = 'verified'")
+    return measures.gate_score(v.select("label", (F.col("verdict") == "block").alias("blocked")))
+
+
+def repairs(spark: SparkSession, d: str) -> DataFrame:
+    v = _verified(spark, d).where("verdict = 'block'")
+    fixed = gate.repairs(v, D.claims(spark, d))
+    return fixed.groupBy("label", "reason").agg(F.count(F.lit(1)).alias("n"), F.count("suggested_text").alias("n_repaired"), F.count_if(F.contains("suggested_text", F.col("item_id"))).alias("n_own"))
+
+
+def affected(spark: SparkSession, d: str) -> DataFrame:
+    """Live content and open conflicts that claims which are no longer verified touch."""
+    stale = D.claims(spark, d).where("status <> 'verified'").select("id")
+    conflicts = conflict_pairs(spark, d).select(F.concat_ws("~", "a", "b").alias("id"), F.array("a", "b").alias("claim_ids"))
+    return gate.affected(stale, D.units(spark, d).select("item_id", "cited_id"), conflicts).select("kind", "id", F.array_join("claim_ids", ",").alias("claim_ids"))
 
 
 def value_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -345,13 +412,11 @@ def citations_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proof_links(spark: SparkSession, d: str) -> DataFrame:
-    q = search.token_sets(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    return search.proof_links(search.similar(q, search.token_sets(_documents(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text")))
+    return search.proof_links(search.similar(*_matches(spark, d)))
 
 
 def search_blocks(spark: SparkSession, d: str) -> DataFrame:
-    q = search.token_sets(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    return search.search_blocks(q, search.token_sets(_documents(spark, d).withColumnRenamed("doc_id", "target_id"), "target_id", "text"))
+    return search.search_blocks(*_matches(spark, d))
 
 
 def budget_state(spark: SparkSession, d: str) -> DataFrame:
@@ -382,7 +447,7 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gate_citations, category_mix, registry_stats, word_counts, sentence_split, tags, text_measure, style_scores, claim_extract, registry_build, registry_absent, id_allocation, ruling_fold, conflict_pairs, page_tension,
-    doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences,
+    doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, repairs, affected,
     vocabulary, seed_set, off_brand, allowed_claims, citations_view, proof_links, search_blocks, budget_state, correction_notes, browse, seed_batches, leaked_names, token_estimate,
     value_counts, phrases, links, html_blocks, markdown_blocks, draft_units, greedy_chunks, quality_dash, cost_dash, review_queue, coverage, gaps, section_alloc, dq_rules, log_rollup, audit_rollup_stream, rebuild_text,
 )}

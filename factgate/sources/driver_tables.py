@@ -43,6 +43,12 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"category": T.category(F.col("text")), "confidence": T.confidence(F.col("text"))})
 
 
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_id, kind, updated, fetched_at): regions are the sources of claims, changelogs and living pages of different age."""
+    kind = F.when(F.col("r_regionkey") % 3 == 0, "changelog").when(F.col("r_regionkey") % 3 == 1, "living").otherwise("other")
+    return load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("source_id"), kind.alias("kind"), F.substring("r_name", 1, 1).alias("updated"), F.lit("2026-01-01").alias("fetched_at"))
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, index, cited_id): one cited sentence per line item; those of every eleventh part cite a claim that does not exist."""
     cited = F.col("l_partkey") + F.when(F.col("l_partkey") % 11 == 0, 90_000_000).otherwise(0)
@@ -55,4 +61,5 @@ CLAIMS_SQL = (
     + " ".join(f"WHEN {i} THEN replace('{t}', '{{n}}', p_size::VARCHAR)" for i, t in enumerate(TEMPLATES))
     + " END AS text, CASE p_partkey % 7 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'needs-review' ELSE 'verified' END AS status FROM part)"
 )
+SOURCES_SQL = "sources AS (SELECT r_regionkey AS source_id, (['changelog', 'living', 'other'])[r_regionkey % 3 + 1] AS kind, left(r_name, 1) AS updated FROM region)"
 UNITS_SQL = "units AS (SELECT l_orderkey AS item_id, l_linenumber AS index, 'PT-' || lpad((l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 90000000 ELSE 0 END)::VARCHAR, 8, '0') AS cited_id FROM lineitem)"

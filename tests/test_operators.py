@@ -20,18 +20,63 @@ def test_citation_rules_and_status(spark):
     c = claims(spark, ("A-001", "x", "capability", "high", "verified"), ("A-002", "x", "capability", "low", "verified"), ("A-003", "x", "pricing", "low", "verified"), ("A-004", "x", "metric", "high", "deprecated"), ("A-005", "x", "metric", "high", "needs-review"))
     units = spark.createDataFrame([(1, 0, "A-001"), (2, 0, "A-001"), (2, 1, "A-002"), (3, 0, "A-003"), (3, 1, "A-009"), (4, 0, "A-004"), (4, 1, "A-005")], "item_id int, index int, cited_id string")
     got = {(r.item_id, r["index"]): (r.verdict, r.reason) for r in gate.cited(units, c).collect()}
-    assert got[1, 0] == ("pass", None) and got[2, 1] == ("flag", "low-confidence") and got[3, 0] == ("block", "low-confidence-high-risk")
+    assert got[1, 0] == ("pass", None) and got[2, 1] == ("flag", "low-confidence") and got[3, 0] == ("block", "high-risk-low-confidence")
     assert got[3, 1] == ("block", "missing-claim") and got[4, 0] == ("block", "deprecated") and got[4, 1] == ("block", "needs-review")
-    assert {r.item_id: r.status for r in gate.report_status(gate.cited(units, c)).collect()} == {1: "approved", 2: "flagged", 3: "blocked", 4: "blocked"}
+    assert {r.item_id: r.status for r in gate.report_status(gate.cited(units, c)).collect()} == {1: "approved", 2: "approved", 3: "blocked", 4: "blocked"}  # flags of the gate are low
+    confirmed = gate.cited(units, c.withColumn("decision", F.when(F.col("id") == "A-003", "confirmed")))
+    assert {(r.verdict, r.reason) for r in confirmed.where("item_id = 3 AND index = 0").collect()} == {("flag", "low-confidence")}
 
 
 def test_first_block_wins_and_enforcement(spark):
     cites = spark.createDataFrame([(1, 0, 0, "flag", "low"), (1, 0, 1, "block", "b1"), (1, 0, 2, "block", "b2"), (1, 1, 0, "flag", "low"), (1, 2, 0, "pass", None)], "item_id int, index int, pos int, verdict string, reason string")
     m = gate.unit_verdicts(cites, ["item_id", "index"])
     assert {r["index"]: (r.verdict, r.reason) for r in m.collect()} == {0: ("block", "b1"), 1: ("flag", "low"), 2: ("pass", None)}
-    units = spark.createDataFrame([(1, i) for i in range(4)], "item_id int, index int")
-    reviewed = spark.createDataFrame([(1, 0, "pass", None), (1, 1, "pass", None), (1, 2, "block", "overstated")], "item_id int, index int, verdict string, reason string")
-    assert {r["index"]: (r.verdict, r.reason) for r in gate.enforce(units, m, reviewed, ["item_id", "index"]).collect()} == {0: ("block", "b1"), 1: ("flag", "low"), 2: ("block", "overstated"), 3: ("block", "untagged")}
+    units = spark.createDataFrame([(1, i, f"s{i}", v, r) for i, (v, r) in enumerate([("pass", None), ("pass", None), ("block", "overstated"), (None, None)])], "item_id int, index int, text string, r_verdict string, r_reason string")
+    assert {r["index"]: (r.verdict, r.reason) for r in gate.enforce(units, m).collect()} == {0: ("block", "b1"), 1: ("flag", "low"), 2: ("block", "overstated"), 3: ("block", "untagged")}
+
+
+def test_verdicts_are_aligned_by_index_then_by_text(spark):
+    units = spark.createDataFrame([(1, 0, "One  is [[AA-001]]."), (1, 1, "Two is."), (1, 2, "Three is.")], "item_id int, index int, text string")
+    reviewed = spark.createDataFrame([(1, 0, "Two is.", "pass", "a"), (1, 1, "ONE is.", "flag", "b"), (1, 3, "one is.", "block", "c"), (2, 2, "Three is.", "pass", None)], "item_id int, index int, text string, verdict string, reason string")
+    assert {r["index"]: (r.r_verdict, r.r_reason) for r in gate.align_verdicts(units, reviewed).collect()} == {0: ("block", "c"), 1: ("pass", "a"), 2: (None, None)}
+
+
+def test_marks_clear_uncited_untagged_sentences_only(spark):
+    rows = [(1, 0, "We care about homes.", "block", "untagged"), (1, 1, "We care [[AA-001]].", "block", "untagged"), (1, 2, "It lasts.", "block", "overstated"), (1, 3, "Unmarked.", "block", "untagged")]
+    units = spark.createDataFrame(rows, "item_id int, index int, text string, r_verdict string, r_reason string")
+    none = spark.createDataFrame([], "item_id int, index int, verdict string, reason string")
+    marks = spark.createDataFrame([(1, " we care  about homes."), (1, "We care."), (1, "It lasts.")], "item_id int, sentence string")
+    assert {r["index"]: r.verdict for r in gate.enforce(units, none, marks).collect()} == {0: "pass", 1: "block", 2: "block", 3: "block"}
+
+
+def test_reports_combine_gate_pages_checkers_and_overrides(spark):
+    drafts = spark.createDataFrame([(i, f"h{i}") for i in range(1, 10)], "item_id int, draft_hash string")
+    results = spark.createDataFrame([(i, f"h{i}") for i in range(1, 8)] + [(8, "other")], "item_id int, draft_hash string")
+    reviewed = spark.createDataFrame([(i, 0, "x", "pass", None) for i in range(1, 9)], "item_id int, index int, text string, verdict string, reason string")
+    verdicts, unchecked = gate.usable_verdicts(drafts, reviewed, results)
+    assert {r.item_id for r in unchecked.collect()} == {8, 9} and {r.item_id for r in verdicts.collect()} == set(range(1, 8))
+    final = spark.createDataFrame([(1, "pass"), (2, "flag"), (3, "block"), (4, "pass"), (5, "pass"), (6, "block"), (7, "block")], "item_id int, verdict string")
+    pages = spark.createDataFrame([(4, "block"), (5, "flag")], "item_id int, verdict string")
+    enabled = spark.createDataFrame([(1, "synthetic-buyer"), (2, "style-checker"), (5, "best-practice-auditor"), (5, "synthetic-buyer"), (1, "style-checker")], "item_id int, checker string")
+    reports = spark.createDataFrame([(2, "style-checker", "done", None), (5, "best-practice-auditor", "checker-unavailable", None), (5, "synthetic-buyer", "done", "maybe"), (1, "style-checker", "done", None)], "item_id int, checker string, status string, verdict string")
+    raised = spark.createDataFrame([(2, "style-checker", "high"), (5, "best-practice-auditor", "low"), (1, "style-checker", "low")], "item_id int, checker string, severity string")
+    overrides = spark.createDataFrame([(6, "h6"), (7, "older"), (1, "h1")], "item_id int, draft_hash string")
+    got = {r.item_id: (r.block_count, r.high_count, r.low_count, r.missing, r.status) for r in gate.combine(drafts, final, unchecked, pages, gate.checker_flags(enabled, reports, raised), overrides).collect()}
+    assert got == {
+        1: (0, 0, 1, ["synthetic-buyer"], "approved"), 2: (0, 1, 1, [], "flagged"), 3: (1, 0, 0, [], "blocked"), 4: (1, 0, 0, [], "blocked"), 5: (0, 1, 2, ["best-practice-auditor"], "flagged"),
+        6: (1, 0, 0, [], "approved-override"), 7: (1, 0, 0, [], "blocked"), 8: (1, 0, 0, [], "blocked"), 9: (1, 0, 0, [], "blocked"),
+    }
+
+
+def test_affected_and_repairs(spark):
+    stale, live = spark.createDataFrame([("A",)], "id string"), spark.createDataFrame([(1, "A"), (1, "B"), (2, "B")], "item_id int, cited_id string")
+    conflicts = spark.createDataFrame([("c", ["A", "B"]), ("d", ["B", "C"])], "id string, claim_ids array<string>")
+    assert {(r.kind, r.id, tuple(r.claim_ids)) for r in gate.affected(stale, live, conflicts).collect()} == {("content", "1", ("A",)), ("conflict", "c", ("A",))}
+    c = claims(spark, ("LM-001", "Lantern stores logs for nine days.", "metric", "high", "verified"))
+    rows = [(1, 0, "Lantern stores logs for ninety days. [[LM-001]]", "contradicted", None), (1, 1, "Lantern stores logs for nine days.", "untagged", "LM-001"), (1, 2, "Lantern cooks dinner.", "untagged", "LM-001"), (1, 3, "X [[LM-404]]", "missing-claim", None)]
+    fixed = gate.repairs(spark.createDataFrame(rows, "item_id int, index int, text string, reason string, best_id string"), c)
+    words = "Lantern stores logs for nine days. [[LM-001]]"
+    assert {r["index"]: r.suggested_text for r in fixed.collect()} == {0: words, 1: words, 2: None, 3: None}
 
 
 def test_sentence_verdicts(spark):
@@ -48,9 +93,15 @@ def test_sentence_verdicts(spark):
         ("It keeps logs for nine days. [[LM-404]]", "block", "missing-claim"),
         ("Ready for calmer evenings at home?", "pass", None),
     ]
-    s = spark.createDataFrame([(1, i, "sentence", t, 3, 1.0) for i, (t, _, _) in enumerate(rows)], "item_id int, index int, kind string, text string, reg_n int, reg_ratio double")
-    got = {r["index"]: (r.verdict, r.reason) for r in gate.verify(s, c, F.array().cast("array<string>")).collect()}
-    assert got == {i: (v, w) for i, (_, v, w) in enumerate(rows)}
+    s = spark.createDataFrame([(1, i, "P", "sentence", t) for i, (t, _, _) in enumerate(rows)], "item_id int, index int, product_id string, kind string, text string")
+    near = gate.registry_overlap(s, c).withColumn("vocabulary", F.array().cast("array<string>"))
+    got = {r["index"]: (r.verdict, r.reason, r.suggested_id) for r in gate.verify(near, c).collect()}
+    assert got == {i: (v, w, "LM-001" if w == "untagged" else None) for i, (_, v, w) in enumerate(rows)}
+
+
+def test_known_vocabulary(spark):
+    c = claims(spark, *((f"A-{i:03}", f"shared word{i % 4} other{i}", "x", "high", "verified") for i in range(8)))
+    assert gate.known_vocabulary(c).first()["vocabulary"] == ["word0", "word1", "word2", "word3"]
 
 
 def test_reflag_live_and_rounds(spark):
@@ -135,21 +186,56 @@ def test_chunks_and_percentiles(spark):
     assert (m.sentences, m.words, m.p10, m.p90) == (12, sum(lengths), lengths[int(0.1 * 11)], lengths[int(0.9 * 11)]) and m.question_rate == 0.25
 
 
-def test_markdown_paths_and_units(spark):
-    md = "# A\n\nOne. Two.\nmore\n\n### B\n- x y\n```\ncode\n```\n### C\n\n| a | b |\n|---|---|\n| c | d |\n"
-    blocks = parse.markdown_blocks(spark.createDataFrame([("s", md)], "source_id string, body string")).orderBy("block_pos").collect()
-    assert [(b["loc"], b["text"]) for b in blocks] == [("A ¶1", "One. Two. more"), ("A > B ¶1", "x y"), ("A > B > C ¶1", "a | b"), ("A > B > C ¶2", "c | d")]
-    units = parse.draft_units(spark.createDataFrame([(1, "# T\n<!-- no -->\nOne is. Two is [[PT-001]].\n- item\n")], "item_id int, md string")).orderBy("index").collect()
-    assert [(u["kind"], u["text"], u["section"]) for u in units] == [("heading", "T", "T"), ("sentence", "One is.", "T"), ("sentence", "Two is [[PT-001]].", "T"), ("list-item", "item", "T")]
-
-
-def test_html_survey_front_matter_routes(spark):
-    html = "<html><head><title>T</title><script>x</script></head><body><nav>n</nav><h1>A</h1><p>one <b>two</b></p><h2>B<p>three</body>"
-    rows = parse.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")).collect()
-    assert (rows[0]["title"], rows[0]["path"], rows[0]["text"]) == ("T", ["A"], "one two") and {r["page_id"] for r in rows} == {1}
+def test_markdown_blocks(spark):
+    md = "---\ntitle: T\n---\n# A *x*\n\nOne. Two.\nmore **b** [l](u)\n\n### B\n- x y\n1) z\nbefore\n```\ncode\n```\nafter\n### C\n\n| a | b |\n|---|---|\n| c | d |\n## \n![i](j)\n# D\nend"
+    df = spark.createDataFrame([("s", md), ("t", None), ("u", ""), ("v", "root\r\nline\n\nsecond")], "source_id string, body string")
+    rows = parse.markdown_blocks(df).orderBy("source_id", "block_pos").collect()
+    assert [(b["level"], b["loc"], b["text"]) for b in rows if b["source_id"] == "s"] == [
+        (1, "A x", "A x"), (0, "A x ¶1", "One. Two. more b l"), (3, "A x > B", "B"), (0, "A x > B ¶1", "x y"), (0, "A x > B ¶2", "z"), (0, "A x > B ¶3", "before"), (0, "A x > B ¶4", "after"),
+        (3, "A x > B > C", "C"), (0, "A x > B > C ¶1", "a | b"), (0, "A x > B > C ¶2", "c | d"), (1, "D", "D"), (0, "D ¶1", "end"),
+    ]
+    assert [(b["source_id"], b["loc"], b["text"]) for b in rows if b["source_id"] != "s"] == [("v", "¶1", "root line"), ("v", "¶2", "second")]
+
+
+def test_heading_paths_against_the_rule(spark):
+    rng, rows = random.Random(7), []
+    for doc in range(30):
+        path = []
+        for pos in range(12):
+            level = rng.choice([0, 1, 2, 3, 4, 5, 6])
+            if level:
+                path = [*path[: level - 1], f"h{pos}"]
+            rows.append((doc, pos, level, f"h{pos}", list(path)))
+    df = spark.createDataFrame(rows, "doc int, pos int, level int, title string, want array<string>")
+    assert parse.heading_paths(df, "doc").where("path <> want").count() == 0
+
+
+def test_draft_units(spark):
+    md = "# T [[PT-001]]\n<!-- no -->\nOne is\nwrapped. Two is [[PT-001]].\n- item a. B c\n| a | b |\n|---|:-:|\n---\nend"
+    units = parse.draft_units(spark.createDataFrame([(1, md), (2, None), (3, "")], "item_id int, md string")).orderBy("item_id", "index").collect()
+    assert [(u["index"], u["kind"], u["text"]) for u in units] == [
+        (0, "heading", "T [[PT-001]]"), (1, "sentence", "One is wrapped."), (2, "sentence", "Two is [[PT-001]]."), (3, "list-item", "item a."), (4, "list-item", "B c"), (5, "table-cell", "a"), (6, "table-cell", "b"), (7, "sentence", "end"),
+    ]
+    assert {u["section"] for u in units} == {"T"}
+
+
+def test_html_blocks(spark):
+    html = (
+        "<html><head><title>T &amp; <b>x</b>B</title><script>var a='</p><h1>no</h1>'</script></head><body><nav>n<h1>gone</h1></nav><h1>A<br>after</h1><p>one <b>two</b> &eacute;&#233;&#x20AC;&nbsp;z &lt;b&gt; 5 < 6 &bogus;</p>"
+        "<h2>B<p>three<dl><dt>t</dt><dd>d</dd></dl></footer><h3/>plain<div>q</div><!-- <p>no</p> --><h5>deep</h5>x<a title='a>b'>link</a></body><style>p"
+    )
+    rows = parse.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<p>open")], "page_id long, html string")).orderBy("page_id", "block_pos").collect()
+    assert [(r["level"], r["loc"], r["text"]) for r in rows if r["page_id"] == 1] == [
+        (1, "A", "A"), (0, "A ¶1", "after"), (0, "A ¶2", "one two éé€ z <b> 5 < 6 &bogus;"), (2, "A > B", "B"), (0, "A > B ¶1", "three"), (0, "A > B ¶2", "t"), (0, "A > B ¶3", "d"), (0, "A > B ¶4", "plain"),
+        (0, "A > B ¶5", "q"), (5, "A > B > deep", "deep"), (0, "A > B > deep ¶1", "xlink"),
+    ]
+    assert {r["title"] for r in rows if r["page_id"] == 1} == {"T & xB"} and [(r["loc"], r["text"]) for r in rows if r["page_id"] == 4] == [("¶1", "open")] and {r["page_id"] for r in rows} == {1, 4}
+
+
+def test_survey_front_matter_routes(spark):
     raw = spark.createDataFrame([("s", '{"responses":[{"id":"1","segment":"x","answers":{"a":"b","c":"d"}}]}'), ("t", "broken")], "source_id string, json string")
     assert {(r["response_id"], r["field"], r["value"]) for r in parse.survey_rows(raw).collect()} == {("1", "a", "b"), ("1", "c", "d")}
-    fm = spark.createDataFrame([("---\ntitle: 'X' # note\nurl: http://a/#b\n---\nbody",)], "t string").select(parse.front_matter(F.col("t")).alias("m")).first()["m"]
+    fm = spark.createDataFrame([("---\ntitle: Y\ntitle: 'X' # note\nurl: http://a/#b\n---\nbody",)], "t string").select(parse.front_matter(F.col("t")).alias("m")).first()["m"]
     assert fm == {"title": "X", "url": "http://a/#b"}
     ok, bad = parse.route(spark.createDataFrame([("a.md", "x"), ("b.pdf", "x"), ("c.txt", " ")], "path string, text string"))
     assert [r["format"] for r in ok.collect()] == ["markdown"] and {r["path"]: r["reason"] for r in bad.collect()} == {"b.pdf": "unsupported type", "c.txt": "no text"}
