@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicon as L
 from ..sources.driver_tables import CLAIMS_SQL, SOURCES_SQL, UNITS_SQL
-from . import gate_sql, parse_sql
+from . import gate_sql, parse_sql, report_sql
 from .sql_text import listed as _list
 from .sql_text import normal as _normal
 from .sql_text import q as _q
@@ -107,15 +107,11 @@ matched AS (
   UNION ALL SELECT pos, free.id, CASE WHEN free.id IS NULL THEN 'new' ELSE 'moved' END FROM rest LEFT JOIN free USING (quote_hash, text, k)
 )"""
 SAMPLES = "s AS (SELECT lang, (length(text) % 997) / 997 AS score, quality AS label FROM documents JOIN labels USING (doc_id))"
-REVIEW = f"{RATED}, queue AS (SELECT product_id, category, count(*) AS n, string_agg(id, ',' ORDER BY num) AS ids FROM rated WHERE status = 'needs-review' GROUP BY product_id, category)"
 TOPICS = "(SELECT unnest(" + _list((*(c for c, _ in L.CATEGORIES), L.DEFAULT_CATEGORY)) + ") AS category)"
-_PICK = "SELECT brief_id, {s} AS section, id FROM (SELECT *, row_number() OVER (PARTITION BY brief_id ORDER BY (num * {m} + brief_id) % 101 DESC, id) AS rn FROM cand{anti}) WHERE rn <= 4"
 
 ORACLES: dict[str, str] = {
     "gate_citations": f"WITH {REPORTS} SELECT * FROM reports",
     "category_mix": f"WITH {RATED} SELECT category, confidence, CASE WHEN category IN ({HIGH}, 'market-evidence') OR confidence = 'low' THEN 'needs-review' ELSE 'verified' END AS base_status, count(*) AS n FROM rated GROUP BY ALL",
-    "registry_stats": f"""WITH {CLAIMS_SQL}, s AS (SELECT product_id, count(*) AS total, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'needs-review') AS needs_review, count(*) FILTER (status = 'deprecated') AS deprecated FROM claims GROUP BY product_id)
-        SELECT *, CASE WHEN verified = 0 THEN 'blocked' WHEN needs_review > verified THEN 'stale' ELSE 'ready' END AS state FROM s""",
     "word_counts": f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), {_q(L.WORD)}))::BIGINT AS n_words FROM documents",
     "sentence_split": f"WITH {SENTENCES} SELECT doc_id, len(s)::BIGINT AS n_sentences, md5(array_to_string(s, chr(10))) AS digest FROM sentences",
     "tags": f"WITH {UNITS_SQL} SELECT item_id, count(DISTINCT cited_id) AS n_cited, 'It supports this. ' AS plain FROM units GROUP BY item_id",
@@ -155,7 +151,6 @@ ORACLES: dict[str, str] = {
     "latest_per_key": "SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "reflag": f"WITH {CLAIMS_SQL}, {UNITS_SQL} SELECT item_id, string_agg(DISTINCT cited_id, ',' ORDER BY cited_id) AS claim_ids FROM units WHERE cited_id NOT IN (SELECT id FROM claims WHERE status = 'verified') GROUP BY item_id",
     "rollback_live": f"WITH {ROUNDS} SELECT item_id, round, max(CASE WHEN status = 'approved' THEN round END) OVER (PARTITION BY item_id ORDER BY round) AS live_round FROM rounds",
-    "retention": f"WITH {ROUNDS} SELECT item_id, round FROM rounds WHERE status <> 'approved' AND created_at < TIMESTAMP '2000-01-01' - INTERVAL 365 DAY",
     "adjacent_units": f"""WITH {CLAIMS_SQL}, {UNITS_SQL}, u AS (SELECT item_id, index, cited_id, product_id, lag(cited_id) OVER w AS before, lag(product_id) OVER w AS pb FROM units LEFT JOIN claims ON id = cited_id WINDOW w AS (PARTITION BY item_id ORDER BY index, cited_id))
         SELECT item_id, index, cited_id, before FROM u WHERE product_id = pb AND cited_id <> before""",
     "round_compare": """WITH b AS (SELECT DISTINCT conv_id, md5(text) AS t, true AS was FROM conversations WHERE turn % 4 < 2), a AS (SELECT DISTINCT conv_id, md5(text) AS t, true AS now_ FROM conversations WHERE turn % 4 >= 2)
@@ -184,16 +179,8 @@ ORACLES: dict[str, str] = {
         c AS (SELECT role, array_to_string(g, ' ') AS phrase, count(*) AS n, min(at_) AS first_ FROM g WHERE g[1] NOT IN ('the', 'a', 'and', 'to', 'of') AND g[-1] NOT IN ('the', 'a', 'and', 'to', 'of') GROUP BY ALL HAVING count(*) >= 3)
         SELECT role, phrase, n, rank FROM (SELECT *, (row_number() OVER (PARTITION BY role ORDER BY n DESC, first_, phrase))::INTEGER AS rank FROM c) WHERE rank <= 15""",
     "links": "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"#]+)\"', 1)) AS link FROM pages",
-    "quality_dash": f"WITH {REPORTS} SELECT o_orderpriority, count(*) AS drafts, count(*) FILTER (status = 'approved') AS approved, avg((status = 'approved')::INTEGER) AS approval_rate, sum(blocks)::BIGINT AS blocks FROM reports JOIN orders ON o_orderkey = item_id GROUP BY o_orderpriority",
     "cost_dash": "SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18, 2))::DOUBLE AS cost, count(*) AS n, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
-    "review_queue": f"WITH {REVIEW} SELECT * FROM queue",
     "coverage": f"WITH {RATED} SELECT t.category, count(rated.id) AS n FROM {TOPICS} t LEFT JOIN rated ON rated.category = t.category GROUP BY t.category",
-    "gaps": f"""WITH {CONFLICTS} SELECT 'zero-coverage' AS gap_type, t.category AS key, '0' AS detail FROM {TOPICS} t WHERE t.category NOT IN (SELECT category FROM rated)
-        UNION ALL SELECT 'review-backlog', product_id || '/' || category, count(*)::VARCHAR FROM rated WHERE status = 'needs-review' GROUP BY product_id, category
-        UNION ALL SELECT 'open-conflict', product_id, count(*)::VARCHAR FROM conflicts GROUP BY product_id""",
-    "section_alloc": f"""WITH {CLAIMS_SQL}, cand AS (SELECT c_custkey AS brief_id, id, num FROM customer JOIN claims ON product_id = 'Brand#' || (c_custkey % 25 + 1)::VARCHAR WHERE status = 'verified'),
-        s0 AS ({_PICK.format(s=0, m=3, anti="")}), s1 AS ({_PICK.format(s=1, m=4, anti=" ANTI JOIN s0 USING (brief_id, id)")}),
-        s2 AS ({_PICK.format(s=2, m=5, anti=" ANTI JOIN (SELECT * FROM s0 UNION ALL SELECT * FROM s1) USING (brief_id, id)")}) SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2""",
     "dq_rules": f"""WITH {RATED}, {UNITS_SQL}, b AS (
           SELECT 'high-risk-verified' AS rule FROM rated WHERE category IN ({HIGH}) AND status = 'verified' UNION ALL SELECT 'low-confidence-verified' FROM rated WHERE confidence = 'low' AND status = 'verified'
           UNION ALL SELECT 'dangling-citation' FROM units WHERE cited_id NOT IN (SELECT id FROM claims) UNION ALL SELECT 'repeated-conversation-id' FROM conversations GROUP BY conv_id HAVING count(*) > 1)
@@ -224,5 +211,5 @@ ORACLES: dict[str, str] = {
     "browse": f"WITH {RATED} SELECT id, text, category FROM rated WHERE status = 'needs-review' AND contains(text, 'units') ORDER BY num LIMIT 50",
     "seed_batches": f"WITH {CLAIMS_SQL}, b AS (SELECT product_id, id, (row_number() OVER (PARTITION BY product_id ORDER BY num) - 1) // 40 AS batch FROM claims) SELECT product_id, batch, count(*) AS n, min(id) AS first_id FROM b GROUP BY ALL",
     "leaked_names": "SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')",
-    "token_estimate": f"WITH {CLAIMS_SQL} SELECT product_id, (2000 + 40 * count(*) + sum(ceil(length(text) / 4)))::BIGINT AS tokens FROM claims GROUP BY product_id",
 }
+ORACLES |= report_sql.queries(RATED, VERDICTS, ROUNDS, CONFLICTS, TOPICS, SIMILAR, CATEGORY, ("hero", "benefits", "proof", "cta"))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import gate, measures, registry, reports, search, style
+from ..operators import gate, measures, planning, quality, registry, reports, search, style
 from ..sources import driver_tables as D
 from ..sources import parse, store
 from ..streaming import feeds
@@ -38,7 +38,23 @@ def category_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def registry_stats(spark: SparkSession, d: str) -> DataFrame:
-    return reports.kb_status(registry.registry_stats(D.claims(spark, d)))
+    return registry.registry_stats(D.claims(spark, d))
+
+
+def _products(spark: SparkSession, d: str) -> DataFrame:
+    return D.load(spark, d, "part").select(F.col("p_brand").alias("product_id"), F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("num")).distinct()
+
+
+def kb_status(spark: SparkSession, d: str) -> DataFrame:
+    """The state of every brand's knowledge base; suppliers are its sources."""
+    products, sources = _products(spark, d), D.product_sources(spark, d)
+    profiles = products.where("num % 3 > 0").select("product_id", F.when(F.col("num") % 3 == 1, "draft").otherwise("active").alias("status"), F.when(F.col("num") % 2 == 1, 0.7).alias("threshold"))
+    status = reports.kb_status(products, sources, D.claims(spark, d), profiles, products.where("num % 4 > 0"), sources.where("source_id % 11 = 0 AND product_id < 'Brand#2'"))
+    return status.withColumns({c: F.array_join(c, ",") for c in ("blockers", "warnings")})
+
+
+def onboarding(spark: SparkSession, d: str) -> DataFrame:
+    return reports.onboarding(kb_status(spark, d), _products(spark, d).where("num % 5 > 0"))
 
 
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +189,9 @@ def rollback_live(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retention(spark: SparkSession, d: str) -> DataFrame:
-    return reports.retention_plan(_rounds(spark, d), 365, F.lit("2000-01-01").cast("timestamp")).select("item_id", "round")
+    rounds = _rounds(spark, d).withColumn("purged", F.when(F.col("round") % 4 == 0, F.lit("1999-06-01")))
+    runs = D.load(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("ts") - F.make_interval(years=F.lit(25))).alias("created_at"))
+    return reports.retention_plan(rounds, 365, F.lit("2000-01-01").cast("timestamp"), runs).select("kind", "item_id", "round")
 
 
 def adjacent_units(spark: SparkSession, d: str) -> DataFrame:
@@ -319,8 +337,42 @@ def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quality_dash(spark: SparkSession, d: str) -> DataFrame:
-    orders = D.load(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), "o_orderpriority")
-    return reports.quality_report(gate_citations(spark, d).join(orders, "item_id"), "o_orderpriority")
+    """Customers as content items, their orders as rounds, by market segment."""
+    r = gate.live_versions(_rounds(spark, d)).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_rounds"), F.max_by("live_round", "round").alias("live_round"))
+    live = F.when(F.col("live_round").isNotNull(), F.when(F.col("item_id") % 10 == 0, "approved-override").otherwise("approved"))
+    items = r.withColumn("live_status", live).join(D.load(spark, d, "customer").select(F.col("c_custkey").alias("item_id"), "c_mktsegment"), "item_id")
+    return reports.quality_report(items, "c_mktsegment")
+
+
+def blocks_by_reason(spark: SparkSession, d: str) -> DataFrame:
+    return reports.blocks_by_reason(_verdicts(spark, d).select(F.col("verdict").alias("severity"), "reason"))
+
+
+def newest_drafts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.newest(D.load(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", 300, "o_orderkey")
+
+
+def auto_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return reports.auto_rounds_used(D.load(spark, d, "orders").select(F.col("o_custkey").alias("item_id"), F.when(F.col("o_orderpriority") < "3", "auto").otherwise("human").alias("kind")))
+
+
+def export_live(spark: SparkSession, d: str) -> DataFrame:
+    """Final texts (orders) of items (customers) whose live version may be exported; one in nine live versions was flagged again."""
+    rounds = gate.live_versions(_rounds(spark, d))
+    items = rounds.groupBy("item_id").agg(F.max_by("live_round", "round").alias("live_round"))
+    items = items.withColumn("live_status", F.when(F.col("live_round").isNotNull(), F.when(F.col("item_id") % 9 == 0, "flagged").otherwise("approved")))
+    return store.export_live(items, rounds.select("item_id", "round", F.concat_ws("/", "item_id", "round", "status").alias("final_text")))
+
+
+def pending_extraction(spark: SparkSession, d: str) -> DataFrame:
+    docs = D.load(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("sha256"), F.when(F.col("doc_id") % 11 == 0, "removed").otherwise("active").alias("status"))
+    extracted = docs.select("source_id", F.when(F.col("source_id") % 9 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    return store.pending_extraction(docs, extracted).select("source_id")
+
+
+def claims_with_sources(spark: SparkSession, d: str) -> DataFrame:
+    sources = D.sources(spark, d).withColumns({"title": F.when(F.col("source_id") != 2, F.concat(F.lit("Source "), "source_id")), "url": F.concat(F.lit("https://example.org/"), "source_id")})
+    return reports.with_sources(D.claims(spark, d), sources).select("id", "source_title", "url", "source_kind", "updated")
 
 
 def cost_dash(spark: SparkSession, d: str) -> DataFrame:
@@ -336,20 +388,118 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return reports.coverage(D.claims(spark, d), topics)
 
 
+def _briefs(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as briefs: notes that ask for what claims say, and for more."""
+    notes = F.concat(F.lit("Say first that "), "p_brand", F.lit(" "), "p_type", F.lit(" supports up to "), F.col("p_size").cast("string"), F.lit(" units. Mention the customer award for ledgers; Keep it short."))
+    return D.load(spark, d, "part").select(F.col("p_partkey").alias("brief_id"), F.col("p_brand").alias("product_id"), notes.alias("notes"))
+
+
+def unsupported_asks(spark: SparkSession, d: str) -> DataFrame:
+    return planning.unsupported_asks(_briefs(spark, d), D.claims(spark, d))
+
+
 def gaps(spark: SparkSession, d: str) -> DataFrame:
+    count = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    proofs = _proofs(spark, d)
+    objections = search.unanswered(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), D.load(spark, d, "documents").withColumnRenamed("doc_id", "target_id"), 0.9)
     return reports.gaps({
+        "proof-without-claim": (count(planning.relink(proofs, D.claims(spark, d), ("product_id", "pos")).where("status = 'needs-claim'"), "product_id"), F.col("product_id"), F.col("n")),
         "zero-coverage": (coverage(spark, d).where("n = 0"), F.col("category"), F.col("n")),
-        "review-backlog": (review_queue(spark, d), F.concat_ws("/", "product_id", "category"), F.col("n")),
-        "open-conflict": (conflict_pairs(spark, d).groupBy("product_id").agg(F.count(F.lit(1)).alias("n")), F.col("product_id"), F.col("n")),
+        "review-backlog": (review_queue(spark, d), F.concat_ws("/", "product_id", "category", "theme"), F.col("n")),
+        "doc-correction": (correction_notes(spark, d), F.col("claim_id"), F.col("ruling_id")),
+        "open-conflict": (count(conflict_pairs(spark, d), "product_id"), F.col("product_id"), F.col("n")),
+        "unanswered-objection": (objections, F.col("query_id"), F.lit("")),
     })
 
 
+def _proofs(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as proof points that cite their own claim and the one before."""
+    k = F.col("p_partkey")
+    return D.load(spark, d, "part").select(F.col("p_brand").alias("product_id"), k.alias("pos"), F.array(D.claim_id(k), D.claim_id(k - 1)).alias("claim_ids"))
+
+
+def relink_proofs(spark: SparkSession, d: str) -> DataFrame:
+    return planning.relink(_proofs(spark, d), D.claims(spark, d), ("product_id", "pos")).withColumn("claim_ids", F.array_join("claim_ids", ","))
+
+
+SECTIONS = ("hero", "benefits", "proof", "cta")
+
+
 def section_alloc(spark: SparkSession, d: str) -> DataFrame:
-    briefs = D.load(spark, d, "customer").select(F.col("c_custkey").alias("brief_id"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 25 + 1).cast("string")).alias("product_id"))
-    c = D.claims(spark, d).where("status = 'verified'").select("product_id", "id", "num")
-    sections = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("section")
-    cand = briefs.join(c, "product_id").select("brief_id", "id", "num", sections).withColumn("score", F.pmod(F.col("num") * (F.col("section") + 3) + F.col("brief_id"), F.lit(101)))
-    return reports.allocate_sections(briefs, cand, 3, 4)
+    """Customers as briefs; briefs of a brand with the same query (the key modulo 101 stands for it) share one search of its claims."""
+    briefs = D.load(spark, d, "customer").select(F.col("c_custkey").alias("brief_id"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 25 + 1).cast("string")).alias("product_id"), (F.col("c_custkey") % 101).alias("query"))
+    c = D.claims(spark, d)
+    section = F.posexplode(F.array(*map(F.lit, SECTIONS))).alias("at", "section")
+    asked = briefs.select("product_id", "query").distinct().join(planning.citable(c).select("product_id", "id", "num"), "product_id").select("*", section)
+    score = F.pmod(F.col("num") * (F.col("at") + 3) + F.col("query"), F.lit(101))
+    best = asked.withColumn("rank", F.row_number().over(Window.partitionBy("product_id", "query", "section").orderBy(F.desc(score), "id"))).where("rank <= 25").select("product_id", "query", "section", "id", "rank")
+    found = briefs.join(best, ["product_id", "query"]).select("brief_id", "section", "id", F.lit(False).alias("is_proof"), "rank")
+    proof = briefs.join(c.where("num % 50 = 7").select("product_id", "id", F.col("num").cast("int").alias("rank")), "product_id").select("brief_id", F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"), "id", F.lit(True).alias("is_proof"), "rank")
+    avoid = c.select("product_id").distinct().select("product_id", F.array(F.when(F.length("product_id") % 2 == 0, "connectors").otherwise("encrypts")).alias("terms"))
+    return planning.allocate_sections(found.unionByName(proof), c, SECTIONS, avoid).drop("pos")
+
+
+def fact_check(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as reference texts about their brand: what they say beyond or against its verified claims."""
+    said = F.concat(F.lit("# Notes\n"), F.translate("p_brand", "#", " "), F.lit(" "), "p_type", F.lit(" does not support up to "), F.col("p_size").cast("string"), F.lit(" units. It keeps brand ledgers for seven years now. Short one."))
+    aids = D.load(spark, d, "part").select(F.col("p_partkey").alias("aid_id"), F.col("p_brand").alias("product_id"), said.alias("text"))
+    products = _products(spark, d).select("product_id", F.translate("product_id", "#", " ").alias("name"))
+    return planning.fact_check(aids, products, D.claims(spark, d)).select("aid_id", "pos", "issue", "claim_id")
+
+
+def pick_persona(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as briefs, market segments as the personas of every brand."""
+    c = D.load(spark, d, "customer")
+    personas = c.select("c_mktsegment").distinct().join(_products(spark, d).where("num % 6 > 0")).select("product_id", F.length("c_mktsegment").alias("pos"), F.concat(F.lit("Head of "), "c_mktsegment").alias("name"), F.lit("buyer of units").alias("role"))
+    briefs = c.select(F.col("c_custkey").alias("brief_id"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 25 + 1).cast("string")).alias("product_id"), F.lower("c_mktsegment").alias("audience"), F.when(F.col("c_custkey") % 2 == 0, "for the buyer").alias("notes"))
+    return planning.pick_persona(briefs, personas).select("brief_id", "persona")
+
+
+def golden_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences that quote claims exactly, in part and with more around them, and the claims found for them."""
+    c = D.claims(spark, d)
+    quote = F.when(F.col("num") % 3 == 0, F.upper("text")).when(F.col("num") % 3 == 1, F.concat("text", F.lit(" It is  so."))).otherwise(F.regexp_replace("text", r"^\S+ \S+ ", ""))
+    return planning.golden_matches(c.select("product_id", "num", quote.alias("quote")), c.withColumn("pos", F.col("num"))).select("num", "claim_id")
+
+
+def reproducible(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of events by user claimed per event type, every fifth user's wrongly."""
+    e = D.load(spark, d, "events")
+    responses = e.select(F.col("event_type").alias("source_id"), F.col("event_id").alias("response_id"), F.lit("user").alias("field"), F.concat(F.lit("U "), F.col("user_id").cast("string")).alias("value"))
+    total = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"))
+    counted = e.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")).join(total, "event_type")
+    evidence = counted.select(F.col("event_type").alias("source_id"), F.concat(F.lit("user = U "), F.col("user_id").cast("string")).alias("query"), (F.col("n") + F.when(F.col("user_id") % 5 == 0, 1).otherwise(0)).alias("count"), "total")
+    return planning.reproducible(evidence, responses).select("source_id", "query", "count")
+
+
+def dq_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """All rule sets over brands, parts and orders as artifacts."""
+    c = D.claims(spark, d)
+    registry_rows = c.select("id", F.col("text").alias("quote"), "category", "confidence", "status", F.when(F.col("num") % 4 == 0, "confirmed").alias("decision"), F.lit(None).cast("long").alias("count"))
+    quotes = c.select("id", F.col("num").alias("source_id"), F.when(F.col("num") % 10 == 3, F.reverse("text")).otherwise(F.upper("text")).alias("quote"))
+    arr = lambda *x: F.array(*map(F.lit, x))
+    p = _products(spark, d)
+    profiles = p.select(
+        "product_id", F.col("product_id").alias("product_name"), F.when(F.col("num") % 2 == 0, arr("Acme One", "acme")).otherwise(arr("Acme")).alias("allowed"), F.when(F.col("num") % 5 == 0, F.array("product_id", F.lit("ACME ONE"))).otherwise(arr("ACME ONE")).alias("forbidden"),
+        arr("Swift", "calm").alias("preferred"), F.when(F.col("num") % 3 == 0, arr("swift")).otherwise(arr("loud")).alias("banned"), F.when(F.col("num") % 2 == 0, "active").otherwise("draft").alias("status"), (F.col("num") % 7 > 0).alias("consistent"),
+        F.when(F.col("num") % 4 == 0, arr(0.5, 0.4)).otherwise(arr(0.5, 0.5)).alias("weights"),
+    )
+    guardrails = p.select("product_id", F.lit("r").alias("rule"), F.concat(F.lit("DEC-"), F.col("num").cast("string")).alias("decision_id"))
+    proofs = _proofs(spark, d).select(F.col("pos").cast("string").alias("id"), F.when(F.col("pos") % 3 == 0, "needs-claim").otherwise("has-claim").alias("status"), F.when(F.col("pos") % 5 == 0, F.array().cast("array<string>")).otherwise(F.col("claim_ids")).alias("claim_ids"))
+    plans = c.select(F.col("num").alias("brief_id"), F.lit("proof").alias("section"), "id")
+    o = D.load(spark, d, "orders")
+    report_rows = o.select(F.col("o_orderkey").alias("item_id"), F.when(F.col("o_orderstatus") == "F", "approved-override").otherwise("approved").alias("status"), (F.col("o_orderkey") % 3).alias("block_count"), F.when(F.col("o_orderkey") % 2 == 0, F.struct(F.when(F.col("o_orderkey") % 4 == 0, " ").otherwise("agreed").alias("reason"))).alias("override"))
+    evidence = o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 12).alias("count"), F.lit(10).alias("total"))
+    return quality.sweep({
+        "registry": (registry_rows, "PT"), "claims-record": (quotes, c.select(F.col("num").alias("source_id"), "text")), "style-profile": (profiles,), "positioning-pack": (guardrails, proofs, p.where("num % 6 > 0").select(F.concat(F.lit("DEC-"), F.col("num").cast("string")).alias("id"))),
+        "plan": (plans, c), "verification-report": (report_rows,), "market-evidence": (evidence,),
+    })
+
+
+def column_constraints(spark: SparkSession, d: str) -> DataFrame:
+    """Line items against declared constraints of their columns."""
+    rules = quality.constraints(["l_orderkey", "l_shipdate"], {"l_returnflag": ("A", "N")}, {"l_linestatus": "^[OF]$"}, {"l_quantity": (1, 45), "l_discount": (None, 0.09)}, {"l_returnflag": (1, 1)})
+    return reports.run_rules(reports.violations(D.load(spark, d, "lineitem"), F.col("l_orderkey"), rules))
 
 
 def dq_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -442,12 +592,13 @@ def leaked_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return reports.estimate_tokens(D.claims(spark, d))
+    return reports.estimate_tokens(D.claims(spark, d), D.product_sources(spark, d))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gate_citations, category_mix, registry_stats, word_counts, sentence_split, tags, text_measure, style_scores, claim_extract, registry_build, registry_absent, id_allocation, ruling_fold, conflict_pairs, page_tension,
     doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, repairs, affected,
     vocabulary, seed_set, off_brand, allowed_claims, citations_view, proof_links, search_blocks, budget_state, correction_notes, browse, seed_batches, leaked_names, token_estimate,
+    kb_status, onboarding, blocks_by_reason, newest_drafts, auto_rounds, export_live, pending_extraction, claims_with_sources, unsupported_asks, relink_proofs, fact_check, pick_persona, golden_matches, reproducible, dq_sweep, column_constraints,
     value_counts, phrases, links, html_blocks, markdown_blocks, draft_units, greedy_chunks, quality_dash, cost_dash, review_queue, coverage, gaps, section_alloc, dq_rules, log_rollup, audit_rollup_stream, rebuild_text,
 )}

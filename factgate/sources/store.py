@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.gate import can_export
 from ..operators.registry import latest
 
 
@@ -40,5 +41,38 @@ def import_manifest(urls: DataFrame, cap: int = 500) -> DataFrame:
     return first.withColumn("rn", F.row_number().over(Window.partitionBy("job_id").orderBy("pos"))).where(F.col("rn") <= cap).drop("rn")
 
 
+def pending_extraction(sources: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Active sources (source_id, sha256, status, …) that no extraction (source_id, sha256) has read in this version: only these need one."""
+    return sources.where("status = 'active'").join(extracted.select("source_id", "sha256"), ["source_id", "sha256"], "left_anti")
+
+
+def current_records(sources: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Extracted rows of the current version of each active source."""
+    return extracted.join(sources.where("status = 'active'").select("source_id", "sha256"), ["source_id", "sha256"], "left_semi")
+
+
+def split_parsed(rows: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Imported pages (url, text, …) with text, and an error row (url, error) for each without: one bad page stops nothing."""
+    bad = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    return rows.where(~bad), rows.where(bad).select("url", F.when(F.col(text).isNull(), "not fetched").otherwise("no text").alias("error"))
+
+
+def registry_input(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Product and market-evidence claims as one input of a registry build; columns that one side lacks are null there."""
+    return claims.unionByName(evidence.withColumn("category", F.lit("market-evidence")), allowMissingColumns=True)
+
+
+def export_live(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(item_id, round, final_text) of live versions (item_id, live_round, live_status) that may be exported, from final texts (item_id, round, final_text)."""
+    ok = items.where(can_export(F.col("live_status"))).select("item_id", F.col("live_round").alias("round"))
+    return texts.join(ok, ["item_id", "round"], "left_semi").select("item_id", "round", "final_text")
+
+
+def content_types(built_in: DataFrame, own: DataFrame) -> DataFrame:
+    """Content types (id, …): a workspace's own ones replace built-in ones of the same id."""
+    return own.unionByName(built_in.join(own.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
 def write_audit(log: DataFrame, path: str) -> None:
+    """The whole log in order of time, all values quoted; the newest entries alone are reports.newest(log, "created_at", 300)."""
     log.orderBy("created_at", "id").write.mode("overwrite").option("quoteAll", True).option("header", True).csv(path)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
+from ..operators.gate import affected
 from ..operators.registry import detect_changes
+from ..operators.search import contained
 
 
 def log_rollup(events: DataFrame, late: str = "10 minutes", every: str = "1 hour") -> DataFrame:
@@ -35,3 +37,23 @@ def change_feed(stream: DataFrame, current: Callable[[], DataFrame], apply: Call
         apply(batch_changes(batch, current()), number)
 
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+
+
+def stale_claims(claims: DataFrame, changed: DataFrame) -> DataFrame:
+    """Active claims (id, source_id, quote, status) whose quote a changed source (source_id, text; null: removed) no longer holds."""
+    touched = claims.where("status <> 'deprecated'").join(changed.select("source_id").distinct(), "source_id", "left_semi")
+    return contained(touched, changed, "source_id").where(~F.col("verbatim")).drop("verbatim")
+
+
+def on_change(claims: Callable[[], DataFrame], live: Callable[[], DataFrame], conflicts: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A function for change_feed: of each batch's changes it hands on the claims that are stale now, and the content and conflicts they touch.
+
+    write gets both tables and the batch's number, under which it replaces what an earlier try of the batch wrote.
+    """
+
+    def apply(changes: DataFrame, number: int) -> None:
+        last = changes.groupBy("source_id").agg(F.max_by("text", F.struct("arrived_at", "sha256")).alias("text"))
+        stale = stale_claims(claims(), last)
+        write(stale, affected(stale, live(), conflicts()), number)
+
+    return apply
