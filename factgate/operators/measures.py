@@ -82,10 +82,27 @@ def youden_threshold(samples: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def gate_score(outcomes: DataFrame) -> DataFrame:
-    """One row from (label, blocked): catch rate of bad labels, false-block rate of true ones, detection of untagged ones."""
+    """One row from (label, blocked): catch rate of bad labels, false-block rate of those that should pass, detection of untagged ones."""
     rate = lambda cond: F.avg(F.when(cond, F.col("blocked").cast("int")))
     bad = F.col("label").isin("false", "overstated", "partial", "not-citable", "combined-conclusion")
-    return outcomes.agg(rate(bad).alias("catch_rate"), rate(F.col("label") == "true").alias("false_block_rate"), rate(F.col("label") == "untagged").alias("untagged_rate"), F.count(F.lit(1)).alias("n"))
+    return outcomes.agg(rate(bad).alias("catch_rate"), rate(F.col("label").isin("true", "positioning")).alias("false_block_rate"), rate(F.col("label") == "untagged").alias("untagged_rate"), F.count(F.lit(1)).alias("n"))
+
+
+#: Rates that a release needs; fixed values.
+TARGETS = {"catch_rate": (">=", 0.95), "false_block_rate": ("<=", 0.10), "untagged_rate": (">=", 0.95)}
+SHOULD_PASS = ("true", "positioning")
+
+
+def gate_targets(score: DataFrame) -> DataFrame:
+    """(metric, value, target, passed) of the one row of gate_score; a rate without samples does not pass."""
+    rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(t).alias("target"), F.coalesce((F.col(m) >= t) if op == ">=" else (F.col(m) <= t), F.lit(False)).alias("passed")) for m, (op, t) in TARGETS.items()))
+    return score.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def gate_labels(outcomes: DataFrame) -> DataFrame:
+    """(label, n, blocked, misses) per label of (label, blocked): a miss is a sentence that should pass and does not, or the reverse."""
+    miss = F.col("label").isin(*SHOULD_PASS) == F.col("blocked")
+    return outcomes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("blocked"), F.count_if(miss).alias("misses"))
 
 
 def greedy_chunks(paragraphs: DataFrame, target: int = 180, tail: int = 90) -> DataFrame:
@@ -105,11 +122,3 @@ def greedy_chunks(paragraphs: DataFrame, target: int = 180, tail: int = 90) -> D
     d = paragraphs.groupBy("doc_id").agg(F.aggregate(ordered, init, step).alias("a"))
     rest = F.when((F.col("a.words") >= tail) | ((F.size("a.done") == 0) & (F.col("a.words") > 0)), F.array(F.struct(F.col("a.words").alias("words"), F.col("a.text").alias("text")))).otherwise(empty)
     return d.select("doc_id", F.posexplode(F.concat("a.done", rest)).alias("chunk", "c")).select("doc_id", "chunk", "c.words", "c.text")
-
-
-def style_score(measured: DataFrame, profile: DataFrame, weights: Sequence[float] = (0.5, 0.3, 0.2)) -> DataFrame:
-    """measured (key, mean_words, question_rate, exclaim_rate) against a one-row profile of the same measures: (key, score), a weighted mean of closeness from 0 to 1."""
-    p = profile.select(*(F.col(c).alias(f"p_{c}") for c in ("mean_words", "question_rate", "exclaim_rate")))
-    near = lambda c, scale: F.greatest(F.lit(0.0), 1 - F.abs(F.col(c) - F.col(f"p_{c}")) / scale)
-    score = weights[0] * near("mean_words", F.greatest(F.col("p_mean_words"), F.lit(1.0))) + weights[1] * near("question_rate", F.lit(0.5)) + weights[2] * near("exclaim_rate", F.lit(0.5))
-    return measured.join(F.broadcast(p.limit(1))).withColumn("score", F.round(score, 6)).select(*measured.columns, "score")

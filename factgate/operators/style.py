@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,11 +105,25 @@ def name_variants(docs: DataFrame, products: DataFrame, least: int = 2, k: int =
     return most_common(v, ["product_id"], "variant", "doc_id", k, least)
 
 
+def headings(md: Column) -> Column:
+    """The heading texts of Markdown, without tags."""
+    return F.transform(T.found(md, r"(?m)^#{1,6}[ \t]+(.*)$", 1), lambda h: F.trim(F.regexp_replace(h, r"\[\[[^\]]+\]\]", "")))
+
+
+def _is_title(h: Column) -> Column:
+    """Whether most words of over three letters behind the first are capitalised."""
+    words = F.filter(T.found(h, r"[A-Za-z][A-Za-z'-]*"), lambda w: F.length(w) > 3)
+    rest = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    return (F.size(words) >= 2) & (F.size(F.filter(rest, lambda w: w.rlike("^[A-Z]"))) >= F.greatest(F.lit(1.0), (F.size(words) - 1) * 0.6))
+
+
+def _case(titles: Column, n: Column) -> Column:
+    return F.when(n == 0, "sentence").when(titles / F.greatest(n, F.lit(1)) > 0.6, "title").when(titles / F.greatest(n, F.lit(1)) < 0.25, "sentence").otherwise("mixed")
+
+
 def heading_case(titles: Column) -> Column:
-    """title, sentence or mixed, by the share of capitalised words after the first of each heading."""
-    words = F.flatten(F.transform(titles, lambda t: F.filter(F.slice(F.split(t, r"\s+"), 2, 1 << 20), lambda w: w.rlike(r"^[A-Za-z]") & (F.length(w) > 3))))
-    share = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]"))) / F.greatest(F.lit(1), F.size(words))
-    return F.when(F.size(words) == 0, "sentence").when(share > 0.6, "title").when(share < 0.25, "sentence").otherwise("mixed")
+    """title, sentence or mixed, by the share of headings in title case; sentence without headings."""
+    return _case(F.size(F.filter(titles, _is_title)), F.size(titles))
 
 
 def style_profile(docs: DataFrame, products: DataFrame, lists: DataFrame, min_pieces: int = 3, min_words: int = 1500) -> DataFrame:
@@ -118,7 +132,9 @@ def style_profile(docs: DataFrame, products: DataFrame, lists: DataFrame, min_pi
     lengths = s.groupBy("product_id", "w").agg(F.count(F.lit(1)).alias("n"), F.count_if("you").alias("you"), F.count_if("x").alias("x"))
     rate = lambda c: F.sum(c) / F.sum("n")
     cadence = lengths.groupBy("product_id").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("avg_sentence_words"), rate("you").alias("second_person_rate"), rate("x").alias("exclamation_rate"), F.sum(F.col("w") * F.col("n")).alias("words"))
-    pieces = docs.groupBy("product_id").agg(F.count(F.lit(1)).alias("pieces"))
+    heads = headings(F.col("text"))
+    case = _case(F.sum(F.size(F.filter(heads, _is_title))), F.sum(F.size(heads)))
+    pieces = docs.groupBy("product_id").agg(F.count(F.lit(1)).alias("pieces"), case.alias("heading_case"))
     preferred = preferred_vocabulary(docs).groupBy("product_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("preferred"))
     used = docs.select("product_id", F.explode(hits(F.col("text"), T.strings(HYPE))).alias("h")).groupBy("product_id").agg(F.collect_set("h").alias("used"))
     none = F.array().cast("array<string>")
@@ -126,15 +142,16 @@ def style_profile(docs: DataFrame, products: DataFrame, lists: DataFrame, min_pi
     out = out.join(preferred, "product_id", "left").join(used, "product_id", "left").join(lists, "product_id", "left")
     return out.select(
         "product_id", F.coalesce("product_name", "name").alias("product_name"), "avg_sentence_words", "second_person_rate", "exclamation_rate", F.coalesce("preferred", none).alias("preferred"),
-        F.array_except(T.strings(HYPE), F.coalesce("used", none)).alias("avoid"), F.coalesce("banned", none).alias("banned"), F.coalesce("forbidden", none).alias("forbidden"),
+        "heading_case", F.array_except(T.strings(HYPE), F.coalesce("used", none)).alias("avoid"), F.coalesce("banned", none).alias("banned"), F.coalesce("forbidden", none).alias("forbidden"),
     )
 
 
 def profile_score(drafts: DataFrame, profiles: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """drafts (item_id, product_id, md) against their profile: (item_id, product_id, score, scores, hype, banned_hits, forbidden_hits).  Banned terms cap the score at 0.4."""
+    """drafts (item_id, product_id, md) against their profile: (item_id, product_id, score, scores, hype, banned_hits, forbidden_hits, heading_case).  Banned terms cap the score at 0.4."""
     text = T.strip_tags(F.col("md"))
     sentences = T.split_sentences(F.regexp_replace(text, r"(?m)^#+\s+.*$", ""))
-    d = drafts.join(profiles, "product_id").withColumns({"__t": text, "__s": sentences})
+    heads = headings(F.col("md"))
+    d = drafts.join(profiles.withColumnRenamed("heading_case", "__case"), "product_id").withColumns({"__t": text, "__s": sentences, "__heads": F.size(heads), "heading_case": heading_case(heads)})
     n = F.greatest(F.lit(1), F.size("__s"))
     rate = lambda cond: F.size(F.filter("__s", cond)) / n
     mean = F.aggregate("__s", F.lit(0), lambda a, x: a + T.word_count(x)) / n
@@ -147,28 +164,58 @@ def profile_score(drafts: DataFrame, profiles: DataFrame, weights: Mapping[str,
         "voice": zero(1 - F.abs(rate(lambda x: x.rlike(r"(?i)\b(you|your|yours)\b")) - F.col("second_person_rate")) * 1.5 - rate(lambda x: x.endswith("!")) * 3),
         "vocabulary": zero(F.least(F.lit(1.0), used) - 0.2 * F.size("hype")),
         "naming": F.when(F.size("forbidden_hits") > 0, 0.0).when(F.contains(F.lower("__t"), F.lower("product_name")), 1.0).otherwise(0.6),
-        "formatting": F.lit(1.0),
+        "formatting": F.when((F.col("heading_case") == F.col("__case")) | (F.col("__heads") == 0), 1.0).otherwise(0.5),
     }
     total = sum(w * scores[k] for k, w in weights.items()) / sum(weights.values())
     score = F.when(F.size("banned_hits") > 0, F.least(total, F.lit(0.4))).otherwise(total)
     named = F.create_map(*(x for k, v in scores.items() for x in (F.lit(k), F.round(v, 3))))
-    return d.select("item_id", "product_id", F.round(score, 3).alias("score"), named.alias("scores"), "hype", "banned_hits", "forbidden_hits")
+    return d.select("item_id", "product_id", F.round(score, 3).alias("score"), named.alias("scores"), "hype", "banned_hits", "forbidden_hits", "heading_case")
 
 
-def structure_audit(units: DataFrame, content_types: DataFrame) -> DataFrame:
-    """Units (item_id, content_type, index, kind, text) against their type (content_type, required, min_words, max_words): structure, call to action and length scores, and their mean."""
+def style_check(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """scores of profile_score with passed (null without a threshold) and flags, an array of (severity, issue, detail); thresholds: (product_id, threshold)."""
+    flag = lambda severity, issue, detail: F.struct(F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), detail.cast("string").alias("detail"))
+    each = lambda c, severity, issue: F.transform(c, lambda w: flag(severity, issue, w))
+    j = scores.join(thresholds.select("product_id", "threshold"), "product_id", "left").withColumn("passed", F.col("score") >= F.col("threshold"))
+    judged = F.when(F.col("threshold").isNull(), flag("low", "not-calibrated", F.lit(None))).when(~F.col("passed"), flag("high", "below-threshold", F.col("score")))
+    case = F.when(F.element_at("scores", "formatting") < 1, flag("low", "heading-case", F.col("heading_case")))
+    flags = F.concat(each("hype", "low", "avoided-word"), each("banned_hits", "high", "banned-term"), each("forbidden_hits", "high", "forbidden-name"), F.array_compact(F.array(case, judged)))
+    return j.withColumn("flags", flags)
+
+
+def structure_audit(units: DataFrame, content_types: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """(item_id, scores by criterion, score): structure, call to action, length, positioning and stage of drafts, and their mean.
+
+    units: (item_id, content_type, index, kind, level, text); level 1 is the headline.  content_types: (content_type, required
+    section names, min_words, max_words).  context: (item_id, stage, product_name, pains), pains null without a persona:
+    how many stems of the reader's pains the draft has, and whether it opens with the product for a reader who only knows the problem.
+    """
     plain = F.trim(T.strip_tags(F.col("text")))
     ask = (F.col("kind") != "heading") & (plain.rlike(L.CALL_TO_ACTION) | (plain.endswith("?") & plain.rlike(r"(?i)\b(walkthrough|demo|call|chat)\b")))
+    top = F.col("level") == 1 if "level" in units.columns else F.col("kind") == "heading"
+    said = F.array_sort(F.collect_list(F.when(F.col("kind") != "heading", F.struct("index", plain.alias("t")))))
     per = units.groupBy("item_id", "content_type").agg(
-        F.count_if(F.col("kind") == "heading").alias("headings"), F.collect_set(F.when(F.col("kind") == "heading", F.lower(plain))).alias("titles"), F.count_if(ask).alias("ctas"), F.countDistinct(F.when(ask, F.lower(plain))).alias("cta_kinds"), F.sum(T.word_count(plain)).alias("words")
+        F.count_if(top).alias("headlines"), F.collect_set(F.when(F.col("kind") == "heading", F.lower(plain))).alias("titles"), F.count_if(ask).alias("ctas"), F.countDistinct(F.when(ask, F.lower(plain))).alias("cta_kinds"),
+        F.sum(T.word_count(plain)).alias("words"), F.lower(F.array_join(F.slice(F.transform(said, lambda x: x["t"]), 1, 3), " ")).alias("opening"), F.array_distinct(F.flatten(F.collect_list(T.stems_gate(plain)))).alias("stems"),
     )
     j = per.join(content_types, "content_type")
-    missing = F.size(F.filter("required", lambda r: ~F.exists("titles", lambda t: F.contains(t, F.lower(r)))))
-    structure = F.greatest(F.lit(0.0), F.when(F.col("headings") > 0, 1.0).otherwise(0.3) - 0.15 * missing)
+    if context is None:
+        context = per.select("item_id", F.lit(None).cast("string").alias("stage"), F.lit("").alias("product_name"), F.lit(None).cast("array<string>").alias("pains"))
+    j = j.join(context, "item_id", "left")
+    zero = lambda c: F.greatest(F.lit(0.0), c)
+    missing = F.size(F.filter(F.slice("required", F.lit(2), F.greatest(F.size("required"), F.lit(1))), lambda r: ~F.exists("titles", lambda t: F.contains(t, F.lower(r)))))
+    email = F.col("content_type") == "email"
+    structure = F.when(F.col("headlines") > 0, 1.0).otherwise(0.3) - F.when(email, 0.0).otherwise(0.15 * missing)
     cta = F.when(F.col("ctas") == 0, 0.0).when(F.col("cta_kinds") > 2, 0.7).otherwise(1.0)
     edge = F.when(F.col("words") < F.col("min_words"), F.col("min_words")).otherwise(F.col("max_words"))
-    length = F.when(F.col("words").between(F.col("min_words"), F.col("max_words")), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("words") - edge) / F.greatest("min_words", F.lit(1))))
-    return j.select("item_id", structure.alias("structure"), cta.alias("cta"), length.alias("length"), F.round((structure + cta + length) / 3, 3).alias("score"))
+    length = F.when(F.col("words").between(F.col("min_words"), F.col("max_words")), 1.0).otherwise(zero(1 - F.abs(F.col("words") - edge) / F.greatest("min_words", F.lit(1))))
+    pains = T.stems_gate(F.array_join("pains", " "))
+    touched = F.size(F.array_intersect(pains, "stems")) / F.greatest(F.lit(1), F.size(pains))
+    positioning = F.when(F.col("pains").isNull(), 0.5).otherwise(F.least(F.lit(1.0), touched * 2))
+    early = F.col("stage").isin("unaware", "problem-aware") & (F.col("product_name") != "") & F.contains("opening", F.lower("product_name")) & F.col("pains").isNull()
+    stage = F.when(early, 0.5).otherwise(1.0)
+    total = (structure + cta + length + positioning + stage) / 5
+    return j.select("item_id", zero(structure).alias("structure"), cta.alias("cta"), length.alias("length"), positioning.alias("positioning"), stage.alias("stage"), zero(F.round(total, 3)).alias("score"))
 
 
 def reader_coverage(drafts: DataFrame, personas: DataFrame) -> DataFrame:
@@ -205,8 +252,9 @@ def seed_set(claims: DataFrame, per_kind: int = 12, seed: int = 7) -> DataFrame:
     return s.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_kind).drop("rn")
 
 
-def calibrate(samples: DataFrame, least: float = 0.9) -> DataFrame:
-    """One row from (score, label): area, threshold, J, means of both classes, and whether the area meets the target."""
+def calibrate(samples: DataFrame, least: float = 0.9, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row from (score, label): area, threshold, J, means of both classes, and whether the area meets the target.  A scorer adds the score."""
+    samples = samples if scorer is None else scorer(samples)
     means = samples.agg(F.avg(F.when(F.col("label") == 1, F.col("score"))).alias("mean_on"), F.avg(F.when(F.col("label") == 0, F.col("score"))).alias("mean_off"))
     return auc(samples).crossJoin(youden_threshold(samples)).crossJoin(means).withColumn("meets_target", F.col("auc") >= least)  # one row each
 

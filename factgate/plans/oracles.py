@@ -116,8 +116,7 @@ ORACLES: dict[str, str] = {
     "sentence_split": f"WITH {SENTENCES} SELECT doc_id, len(s)::BIGINT AS n_sentences, md5(array_to_string(s, chr(10))) AS digest FROM sentences",
     "tags": f"WITH {UNITS_SQL} SELECT item_id, count(DISTINCT cited_id) AS n_cited, 'It supports this. ' AS plain FROM units GROUP BY item_id",
     "text_measure": f"WITH {MEASURED} SELECT * FROM measured",
-    "style_scores": f"""WITH {MEASURED}, p AS (SELECT sum(mean_words * sentences) / sum(sentences) AS m, sum(question_rate * sentences) / sum(sentences) AS q, sum(exclaim_rate * sentences) / sum(sentences) AS x FROM measured)
-        SELECT source, round(0.5::DOUBLE * greatest(0, 1 - abs(mean_words - m) / greatest(m, 1)) + 0.3::DOUBLE * greatest(0, 1 - abs(question_rate - q) / 0.5::DOUBLE) + 0.2::DOUBLE * greatest(0, 1 - abs(exclaim_rate - x) / 0.5::DOUBLE), 6) AS score FROM measured, p""",
+    "style_scores": report_sql.STYLE.replace("{sentences}", _SPLIT),
     "claim_extract": f"""WITH {SENTENCES}, one AS (SELECT doc_id, unnest(s) AS text FROM sentences), k AS (
           SELECT doc_id, CASE WHEN len(string_split(text, ' ')) > 59 THEN array_to_string((string_split(text, ' '))[1:59], ' ') ELSE text END AS quote, text FROM one
           WHERE len(regexp_extract_all(text, {_q(L.WORD)})) >= 5 AND NOT ends_with(text, '?') AND NOT regexp_matches(text, {_q(L.SKIPPED_OPENING)}) AND regexp_matches(text, '[a-z]')
@@ -168,6 +167,12 @@ ORACLES: dict[str, str] = {
     "verify_sentences": f"""WITH {gate_sql.verified(CLAIMS_SQL)} SELECT label, claim_status, classification, verdict, reason, count(*) AS n, count(*) FILTER (reason = 'untagged' AND best_id = item_id) AS n_suggested, sum(reg_n)::BIGINT AS reg_n FROM verdicts GROUP BY ALL""",
     "gate_eval_run": f"""WITH {gate_sql.verified(CLAIMS_SQL)}, o AS (SELECT label, (verdict = 'block')::INTEGER AS b FROM verdicts WHERE claim_status = 'verified')
         SELECT avg(b) FILTER (label IN ('false', 'overstated', 'partial')) AS catch_rate, avg(b) FILTER (label = 'true') AS false_block_rate, avg(b) FILTER (label = 'untagged') AS untagged_rate, count(*) AS n FROM o""",
+    "gate_labels": f"WITH {gate_sql.verified(CLAIMS_SQL)} SELECT label, count(*) AS n, count(*) FILTER (verdict = 'block') AS blocked, count(*) FILTER ((label = 'true') = (verdict = 'block')) AS misses FROM verdicts GROUP BY label",
+    "gate_targets": f"""WITH {gate_sql.verified(CLAIMS_SQL)}, o AS (SELECT label, (verdict = 'block')::INTEGER AS b FROM verdicts WHERE claim_status = 'verified')
+        SELECT 'catch_rate' AS metric, avg(b) AS value, 0.95::DOUBLE AS target, avg(b) >= 0.95::DOUBLE AS passed FROM o WHERE label IN ('false', 'overstated', 'partial')
+        UNION ALL SELECT 'false_block_rate', avg(b), 0.1::DOUBLE, avg(b) <= 0.1::DOUBLE FROM o WHERE label = 'true' UNION ALL SELECT 'untagged_rate', avg(b), 0.95::DOUBLE, avg(b) >= 0.95::DOUBLE FROM o WHERE label = 'untagged'""",
+    "discovered": r"""WITH p AS (SELECT regexp_extract(url, '^(\w+://[^/]+)', 1) || '/' AS url, html FROM pages), l AS (SELECT url, unnest(list_distinct(list_transform(regexp_extract_all(html, 'href="([^"#]+)"', 1), lambda u: CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN u WHEN starts_with(u, '/') THEN rtrim(url, '/') || u ELSE url || u END))) AS link FROM p)
+        SELECT url, link, count(*) AS n FROM (SELECT * FROM l WHERE starts_with(link, url) AND link <> url UNION ALL SELECT url, url FROM p) GROUP BY url, link""",
     "repairs": gate_sql.repairs(CLAIMS_SQL),
     "affected": f"""WITH {CONFLICTS}, {UNITS_SQL}, stale AS (SELECT id AS claim_id FROM claims WHERE status <> 'verified'),
         t AS (SELECT 'content' AS kind, item_id::VARCHAR AS id, cited_id AS claim_id FROM units UNION ALL SELECT 'conflict', a || '~' || b, unnest([a, b]) FROM conflicts)

@@ -76,10 +76,19 @@ def text_measure(spark: SparkSession, d: str) -> DataFrame:
     return measures.measure_text(_documents(spark, d).select("source", "text"), "source")
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pieces of copy of their source, every other one under a title in capitals."""
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit("# The Whole Story About Things\n")).otherwise(F.lit("# one more story\n"))
+    return D.load(spark, d, "documents").select("doc_id", F.col("source").alias("product_id"), F.concat(head, "text").alias("text"))
+
+
 def style_scores(spark: SparkSession, d: str) -> DataFrame:
-    m = text_measure(spark, d).select("source", "mean_words", "question_rate", "exclaim_rate", "sentences")
-    whole = m.agg(*((F.sum(F.col(c) * F.col("sentences")) / F.sum("sentences")).alias(c) for c in ("mean_words", "question_rate", "exclaim_rate")))
-    return measures.style_score(m, whole).select("source", "score")
+    """Every document against the style profile of its source's documents."""
+    pieces = _pieces(spark, d)
+    products = pieces.select("product_id").distinct().withColumn("name", F.col("product_id"))
+    lists = products.select("product_id", F.array(F.lit("the end")).alias("banned"), F.array(F.lit("Productify")).alias("forbidden"), F.col("name").alias("product_name"))
+    scores = style.profile_score(pieces.withColumnsRenamed({"doc_id": "item_id", "text": "md"}), style.style_profile(pieces, products, lists))
+    return scores.select("item_id", "score", *(F.element_at("scores", c).alias(c) for c in style.WEIGHTS))
 
 
 def claim_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -299,6 +308,20 @@ def affected(spark: SparkSession, d: str) -> DataFrame:
     return gate.affected(stale, D.units(spark, d).select("item_id", "cited_id"), conflicts).select("kind", "id", F.array_join("claim_ids", ",").alias("claim_ids"))
 
 
+def gate_labels(spark: SparkSession, d: str) -> DataFrame:
+    return measures.gate_labels(_verified(spark, d).select("label", (F.col("verdict") == "block").alias("blocked")))
+
+
+def gate_targets(spark: SparkSession, d: str) -> DataFrame:
+    return measures.gate_targets(gate_eval_run(spark, d))
+
+
+def discovered(spark: SparkSession, d: str) -> DataFrame:
+    """Links of stored pages under their own host's address, seen as pages of that address."""
+    pages = D.load(spark, d, "pages").select(F.concat(F.regexp_extract("url", r"^(\w+://[^/]+)", 1), F.lit("/")).alias("url"), F.col("html").alias("body"), "page_id")
+    return parse.discover(pages.select(F.col("url"), "body"), "prefix").groupBy("url", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
 def value_counts(spark: SparkSession, d: str) -> DataFrame:
     return measures.most_common(D.load(spark, d, "events"), ["event_type"], "props", "event_id", 5, 3)
 
@@ -523,12 +546,8 @@ def audit_rollup_stream(spark: SparkSession, d: str) -> DataFrame:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints").rstrip("/")
     path = f"{root}/rollup-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(D.load(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out")
-
-    feeds.log_rollup(stream).writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(replace).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    feeds.upserts(feeds.log_rollup(stream), f"{path}/out", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return feeds.latest_upserts(spark.read.parquet(f"{path}/out"), ["window_start", "event_type"])
 
 
 def rebuild_text(spark: SparkSession, d: str) -> DataFrame:
@@ -599,6 +618,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gate_citations, category_mix, registry_stats, word_counts, sentence_split, tags, text_measure, style_scores, claim_extract, registry_build, registry_absent, id_allocation, ruling_fold, conflict_pairs, page_tension,
     doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, repairs, affected,
     vocabulary, seed_set, off_brand, allowed_claims, citations_view, proof_links, search_blocks, budget_state, correction_notes, browse, seed_batches, leaked_names, token_estimate,
-    kb_status, onboarding, blocks_by_reason, newest_drafts, auto_rounds, export_live, pending_extraction, claims_with_sources, unsupported_asks, relink_proofs, fact_check, pick_persona, golden_matches, reproducible, dq_sweep, column_constraints,
+    gate_labels, gate_targets, discovered, kb_status, onboarding, blocks_by_reason, newest_drafts, auto_rounds, export_live, pending_extraction, claims_with_sources, unsupported_asks, relink_proofs, fact_check, pick_persona, golden_matches, reproducible, dq_sweep, column_constraints,
     value_counts, phrases, links, html_blocks, markdown_blocks, draft_units, greedy_chunks, quality_dash, cost_dash, review_queue, coverage, gaps, section_alloc, dq_rules, log_rollup, audit_rollup_stream, rebuild_text,
 )}

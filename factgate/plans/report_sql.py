@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import planning, reports
+from ..operators.style import HYPE
 from ..sources.driver_tables import CLAIMS_SQL, PRODUCT_SOURCES_SQL, SOURCES_SQL
 from .sql_text import listed, normal, q, stem, stripped_tags, tokens
 
@@ -48,6 +49,22 @@ j AS (SELECT aid_id, pos, CASE WHEN coalesce(overlap, 0) < 0.6 THEN 'not-in-regi
 PERSONAS = f"""{PRODUCTS}, seg AS (SELECT DISTINCT c_mktsegment AS s FROM customer), b AS (SELECT c_custkey AS brief_id, 'Brand#' || (c_custkey % 25 + 1)::VARCHAR AS product_id, lower(c_mktsegment) AS audience, lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN ' for the buyer' ELSE '' END AS said FROM customer),
 p AS (SELECT product_id, s, length(s) AS pos, 'Head of ' || s AS name, list_distinct({tokens("'Head of ' || s || ' buyer of units'")}) AS t FROM seg, products WHERE num % 6 > 0),
 r AS (SELECT brief_id, name FROM b JOIN p USING (product_id) QUALIFY row_number() OVER (PARTITION BY brief_id ORDER BY len(list_intersect(list_distinct({tokens('said')}), t)) DESC, pos) = 1)"""
+STYLE = rf"""WITH pieces AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN '# The Whole Story About Things' ELSE '# one more story' END || chr(10) AS head, text FROM documents),
+one AS (SELECT doc_id, source, list_filter({{sentences}}, lambda s: true) AS s FROM pieces),
+whole AS (SELECT doc_id, source, {{sentences}} AS s FROM (SELECT doc_id, source, head || text AS text FROM pieces)),
+w AS (SELECT source, unnest(s) AS t FROM whole), cad AS (SELECT source, avg(len(regexp_extract_all(t, {q(L.WORD)}))) AS a, avg(regexp_matches(t, '(?i)\b(you|your|yours)\b')::INT) AS y, sum(len(regexp_extract_all(t, {q(L.WORD)}))) AS words FROM w GROUP BY source),
+n AS (SELECT source, count(*) AS pieces, count(*) FILTER (doc_id % 2 = 0) / count(*) AS titled FROM pieces GROUP BY source),
+v AS (SELECT source, doc_id, unnest({tokens('head || text')}) AS word FROM pieces), vc AS (SELECT source, word, count(*) AS c, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id), word) AS r FROM v WHERE length(word) > 3 AND NOT regexp_full_match(word, '\d+') GROUP BY source, word),
+pref AS (SELECT source, list(word) AS preferred FROM (SELECT * FROM vc WHERE r <= 60 AND c >= 3 QUALIFY row_number() OVER (PARTITION BY source ORDER BY r) <= 20) GROUP BY source),
+prof AS (SELECT source, a, y, CASE WHEN titled > 0.6 THEN 'title' WHEN titled < 0.25 THEN 'sentence' ELSE 'mixed' END AS hc, coalesce(preferred, []) AS preferred FROM cad JOIN n USING (source) LEFT JOIN pref USING (source) WHERE pieces >= 3 AND words >= 1500),
+hy AS (SELECT source, list_filter({{hype}}, lambda h: NOT list_contains(used, h)) AS avoid FROM (SELECT source, coalesce(list(DISTINCT h) FILTER (h IS NOT NULL), []) AS used FROM (SELECT source, unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS h FROM (SELECT source, list_filter({{hype}}, lambda h: regexp_matches(lower(head || text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(h) || '([^\p{{L}}\p{{N}}_]|$)')) AS x FROM pieces)) GROUP BY source)),
+d AS (SELECT doc_id AS item_id, p.source, head || text AS t, len(s) AS n, list_sum(list_transform(s, lambda x: len(regexp_extract_all(x, {q(L.WORD)})))) AS words, len(list_filter(s, lambda x: regexp_matches(x, '(?i)\b(you|your|yours)\b'))) AS you, len(list_filter(s, lambda x: ends_with(x, '!'))) AS ex FROM one JOIN pieces p USING (doc_id)),
+j AS (SELECT d.*, prof.* EXCLUDE (source), avoid, CASE WHEN item_id % 2 = 0 THEN 'title' ELSE 'sentence' END AS own, greatest(1, n) AS m FROM d JOIN prof USING (source) JOIN hy USING (source)),
+k AS (SELECT item_id, t, greatest(0, 1 - abs(coalesce(words, 0) / m - a) / greatest(1, a)) AS cadence, greatest(0, 1 - abs(you / m - y) * 1.5::DOUBLE - ex / m * 3) AS voice,
+  greatest(0, least(1, len(list_filter(preferred, lambda w: regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(w) || '([^\p{{L}}\p{{N}}_]|$)'))) / greatest(1, least(6, len(preferred)))) - 0.2::DOUBLE * len(list_filter(avoid, lambda w: regexp_matches(lower(t), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(w) || '([^\p{{L}}\p{{N}}_]|$)')))) AS vocabulary,
+  CASE WHEN regexp_matches(t, '(^|[^\w-])Productify([^\w-]|$)') THEN 0.0 WHEN contains(lower(t), lower(source)) THEN 1.0 ELSE 0.6 END::DOUBLE AS naming, CASE WHEN own = hc THEN 1.0 ELSE 0.5 END::DOUBLE AS formatting, regexp_matches(lower(t), '\bthe end\b') AS banned FROM j),
+f AS (SELECT *, 0.25::DOUBLE * voice + 0.25::DOUBLE * cadence + 0.2::DOUBLE * vocabulary + 0.2::DOUBLE * naming + 0.1::DOUBLE * formatting AS total FROM k)
+SELECT item_id, round(CASE WHEN banned THEN least(total, 0.4::DOUBLE) ELSE total END, 3) AS score, round(voice, 3) AS voice, round(cadence, 3) AS cadence, round(vocabulary, 3) AS vocabulary, round(naming, 3) AS naming, round(formatting, 3) AS formatting FROM f""".replace("{hype}", listed(HYPE))
 _SAID = f"md5(lower({normal('text')}))"
 
 

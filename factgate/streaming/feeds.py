@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
 from ..operators.gate import affected
-from ..operators.registry import detect_changes
+from ..operators.registry import detect_changes, latest
 from ..operators.search import contained
 
 
@@ -22,6 +22,20 @@ def log_rollup(events: DataFrame, late: str = "10 minutes", every: str = "1 hour
     return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
+def upserts(table: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A writer of an aggregate's changed rows, each micro-batch to a folder of its own that a replay replaces; state behind the watermark is dropped."""
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return table.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(on_batch)
+
+
+def latest_upserts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last version of each key of what `upserts` wrote (with its column batch)."""
+    return latest(rows, keys, ["batch"]).drop("batch")
+
+
 def batch_changes(batch: DataFrame, current: DataFrame) -> DataFrame:
     """The versions (source_id, sha256, arrived_at, …) of a batch that change something, in order of arrival: A to B to A is two changes."""
     w = Window.partitionBy("source_id").orderBy("arrived_at", "sha256")
