@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from factgate.functions import text as T
-from factgate.operators import gate, measures, registry, reports, search
+from factgate.operators import gate, measures, planning, quality, registry, reports, search
 from factgate.plans import queries
 from factgate.sources import parse, store
 from factgate.streaming import feeds
@@ -257,21 +257,109 @@ def test_stream_equals_batch(spark, tmp_path):
     e = spark.createDataFrame([(dt.datetime(2024, 1, 1, h, 5 * i), k, 1.0) for h in range(3) for i in range(5) for k in "ab"], "ts timestamp, event_type string, value double")
     e.write.parquet(str(tmp_path / "in"))
     stream = feeds.log_rollup(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("memory").queryName("rolled").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination()
-    assert sorted(map(tuple, spark.table("rolled").collect())) == sorted(map(tuple, feeds.log_rollup(e).collect()))
+    feeds.upserts(stream, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = feeds.latest_upserts(spark.read.parquet(str(tmp_path / "out")), ["window_start", "event_type"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, feeds.log_rollup(e).collect()))
 
 
 def test_sections_retention_rules(spark):
     briefs = spark.createDataFrame([(1,), (2,)], "brief_id int")
-    cand = spark.createDataFrame([(b, s, i, 10 - n) for b in (1, 2) for s in range(2) for n, i in enumerate("abc")], "brief_id int, section int, id string, score int")
-    got = reports.allocate_sections(briefs, cand, 2, 2).collect()
-    assert sorted((r.brief_id, r.section, r.id) for r in got) == [(b, *x) for b in (1, 2) for x in ((0, "a"), (0, "b"), (1, "c"))]
+    c = spark.createDataFrame([("a", "P", "One.", "metric", "verified"), ("b", "P", "one. ", "x", "verified"), ("c", "P", "Two.", "x", "verified"), ("d", "P", "Three cheap.", "x", "verified"), ("e", "P", "Four.", "x", "deprecated"), ("f", "P", "Five.", "security", "verified")], "id string, product_id string, text string, category string, status string")
+    cand = spark.createDataFrame([(x, s_, i, False, n) for x in (1, 2) for s_ in ("hero", "benefits", "proof", "cta") for n, i in enumerate("abcdef")] + [(1, s_, "f", True, 0) for s_ in ("hero", "benefits", "proof")], "brief_id int, section string, id string, is_proof boolean, rank int")
+    avoid = spark.createDataFrame([("P", ["Cheap"])], "product_id string, terms array<string>")
+    got = planning.allocate_sections(cand, c, ("hero", "benefits", "proof", "cta"), avoid).collect()
+    # The hero takes one and no proof point; benefits take proof first; b says what a says; proof needs its categories.
+    assert sorted((r.brief_id, r.section, r.pick, r.id) for r in got) == [(1, "benefits", 1, "f"), (1, "benefits", 2, "c"), (1, "hero", 1, "a"), (2, "benefits", 1, "c"), (2, "benefits", 2, "f"), (2, "hero", 1, "a")]
     rounds = spark.createDataFrame([(1, 1, "blocked", dt.datetime(2020, 1, 1)), (1, 2, "approved", dt.datetime(2020, 1, 2)), (1, 3, "blocked", dt.datetime(2024, 1, 1))], "item_id int, round int, status string, created_at timestamp")
     assert [r["round"] for r in reports.retention_plan(rounds, 30, F.lit("2024-01-10").cast("timestamp")).collect()] == [1]
     bad = reports.violations(briefs, F.col("brief_id"), {"one": F.col("brief_id") == 1, "all": F.lit(True)})
     assert {r.rule: r.n for r in reports.run_rules(bad, reports.duplicate_keys(briefs.union(briefs), "brief_id")).collect()} == {"one": 1, "all": 2, "duplicate-id": 2}
 
 
+def test_rule_sets(spark):
+    found = lambda df: {(r.rule, r.key) for r in df.collect()}
+    reports_ = spark.createDataFrame([(1, "approved-override", 1, None), (2, "approved", 2, None), (3, "approved-override", 1, (" ",)), (4, "approved", 0, None)], "item_id int, status string, block_count int, override struct<reason:string>")
+    assert found(quality.report_rules(reports_)) == {("override-missing", "1"), ("approved-with-blocks", "2"), ("override-without-reason", "3")}
+    assert found(quality.evidence_rules(spark.createDataFrame([("a", 3, 2), ("b", 2, 2)], "id string, count int, total int"))) == {("count-exceeds-total", "a")}
+    profile = [("P", "Acme", ["One"], ["ONE", "Acme"], ["calm"], ["CALM"], "active", False, [0.5, 0.4]), ("Q", "Quill", [], [], [], [], "draft", False, []), ("R", "Rill", ["a"], ["b"], ["c"], ["d"], "active", True, [0.5, 0.495])]
+    p = spark.createDataFrame(profile, "product_id string, product_name string, allowed array<string>, forbidden array<string>, preferred array<string>, banned array<string>, status string, consistent boolean, weights array<double>")
+    assert found(quality.profile_rules(p)) == {(r, "P") for r in ("name-forbidden", "variant-allowed-and-forbidden", "word-preferred-and-banned", "inconsistent-but-active", "weights-do-not-sum-to-one")}
+    c = spark.createDataFrame([("PT-001", "q " * 60, "metric", "high", "verified", None, None), ("XX-002", "ok", "metric", "low", "verified", "confirmed", None), ("PT-003", "ok", "market-evidence", "high", "needs-review", None, None), ("PT-003", "ok", "x", "high", "verified", None, None)], "id string, quote string, category string, confidence string, status string, decision string, count int")
+    assert found(quality.claim_rules(c, "PT")) == {("quote-too-long", "PT-001"), ("needs-confirmation", "PT-001"), ("id-prefix", "XX-002"), ("evidence-without-count", "PT-003"), ("duplicate-id", "PT-003")}
+    rails, known = spark.createDataFrame([("P", "r", "D1"), ("P", "r", "D2")], "product_id string, rule string, decision_id string"), spark.createDataFrame([("D1",)], "id string")
+    proofs = spark.createDataFrame([("1", "has-claim", []), ("2", "needs-claim", ["a"]), ("3", "has-claim", ["a"])], "id string, status string, claim_ids array<string>")
+    assert found(quality.pack_rules(rails, proofs, known)) == {("unknown-decision", "D2"), ("has-claim-without-ids", "1"), ("needs-claim-with-ids", "2")}
+    t = spark.createDataFrame([("a", 1, ["x"]), (None, None, None), ("zz", 9, [])], "s string, n int, l array<string>")
+    rules = quality.constraints(["s"], {"s": ("a", "zz")}, {"s": "^a"}, {"n": (2, 8)}, {"s": (1, 1), "l[]": (1, None)})
+    assert sorted((r.rule, r.key or "") for r in reports.violations(t, F.coalesce("s", F.lit("-")), rules).collect()) == [("l[]: length", "zz"), ("n: range", "a"), ("n: range", "zz"), ("s: length", "zz"), ("s: pattern", "zz"), ("s: required", "-")]
+
+
+def test_status_onboarding_and_estimates(spark):
+    products = spark.createDataFrame([("P",), ("Q",), ("R",)], "product_id string")
+    sources = spark.createDataFrame([("P", "truth", "active", 100), ("P", "style", "active", 10), ("Q", "truth", "removed", 5), ("R", "truth", "active", 1)], "product_id string, type string, status string, words int")
+    c = spark.createDataFrame([("P", "1", "verified"), ("P", "2", "needs-review"), ("R", "3", "needs-review")], "product_id string, id string, status string")
+    profiles, packs, stale = spark.createDataFrame([("P", "active", 0.7)], "product_id string, status string, threshold double"), spark.createDataFrame([("P",)], "product_id string"), spark.createDataFrame([("P", 1)], "product_id string, source_id int")
+    status = reports.kb_status(products, sources, c, profiles, packs, stale)
+    got = {r.product_id: (r.state, r.blockers, r.warnings) for r in status.collect()}
+    assert got["P"] == ("stale", [], ["no-positioning-sources", "stale"]) and got["Q"][:2] == ("blocked", ["no-truth-sources"]) and got["R"][:2] == ("blocked", ["no-verified-claims"])
+    done = {(r.product_id, r.step): r.done for r in reports.onboarding(status, packs).collect()}
+    assert done["P", "knowledge base"] and not done["P", "claims reviewed"] and done["P", "style threshold"] and not done["R", "knowledge base"]
+    tokens = {(r.product_id, r.kind): r.tokens for r in reports.estimate_tokens(c, sources).collect()}
+    assert tokens["P", "eval"] == 49600 and tokens["P", "quick-check"] == 15060 and tokens["P", "ingest"] == 462 and tokens["P", "content"] == 120 + 40000 + (4 * 6060 + 30000) * 3
+
+
+def test_planning_facts_and_golden(spark):
+    c = claims(spark, ("LM-001", "Lantern stores logs for nine days.", "metric", "high", "verified"), ("LM-002", "Lantern pairs with sensors.", "x", "high", "deprecated"))
+    briefs = spark.createDataFrame([(1, "P", "Say it only stores logs for nine days. Mention the first moon landing; Be kind.")], "brief_id int, product_id string, notes string")
+    assert [(r.pos, r.need) for r in planning.unsupported_asks(briefs, c, 0.5).collect()] == [(1, "Mention the first moon landing;")]
+    aids = spark.createDataFrame([(1, "P", "# Lantern stores logs for nine days.\nLantern never stores logs for nine days. Lantern heats your kitchen every evening. Nothing about it here at all.")], "aid_id int, product_id string, text string")
+    assert [(r.issue, r.claim_id) for r in planning.fact_check(aids, spark.createDataFrame([("P", "Lantern")], "product_id string, name string"), c).orderBy("pos").collect()] == [("contradicts", "LM-001"), ("not-in-registry", None)]
+    personas = spark.createDataFrame([("P", 0, "Ops lead", "runs shifts"), ("P", 1, "Cook", "runs kitchens")], "product_id string, pos int, name string, role string")
+    asked = spark.createDataFrame([(1, "P", "cooks of kitchens", None), (2, "P", "nobody", ""), (3, "Q", "readers", None)], "brief_id int, product_id string, audience string, notes string")
+    assert {r.brief_id: r.persona for r in planning.pick_persona(asked, personas).collect()} == {1: "Cook", 2: "Ops lead", 3: "readers"}
+    golden = spark.createDataFrame([("P", "LANTERN stores  logs for nine days."), ("P", "stores logs for nine"), ("P", "We know: Lantern pairs with sensors. Yes."), ("P", "Lantern"), ("P", "unknown words")], "product_id string, quote string")
+    found = {r.quote: r.claim_id for r in planning.golden_matches(golden, c.withColumn("pos", F.substring("id", 6, 1).cast("int"))).collect()}
+    assert list(found.values()).count(None) == 1 and found["stores logs for nine"] == "LM-001" and found["We know: Lantern pairs with sensors. Yes."] == "LM-002" and found["Lantern"] == "LM-001" and found["unknown words"] is None
+    responses = spark.createDataFrame([("s", 1, "size", "Small "), ("s", 2, "size", "small"), ("s", 2, "team", "x"), ("s", 3, "size", "big")], "source_id string, response_id int, field string, value string")
+    evidence = spark.createDataFrame([("s", "size=Small", 2, 3), ("s", "size=small", 3, 3), ("s", "size = big", 1, 2), ("s", "none=x", 0, 3)], "source_id string, query string, count int, total int")
+    assert {r["query"] for r in planning.reproducible(evidence, responses).collect()} == {"size=Small", "none=x"}
+
+
+def test_discovery_slugs_and_positioning(spark):
+    rows = [("https://a.org/docs/", '[x](https://b.org/1) [y](/two) [z](three) <loc> https://a.org/s </loc> href="p" href="/docs/p" href="/other" href="https://a.org/docs/q"')]
+    b = spark.createDataFrame(rows, "url string, body string")
+    found = lambda mode: [r.link for r in parse.discover(b, mode).orderBy("pos").collect()]
+    assert found("llms") == ["https://b.org/1", "https://a.org/two"] and found("sitemap") == ["https://a.org/s"] and found("prefix") == ["https://a.org/docs/", "https://a.org/docs/p", "https://a.org/docs/q"]
+    assert spark.createDataFrame([("  Élan & Co. 2!",)], "t string").select(parse.slug(F.col("t")).alias("s"), parse.slug(F.lit("!!")).alias("e")).first()[:] == ("lan-co-2", "source")
+    md = "# P\n## Personas\n### Ana\nRole: lead; owner\nToo dear => It saves days\n\nproof: Nine days\n\nWarm words"
+    blocks = parse.markdown_blocks(spark.createDataFrame([("s", md.replace("owner\n", "owner\n\n"))], "source_id string, body string"))
+    assert {(r.section, r.entry, r.kind, r.name, r.value) for r in parse.positioning(blocks).collect()} == {("personas", "Ana", "field", "role", "lead"), ("personas", "Ana", "field", "role", "owner"), ("personas", "Ana", "pair", "Too dear", "It saves days"), ("personas", "Ana", "proof", "proof", "Nine days"), ("personas", "Ana", "text", None, "Warm words")}
+
+
+def test_stores_extract_only_what_changed_and_export_what_is_live(spark):
+    s = spark.createDataFrame([("a", "1", "active"), ("b", "2", "active"), ("c", "3", "removed")], "source_id string, sha256 string, status string")
+    done = spark.createDataFrame([("a", "1"), ("b", "1")], "source_id string, sha256 string")
+    assert [r.source_id for r in store.pending_extraction(s, done).collect()] == ["b"] and [r.source_id for r in store.current_records(s, done).collect()] == ["a"]
+    ok, bad = store.split_parsed(spark.createDataFrame([("u", "x"), ("v", None), ("w", " ")], "url string, text string"))
+    assert [r.url for r in ok.collect()] == ["u"] and {r.url: r.error for r in bad.collect()} == {"v": "not fetched", "w": "no text"}
+    items = spark.createDataFrame([(1, 2, "approved"), (2, 1, "flagged"), (3, None, None)], "item_id int, live_round int, live_status string")
+    texts = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "x")], "item_id int, round int, final_text string")
+    assert [r.final_text for r in store.export_live(items, texts).collect()] == ["new"]
+    types = store.content_types(spark.createDataFrame([("lp", 1), ("mail", 1)], "id string, v int"), spark.createDataFrame([("lp", 2)], "id string, v int"))
+    assert {r.id: r.v for r in types.collect()} == {"lp": 2, "mail": 1}
+    both = store.registry_input(spark.createDataFrame([("a", "x")], "id string, category string"), spark.createDataFrame([("b", 3)], "id string, count int"))
+    assert {(r.id, r.category, r["count"]) for r in both.collect()} == {("a", "x", None), ("b", "market-evidence", 3)}
+
+
+def test_changes_make_claims_stale_and_touch_content(spark):
+    c = spark.createDataFrame([("1", "a", "Old words", "verified"), ("2", "a", "kept", "verified"), ("3", "b", "gone", "verified"), ("4", "a", "Old words", "deprecated"), ("5", "c", "x", "verified")], "id string, source_id string, quote string, status string")
+    changes = spark.createDataFrame([("a", "s1", 1, "Old words KEPT"), ("a", "s2", 2, "New words, KEPT"), ("b", "s3", 1, None)], "source_id string, sha256 string, arrived_at int, text string")
+    live, conflicts = spark.createDataFrame([(7, "1"), (8, "2")], "item_id int, cited_id string"), spark.createDataFrame([("x", ["3", "5"]), ("y", ["2", "5"])], "id string, claim_ids array<string>")
+    seen = []
+    feeds.on_change(lambda: c, lambda: live, lambda: conflicts, lambda stale, hit, n: seen.append(({r.id for r in stale.collect()}, {(r.kind, r.id) for r in hit.collect()}, n)))(changes, 4)
+    assert seen == [({"1", "3"}, {("content", "7"), ("conflict", "x")}, 4)]
+
+
 def test_final_copy_only_for_its_own_hash(spark):
     d = spark.createDataFrame([(1, "A fact [[PT-001]].\n\n\n\nB <!-- x -->"), (2, "C")], "item_id int, md string")
     r = d.select("item_id", F.lit("approved").alias("status"), F.when(F.col("item_id") == 1, F.sha2("md", 256)).otherwise(F.lit("other")).alias("draft_hash"))

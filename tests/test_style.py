@@ -36,6 +36,11 @@ def test_profile_and_scores(spark):
     d = spark.createDataFrame([(1, "P", good), (2, "P", bad), (3, "P", banned)], "item_id int, product_id string, md string")
     s = {r.item_id: r for r in style.profile_score(d, profile).collect()}
     assert s[1].score > 0.8 > s[2].score and s[3].score == 0.4 and s[2].forbidden_hits == ["Lamp"] and set(s[2].hype) == {"revolutionary", "seamless"}
+    assert row.heading_case == "sentence"
+    titled = spark.createDataFrame([(4, "P", "# Every Evening Walk Glows\n" + good), (5, "P", "# every evening walk\n" + good)], "item_id int, product_id string, md string")
+    assert {r.item_id: r.scores["formatting"] for r in style.profile_score(titled, profile).collect()} == {4: 0.5, 5: 1.0}
+    checked = {r.item_id: (r.passed, {(f.severity, f.issue) for f in r.flags}) for r in style.style_check(style.profile_score(d, profile), spark.createDataFrame([("P", 0.7)], "product_id string, threshold double")).collect()}
+    assert checked[1] == (True, set()) and checked[3] == (False, {("high", "banned-term"), ("high", "below-threshold")}) and ("high", "forbidden-name") in checked[2][1]
     chunks = spark.createDataFrame([(1, 0, good)], "doc_id int, chunk int, text string")
     off = style.off_brand(chunks).select(F.monotonically_increasing_id().alias("item_id"), F.lit("P").alias("product_id"), F.col("text").alias("md"))
     on = spark.createDataFrame([(100, "P", good), (101, "P", text[:300])], "item_id long, product_id string, md string")
@@ -44,10 +49,15 @@ def test_profile_and_scores(spark):
 
 
 def test_structure_and_readers(spark):
-    units = spark.createDataFrame([(1, "lp", 0, "heading", "Benefits"), (1, "lp", 1, "sentence", "Book a demo today."), (2, "lp", 0, "sentence", "It is.")], "item_id int, content_type string, index int, kind string, text string")
-    types = spark.createDataFrame([("lp", ["benefits"], 3, 20)], "content_type string, required array<string>, min_words int, max_words int")
+    rows = [(1, "lp", 0, "heading", 1, "Lantern at home"), (1, "lp", 1, "heading", 2, "Benefits"), (1, "lp", 2, "sentence", 0, "Book a demo today."), (2, "lp", 0, "sentence", 0, "It is."), (3, "email", 0, "sentence", 0, "Lantern is here. Book it.")]
+    units = spark.createDataFrame(rows, "item_id int, content_type string, index int, kind string, level int, text string")
+    types = spark.createDataFrame([("lp", ["hero", "benefits"], 3, 20), ("email", ["hero", "benefits"], 3, 20)], "content_type string, required array<string>, min_words int, max_words int")
     got = {r.item_id: r for r in style.structure_audit(units, types).collect()}
-    assert got[1].score == 1.0 and got[2].cta == 0.0 and abs(got[2].structure - 0.15) < 1e-9
+    assert (got[1].structure, got[1].cta, got[1].length, got[1].positioning, got[1].stage, got[1].score) == (1.0, 1.0, 1.0, 0.5, 1.0, 0.9)
+    assert got[2].cta == 0.0 and abs(got[2].structure - 0.15) < 1e-9 and got[3].structure == 0.3
+    context = spark.createDataFrame([(1, "aware", "Lantern", ["demo booked late"]), (3, "unaware", "Lantern", None)], "item_id int, stage string, product_name string, pains array<string>")
+    told = {r.item_id: r for r in style.structure_audit(units, types, context).collect()}
+    assert told[1].positioning == 1.0 and told[3].stage == 0.5 and told[2].stage == 1.0
     drafts = spark.createDataFrame([(1, "P", "Fast setup and clear pricing for security reviews."), (2, "P", "Hello."), (3, "P", "Fast setup.")], "item_id int, product_id string, text string")
     personas = spark.createDataFrame([("P", ["fast setup", "clear pricing"], ["security reviews"])], "product_id string, priorities array<string>, objections array<string>")
     assert {r.item_id: r.verdict for r in style.reader_coverage(drafts, personas).collect()} == {1: "yes", 2: "no", 3: "maybe"}
