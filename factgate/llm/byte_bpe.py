@@ -25,8 +25,8 @@ from .common import hold, prepare, whole
 REMEMBERED, PAIRS = 400_000, 600_000
 #: Lengths of beginnings whose prefixes are kept for other matches.
 STEMS = (9, 7, 5)
-#: Texts are handed on in batches of about this many bytes.
-BATCH_BYTES = 8 << 20
+#: Texts are handed on in batches of about this many bytes; larger ones repeat more pieces.
+BATCH_BYTES, PIECE_BATCH_BYTES = 4 << 20, 8 << 20
 
 
 class Ranks:
@@ -201,9 +201,9 @@ def _cuts(data: np.ndarray, cut_before: bytes) -> np.ndarray:
     return at[~((two == 0xC2) | np.isin(three, [0xE1, 0xE2, 0xE3]) & (data[at - 1] >= 0x80))]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        step = max(1, min(b.num_rows, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
+        step = max(1, min(b.num_rows, b.num_rows * size // max(1, b.nbytes)))
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
 
@@ -223,7 +223,7 @@ def encode_texts(
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("byte_bpe", encoder.cache_clear)
         encode = encoder(ranks_path, pattern).encode_all
-        for b in _slices(batches):
+        for b in _slices(batches, PIECE_BATCH_BYTES):
             ids, ends = encode(b.column(0), cut_before)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], lists], [*b.schema.names[1:], "ids"])

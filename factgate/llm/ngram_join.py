@@ -9,10 +9,10 @@ the shingles of their prefixes:
    with the next one of its shingle only, in an order that differs from shingle to shingle; these pairs are verified on
    the whole texts and nearly always connect what belongs together.
 2. What is left to find are links between different components.  Shingles whose postings still lie in several components
-   are joined exhaustively, in blocks of bounded size: size, position and parity-signature bounds, none of which can lose
-   a link, drop nearly all pairs there, groups are expanded to their members, and the rest is verified on the texts.
-   Members of one group share all of its prefix: a group in several components is opened by its first shingle, whether or
-   not another group has that shingle.
+   are joined exhaustively by size class, in blocks of bounded size, on groups: component, size, position and, for groups
+   of one member, parity-signature bounds, none of which can lose a link, drop nearly all group pairs.  The pairs that
+   stay are expanded to their members, in blocks again, filtered by their signatures, and the rest is verified on the
+   texts.  Members of one group share all of its prefix: a group in several components is paired with itself.
 
 So every pair that could link two components is looked at, and no task, broadcast or result grows with the square of a
 group of copies.
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .byte_bpe import _slices
 from .common import hold, packed, prepare, stored, whole
@@ -36,8 +36,12 @@ from .common import hold, packed, prepare, stored, whole
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch (it is broadcast at one byte each), and the parts it is summed in.
 SKETCH, PARTS = 1 << 22, 64
-#: Entries of a block in the exhaustive step; keys that are broadcast at most when texts are fetched.
-BLOCK, FETCH_BROADCAST = 256, 200_000
+#: Entries of a block in the exhaustive step, at least; keys that are broadcast at most when texts are fetched; pairs of a member before it is split.
+BLOCK, FETCH_BROADCAST, HOT = 256, 200_000, 256
+#: Entries up to which runs are compared together, and rows of a tile of longer ones.
+SHORT, TILE = 64, 64
+#: Map tasks whose counts one task of the sketch sums.
+FAN_IN = 256
 REMEMBERED = 150_000
 
 
@@ -113,15 +117,28 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
         small = np.minimum(held, 65535).astype(np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([small[i * size : (i + 1) * size].tobytes() for i in range(PARTS)], pa.binary())], ["part", "counts"])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held[part] = held.get(part, 0) + np.frombuffer(counts, np.uint16).astype(np.uint64)
+        return held
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = summed(batches)
+        small = [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(small, pa.binary())], ["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = summed(batches)
         logs = [np.log2(np.maximum(x, 1).astype(np.float64)).astype(np.uint8).tobytes() for x in held.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(logs, pa.binary())], ["part", "logs"])
 
-    parts = texts.mapInArrow(per_task, "part int, counts binary").repartition(PARTS, "part").mapInArrow(total, "part int, logs binary").collect()
+    counted = texts.mapInArrow(per_task, "part int, counts binary")
+    salts = -(-texts.rdd.getNumPartitions() // FAN_IN)
+    if salts > 1:
+        counted = counted.withColumn("salt", F.spark_partition_id() % salts).repartition(PARTS * salts, "part", "salt").mapInArrow(partial, "part int, counts binary")
+    parts = counted.repartition(PARTS, "part").mapInArrow(total, "part int, logs binary").collect()
     out = np.zeros(SKETCH, np.uint8)
     for r in parts:
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["logs"], np.uint8)
@@ -152,7 +169,7 @@ def _described(docs: DataFrame, logs: np.ndarray, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["id", "tkey", "n", "member", "grp", "prefix", "sig"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(per_task, f"id {kind}, tkey long, n long, member binary, grp long, prefix array<long>, sig binary")
+    return docs.mapInArrow(per_task, f"id {kind}, tkey binary, n long, member binary, grp long, prefix array<long>, sig binary")
 
 
 def _meetings(postings: DataFrame) -> DataFrame:
@@ -207,13 +224,13 @@ def _could_link(pairs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of the member pairs (a, b), those that link, by the shingle sets of their whole texts."""
     pairs = pairs.checkpoint()
-    active = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct().join(members.select("member", "tkey"), "member").checkpoint()
+    active = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).groupBy("member").agg(F.count(F.lit(1)).alias("pairs")).join(members.select("member", "tkey"), "member").checkpoint()
     keys = active.select(F.col("tkey").alias("key"))
     if active.count() <= FETCH_BROADCAST:
         keys = F.broadcast(keys)
     texts = docs.join(keys, F.col("tkey") == F.col("key"), "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
     texts = stored(active.join(texts, "tkey").select("member", "text"))
-    side = lambda x: texts.select(F.col("member").alias(x), F.col("text").alias(f"{x}_text"))
+    side = lambda x: texts.select(F.col("member").alias(x), F.col("copy").alias(f"{x}_copy"), F.col("text").alias(f"{x}_text"))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("ngram_join", HASHES.clear)
@@ -228,7 +245,16 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: in
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole_pairs = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
+    # Texts of members with very many pairs are copied, and the pairs dealt to the copies.
+    hot = active.where(F.col("pairs") > HOT).select("member", F.ceil(F.col("pairs") / HOT).cast("int").alias("copies")).checkpoint()
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= FETCH_BROADCAST else hot
+    copies = F.coalesce("copies", F.lit(1))
+    for x, y in (("b", "a"), ("a", "b")):
+        copy = F.pmod(F.xxhash64(y), copies).cast("int") if n_hot else F.lit(0)
+        pairs = (pairs.join(hot.withColumnRenamed("member", x), x, "left") if n_hot else pairs).withColumn(f"{x}_copy", copy).drop("copies")
+    texts = (texts.join(hot, "member", "left") if n_hot else texts).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)) if n_hot else F.lit(0)).drop("copies")
+    whole_pairs = pairs.join(side("b"), ["b", "b_copy"]).join(side("a"), ["a", "a_copy"]).select("a", "b", "a_text", "b_text")
     return whole_pairs.mapInArrow(per_task, "a binary, b binary").checkpoint()
 
 
@@ -254,52 +280,113 @@ def components(links: DataFrame) -> DataFrame:
     return labels.checkpoint()
 
 
+def _next_in_group(members: DataFrame) -> DataFrame:
+    """(a, b, a_n, b_n, a_sig, b_sig): each member with the next one of its group, dealt by range; the last of a task has none."""
+    names = ["member", "n", "sig"]
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in (x for x in batches if x.num_rows):
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            grp, held = t.column("grp").to_numpy(), t.slice(t.num_rows - 1)
+            same = pa.array(grp[:-1] == grp[1:])
+            left, right = t.slice(0, t.num_rows - 1).filter(same), t.slice(1).filter(same)
+            yield from pa.Table.from_arrays([x.column(c) for c in names for x in (left, right)], ["a", "b", "a_n", "b_n", "a_sig", "b_sig"]).to_batches()
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select("grp", *names).repartitionByRange(parts, "grp", "member").sortWithinPartitions("grp", "member")
+    return dealt.mapInArrow(per_task, "a binary, b binary, a_n long, b_n long, a_sig binary, b_sig binary")
+
+
+def _blocked(entries: DataFrame, keys: list[str], sizes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """entries with their sig from sigs (id, sig), copied to pairs of blocks (lo, hi) of their key; sizes (keys, size) is the number of entries of each key."""
+    # Blocks grow with the root of the size, so that neither they nor the copies of an entry get too many.
+    blocks = sizes.select(*keys, F.ceil(F.col("size") / F.greatest(F.lit(float(BLOCK)), 4 * F.sqrt("size"))).cast("int").alias("blocks"))
+    dealt = entries.join(blocks, keys).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sigs, "id")  # signatures last: they are the long part
+    dealt = dealt.select(*keys, F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "role", "id", "comp", "n", "pos", "sig")
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi")
+
+
 def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """Member pairs (a, b) of different components that share a shingle and that size, position and signature let link.
+    """Pairs (a, b) of ids of different components that share a key and that size, position and signature let link.
 
-    Entries (shingle, lo, hi, side, member, comp, n, pos, sig) with equal (shingle, lo, hi) are two blocks of postings, or
-    one where lo = hi; they hold at most some 2 * BLOCK entries.
+    Entries (key…, lo, hi, side, role, id, comp, n, pos, sig) with equal (key…, lo, hi) are two blocks of entries, or one
+    where lo = hi.  A null comp differs from all, a null sig rules nothing out.  Entries meet whose roles have no bit in common.
     """
-
-    def of_run(rows: list[tuple], one: bool) -> Iterator[tuple[bytes, bytes]]:
-        rows.sort(key=lambda r: r[4])
-        for i, (_, side, member, comp, n, pos, sig) in enumerate(rows):
-            short = n - least_overlap(2 * n, percent) + 1  # a smaller or equal set meets a larger one early in its prefix
-            if pos >= short:
-                continue
-            for _, side2, member2, comp2, n2, pos2, sig2 in rows[i + 1 :]:
-                if 100 * n < percent * n2:
-                    break
-                if comp != comp2 and (one or side != side2):
-                    need = least_overlap(n + n2, percent)
-                    if min(n - pos, n2 - pos2) >= need and differ(sig, sig2) <= n + n2 - 2 * need:
-                        yield (member, member2) if member < member2 else (member2, member)
+    keyed = [c for c in entries.columns if c not in ("side", "role", "id", "comp", "n", "pos", "sig")]
+
+    def looked_at(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (i, j), i < j, of one run: short runs together, by distance; each long one by itself, in tiles."""
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, int)
+        sizes = np.diff(np.append(starts, len(run)))
+        left = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))
+        for d in range(1, SHORT):
+            left = left[left + d < len(run)]
+            left = left[run[left] == run[left + d]]
+            if not len(left):
+                break
+            yield left, left + d
+        for start, size in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+            for top in range(start, start + size, TILE):
+                i, j = np.meshgrid(np.arange(top, min(top + TILE, start + size)), np.arange(top, start + size), indexing="ij")
+                yield i[i < j], j[i < j]
+
+    def of_runs(t: pa.Table, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        side, role, n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("side", "role", "n", "pos"))
+        one, sig = t.column("lo").to_numpy() == t.column("hi").to_numpy(), t.column("sig").to_pylist()
+        comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        open_ = np.isnan(comp) if comp.dtype.kind == "f" else np.zeros(len(comp), bool)
+        for i, j in looked_at(run):
+            both = n[i] + n[j]
+            need = -(-percent * both // (100 + percent))
+            ok = ((comp[i] != comp[j]) | open_[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+            ok &= ((role[i] & role[j]) == 0) & (one[i] | (side[i] != side[j]))
+            i, j, most = i[ok], j[ok], (both - 2 * need)[ok]
+            near = [sig[x] is None or sig[y] is None or differ(sig[x], sig[y]) <= m for x, y, m in zip(i.tolist(), j.tolist(), most.tolist())]
+            yield i[near], j[near]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, run, found = None, [], set()
-        pair = lambda: pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for shingle, lo, hi, side, member, comp, n, pos, sig in zip(*cols):
-                if (shingle, lo, hi) != key:
-                    if len(run) > 1:
-                        found.update(of_run(run, key[1] == key[2]))
-                    key, run = (shingle, lo, hi), []
-                run.append((shingle, side, member, comp, n, pos, sig))
-            if len(found) > 100_000:
-                yield pair()
-                found.clear()
-        if len(run) > 1:
-            found.update(of_run(run, key[1] == key[2]))
-        yield pair()
-
-    return entries.mapInArrow(per_task, "a binary, b binary").distinct()
+        for t, run in _runs(batches, keyed):
+            ids = t.column("id").combine_chunks()
+            for i, j in of_runs(t, run):
+                if len(i):
+                    x, y = ids.take(pa.array(i)), ids.take(pa.array(j))
+                    less = pc.less(x, y)
+                    pairs = pa.table([pc.if_else(less, x, y), pc.if_else(less, y, x)], ["a", "b"])
+                    yield from pairs.group_by(["a", "b"]).aggregate([]).to_batches()
+
+    name = entries.schema["id"].dataType.simpleString()
+    return entries.mapInArrow(per_task, f"a {name}, b {name}").distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keyed: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys, and the number of each row's run, of batches that are sorted by their key columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for c in keyed:
+            x = b.column(c).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+            new[0] |= not held or held[-1].column(c)[-1].as_py() != x[0]
+        last = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if new.any() and (held or last):
+            t = pa.Table.from_batches([*held, b.slice(0, last)])
+            if t.num_rows:
+                yield t, np.concatenate([np.zeros(t.num_rows - last, np.int64), np.cumsum(new[:last])])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held), np.zeros(sum(x.num_rows for x in held), np.int64)
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """(id, tkey, n, member, label, least_id) of every row; label is null where nothing links, least_id that of the member."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(text_col), F.length(whole(text_col))).alias("tkey"), whole(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tkey"), whole(text_col).alias("text"))
     every = stored(_described(rows, frequency_sketch(rows.select("text")), percent))
     real = every.where("member IS NOT NULL")
     members = stored(real.groupBy("member").agg(*(F.min(c).alias(c) for c in ("id", "tkey", "n", "grp", "sig"))))
@@ -312,36 +399,53 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     head = lambda x: heads.select(F.col("grp").alias(f"{x}_grp"), F.col("head.member").alias(x), F.col("head.n").alias(f"{x}_n"), F.col("head.sig").alias(f"{x}_sig"))
     near = met.where(F.col("next").isNotNull() & (F.col("next") != F.col("grp")) & (100 * F.least("n", "next_n") >= percent * F.greatest("n", "next_n")))
     near = near.select(F.least("grp", "next").alias("a_grp"), F.greatest("grp", "next").alias("b_grp")).distinct()
-    columns = ("a", "b", "a_n", "b_n", "a_sig", "b_sig")
-    between = near.join(head("a"), "a_grp").join(head("b"), "b_grp").select(*columns)
-    order = Window.partitionBy("grp").orderBy("member")
-    inside = members.withColumn("other", F.lead(first).over(order)).where("other IS NOT NULL").select(
-        F.col("member").alias("a"), F.col("other.member").alias("b"), F.col("n").alias("a_n"), F.col("other.n").alias("b_n"), F.col("sig").alias("a_sig"), F.col("other.sig").alias("b_sig")
-    )
-    links = _verified(_could_link(between.unionByName(inside)), members, rows, percent)
-
-    # 2. Whatever may still link two components.
+    between = near.join(head("a"), "a_grp").join(head("b"), "b_grp").select("a", "b", "a_n", "b_n", "a_sig", "b_sig")
+    links = _verified(_could_link(between.unionByName(_next_in_group(members))), members, rows, percent)
+
+    # 2. Whatever may still link two components: group pairs, then their members.
     placed = members.join(components(links), "member", "left").select("member", "grp", "n", "sig", F.coalesce("label", "member").alias("comp")).checkpoint()
-    spread = placed.groupBy("grp").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size"))
-    split = real.select("grp", F.element_at("prefix", 1).alias("shingle")).join(spread.where("least <> most").select("grp"), "grp")
-    split = split.groupBy("grp").agg(F.first("shingle").alias("shingle")).select("shingle", "grp", F.lit(0).alias("pos"))
-    met = met.select("shingle", "grp", "pos")
-    # Postings that no other group has are not in met.
-    met = met.unionByName(split.join(met.where("pos = 0").select("grp"), "grp", "left_anti"))
-    mixed = met.join(spread, "grp").groupBy("shingle").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("size").alias("size")).where("least <> most")
-    mixed = mixed.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = met.join(mixed, "shingle").join(placed, "grp")
-    open_ = open_.withColumn("side", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "member", "comp", "n", "pos", "sig")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_ = open_.repartition(parts, "shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi")
-    more = _verified(_across(open_, percent), members, rows, percent)
-    labels = components(links.unionByName(more))
+    lone = F.count(F.lit(1)) == 1
+    spread = placed.groupBy("grp").agg(
+        F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.when(lone, F.first("sig")).alias("sig"), F.when(lone, F.first("member")).alias("only")
+    ).checkpoint()
+    at = met.select("shingle", "grp", "pos").join(spread.select("grp", "least", "most", "n"), "grp")
+    mixed = at.groupBy("shingle").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("shingle")
+    step = float(np.log(101 / percent))  # a little over the largest ratio of linked sizes, so that these are in neighbouring classes
+    own = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    ladder = F.explode(F.array(F.struct(own.alias("klass"), F.lit(0).alias("role")), F.struct((own + 1).alias("klass"), F.lit(1).alias("role")))).alias("l")
+    at = at.join(mixed, "shingle", "left_semi").select("shingle", ladder, F.col("grp").alias("id"), F.when(F.col("least") == F.col("most"), F.col("least")).alias("comp"), "n", "pos")
+    at = at.select("shingle", "l.klass", "l.role", "id", "comp", "n", "pos").checkpoint()
+    # Of a key, only entries of its own class meet those of the class below and each other; a key of one component has no pair.
+    keys = ["shingle", "klass"]
+    sizes = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min("role").alias("role"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.count_if(F.col("comp").isNull()).alias("open"))
+    sizes = sizes.where("size > 1 AND role = 0 AND (open > 0 OR least <> most)").select(*keys, "size")
+    pairs = _across(_blocked(at, keys, sizes, spread.select(F.col("grp").alias("id"), "sig")), percent).checkpoint()
+    known = lambda x: spread.select(F.col("grp").alias(x), F.col("only").alias(f"{x}_only"), F.col("size").alias(f"{x}_size"))
+    pairs = pairs.join(known("a"), "a").join(known("b"), "b").checkpoint()
+    single = pairs.where("a_only IS NOT NULL AND b_only IS NOT NULL").select(F.least("a_only", "b_only").alias("a"), F.greatest("a_only", "b_only").alias("b"))
+    # Groups of several members: each with the other groups it is paired with, and with itself where it lies in several components.
+    many = pairs.where("a_only IS NULL OR b_only IS NULL").select(F.col("a").alias("a_grp"), F.col("b").alias("b_grp"), (F.col("a_size") + F.col("b_size")).alias("size"))
+    many = many.unionByName(spread.where("least <> most").select(F.col("grp").alias("a_grp"), F.col("grp").alias("b_grp"), "size")).checkpoint()
+    if many.isEmpty():
+        more = single
+    else:
+        itself = F.array(F.struct(F.col("a_grp").alias("grp"), F.lit(0).alias("role")))
+        both = F.array(F.struct(F.col("a_grp").alias("grp"), F.lit(1).alias("role")), F.struct(F.col("b_grp").alias("grp"), F.lit(2).alias("role")))
+        told = many.select("a_grp", "b_grp", F.explode(F.when(F.col("a_grp") == F.col("b_grp"), itself).otherwise(both)).alias("e")).select("a_grp", "b_grp", "e.grp", "e.role")
+        told = told.join(placed.drop("sig"), "grp").select("a_grp", "b_grp", "role", F.col("member").alias("id"), "comp", "n", F.lit(0).alias("pos"))
+        more = single.unionByName(_across(_blocked(told, ["a_grp", "b_grp"], many, placed.select(F.col("member").alias("id"), "sig")), percent)).distinct()
+    links = links.unionByName(_verified(more, members, rows, percent))
+    labels = components(links)
 
     of_member = members.select("member", F.col("id").alias("least_id")).join(labels, "member", "left")
     return every.select("id", "tkey", "n", "member").join(of_member, "member", "left")
 
 
+def text_key(text_col: str) -> Column:
+    """128 bits that stand for a whole text."""
+    return F.unhex(F.md5(whole(text_col)))
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
@@ -364,5 +468,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rank = F.min(F.struct(F.col("id").isNull(), "id", "tkey"))
     kept = every.where("member IS NOT NULL").groupBy(F.coalesce("label", "member")).agg(rank.alias("r")).select(F.col("r.id").alias("k_id"), F.col("r.tkey").alias("k_key"))
     empty = every.where("member IS NULL").select(F.col("id").alias("k_id"), F.col("tkey").alias("k_key"))
-    rows = packed(docs, id=F.col(id_col), key=F.xxhash64(whole(text_col), F.length(whole(text_col))))
+    rows = packed(docs, id=F.col(id_col), key=text_key(text_col))
     return rows.join(kept.unionByName(empty), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key")), "left_semi").select("row.*")

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factgate.llm import ngram_join
@@ -81,9 +82,10 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_ngram_join_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,short", [(256, 64), (2, 64), (256, 2)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, block, short):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SHORT", short)
     rows = near_copies()
     got = ngram_join.ngram_join(docs(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
@@ -111,6 +113,34 @@ def test_links_within_a_group_that_meets_no_other(spark, monkeypatch, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_links_between_the_members_of_two_groups(spark, monkeypatch, block):
+    """Two groups of several members each (equal sizes and prefixes), with links from one to the other only; the first step finds nothing."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SHORT", 3)
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    real = ngram_join._could_link
+    monkeypatch.setattr(ngram_join, "_could_link", lambda pairs: real(pairs).limit(0))
+    order = lambda docs_, logs, percent, f=ngram_join._described: f(docs_, np.zeros(ngram_join.SKETCH, np.uint8), percent)
+    monkeypatch.setattr(ngram_join, "_described", order)
+    w = [f"w{j}" for j in range(60)]
+    rows = [(i, " ".join(w + [f"t{i}x{j}" for j in range(i % 9)])) for i in range(40)] + [(100 + i, " ".join(["head", *w[1:], *(f"u{i}x{j}" for j in range(i % 9))])) for i in range(40)]
+    got = ngram_join.ngram_join(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+
+
+def test_runs_of_equal_keys_over_batches():
+    rows = [0, 0, 1, 1, 1, 2, 3, 3, 3, 3, 4]
+    for size in (1, 2, 3, 4, 11):
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[i : i + size]), pa.array(list(range(i, min(11, i + size))))], ["k", "v"]) for i in range(0, 11, size)]
+        seen = []
+        for t, run in ngram_join._runs(iter(batches), ["k"]):
+            k = t.column("k").to_pylist()
+            assert [a == b for a, b in zip(k, k[1:])] == [a == b for a, b in zip(run, run[1:])] and not set(seen) & set(k)
+            seen += k
+        assert seen == rows
+
+
 def test_near_copies_leave_one_of_each_group(spark):
     rows = [r for r in near_copies() if r[0] not in (None, 300)]
     kept = {r.doc_id for r in drop_near_copies(docs(spark, rows)).collect()}
