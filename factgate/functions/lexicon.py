@@ -75,3 +75,15 @@ QUANTIFIER = r"(?i)\b(every|all|never|always|zero|no more|nothing|100\s?%|guaran
 NORMATIVE = r"(?i)\b(deserves?|worth|should|matters?|best defen[cs]e|built for|designed for|made for|imagine|peace of mind|confidence|calm(?:er)?|trust(?:s|ed)?)\b"
 CONCLUSION = r"(?i)\b(so|therefore|which means|that means|this means|as a result|thus|meaning|so you can|so your)\b"
 HIGH_RISK = ("compliance", "metric", "pricing")
+
+POSITIONING_SAMPLES = (
+    "Your team deserves a calmer week.", "Built for the people who keep things running.", "See what changes when the busywork goes away.", "What would you do with the time back?",
+    "Less firefighting, more planning.", "Start where you are.",
+)
+OVERSTATING = ("the only", "always", "every", "the fastest", "guaranteed", "fully")
+SAMPLE_CONDITION = (
+    r"(?i)(,?\s*(?:on the \w+ (?:plan|edition|tier)|with firmware [\d.]+ or later|in the \w+ region|"
+    r"\(or [^)]+\)|or later|when [^,.]+|if [^,.]+|for [A-Z][\w-]+ customers)\b)"
+)
+SAMPLE_VERB = r"^(\S+(?:\s\S+)?)\s(is|are|can|supports?|provides?|lets?|keeps?|sends?|stores?)\b"
+GRAFTED_VERB = r"^.*?\b(is|are|can|supports?|provides?|lets?|sends?|stores?|keeps?|includes?)\b"

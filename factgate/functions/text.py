@@ -170,4 +170,6 @@ def name_pattern(name: str) -> str:
 
 
 def tag(text: Column, ids: Column) -> Column:
-    return F.concat(text, F.array_join(F.transform(ids, lambda i: F.concat(F.lit(" [["), i, F.lit("]]"))), ""))
+    """A sentence, closed by a dot where it has no end, with the tags of its claims."""
+    bare = F.rtrim(text)
+    return F.concat(bare, F.when(bare.rlike("[.!?]$"), "").otherwise("."), F.array_join(F.transform(ids, lambda i: F.concat(F.lit(" [["), i, F.lit("]]"))), ""))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
@@ -48,18 +49,28 @@ def match_claims(new: DataFrame, existing: DataFrame) -> DataFrame:
     return found.unionByName(rest)
 
 
-def allocate_ids(new: DataFrame, existing: DataFrame, key: str, group: str, order: Sequence[str], prefix: str) -> DataFrame:
+def allocate_ids(new: DataFrame, existing: DataFrame, key: str, group: str, order: Sequence[str], prefix: str, ranges: int = 256) -> DataFrame:
     """new with id: numbers go on behind the largest that key ever had, in the given order, and are never used again.
 
-    Two-level: rows are numbered within (key, group), and groups are offset by a running sum of their counts, so that no
-    task sorts all rows of a key.  Groups are ordered by value.
+    Rows are numbered within ranges of a group, and ranges offset by running sums of their counts, so that no task sorts
+    all rows of a key or group.  Groups are ordered by value; ranges are cut at quantiles of the first column of the
+    order where that is a number, the bounds (at most `ranges`) being the only rows that reach the driver.
     """
     top = existing.groupBy(key).agg(F.max(F.regexp_extract("id", r"(\d+)$", 1).cast("long")).alias("__top"))
-    sums = new.groupBy(key, group).agg(F.count(F.lit(1)).alias("__n"))
-    sums = sums.select(key, group, F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rows = new.withColumn("__within", F.row_number().over(Window.partitionBy(key, group).orderBy(*order))).join(sums, [key, group]).join(top, key, "left")
+    part = F.lit(0)
+    if isinstance(new.schema[order[0]].dataType, NumericType):
+        cuts = new.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+        if cuts:
+            bounds = F.array(*map(F.lit, sorted(set(cuts))))
+            part = F.coalesce(F.size(F.filter(bounds, lambda x: x < F.col(order[0]))), F.lit(-1))  # null values come first
+    new = new.withColumn("__part", part)
+    sums = new.groupBy(key, group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(key).orderBy(group, "__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(key, group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rows = new.withColumn("__within", F.row_number().over(Window.partitionBy(key, group, "__part").orderBy(*order))).join(sums, [key, group, "__part"]).join(top, key, "left")
     number = F.coalesce("__top", F.lit(0)) + F.col("__before") + F.col("__within")
-    return rows.withColumn("id", F.concat(F.lit(prefix + "-"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))).drop("__top", "__before", "__within")
+    out = rows.withColumn("id", F.concat(F.lit(prefix + "-"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))))
+    return out.drop("__top", "__before", "__within", "__part")
 
 
 def absent(existing: DataFrame, matched: DataFrame, rebuilt_sources: DataFrame) -> DataFrame:

@@ -237,19 +237,41 @@ def off_brand(chunks: DataFrame) -> DataFrame:
 
 
 def seed_set(claims: DataFrame, per_kind: int = 12, seed: int = 7) -> DataFrame:
-    """(product_id, id, label, text): labelled sentences made from claims, at most per_kind a product and label, the first by a hash of id, label and seed."""
-    verified = F.col("status") == "verified"
-    number = F.regexp_extract("text", r"(\d+)", 1)
-    made = F.array(
-        F.when(verified, F.struct(F.lit("true").alias("label"), T.tag(F.col("text"), F.array("id")).alias("text"))),
-        F.when(verified, F.struct(F.lit("untagged").alias("label"), F.col("text").alias("text"))),
-        F.when(verified & (number != ""), F.struct(F.lit("false").alias("label"), T.tag(F.regexp_replace("text", r"\d+", (number.cast("long") * 2 + 1).cast("string")), F.array("id")).alias("text"))),
-        F.when(verified, F.struct(F.lit("overstated").alias("label"), T.tag(F.concat(F.lit("Absolutely "), F.col("text")), F.array("id")).alias("text"))),
-        F.when(~verified, F.struct(F.lit("not-citable").alias("label"), T.tag(F.col("text"), F.array("id")).alias("text"))),
-    )
-    s = claims.select("product_id", "id", F.explode(F.array_compact(made)).alias("s")).select("product_id", "id", "s.*")
+    """(product_id, id, label, text): labelled sentences of claims (id, product_id, text, category, status), at most per_kind a product and label, the first by a hash of id, label and seed.
+
+    true and untagged say a verified claim with and without its tag, false another number, overstated drops a condition
+    or adds a superlative, partial grafts what the next claim says, not-citable says a claim that is not verified, and
+    positioning says nothing that could be checked.
+    """
+    verified = (F.col("status") == "verified") & (F.col("category") != "market-evidence")
+    text, number = F.col("text"), F.regexp_extract("text", r"\b(\d+)(\.\d+)?\b", 1)
+    labels = F.array_compact(F.array(
+        *(F.when(verified, F.lit(x)) for x in ("true", "untagged", "overstated", "partial")), F.when(verified & (number != ""), F.lit("false")), F.when(F.col("status").isin("needs-review", "deprecated"), F.lit("not-citable"))
+    ))
+    s = claims.select("product_id", "id", "text", number.alias("number"), F.explode(labels).alias("label"))
     w = Window.partitionBy("product_id", "label").orderBy(F.xxhash64("id", "label", F.lit(seed)), "id")
-    return s.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_kind).drop("rn")
+    s = s.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
+    s = s.where(F.col("rn") <= F.when(F.col("label") == "partial", 2 * per_kind).otherwise(per_kind))
+    s = s.where((F.col("label") != "partial") | ((F.col("rn") % 2 == 1) & (F.col("rn") < 2 * per_kind) & F.col("next").isNotNull()))
+
+    n = F.col("number").cast("long")
+    other = F.when(n < 1000, n * 2 + 1).otherwise(F.floor(n / 2)).cast("string")
+    at = F.regexp_instr(text, F.lit(r"\b\d+(\.\d+)?\b"))
+    false = F.concat(F.substring(text, F.lit(1), at - 1), other, F.substring(text, at + F.length("number"), F.length(text)))
+    bold = F.element_at(T.strings(L.OVERSTATING), (F.pmod(F.col("rn") - 1, F.lit(len(L.OVERSTATING))) + 1).cast("int"))
+    verb = F.regexp_extract(text, L.SAMPLE_VERB, 2)
+    head, tail = F.regexp_extract(text, L.SAMPLE_VERB, 1), F.regexp_replace(text, L.SAMPLE_VERB, "")
+    said = F.when(verb.isin("is", "are"), F.concat_ws(" ", head, verb, bold)).otherwise(F.concat_ws(" ", head, F.regexp_replace(bold, "^the ", ""), verb))
+    louder = F.when(verb == "", F.concat(F.lit("Only "), F.lower(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))).otherwise(F.concat(said, tail))
+    condition = F.regexp_extract(text, L.SAMPLE_CONDITION, 1)
+    place = F.instr(text, condition)
+    without = F.replace(F.concat(F.substring(text, F.lit(1), place - 1), F.substring(text, place + F.length(condition), F.length(text))), F.lit(" ."), F.lit("."))
+    overstated = F.when((condition != "") & (F.col("rn") % 2 == 1), without).otherwise(louder)
+    grafted = F.concat(F.regexp_replace(text, r"\.+$", ""), F.lit(", and it also "), F.regexp_replace(F.regexp_replace("next", r"\.+$", ""), L.GRAFTED_VERB, "$1"))
+    made = F.when(F.col("label") == "false", false).when(F.col("label") == "overstated", overstated).when(F.col("label") == "partial", grafted).otherwise(text)
+    s = s.select("product_id", "id", "label", F.when(F.col("label") == "untagged", text).otherwise(T.tag(made, F.array("id"))).alias("text"))
+    idle = claims.select("product_id").distinct().select("product_id", F.posexplode(T.strings(L.POSITIONING_SAMPLES)).alias("i", "text"))
+    return s.unionByName(idle.select("product_id", F.concat(F.lit("pos-"), "i").alias("id"), F.lit("positioning").alias("label"), "text"))
 
 
 def calibrate(samples: DataFrame, least: float = 0.9, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -199,8 +199,9 @@ ORACLES: dict[str, str] = {
     "vocabulary": f"""WITH w AS (SELECT source, doc_id, unnest({_tokens('text')}) AS word FROM documents), c AS (
           SELECT source, word, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id), word) AS r FROM w WHERE length(word) > 3 AND NOT regexp_full_match(word, '\\d+') GROUP BY source, word)
         SELECT * FROM (SELECT source, word, n, (row_number() OVER (PARTITION BY source ORDER BY r))::INTEGER AS rank FROM c WHERE r <= 60 AND n >= 3) WHERE rank <= 20""",
-    "seed_set": f"""WITH {CLAIMS_SQL}, s AS (SELECT product_id, unnest(CASE WHEN status <> 'verified' THEN ['not-citable'] WHEN regexp_matches(text, '\\d') THEN ['true', 'untagged', 'false', 'overstated'] ELSE ['true', 'untagged', 'overstated'] END) AS label FROM claims)
-        SELECT product_id, label, least(12, count(*)) AS n, CASE label WHEN 'untagged' THEN 0 ELSE least(12, count(*)) END AS n_tagged FROM s GROUP BY product_id, label""",
+    "seed_set": f"""WITH {RATED}, s AS (SELECT product_id, unnest(CASE WHEN status <> 'verified' THEN ['not-citable'] WHEN regexp_matches(text, '\\b\\d+\\b') THEN ['true', 'untagged', 'false', 'overstated', 'partial'] ELSE ['true', 'untagged', 'overstated', 'partial'] END) AS label FROM rated),
+        n AS (SELECT product_id, label, CASE label WHEN 'partial' THEN least(24, count(*)) // 2 ELSE least(12, count(*)) END AS n FROM s GROUP BY product_id, label)
+        SELECT product_id, label, n, CASE label WHEN 'untagged' THEN 0 ELSE n END AS n_tagged FROM n WHERE n > 0 UNION ALL SELECT DISTINCT product_id, 'positioning', 6, 0 FROM claims""",
     "off_brand": r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\byour\b', 'the user''s', 'g'), '(?i)\byou\b', 'the user', 'g') AS third FROM documents),
         v AS (SELECT doc_id, 'hype' AS variant, 'A revolutionary, game-changing way! ' || replace(text, '.', '!') AS t FROM d UNION ALL SELECT doc_id, 'third-person', regexp_replace(third, '\.\s+', ', and ', 'g') FROM d
               UNION ALL SELECT doc_id, 'wrong-name', 'Productify: ' || text FROM d UNION ALL SELECT doc_id, 'banned', text || ' seamless leverage.' FROM d)

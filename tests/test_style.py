@@ -64,9 +64,20 @@ def test_structure_and_readers(spark):
 
 
 def test_seeds_are_bounded_and_repeatable(spark):
-    c = spark.createDataFrame([(f"PT-{i:03}", "P", f"It supports {i} units.", "verified" if i % 3 else "deprecated") for i in range(60)], "id string, product_id string, text string, status string")
+    c = spark.createDataFrame([(f"PT-{i:03}", "P", f"It supports {i} units on the pro plan.", "metric", "verified" if i % 3 else "deprecated") for i in range(60)], "id string, product_id string, text string, category string, status string")
     a, b = (sorted(map(tuple, style.seed_set(x, 5).collect())) for x in (c, c.repartition(5)))
-    assert a == b and {k: sum(r[2] == k for r in a) for k in ("true", "untagged", "false", "overstated", "not-citable")} == dict.fromkeys(("true", "untagged", "false", "overstated", "not-citable"), 5)
+    kinds = ("true", "untagged", "false", "overstated", "partial", "not-citable")
+    assert a == b and {k: sum(r[2] == k for r in a) for k in (*kinds, "positioning")} == {**dict.fromkeys(kinds, 5), "positioning": 6}
+    for _, i, label, text in a:
+        own = f"It supports {int(i[3:])} units on the pro plan." if i.startswith("PT") else ""
+        if label == "partial":
+            assert text.startswith(own[:-1] + ", and it also supports ") and text.endswith(f"[[{i}]]")
+        elif label == "false":
+            assert text == f"It supports {int(i[3:]) * 2 + 1} units on the pro plan. [[{i}]]"
+        elif label == "overstated":
+            assert text != own + f" [[{i}]]" and (text == f"It supports {int(i[3:])} units. [[{i}]]" or any(f"It {w.removeprefix('the ')} supports" in text for w in ("the only", "always", "every", "the fastest", "guaranteed", "fully")))
+        elif label in ("true", "not-citable", "untagged"):
+            assert text == own + ("" if label == "untagged" else f" [[{i}]]")
 
 
 def test_variants_and_heading_case(spark):
