@@ -17,7 +17,7 @@ from factgate.llm.source_mix import take_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more for quality stay; documents that resemble nothing labelled (empty ones, say) do."""
+    """Documents that score 0.3 or more for quality stay; documents that resemble nothing labelled (empty and null ones, say) do, as do all without labels."""
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
     voters = quality_knn.train(docs, labels, "quality", crc_mod("doc_id", 5) != 0)
     others = [c for c in docs.columns if c != "doc_id"]
@@ -26,22 +26,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest id stays."""
+    """Of documents with equal texts, the one with the largest id stays (null ids last); null counts as empty.  An empty table stays empty."""
     return drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that chains of near-equal shingle sets connect, the one with the smallest id stays."""
+    """Of documents that chains of near-equal shingle sets connect, the one with the smallest id stays (null ids last).
+
+    Documents without words, null texts too, have no sets and all stay; of rows that repeat an id the first by text stays.
+    """
     return drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come near their target weights: documents are left out, taken once or taken twice."""
+    """Sources come near their target weights: documents are left out, taken once or taken twice.
+
+    Null sources are a source of their own; documents without words have no size and are left out.  Reruns agree.
+    """
     return take_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, decoded_sha256: token ids, and the digest of the bytes that they decode to."""
+    """doc_id, lang, source, n_tokens, ids, decoded_sha256: token ids, and the digest of the bytes that they decode to.
+
+    One row for each row of docs, repeated ones too; null and empty texts have no tokens.
+    """
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = encode_texts(docs, ranks, public_tokenizers.PATTERN, keep=["lang", "source"])
     decoded = decode_ids(encoded, ranks)
