@@ -37,18 +37,24 @@ def unescaped(c: Column) -> Column:
     return F.regexp_replace(c, r"([<\[])\\|\\(\\)", "$1$2")
 
 
-def turns_to_events(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
+def turns_to_events(turns: DataFrame, delta_chars: int = DELTA_CHARS, revised: bool = False) -> DataFrame:
     """(conv_id, seq, message, kind, role, text): each row of (conv_id, turn, role, text) as the deltas that stream it.
 
     Rows are turns even if a turn's number repeats: these are ordered by role, then text; null numbers come first.
-    Null roles and texts count as empty; rows with null conv_id form one conversation.
+    Null roles and texts count as empty; rows with null conv_id form one conversation.  revised: the log of a session in
+    which the assistant's turns are begun wrongly and regenerated, and all others are typed and then edited.
     """
     numbered = turns.select("conv_id", "turn", whole("role").alias("role"), whole("text").alias("text")).withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
     starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(delta_chars))
-    return (
-        numbered.select("conv_id", "message", "role", "text", F.posexplode(starts).alias("part", "at"))
-        .select("conv_id", (F.col("message") * F.lit(1 << 32) + F.col("part")).alias("seq"), "message", F.lit("delta").alias("kind"), "role", F.substring("text", F.col("at") + 1, F.lit(delta_chars)).alias("text"))
-    )
+    event = lambda at, kind, text: F.struct(F.lit(at).alias("at"), F.lit(kind).alias("kind"), text.alias("text"))
+    answers = F.col("role") == "assistant"
+    first = F.when(~answers, "edit").otherwise("delta") if revised else F.lit("delta")
+    kept = F.transform(starts, lambda at, i: F.struct((i + 2).alias("at"), F.when(i == 0, first).otherwise("delta").alias("kind"), F.substring("text", at + 1, F.lit(delta_chars)).alias("text")))
+    if revised:
+        wrong = F.concat(F.lit("false start "), F.substring("text", 1, 20))
+        kept = F.concat(F.when(answers, F.array(event(0, "delta", wrong), event(1, "regenerate", F.lit("")))).otherwise(F.array(event(1, "delta", wrong))), kept)
+    rows = numbered.select("conv_id", "message", "role", F.explode(kept).alias("e"))
+    return rows.select("conv_id", (F.col("message") * F.lit(1 << 32) + F.col("e.at")).alias("seq"), "message", "e.kind", "role", "e.text")
 
 
 def final_messages(events: DataFrame) -> DataFrame:

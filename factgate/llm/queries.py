@@ -37,7 +37,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     awkward = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", awkward), (-7, 1, "assistant", awkward)], "conv_id long, turn long, role string, text string")
-    read = read_back(format_chats(turns_to_events(rows.unionByName(more))))
+    read = read_back(format_chats(turns_to_events(rows.unionByName(more), revised=True)))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
