@@ -98,8 +98,26 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat_ws(" ", F.col(id_col).cast("string"), whole(text_col)))
 
 
-def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: (slot, source, id, first, words), one row for each stretch of a document that a slot takes.
+
+    Slots in order, and within a slot its rows by `at`, are the mix; first is the place of the stretch's first word in its
+    document, from 0.  Every slot but a source's last holds one block of words of one source.  Options are those of
+    mix_sources.
+    """
+    placed, pieces = _placed(docs, id_col, source_col, text_col, **options)
+    return pieces.join(placed.select("uid", "id", "source"), "uid").select("slot", "source", F.col("id").alias(id_col), "at", "first", "words")
+
+
+def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, *args, **options) -> DataFrame:
     """(id, key, size, source_size, target, taken) of every row; key stands for the row's id and text."""
+    placed, pieces = _placed(docs, id_col, source_col, text_col, *args, **options)
+    taken = pieces.groupBy("uid").agg(F.sum("words").alias("taken"))
+    return placed.join(taken, "uid", "left").select("id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Every row's place in its source's stream, and the stretches (uid, slot, at, first, words) that slots take of them."""
     prepare(docs.sparkSession)
     size = F.regexp_count(whole(text_col), F.lit(WORD)).cast("long")
     base = docs.select(
@@ -121,7 +139,7 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights
     placed = (
         base.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
-        .select("id", "key", "uid", "size", "source_size", "no", "target", (F.col("offset") + F.col("before")).alias("at"))
+        .select("id", "source", "key", "uid", "size", "source_size", "no", "target", (F.col("offset") + F.col("before")).alias("at"))
     )
     # The stream of a source is its documents over and over; its first `target` words can be taken.
     rounds = F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1))
@@ -129,13 +147,13 @@ def _mixed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights
     runs = (
         placed.where("size > 0")
         .select("uid", "no", "at", "size", "source_size", F.floor("target").alias("most"), F.explode(rounds).alias("round"))
-        .select("uid", "no", start.alias("lo"), F.least(start + F.col("size"), F.col("most")).alias("hi"))
+        .select("uid", "no", start.alias("start"), start.alias("lo"), F.least(start + F.col("size"), F.col("most")).alias("hi"))
         .where("hi > lo")
-        .select("uid", "no", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("rank"))
+        .select("uid", "no", "start", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))).alias("rank"))
     )
-    overlap = F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block)
-    taken = runs.join(schedule(goals, slots, block), ["no", "rank"]).groupBy("uid").agg(F.sum(overlap).alias("taken"))
-    return placed.join(taken, "uid", "left").select("id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    begins = F.greatest("lo", F.col("rank") * block)
+    stretch = [begins.alias("at"), (begins - F.col("start")).alias("first"), (F.least("hi", (F.col("rank") + 1) * block) - begins).alias("words")]
+    return placed, runs.join(schedule(goals, slots, block), ["no", "rank"]).select("uid", "slot", *stretch)
 
 
 def take_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
