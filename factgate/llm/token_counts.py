@@ -10,6 +10,7 @@ such maps compose associatively; a text's count is the scan of its chunks' maps.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import _slices
-from .common import prepare, whole
+from .common import hold, prepare, whole
 
 MARK = "▁"
 #: Characters of a chunk; words and transducer states a worker remembers before it starts anew.
 CHUNK_CHARS, REMEMBERED, STATES = 1 << 16, 300_000, 400_000
+#: Texts of more bytes are dealt to several tasks, chunk by chunk.
+LONG_BYTES = 1 << 20
 
 
 class Place(NamedTuple):
@@ -166,25 +169,23 @@ class Transducer:
             return b._replace(head=a.tail + b.head)
         return ChunkMap(a.head, a.closed + self.closed(a.spaces, a.tail + b.head) + b.closed, b.spaces, b.tail)
 
+    def total(self, maps: list[ChunkMap]) -> int:
+        """Tokens of a text from its chunks' maps, in order: the scan's last value, by halves."""
+        while len(maps) > 1:
+            maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        m = maps[0]
+        return m.closed + self.closed(m.spaces, m.tail)
+
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
         if not text:
             return 0
-        text = " " + text.replace(MARK, " ")
-        if len(text) <= CHUNK_CHARS:
-            maps = [self.chunk_map(text)]
-        else:
-            cuts = [0]
-            while cuts[-1] + CHUNK_CHARS < len(text):
-                at = cuts[-1] + CHUNK_CHARS
-                while at < len(text) and text[at] == " ":  # never cut inside a run of spaces
-                    at += 1
-                cuts.append(at)
-            maps = [self.chunk_map(text[i:j]) for i, j in zip(cuts, [*cuts[1:], len(text)]) if i < j]
-        while len(maps) > 1:  # the scan's last value, by halves
-            maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        m = maps[0]
-        return m.closed + self.closed(m.spaces, m.tail)
+        return self.total([self.chunk_map(c) for c in re.findall(_chunk(), " " + text.replace(MARK, " "))])
+
+
+def _chunk() -> str:
+    """The pattern of chunks: so many characters, and the rest of a run of spaces, which is never cut."""
+    return f"(?s).{{1,{CHUNK_CHARS}}} *"
 
 
 @lru_cache(maxsize=1)
@@ -203,11 +204,33 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
     prepare(docs.sparkSession)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token_counts", transducer.cache_clear)
         machine = transducer(model_file)
         for b in _slices(batches):
             counts = [machine.count(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("token_counts", transducer.cache_clear)
+        machine = transducer(model_file)
+        for b in _slices(batches):
+            maps = [machine.chunk_map(c) for c in b.column(b.num_columns - 1).to_pylist()]
+            made = [pa.array([m[i] for m in maps], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], *ChunkMap._fields])
+
+    def scanned(group: pa.Table) -> pa.Table:
+        """The maps of one text, composed in order."""
+        group = group.sort_by("pos")
+        n = transducer(model_file).total([ChunkMap(*x) for x in zip(*(group.column(c).to_pylist() for c in ChunkMap._fields))])
+        return pa.table([group.column("id").slice(0, 1), group.column("n_bytes").slice(0, 1), pa.array([n], pa.int64())], ["id", "n_bytes", "n_tokens"])
+
     rows = docs.select(F.col(id_col).alias("id"), F.octet_length(whole(text_col)).cast("long").alias("n_bytes"), whole(text_col).alias("text"))
-    counted = rows.mapInArrow(per_task, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long"
+    long_text = F.col("n_bytes") > LONG_BYTES
+    short = rows.where(~long_text).mapInArrow(per_task, f"{kind}, n_tokens long")
+    # The chunks of a long text are rows of their own: its state maps are made on many tasks and composed per text.
+    text = F.concat(F.lit(" "), F.replace("text", F.lit(MARK), F.lit(" ")))
+    chunks = rows.where(long_text).withColumn("uid", F.monotonically_increasing_id()).select("id", "n_bytes", "uid", F.posexplode(F.regexp_extract_all(text, F.lit(_chunk()), 0)).alias("pos", "chunk"))
+    maps = chunks.repartition("uid", "pos").mapInArrow(mapped, f"{kind}, uid long, pos int, head string, closed long, spaces long, tail string")
+    counted = short.unionByName(maps.groupBy("uid").applyInArrow(scanned, f"{kind}, n_tokens long"))
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -89,10 +89,13 @@ def test_token_counts_as_the_library(spark, monkeypatch, chunk):
     assert [machine.count(t or "") for t in rows] == [len(sp.encode(t or "")) for t in rows]
     for n in range(70):
         assert machine.count(" " * n) == len(sp.encode(" " * n)) and machine.count("a" + " " * n + "b") == len(sp.encode("a" + " " * n + "b"))
-    got = {r.doc_id: r for r in count_tokens(table(spark, rows[:40]), MODEL, limit=100).collect()}
-    for i, t in enumerate(rows[:40]):
-        n = len(sp.encode(t or ""))
-        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 100)
+    for most in (1 << 20, 20):  # with the second, all but the shortest texts are dealt to tasks by chunks
+        monkeypatch.setattr(token_counts, "LONG_BYTES", most)
+        got = {r.doc_id: r for r in count_tokens(table(spark, rows[:40]), MODEL, limit=100).collect()}
+        assert len(got) == 41
+        for i, t in enumerate(rows[:40]):
+            n = len(sp.encode(t or ""))
+            assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 100)
 
 
 EVENTS = "conv_id long, seq long, message long, kind string, role string, text string"
@@ -174,6 +177,26 @@ def test_mix_near_targets_and_reruns_agree(spark):
     assert mix_sources(df.limit(0)).collect() == [] and mix_sources(df.where("text IS NULL")).first()["taken"] == 0
 
 
+def test_blocks_of_the_mix_are_its_order(spark):
+    rows = [(i, f"{'abc'[i % 3]}", " ".join(f"w{i}x{j}" for j in range(i % 17))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    blocks, taken = source_mix.mixed_blocks(df, block_words=8).collect(), {r.doc_id: r.taken for r in mix_sources(df, block_words=8).collect()}
+    words = defaultdict(int)
+    for r in blocks:
+        assert r.words > 0 and 0 <= r["first"] and r["first"] + r.words <= r.doc_id % 17 and r.source == "abc"[r.doc_id % 3]
+        words[r.doc_id] += r.words
+    assert {i: n for i, n in taken.items() if n} == dict(words)
+    slots = defaultdict(list)
+    for r in blocks:
+        slots[r.slot].append(r)
+    assert all(len({r.source for r in s}) == 1 for s in slots.values())
+    # In the order of slots every source comes near its share early on.
+    half = [r for slot in sorted(slots)[: len(slots) // 2] for r in slots[slot]]
+    for source in "abc":
+        whole, part = (sum(r.words for r in x if r.source == source) / sum(r.words for r in x) for x in (blocks, half))
+        assert abs(whole - part) < 0.12
+
+
 @pytest.mark.parametrize("block_words", [16, 1024])
 def test_small_sources_fill_their_targets_with_large_blocks(spark, monkeypatch, block_words):
     monkeypatch.setattr(source_mix, "LEAST_SLOTS", 1)
