@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,20 +30,27 @@ from .common import prepare, stored, whole
 #: Classes; of these the first SINGLE are single words (end of text among them), the last is the start of a text.
 CLASSES, SINGLE = 128, 50
 START = CLASSES - 1
-#: Words with broadcast counts at most, and the longest of them in bytes; entries a task counts before it hands on.
-HEAD, HEAD_BYTES, FLUSH = 150_000, 64, 300_000
+#: Words with broadcast counts at most, and the longest of them in bytes (longer ones have stand-ins); entries a task counts before it hands on.
+HEAD, WORD_BYTES, FLUSH = 150_000, 64, 300_000
 #: Vector size, noise samples per word, training steps, and the mass added to each count.
 SIZE, NOISE, STEPS, ADDED = 32, 10, 150, 0.1
 END = b""
 
 
 def tokens(text: str) -> list[bytes]:
-    """Words with A-Z in lower case, then the end, which no word equals."""
+    """Words with A-Z in lower case, very long ones by their stand-ins, then the end, which no word equals."""
     words = text.encode().lower().split()
+    if words and len(max(words, key=len)) > WORD_BYTES:
+        words = [w if len(w) <= WORD_BYTES else _short(w) for w in words]
     words.append(END)
     return words
 
 
+def _short(word: bytes) -> bytes:
+    """A very long word's stand-in: 128 bits of it, and its ending."""
+    return b"\x00" + xxhash.xxh3_128_digest(word) + word[-2:]
+
+
 def ending_class(word: bytes) -> int:
     return SINGLE + zlib.crc32(word[-2:]) % (START - SINGLE)
 
@@ -150,15 +158,15 @@ def head_words(counts: DataFrame) -> Column:
 
     A histogram of counts decides, so no task sorts words and only the head itself reaches the driver.
     """
-    short = F.length("word").between(1, HEAD_BYTES)
+    real = F.col("word") != F.lit(END)
     octave = F.floor(8 * F.log2(F.col("n").cast("double")))
     seen, least = 0, 0
-    for r in sorted(counts.where(short).groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["o"]):
+    for r in sorted(counts.where(real).groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["o"]):
         seen += r["words"]
         if seen > HEAD:
             least = r["o"] + 1
             break
-    return short & (octave >= least)
+    return real & (octave >= least)
 
 
 def count_trigrams(texts: DataFrame, head: Words) -> np.ndarray:
@@ -189,7 +197,8 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     the words and one end, so null and empty texts have one token.  n_known counts tokens that training has; base_score
     is the additively smoothed unigram log10 probability, score the model's.  Without training rows every token has base
     probability 1 and the model is uniform over classes.  Rows are independent of each other's ids: repeated and null
-    ids stay as they are, and only the named columns are read.
+    ids stay as they are, texts of any length are read whole, and only the named columns are read; an empty table gives
+    no rows.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), (~F.coalesce(training, F.lit(False))).alias("held_out"), whole(text_col).alias("text"))
