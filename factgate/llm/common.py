@@ -24,20 +24,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     known = sc.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(checkpoint_root(spark))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(_configured(spark))
     return spark
 
 
+def _configured(spark: SparkSession) -> str:
+    """The folder that the cluster names; one of this machine only where Spark runs on this machine alone."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if root is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return root or LOCAL_CHECKPOINTS
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
+    """The context's checkpoint folder, whoever has set it."""
+    return prepare(spark).sparkContext.getCheckpointDir()
+
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors, keeps column pruning.
 
-def stored(df: DataFrame, *partition: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors, keeps column pruning."""
+    The tables stay there as checkpoints do; whoever empties the checkpoint folder after the application removes both.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/factgate-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition).parquet(path) if partition else df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import _slices
-from .common import prepare, stored, whole
+from .common import hold, prepare, stored, whole
 
 DECAY, ALPHABET, LETTERS = 0.6, 64, 22
 #: Labelled documents used at most; words of each kind and landmarks the SVM sees at most; rounds of mining.
@@ -186,6 +186,7 @@ def fit(positive: list[bytes], negative: list[bytes], landmarks: int = LANDMARKS
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> Machine | None:
     """A machine from at most `labelled` labelled documents, the first by hash of their ids; None where no word is surely toxic."""
+    prepare(docs.sparkSession)
     known = labels.where(use & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(labelled)
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
@@ -256,6 +257,8 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, id_col: str = "doc_
 
     Scores lie in 0..1 and rise with the margin of the text's worst word; 0.7 stands for the cut between toxic and
     clean words.  Texts without words, null ones too, score 0, and so does every text when nothing could be learnt.
+    Equal texts have equal scores; repeated rows and ids stay as they are, long texts are read whole, and an empty table
+    gives no rows.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
@@ -264,6 +267,7 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, id_col: str = "doc_
     shared, token = spark.sparkContext.broadcast(machine), uuid.uuid4().hex
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity_ssk", _seen.cache_clear)
         seen = _seen(token)
         for b in _slices(batches):
             worst = np.array(seen.worst(shared.value, [words_of(t) for t in b.column(1).to_pylist()]))
