@@ -99,7 +99,7 @@ def queries(rated: str, verdicts: str, rounds: str, conflicts: str, topics: str,
         "onboarding": f"""WITH {KB} SELECT product_id, unnest(['truth sources', 'style examples', 'positioning material', 'knowledge base', 'claims reviewed', 'style threshold']) AS step,
             unnest([truth > 0, style > 0, positioning > 0, num % 5 > 0, verified > 0 AND needs_review = 0, threshold IS NOT NULL]) AS done FROM kb""",
         "quality_dash": f"""WITH {rounds}, {LIVE}, i AS (SELECT item_id, count(*) AS n, max(live_round) AS live_round FROM live GROUP BY item_id), x AS (SELECT i.*, c_mktsegment, CASE WHEN live_round IS NULL THEN NULL WHEN item_id % 10 = 0 THEN 'approved-override' ELSE 'approved' END AS s FROM i JOIN customer ON c_custkey = item_id)
-            SELECT c_mktsegment, count(*) AS items, count(s) AS approved, CASE WHEN count(s) > 0 THEN round(count(*) FILTER (s = 'approved-override') / count(s), 3) END AS override_rate, round(avg(n), 2) AS avg_rounds, count(*) FILTER (live_round <= {1 + reports.AUTO_ROUNDS} AND s = 'approved') AS approved_within_cap FROM x GROUP BY c_mktsegment""",
+            SELECT c_mktsegment, count(*) AS items, count(s) AS approved, CASE WHEN count(s) > 0 THEN round((count(*) FILTER (s = 'approved-override') / count(s))::DECIMAL(18, 9), 3)::DOUBLE END AS override_rate, round(avg(n)::DECIMAL(18, 9), 2)::DOUBLE AS avg_rounds, count(*) FILTER (live_round <= {1 + reports.AUTO_ROUNDS} AND s = 'approved') AS approved_within_cap FROM x GROUP BY c_mktsegment""",
         "blocks_by_reason": f"WITH {verdicts} SELECT coalesce(reason, 'page') AS reason, count(*) AS n FROM verdicts WHERE verdict = 'block' GROUP BY ALL",
         "newest_drafts": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 300",
         "auto_rounds": f"SELECT o_custkey AS item_id, count(*) FILTER (o_orderpriority < '3') AS auto_rounds, count(*) FILTER (o_orderpriority < '3') >= {reports.AUTO_ROUNDS} AS exhausted FROM orders GROUP BY o_custkey",
