@@ -40,8 +40,8 @@ SKETCH, PARTS = 1 << 22, 64
 BLOCK, FETCH_BROADCAST, HOT = 256, 200_000, 256
 #: Entries up to which runs are compared together, and rows of a tile of longer ones.
 SHORT, TILE = 64, 64
-#: Map tasks whose counts one task of the sketch sums.
-FAN_IN = 256
+#: Map tasks whose counts one task of the sketch sums, and rows of a key from which on a join broadcasts its entry.
+FAN_IN, HOT_ROWS = 256, 512
 REMEMBERED = 150_000
 
 
@@ -389,7 +389,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tkey"), whole(text_col).alias("text"))
     every = stored(_described(rows, frequency_sketch(rows.select("text")), percent))
     real = every.where("member IS NOT NULL")
-    members = stored(real.groupBy("member").agg(*(F.min(c).alias(c) for c in ("id", "tkey", "n", "grp", "sig"))))
+    members = stored(real.groupBy("member").agg(*(F.min(c).alias(c) for c in ("id", "tkey", "n", "grp", "sig")), F.count(F.lit(1)).alias("copies")))
     groups = real.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     met = stored(_meetings(groups.select("grp", "n", F.posexplode("prefix").alias("pos", "shingle")).select("grp", "n", "shingle", "pos")))
 
@@ -437,8 +437,19 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     links = links.unionByName(_verified(more, members, rows, percent))
     labels = components(links)
 
-    of_member = members.select("member", F.col("id").alias("least_id")).join(labels, "member", "left")
-    return every.select("id", "tkey", "n", "member").join(of_member, "member", "left")
+    copies = members.select("member", F.col("id").alias("least_id"), "copies").join(labels, "member", "left")
+    return _joined_to(every.select("id", "tkey", "n", "member"), copies, "member", "copies")
+
+
+def _joined_to(rows: DataFrame, entries: DataFrame, key: str, size: str) -> DataFrame:
+    """rows left-joined to entries, which are unique by key and tell in `size` how many rows have it: hot keys meet their entry by broadcast, if these are few as counted."""
+    entries = entries.checkpoint()
+    hot, cold = entries.where(F.col(size) > HOT_ROWS).drop(size), entries.where(F.col(size) <= HOT_ROWS).drop(size)
+    if not 0 < hot.count() <= FETCH_BROADCAST:
+        return rows.join(entries.drop(size), key, "left")
+    met = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    return met.unionByName(others)
 
 
 def text_key(text_col: str) -> Column:
@@ -455,8 +466,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only the two named columns are read; an empty table gives no rows.
     """
     every = _joined(docs, id_col, text_col, percent)
-    least = every.where("label IS NOT NULL").groupBy("label").agg(F.min("least_id").alias("reached"))
-    return every.join(least, "label", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("reached", "least_id", "id").alias("component_id"))
+    least = every.where("label IS NOT NULL").groupBy("label").agg(F.min("least_id").alias("reached"), F.count(F.lit(1)).alias("size"))
+    return _joined_to(every, least, "label", "size").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("reached", "least_id", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

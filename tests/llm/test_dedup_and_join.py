@@ -86,6 +86,7 @@ def near_copies():
 def test_ngram_join_against_brute_force(spark, monkeypatch, block, short):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 1 if block == 2 else 512)
     rows = near_copies()
     got = ngram_join.ngram_join(docs(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
