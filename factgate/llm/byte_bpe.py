@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import hold, prepare, whole
 
 #: Distinct matches of a generation, of which a Python worker remembers two, and pairs of tokens before it starts anew.
-REMEMBERED, PAIRS = 400_000, 600_000
+REMEMBERED, PAIRS = 150_000, 400_000
 #: Lengths of beginnings whose prefixes are kept for other matches.
 STEMS = (9, 7, 5)
 #: Texts are handed on in batches of about this many bytes; larger ones repeat more pieces.

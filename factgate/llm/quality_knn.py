@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import _slices
-from .common import prepare, whole
+from .common import hold, prepare, whole
 
 #: Labelled documents of each class that are used at most, terms, latent dimensions, neighbours, and power of the similarity.
 PER_CLASS, TERMS, LATENT, NEIGHBOURS, POWER = 2000, 1024, 48, 15, 8
@@ -82,16 +82,23 @@ def fit(counts: np.ndarray, labels: np.ndarray, latent: int = LATENT) -> Voters:
 
 
 def vote(v: Voters, counts: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-    """Similarity-weighted share of label 1 among the k nearest voters; 0.5 where nothing is similar."""
-    cosines = np.maximum(0, project(counts, v.idf, v.axes) @ v.vectors.T)
-    near = np.argpartition(-cosines, min(k, cosines.shape[1]) - 1, axis=1)[:, :k]
-    weight = np.take_along_axis(cosines, near, axis=1) ** POWER
+    """Similarity-weighted share of label 1 among the k nearest voters; 0.5 where nothing is similar.
+
+    Cosines are rounded to 5 digits, so that they do not depend on the block; of equally near voters the first ones vote.
+    """
+    cosines = np.round(np.maximum(0, project(counts, v.idf, v.axes) @ v.vectors.T), 5)
+    k = min(k, cosines.shape[1])
+    least = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, -k, None]
+    above, level = cosines > least, cosines == least
+    near = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)))
+    weight = np.where(near, cosines, 0) ** POWER
     total = weight.sum(1)
-    return np.where(total > 0, (weight * v.labels[near]).sum(1) / np.maximum(total, 1e-30), 0.5)
+    return np.where(total > 0, (weight * v.labels).sum(1) / np.maximum(total, 1e-30), 0.5)
 
 
 def _counts_of(rows: DataFrame, more: str) -> DataFrame:
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality_knn", lambda: None)
         for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([term_counts(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["label", "counts"])
 
@@ -99,12 +106,17 @@ def _counts_of(rows: DataFrame, more: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Voters | None:
-    """Voters from at most per_class labelled documents of each class, the first by hash of their ids; None without any."""
+    """Voters from at most per_class different labelled documents of each class, of the first ids by hash; None without any.
+
+    Null labels and ids are left out.  Where ids repeat, all their documents count, up to per_class by their terms.
+    """
+    prepare(docs.sparkSession)
     known = labels.where(use & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) == 1).cast("int").alias("label"))
     picked = [known.where(F.col("label") == x).orderBy(F.xxhash64("id"), "id").limit(per_class) for x in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows of an id and a label
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(sample, "id").select("label", "text")
-    got = _counts_of(rows, "label int").orderBy("label", "counts").limit(4 * per_class).collect()  # ids that repeat may bring more rows
+    made = _counts_of(rows, "label int").distinct().checkpoint()  # ids that repeat may bring more rows than the sample has
+    got = [r for x in (0, 1) for r in made.where(F.col("label") == x).orderBy("counts").limit(per_class).collect()]
     if not got:
         return None
     counts = np.frombuffer(b"".join(r["counts"] for r in got), np.float32).reshape(len(got), TERMS)
@@ -114,8 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_co
 def score_quality(docs: DataFrame, voters: Voters | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
     """(id, *keep, score) of every row's whole text; keep names further columns to carry along, score_col the score's.
 
-    Scores lie in 0..1, higher where label 1 is likelier; equal texts have equal scores.  Null and empty texts resemble
-    nothing and score 0.5, as does every text when there are no labelled documents.
+    Scores lie in 0..1, higher where label 1 is likelier; equal texts have equal scores, repeated rows and ids stay as they
+    are.  Texts of any length are read whole.  Null and empty texts resemble nothing and score 0.5, as does every text when
+    there are no labelled documents; an empty table gives no rows.
     """
     spark = prepare(docs.sparkSession)
     carried = [F.col(c).alias(f"k{i}") for i, c in enumerate([id_col, *(keep or [])])]
@@ -126,6 +139,7 @@ def score_quality(docs: DataFrame, voters: Voters | None, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast(voters)
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("quality_knn", lambda: None)
         for b in _slices(batches):
             scores = []
             for at in range(0, b.num_rows, BLOCK):

@@ -55,7 +55,8 @@ def test_votes_are_exact_nearest_neighbours():
     new = rng.random((40, quality_knn.TERMS)).astype(np.float32)
     cos = np.maximum(0, quality_knn.project(new, v.idf, v.axes) @ v.vectors.T)
     for row, score in zip(cos, quality_knn.vote(v, new)):
-        near = np.argsort(-row)[: quality_knn.NEIGHBOURS]
+        row = np.round(row, 5)
+        near = np.argsort(-row, kind="stable")[: quality_knn.NEIGHBOURS]
         w = row[near] ** quality_knn.POWER
         assert abs(score - (w * v.labels[near]).sum() / w.sum()) < 1e-5
 
@@ -112,6 +113,30 @@ def test_lm_against_brute_force(spark, monkeypatch):
     assert lm_logbilinear.score_texts(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_long_words_count_like_others(spark, monkeypatch):
+    monkeypatch.setattr(lm_logbilinear, "HEAD", 3)
+    url = "https://example.org/" + "a" * 300
+    rows = [(i, f"{url} en{i % 7} {url.upper()}") for i in range(20)]
+    got = lm_logbilinear.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") > 3).collect()
+    c = Counter(x for i, t in rows if i > 3 for x in [*t.lower().split(), ""])
+    n, v = sum(c.values()), len(c)
+    for r in got:
+        t = [*rows[r.doc_id][1].lower().split(), ""]
+        assert r.n_known == len(t) and abs(r.base_score - sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)) < 1e-6
+
+
+def test_quality_voters_are_capped_by_class(spark):
+    docs = spark.createDataFrame([(i % 2, f"{'Bad. Bad!' if i % 2 else 'good words here'} {'x' * i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, None), (None, 1)], "doc_id long, quality int")
+    voters = quality_knn.train(docs, labels, "quality", F.lit(True), per_class=2)
+    assert sorted(voters.labels.tolist()) in ([0.0, 1.0], [0.0, 0.0, 1.0, 1.0], [0.0, 1.0, 1.0], [0.0, 0.0, 1.0])
+
+
+def test_equally_near_voters_vote_in_order():
+    v = quality_knn.Voters(np.ones(2, np.float32), np.eye(2, dtype=np.float32), np.array([[1, 0]] * 20 + [[0, 1]], np.float32), np.array([1.0] * 10 + [0.0] * 11, np.float32))
+    assert quality_knn.vote(v, np.array([[1, 0]], np.float32), 10)[0] == 1.0 and abs(quality_knn.vote(v, np.array([[1, 0], [1, 1]], np.float32), 20)[0] - 0.5) < 1e-9
+
+
 def test_lm_table_is_normalised():
     counts = np.zeros((lm_logbilinear.CLASSES,) * 3)
     counts[1, 2, 3], counts[4, 5, 6] = 50, 70
