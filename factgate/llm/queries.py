@@ -13,7 +13,9 @@ from .byte_bpe import decode_ids, encode_texts
 from .chat_format import format_chats, read_back, turns_to_events
 from .common import crc_mod, table
 from .exact_dedup import exact_dedup
+from .filter_audit import audit, failures, text_filters
 from .lm_logbilinear import score_texts
+from .merkle_manifest import FIELDS, fold, leaf_of, manifest, proof_digest
 from .ngram_join import ngram_join
 from .source_mix import mix_sources
 from .token_counts import count_tokens
@@ -178,6 +180,89 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM place
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.when(F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) == 0), leaf_of([tampered if f == "text" else F.col(f) for f in FIELDS]))
+    rows = manifest(table(spark, sf_dir, "documents"), also={"changed": changed})
+    folded = rows.withColumn("folded_root", fold(F.coalesce("changed", "digest"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, n_chars, lang,
+         list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda acc, b:
+           list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))) AS crc
+  FROM documents
+), f AS (
+  SELECT *, CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS later,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM d
+), leaf AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(later) || ':' || later, '-')) AS now FROM f
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaf
+), node(level, source, pos, n, digest) AS (
+  SELECT 0, source, pos, n, leaf FROM numbered
+  UNION ALL
+  SELECT level + 1, source, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY level, source, pos // 16, n
+), subroot AS (
+  SELECT source, digest, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1
+), upper(level, pos, n, digest) AS (
+  SELECT 0, pos, n, digest FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 16, n
+), root AS (SELECT digest AS root FROM upper WHERE n = 1), row AS (
+  SELECT row_number() OVER () AS uid, l.doc_id, l.leaf, l.now, l.source, l.pos, s.digest AS subroot, s.pos AS place, s.height FROM numbered l JOIN subroot s ON l.source IS NOT DISTINCT FROM s.source
+), step AS (
+  SELECT uid, level, coalesce(string_agg(digest, '' ORDER BY x.pos) FILTER (x.pos < (r.pos >> (4 * level))), '') AS before, coalesce(string_agg(digest, '' ORDER BY x.pos) FILTER (x.pos > (r.pos >> (4 * level))), '') AS after
+  FROM row r JOIN node x ON r.source IS NOT DISTINCT FROM x.source AND x.n > 1 AND (x.pos >> 4) = (r.pos >> (4 * level + 4)) GROUP BY uid, level
+  UNION ALL
+  SELECT uid, height + level, coalesce(string_agg(digest, '' ORDER BY x.pos) FILTER (x.pos < (place >> (4 * level))), ''), coalesce(string_agg(digest, '' ORDER BY x.pos) FILTER (x.pos > (place >> (4 * level))), '')
+  FROM row r JOIN upper x ON x.n > 1 AND (x.pos >> 4) = (place >> (4 * level + 4)) GROUP BY uid, height, level
+), folded(uid, level, digest) AS (
+  SELECT uid, 0, now FROM row
+  UNION ALL
+  SELECT f.uid, f.level + 1, sha256(before || digest || after) FROM folded f JOIN step s ON s.uid = f.uid AND s.level = f.level
+), proof AS (
+  SELECT r.uid, sha256(coalesce(string_agg(before || after, '' ORDER BY level), '')) AS proof_sha256 FROM row r LEFT JOIN step USING (uid) GROUP BY r.uid
+), last AS (SELECT uid, max_by(digest, level) AS folded_root FROM folded GROUP BY uid)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM row JOIN proof USING (uid) JOIN last USING (uid), root
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), text_filters())
+    return audit(counts, "ABCDE")
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), d AS (
+  SELECT row_number() OVER () AS uid, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t),
+         regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY part, fails
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT part, filter_order, n, good, toxic, fails, len(list_filter(fails, lambda f: f)) AS n_fails, unnest(range(1, 6)) AS step FROM c, o
+), f AS (
+  SELECT *, fails[ascii(filter_order[step]) - 64] AS own, len(list_filter(range(1, step), lambda i: fails[ascii(filter_order[i]) - 64])) > 0 AS gone FROM s
+), g AS (
+  SELECT part, filter_order, step::INTEGER AS step, sum(n) FILTER (NOT own AND NOT gone) AS kept, sum(n) FILTER (own AND NOT gone) AS removed, sum(n) FILTER (own AND gone) AS redundant,
+         sum(n) FILTER (own AND n_fails = 1) AS unique_fails, sum(good) FILTER (own AND NOT gone) AS good_lost, sum(toxic) FILTER (own AND NOT gone) AS toxic_lost
+  FROM f GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, filter_order[step]), 0)::BIGINT AS shapley
+FROM g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -190,8 +275,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_exact_topk": op9_exact_topk,
         "op10_source_mixing": op10_source_mixing,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_source_mixing": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_source_mixing": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op13_filter_audit": OP13_SQL}
