@@ -18,6 +18,7 @@ from .lm_logbilinear import score_texts
 from .merkle_manifest import FIELDS, fold, leaf_of, manifest, proof_digest
 from .ngram_join import ngram_join
 from .source_mix import mix_sources
+from .substring_dedup import drop_passages
 from .token_counts import count_tokens
 from .topk_pivot import top_k
 
@@ -231,6 +232,23 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 """
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (SELECT uid, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d), later AS (
+  SELECT uid, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id NULLS LAST, i) > 1 AS later FROM x
+), t AS (SELECT uid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d), c AS (
+  SELECT uid, i, word, coalesce(bool_or(later) OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM t LEFT JOIN later USING (uid, i)
+)
+SELECT doc_id, count(i) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (uid) GROUP BY uid, doc_id
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), text_filters())
     return audit(counts, "ABCDE")
@@ -276,9 +294,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_topk": op9_exact_topk,
         "op10_source_mixing": op10_source_mixing,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_substring_dedup": op12_substring_dedup,
         "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_source_mixing": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op3_ngram_join": OP3_SQL, "op9_exact_topk": OP9_SQL, "op10_source_mixing": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_filter_audit": OP13_SQL}
