@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from .search import similar, token_sets, top_matches
+from .search import best_matches, token_arrays
 
 
 CHECKERS = ("style-checker", "best-practice-auditor", "synthetic-buyer")
@@ -204,8 +204,9 @@ def registry_overlap(sentences: DataFrame, claims: DataFrame, keys: Sequence[str
     """
     text = T.strip_tags(F.col("text"))
     said = sentences.select(product, text.alias("__q")).distinct()
-    pairs = similar(token_sets(said.select(product, F.col("__q").alias("query_id"), F.col("__q").alias("t")), "query_id", "t", (product,)), token_sets(claims.withColumnRenamed("id", "target_id"), "target_id", "text", (product,)), (product,))
-    best = top_matches(pairs, 1, (product,)).select(product, F.col("query_id").alias("__q"), F.col("target_id").alias("best_id"))
+    queries = token_arrays(said.select(product, F.col("__q").alias("query_id"), F.col("__q").alias("t")), "query_id", "t", (product,))
+    best = best_matches(queries, token_arrays(claims.withColumnRenamed("id", "target_id"), "target_id", "text", (product,)), 1, (product,), spread=True)
+    best = best.select(product, F.col("query_id").alias("__q"), F.col("target_id").alias("best_id"))
     best = best.join(claims.select(product, F.col("id").alias("best_id"), F.col("text").alias("__c")), [product, "best_id"])
     own = F.array_except(T.stems_gate(F.col("__q")), T.strings(L.GENERIC_STEMS))
     shared = F.size(F.array_intersect(own, T.stems_gate(F.col("__c"))))

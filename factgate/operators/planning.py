@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from .search import similar, token_sets, top_matches
+from .search import best_matches, token_arrays
 from .style import has_term
 
 #: Sections that take proof first, categories that count as proof, words of asks that need a claim, and the framework of each stage.
@@ -70,9 +70,9 @@ def unsupported_asks(briefs: DataFrame, claims: DataFrame, least: float = 0.5) -
     s = briefs.select("brief_id", "product_id", F.posexplode(F.split("notes", r"(?<=[.;])\s+")).alias("pos", "need")).withColumn("need", F.trim("need"))
     s = s.where((F.col("need") != "") & F.col("need").rlike(ASKS))
     key = F.concat_ws("~", "brief_id", "pos")
-    q = token_sets(s.select("product_id", key.alias("query_id"), F.col("need").alias("t")), "query_id", "t", ("product_id",))
+    q = token_arrays(s.select("product_id", key.alias("query_id"), F.col("need").alias("t")), "query_id", "t", ("product_id",))
     verified = claims.where("status = 'verified'")
-    best = top_matches(similar(q, token_sets(verified.withColumnRenamed("id", "target_id"), "target_id", "text", ("product_id",)), ("product_id",)), 1, ("product_id",))
+    best = best_matches(q, token_arrays(verified.withColumnRenamed("id", "target_id"), "target_id", "text", ("product_id",)), 1, ("product_id",), spread=True)
     best = best.join(verified.select("product_id", F.col("id").alias("target_id"), F.col("text").alias("__c")), ["product_id", "target_id"]).select("query_id", "__c")
     own = T.stems_gate(F.col("need"))
     near = F.size(F.array_intersect(own, T.stems_gate(F.coalesce("__c", F.lit(""))))) / F.greatest(F.lit(1), F.size(own))
@@ -108,10 +108,9 @@ def fact_check(aids: DataFrame, products: DataFrame, claims: DataFrame, least: f
     s = aids.join(names, "product_id").select("aid_id", "product_id", "__names", F.posexplode(T.split_sentences(F.regexp_replace("text", "[#*`>-]", " "))).alias("pos", "sentence"))
     s = s.where((F.size(F.split("sentence", r"\s+")) >= 5) & F.exists("__names", lambda n: F.contains(F.lower("sentence"), n))).drop("__names")
     by, key = ("product_id",), F.concat_ws("~", "aid_id", "pos")
-    q = token_sets(s.select(*by, key.alias("query_id"), F.col("sentence").alias("t")), "query_id", "t", by)
+    q = token_arrays(s.select(*by, key.alias("query_id"), F.col("sentence").alias("t")), "query_id", "t", by)
     verified = claims.where("status = 'verified'")
-    pairs = similar(q, token_sets(verified.withColumnRenamed("id", "target_id"), "target_id", "text", by), by)
-    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "query_id").orderBy(F.desc("shared"), "target_id"))).where("rank = 1")
+    best = best_matches(q, token_arrays(verified.withColumnRenamed("id", "target_id"), "target_id", "text", by), 1, by, "shared", spread=True)
     best = best.join(verified.select(*by, F.col("id").alias("target_id"), F.col("text").alias("__c")), [*by, "target_id"]).select(*by, "query_id", "overlap", F.col("target_id").alias("claim_id"), "__c")
     j = s.withColumn("query_id", key).join(best, [*by, "query_id"], "left")
     negates = F.col("sentence").rlike(L.REGISTRY_NEGATION) != F.col("__c").rlike(L.REGISTRY_NEGATION)

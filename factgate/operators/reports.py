@@ -13,8 +13,8 @@ from ..functions import lexicon as L
 
 
 def coverage(claims: DataFrame, topics: DataFrame) -> DataFrame:
-    """Claims per topic (category), zero rows included; topics is a small dimension."""
-    n = claims.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    """Claims per topic (category) that are not deprecated, zero rows included; topics is a small dimension."""
+    n = claims.where("status <> 'deprecated'").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     return topics.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 

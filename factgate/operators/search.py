@@ -2,43 +2,97 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.shared import materialized
 
+#: Tokens of the query side of a join up to which it is broadcast (some 20 bytes each).
+BROADCAST_TOKENS = 2_000_000
 
-#: Token rows of the queries up to which they are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Postings that are looked at for each wanted target before a query has its bound.
+PROBED = 8
 
 
-def token_sets(rows: DataFrame, id_col: str, text_col: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, id, n, token): one row per distinct token of each text, with the size of its set; the rows of an id share a partition."""
-    sets = rows.select(*by, id_col, F.array_distinct(T.tokens(F.col(text_col))).alias("__t")).repartition(*by, id_col)
-    return sets.select(*by, id_col, F.size("__t").alias("n"), F.explode("__t").alias("token"))
+def token_arrays(rows: DataFrame, id_col: str, text_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, id, tokens): the distinct tokens of each text."""
+    return rows.select(*by, id_col, F.array_distinct(T.tokens(F.col(text_col))).alias("tokens"))
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    """The queries, to be broadcast if they are counted few."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else queries
+def _rarest_first(queries: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, query_id, n, ranked): tokens of each query as (r, df, before, token), the rarest among the targets first; before: the postings of all rarer ones."""
+    words = queries.select(*by, F.explode("tokens").alias("token")).distinct()
+    found = targets.select(*by, F.explode("tokens").alias("token"))
+    few = F.broadcast(words) if words.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else words
+    df = found.join(few, [*by, "token"]).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
+    each = queries.select(*by, "query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, [*by, "token"], "left").fillna(0, ["df"])
+    w = Window.partitionBy(*by, "query_id").orderBy("df", "token")
+    before = F.coalesce(F.sum("df").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = each.withColumns({"r": F.row_number().over(w), "before": before}).groupBy(*by, "query_id", "n").agg(F.array_sort(F.collect_list(F.struct("r", "df", "before", "token"))).alias("ranked"))
+    return materialized(ranked)
 
 
-def similar(queries: DataFrame, targets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, query_id, target_id, shared, score, overlap) of all pairs that share a token: shared / sqrt(sizes), and shared / size of the query.
+def _scored(looked_up: DataFrame, targets: DataFrame, by: Sequence[str], measure: str, spread: bool) -> DataFrame:
+    """(by, query_id, target_id, shared, score, overlap) of targets that share a looked-up token and can reach the bound of the query, each once.
 
-    queries and targets are token_sets with ids query_id and target_id.  Few queries are broadcast: as the rows of a
-    target share a partition, its pairs are counted there, and none is shuffled before the best are chosen.
+    looked_up: (by, query_id, n, q, bound, r, token).  A target of t_n tokens reaches the bound only with `need` tokens, so
+    it has one of the n - need + 1 rarest; the pair is scored at the rarest token that it shares.
+    """
+    need = F.greatest(F.lit(1), F.ceil((F.col("bound") * F.sqrt(F.col("n") * F.col("t_n")) if measure == "score" else F.col("bound")) - 1e-9))
+    can = (need <= F.least("n", "t_n")) & (F.col("r") <= F.col("n") - need + 1)
+    sized = targets.select(*by, "target_id", F.col("tokens").alias("t"), F.size("tokens").alias("t_n"))
+    sized = sized.repartition(*by, "target_id") if spread else sized
+    size = looked_up.agg(F.sum(F.size("q") + 4)).first()[0] or 0
+    if size <= BROADCAST_TOKENS:
+        hits = sized.withColumn("token", F.explode("t")).join(F.broadcast(looked_up), [*by, "token"]).where(can)
+    else:  # ids meet first, and texts only for the pairs that are left
+        pairs = sized.select(*by, "target_id", "t_n", F.explode("t").alias("token")).join(looked_up.drop("q"), [*by, "token"]).where(can)
+        texts = looked_up.select(*by, "query_id", "q").dropDuplicates([*by, "query_id"])
+        hits = pairs.join(sized.drop("t_n"), [*by, "target_id"]).join(texts, [*by, "query_id"])
+    both = F.array_intersect("q", "t")
+    once = hits.where(F.get(both, F.lit(0)) == F.col("token"))
+    shared = F.size(both)
+    return once.select(*by, "query_id", "target_id", shared.alias("shared"), (shared / (F.sqrt("n") * F.sqrt("t_n"))).alias("score"), (shared / F.col("n")).alias("overlap"))
+
+
+def best_matches(queries: DataFrame, targets: DataFrame, k: int, by: Sequence[str] = (), measure: str = "score", spread: bool = False) -> DataFrame:
+    """(by, query_id, target_id, shared, score, overlap, rank): the k best targets of each query by measure, ties to the smaller id.
+
+    queries (by, query_id, tokens) and targets (by, target_id, tokens) hold distinct tokens; shared counts common ones,
+    score is shared / sqrt(sizes), overlap shared / size of the query; the measure is score or shared.  Scores are rounded
+    to 3 digits after ranking.  Queries that share nothing with any target have no rows, and nor have those without tokens.
+
+    Exact and bounded: the rarest tokens of a query are looked up first, which gives k targets and so the least measure of
+    its k best.  Only targets that can reach it are scored then: they share one of the query's rarest tokens, so those that
+    most targets have are never looked up.  spread: deal the targets to all tasks first, where they are few and queries many.
     """
-    pairs = targets.withColumnRenamed("n", "t_n").join(_small(queries.withColumnRenamed("n", "q_n")), [*by, "token"])
-    n = pairs.groupBy(*by, "target_id", "query_id", "q_n", "t_n").agg(F.count(F.lit(1)).alias("shared"))
-    return n.select(*by, "query_id", "target_id", "shared", (F.col("shared") / (F.sqrt("q_n") * F.sqrt("t_n"))).alias("score"), (F.col("shared") / F.col("q_n")).alias("overlap"))
+    queries, targets = (x.select(*by, i, F.array_distinct("tokens").alias("tokens")) for x, i in ((queries, "query_id"), (targets, "target_id")))
+    ranked = _rarest_first(queries.where("size(tokens) > 0"), targets, by)
+    each = ranked.select(*by, "query_id", "n", "ranked", F.transform("ranked", lambda x: x["token"]).alias("q"))
+
+    def looked_up(rows: DataFrame, keep) -> DataFrame:
+        at = rows.select(*by, "query_id", "n", "q", "bound", F.explode(F.filter("ranked", keep)).alias("x"))
+        return at.select(*by, "query_id", "n", "q", "bound", "x.r", "x.token")
 
+    w = Window.partitionBy(*by, "query_id").orderBy(F.desc(measure), "target_id")
+    probe = looked_up(each.withColumn("bound", F.lit(0.0)), lambda x: (x["df"] > 0) & (x["before"] < PROBED * k))
+    first = _scored(probe, targets, by, measure, spread).withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k)
+    bounds = materialized(first.select(*by, "query_id", F.col(measure).cast("double").alias("bound")))
+    bounded = each.join(bounds, [*by, "query_id"], "left").fillna(0.0, ["bound"])
+    least = F.col("bound") * F.col("bound") * F.col("n") if measure == "score" else F.col("bound")  # a target has no fewer tokens than it shares
+    last = F.col("n") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1
+    rows = looked_up(bounded, lambda x: (x["df"] > 0) & (x["r"] <= last))
+    best = _scored(rows, targets, by, measure, spread).where(F.col(measure) > 0)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 3))
 
-def top_matches(pairs: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """The k best targets of each query by score, ties to the smaller id; scores are rounded to 3 digits after ranking."""
-    w = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "target_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 3))
+
+def _few(queries: DataFrame) -> DataFrame:
+    """The queries, to be broadcast if their tokens are counted few."""
+    return F.broadcast(queries) if (queries.agg(F.sum(F.size("q") + 4)).first()[0] or 0) <= BROADCAST_TOKENS else queries
 
 
 def covered(queries: DataFrame, targets: DataFrame, least: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -52,14 +106,23 @@ def covered(queries: DataFrame, targets: DataFrame, least: float, by: tuple[str,
     rank = F.transform(F.array_sort(F.transform("q", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), lambda x: x["t"])
     seeds = q.select(*by, "query_id", "q", F.explode(F.slice(rank, F.lit(1), F.size("q") - F.ceil(F.size("q") * least - 1e-9).cast("int") + 1)).alias("token")).where("size(q) > 0")
     t = targets.select(*by, "target_id", tokens.alias("t")).select(*by, "target_id", "t", F.explode("t").alias("token"))
-    found = t.join(_small(seeds), [*by, "token"]).where(F.size(F.array_intersect("q", "t")) >= F.size("q") * least - 1e-9)
+    found = t.join(_few(seeds), [*by, "token"]).where(F.size(F.array_intersect("q", "t")) >= F.size("q") * least - 1e-9)
     return found.select(*by, "query_id", "target_id").distinct()
 
 
-def unanswered(queries: DataFrame, targets: DataFrame, least: float = 0.5) -> DataFrame:
-    """Queries (query_id, text) of which no target (target_id, text) has at least `least` of the tokens."""
-    sets = lambda df, i: df.select(i, T.tokens(F.col("text")).alias("tokens"))
-    return queries.join(covered(sets(queries, "query_id"), sets(targets, "target_id"), least).select("query_id").distinct(), "query_id", "left_anti")
+def _stems_covered(best: DataFrame, queries: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """best (by, query_id, target_id, …) with covered, the share of the query's stems that the target has; queries and targets: (by, id, text)."""
+    texts = queries.select(*by, "query_id", F.col("text").alias("__q"))
+    both = best.join(texts, [*by, "query_id"]).join(targets.select(*by, "target_id", F.col("text").alias("__t")), [*by, "target_id"])
+    own = T.stems_gate(F.col("__q"))
+    return both.withColumn("covered", F.size(F.array_intersect(own, T.stems_gate(F.col("__t")))) / F.greatest(F.lit(1), F.size(own))).drop("__q", "__t")
+
+
+def unanswered(queries: DataFrame, targets: DataFrame, least: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """Queries (by, query_id, text) whose best target (by, target_id, text), by score, has less than `least` of their stems, or which have none."""
+    best = best_matches(token_arrays(queries, "query_id", "text", by), token_arrays(targets, "target_id", "text", by), 1, by)
+    answered = _stems_covered(best, queries, targets, by).where(F.col("covered") >= least)
+    return queries.join(answered.select(*by, "query_id"), [*by, "query_id"], "left_anti")
 
 
 def contained(quotes: DataFrame, texts: DataFrame, key: str) -> DataFrame:
@@ -76,13 +139,13 @@ def slice_for(hits: DataFrame, must: DataFrame, cap: int = 150) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("at", "id"))).where(F.col("pos") <= cap).select("page_id", "id", "pos")
 
 
-def proof_links(pairs: DataFrame, least: float = 0.6, k: int = 3) -> DataFrame:
-    """(query_id, target_id): of each query's k best targets the best one that covers `least` of the query; without one it needs a claim."""
-    w = Window.partitionBy("query_id").orderBy("rank")
-    return top_matches(pairs, k).where(F.col("overlap") >= least).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("query_id", "target_id")
+def proof_links(queries: DataFrame, targets: DataFrame, least: float = 0.6, k: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """(by, query_id, target_id): of the k best targets (by, target_id, text) of each query (by, query_id, text) the first that has `least` of its stems; without one it needs a claim."""
+    best = best_matches(token_arrays(queries, "query_id", "text", by), token_arrays(targets, "target_id", "text", by), k, by)
+    fits = _stems_covered(best, queries, targets, by).where(F.col("covered") >= least)
+    return fits.groupBy(*by, "query_id").agg(F.min_by("target_id", "rank").alias("target_id"))
 
 
 def search_blocks(queries: DataFrame, targets: DataFrame, k: int = 10) -> DataFrame:
     """Blocks by number of shared tokens, for discovery: (query_id, target_id, shared, rank)."""
-    pairs = similar(queries, targets).select("query_id", "target_id", "shared")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "target_id"))).where(F.col("rank") <= k)
+    return best_matches(queries, targets, k, measure="shared").select("query_id", "target_id", "shared", "rank")

@@ -15,7 +15,7 @@ def _found(c: str, pattern: str) -> str:
     return f"regexp_extract_all({c}, {q(pattern)})"
 
 
-def _stems(c: str) -> str:
+def stems(c: str) -> str:
     return f"list_distinct(list_transform(list_filter({tokens(stripped_tags(c))}, lambda w: length(w) > 1), lambda w: {stem('w', L.GATE_SUFFIXES)}))"
 
 
@@ -83,8 +83,8 @@ def overlap(claims: str) -> str:
     qt AS (SELECT DISTINCT product_id, plain, list_distinct({tokens('plain')}) AS t FROM seeds),
     pairs AS (SELECT qt.product_id, plain, id, len(list_intersect(qt.t, ct.t)) / (sqrt(len(qt.t)) * sqrt(len(ct.t))) AS score FROM qt JOIN ct ON qt.product_id = ct.product_id AND list_has_any(qt.t, ct.t)),
     best AS (SELECT product_id, plain, id AS best_id FROM pairs QUALIFY row_number() OVER (PARTITION BY product_id, plain ORDER BY score DESC, id) = 1),
-    st AS (SELECT DISTINCT plain, list_filter({_stems('plain')}, lambda w: NOT list_contains({listed(L.GENERIC_STEMS)}, w)) AS own FROM seeds),
-    cst AS (SELECT id, {_stems('text')} AS cs FROM claims),
+    st AS (SELECT DISTINCT plain, list_filter({stems('plain')}, lambda w: NOT list_contains({listed(L.GENERIC_STEMS)}, w)) AS own FROM seeds),
+    cst AS (SELECT id, {stems('text')} AS cs FROM claims),
     near AS (SELECT s.*, best_id, own, coalesce(len(list_intersect(own, cs)), 0) AS reg_n, CASE WHEN len(own) > 0 THEN coalesce(len(list_intersect(own, cs)) / len(own), 0) ELSE 0 END AS reg_ratio
              FROM seeds s JOIN st USING (plain) LEFT JOIN best USING (product_id, plain) LEFT JOIN cst ON cst.id = best_id)"""
 
@@ -94,10 +94,10 @@ def verified(claims: str) -> str:
     matches = lambda p, c="t": f"regexp_matches({c}, {q(p)})"
     keys = f"list_filter({tokens('cond')}, lambda w: length(w) > 2)"
     return f"""{overlap(claims)}, vocab AS (
-      SELECT product_id, list(stem) AS vocabulary FROM (SELECT product_id, stem, count(*) AS n FROM (SELECT product_id, id, unnest({_stems('text')}) AS stem FROM claims) GROUP BY ALL) JOIN (SELECT product_id, count(*) AS size FROM claims GROUP BY ALL) USING (product_id)
+      SELECT product_id, list(stem) AS vocabulary FROM (SELECT product_id, stem, count(*) AS n FROM (SELECT product_id, id, unnest({stems('text')}) AS stem FROM claims) GROUP BY ALL) JOIN (SELECT product_id, count(*) AS size FROM claims GROUP BY ALL) USING (product_id)
       WHERE n >= 2 AND n < greatest(5, size * 0.2::DOUBLE) GROUP BY product_id
     ), f AS (
-      SELECT *, trim(plain) AS t, label <> 'untagged' AS tagged, {_numbers('plain')} AS sn, {_numbers('claim')} AS cn, {_stems('plain')} AS sst, {_stems('claim')} AS cst2,
+      SELECT *, trim(plain) AS t, label <> 'untagged' AS tagged, {_numbers('plain')} AS sn, {_numbers('claim')} AS cn, {stems('plain')} AS sst, {stems('claim')} AS cst2,
              {matches(L.SUPERLATIVE, 'trim(plain)')} AS absolute, {matches(L.FACT_VERB, 'trim(plain)')} AS verb, {matches(L.NORMATIVE, 'trim(plain)')} AS normative FROM near LEFT JOIN vocab USING (product_id)
     ), c AS (
       SELECT *, CASE WHEN t = '' OR ends_with(t, '?') OR ({matches(L.CALL_TO_ACTION)} AND len(sn) = 0) THEN 'positioning'
@@ -121,5 +121,5 @@ def verified(claims: str) -> str:
 def repairs(claims: str) -> str:
     return f"""WITH {verified(claims)}, w AS (
       SELECT label, v.item_id, reason, CASE WHEN reason IN ('overstated', 'partial', 'contradicted', 'combined-conclusion') AND tagged THEN v.item_id WHEN reason = 'untagged' THEN best_id END AS want, tagged, sst, reason AS why FROM verdicts v WHERE verdict = 'block'
-    ), x AS (SELECT w.*, c.id AS got, tagged AND why <> 'untagged' OR len(list_intersect(sst, {_stems('c.text')})) / greatest(1, len(sst)) >= 0.8 AS good FROM w LEFT JOIN claims c ON c.id = want AND c.status = 'verified')
+    ), x AS (SELECT w.*, c.id AS got, tagged AND why <> 'untagged' OR len(list_intersect(sst, {stems('c.text')})) / greatest(1, len(sst)) >= 0.8 AS good FROM w LEFT JOIN claims c ON c.id = want AND c.status = 'verified')
     SELECT label, reason, count(*) AS n, count(got) FILTER (good) AS n_repaired, count(*) FILTER (good AND got = item_id) AS n_own FROM x GROUP BY label, reason"""

@@ -94,6 +94,11 @@ pairs AS (
   SELECT query_id, target_id, count(*) AS shared, count(*) / (sqrt(qn) * sqrt(dn)) AS score, count(*) / qn AS overlap
   FROM (SELECT query_id, len(t) AS qn, unnest(t) AS token FROM q) JOIN (SELECT target_id, len(t) AS dn, unnest(t) AS token FROM d) USING (token) GROUP BY query_id, target_id, qn, dn
 )"""
+#: `best`: the three best documents of each passage, with the share of its stems that each has.
+BEST = f"""{SIMILAR}, best AS (
+  SELECT query_id, target_id, r, len(list_intersect(qs, ds)) / greatest(1, len(qs)) AS covered
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS r FROM pairs) JOIN (SELECT item_id AS query_id, {gate_sql.stems('text')} AS qs FROM benchmark) USING (query_id) JOIN (SELECT doc_id AS target_id, {gate_sql.stems('text')} AS ds FROM documents) USING (target_id) WHERE r <= 3
+)"""
 ROUNDS = "rounds AS (SELECT o_custkey AS item_id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INTEGER AS round, CASE o_orderstatus WHEN 'F' THEN 'approved' ELSE 'blocked' END AS status, o_orderdate AS created_at FROM orders)"
 VERSIONS = """a AS (SELECT doc_id, source AS source_id, text || CASE WHEN doc_id % 3 = 0 THEN ' before' ELSE '' END AS was, text || CASE WHEN doc_id % 5 = 0 THEN ' after' ELSE '' END AS now_ FROM documents),
 old AS (SELECT 'DOC-' || lpad(doc_id::VARCHAR, 8, '0') AS id, source_id, md5(lower(was)) AS quote_hash, md5(was) AS text FROM a),
@@ -139,7 +144,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN kind = 'absolute-vs-exception' AND bold THEN 'block' ELSE 'flag' END AS verdict, CASE WHEN kind = 'absolute-vs-exception' AND bold THEN 'overstated' ELSE 'tension' END AS reason FROM t""",
     "doc_freq": f"WITH {CLAIMS_SQL} SELECT product_id, stem, count(*) AS n FROM (SELECT product_id, id, unnest({STEMS}) AS stem FROM claims) GROUP BY product_id, stem",
     "topk_claims": f"WITH {SIMILAR} SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id))::INTEGER AS rank, target_id, shared, round(score, 3) AS score FROM pairs) WHERE rank <= 3",
-    "unanswered": f"WITH {SIMILAR} SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM pairs WHERE overlap >= 0.9)",
+    "unanswered": f"WITH {BEST} SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM best WHERE r = 1 AND covered >= 0.5)",
     "staleness": f"""WITH {SENTENCES}, t AS (SELECT doc_id, s[ceil(len(s) * (doc_id % 4 + 1) / 4)::INT] AS quote, CASE WHEN doc_id % 2 = 1 THEN left(text, floor(length(text) * 3 / 4)::INT) ELSE replace(text, ' ', '  ') END AS body
           FROM sentences JOIN documents USING (doc_id) WHERE len(s) > 0)
         SELECT doc_id, contains(lower({_normal('body')}), lower({_normal('quote')})) AS verbatim FROM t""",
@@ -185,7 +190,7 @@ ORACLES: dict[str, str] = {
         SELECT role, phrase, n, rank FROM (SELECT *, (row_number() OVER (PARTITION BY role ORDER BY n DESC, first_, phrase))::INTEGER AS rank FROM c) WHERE rank <= 15""",
     "links": "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"#]+)\"', 1)) AS link FROM pages",
     "cost_dash": "SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18, 2))::DOUBLE AS cost, count(*) AS n, grouping(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
-    "coverage": f"WITH {RATED} SELECT t.category, count(rated.id) AS n FROM {TOPICS} t LEFT JOIN rated ON rated.category = t.category GROUP BY t.category",
+    "coverage": f"WITH {RATED} SELECT t.category, count(rated.id) AS n FROM {TOPICS} t LEFT JOIN rated ON rated.category = t.category AND status <> 'deprecated' GROUP BY t.category",
     "dq_rules": f"""WITH {RATED}, {UNITS_SQL}, b AS (
           SELECT 'high-risk-verified' AS rule FROM rated WHERE category IN ({HIGH}) AND status = 'verified' UNION ALL SELECT 'low-confidence-verified' FROM rated WHERE confidence = 'low' AND status = 'verified'
           UNION ALL SELECT 'dangling-citation' FROM units WHERE cited_id NOT IN (SELECT id FROM claims) UNION ALL SELECT 'repeated-conversation-id' FROM conversations GROUP BY conv_id HAVING count(*) > 1)
@@ -209,8 +214,7 @@ ORACLES: dict[str, str] = {
     "allowed_claims": f"WITH {CLAIMS_SQL} SELECT id, product_id FROM claims WHERE NOT regexp_matches(lower(text), CASE WHEN length(product_id) % 2 = 0 THEN '\\bplanned\\b' ELSE '\\bencrypts\\b' END)",
     "citations_view": f"""WITH {CLAIMS_SQL}, {UNITS_SQL} SELECT item_id, md5(string_agg(index::VARCHAR || ' | ' || cited_id || ' | ' || coalesce(text, '-') || ' | ' || coalesce(source_id::VARCHAR, '-'), chr(10) ORDER BY index, cited_id)) AS digest
         FROM units LEFT JOIN claims ON id = cited_id GROUP BY item_id""",
-    "proof_links": f"""WITH {SIMILAR}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS r FROM pairs)
-        SELECT query_id, target_id FROM t WHERE r <= 3 AND overlap >= 0.6 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r) = 1""",
+    "proof_links": f"WITH {BEST} SELECT query_id, min_by(target_id, r) AS target_id FROM best WHERE covered >= 0.6 GROUP BY query_id",
     "search_blocks": f"WITH {SIMILAR} SELECT query_id, target_id, shared, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, target_id))::INTEGER AS rank FROM pairs) WHERE rank <= 10",
     "budget_state": "SELECT user_id, count(*) AS runs, sum(value::DECIMAL(18, 2))::DOUBLE AS spent, sum(value::DECIMAL(18, 2)) >= 500 AS over_budget FROM events GROUP BY user_id",
     "correction_notes": f"WITH {CLAIMS_SQL} SELECT o_orderkey AS ruling_id, id AS claim_id, text, source_id FROM orders JOIN claims ON id = 'PT-' || lpad(o_custkey::VARCHAR, 8, '0') WHERE o_orderstatus = 'P'",
@@ -218,4 +222,4 @@ ORACLES: dict[str, str] = {
     "seed_batches": f"WITH {CLAIMS_SQL}, b AS (SELECT product_id, id, (row_number() OVER (PARTITION BY product_id ORDER BY num) - 1) // 40 AS batch FROM claims) SELECT product_id, batch, count(*) AS n, min(id) AS first_id FROM b GROUP BY ALL",
     "leaked_names": "SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')",
 }
-ORACLES |= report_sql.queries(RATED, VERDICTS, ROUNDS, CONFLICTS, TOPICS, SIMILAR, CATEGORY, ("hero", "benefits", "proof", "cta"))
+ORACLES |= report_sql.queries(RATED, VERDICTS, ROUNDS, CONFLICTS, TOPICS, BEST, CATEGORY, ("hero", "benefits", "proof", "cta"))

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import gate, measures, planning, quality, registry, reports, search, style
 from ..sources import driver_tables as D
 from ..sources import parse, store
+from ..sources.shared import shared_folder
 from ..streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,17 +146,21 @@ def doc_freq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    q, t = D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), D.load(spark, d, "documents").withColumnRenamed("doc_id", "target_id")
-    return search.token_sets(q, "query_id", "text"), search.token_sets(t, "target_id", "text")
+    """Benchmark passages, and the documents that may hold them."""
+    return D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), D.load(spark, d, "documents").select(F.col("doc_id").alias("target_id"), "text")
+
+
+def _match_tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    q, t = _matches(spark, d)
+    return search.token_arrays(q, "query_id", "text"), search.token_arrays(t, "target_id", "text")
 
 
 def topk_claims(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_matches(search.similar(*_matches(spark, d)), 3).select("query_id", "rank", "target_id", "shared", "score")
+    return search.best_matches(*_match_tokens(spark, d), 3).select("query_id", "rank", "target_id", "shared", "score")
 
 
 def unanswered(spark: SparkSession, d: str) -> DataFrame:
-    b = D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id")
-    return search.unanswered(b, D.load(spark, d, "documents").withColumnRenamed("doc_id", "target_id"), 0.9).select("query_id")
+    return search.unanswered(*_matches(spark, d)).select("query_id")
 
 
 def staleness(spark: SparkSession, d: str) -> DataFrame:
@@ -424,7 +429,7 @@ def unsupported_asks(spark: SparkSession, d: str) -> DataFrame:
 def gaps(spark: SparkSession, d: str) -> DataFrame:
     count = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     proofs = _proofs(spark, d)
-    objections = search.unanswered(D.load(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), D.load(spark, d, "documents").withColumnRenamed("doc_id", "target_id"), 0.9)
+    objections = unanswered(spark, d)
     return reports.gaps({
         "proof-without-claim": (count(planning.relink(proofs, D.claims(spark, d), ("product_id", "pos")).where("status = 'needs-claim'"), "product_id"), F.col("product_id"), F.col("n")),
         "zero-coverage": (coverage(spark, d).where("n = 0"), F.col("category"), F.col("n")),
@@ -543,8 +548,7 @@ def log_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def audit_rollup_stream(spark: SparkSession, d: str) -> DataFrame:
     """The rollup as a stream over the events files, run to the end; its batch twin is log_rollup."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints").rstrip("/")
-    path = f"{root}/rollup-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(D.load(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     feeds.upserts(feeds.log_rollup(stream), f"{path}/out", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return feeds.latest_upserts(spark.read.parquet(f"{path}/out"), ["window_start", "event_type"])
@@ -581,11 +585,11 @@ def citations_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proof_links(spark: SparkSession, d: str) -> DataFrame:
-    return search.proof_links(search.similar(*_matches(spark, d)))
+    return search.proof_links(*_matches(spark, d))
 
 
 def search_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_blocks(*_matches(spark, d))
+    return search.search_blocks(*_match_tokens(spark, d))
 
 
 def budget_state(spark: SparkSession, d: str) -> DataFrame:

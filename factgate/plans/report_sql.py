@@ -90,8 +90,8 @@ def sections(names: tuple[str, ...]) -> str:
     return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT brief_id, section, id, pick FROM t{t}" for t in taken)
 
 
-def queries(rated: str, verdicts: str, rounds: str, conflicts: str, topics: str, similar: str, category: str, names: tuple[str, ...]) -> dict[str, str]:
-    """rated, verdicts, rounds, conflicts, similar: CTEs of other queries; topics: the dimension of categories; category: that of `text`."""
+def queries(rated: str, verdicts: str, rounds: str, conflicts: str, topics: str, best: str, category: str, names: tuple[str, ...]) -> dict[str, str]:
+    """rated, verdicts, rounds, conflicts, best: CTEs of other queries; topics: the dimension of categories; category: that of `text`."""
     review = f"{rated}, queue AS (SELECT product_id, category, coalesce(nullif(trim(string_split(string_split(location, '>')[1], '¶')[1]), ''), 'General') AS theme, count(*) AS n, string_agg(id, ',' ORDER BY num) AS ids FROM rated WHERE status = 'needs-review' GROUP BY ALL)"
     return {
         "registry_stats": f"WITH {CLAIMS_SQL} SELECT product_id, count(*) AS total, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'needs-review') AS needs_review, count(*) FILTER (status = 'deprecated') AS deprecated FROM claims GROUP BY product_id",
@@ -135,10 +135,10 @@ def queries(rated: str, verdicts: str, rounds: str, conflicts: str, topics: str,
             SELECT 'round' AS kind, item_id, round FROM r WHERE created_at < TIMESTAMP '2000-01-01' - INTERVAL 365 DAY AND round IS DISTINCT FROM live AND round % 4 <> 0
             UNION ALL SELECT 'run', event_id, NULL FROM events WHERE ts - INTERVAL 25 YEAR < TIMESTAMP '2000-01-01' - INTERVAL 365 DAY""",
         "review_queue": f"WITH {review} SELECT *, category NOT IN ({HIGH}) AS bulk_allowed FROM queue",
-        "gaps": f"""WITH {conflicts}, {PROOFS}, {similar} SELECT 'zero-coverage' AS gap_type, t.category AS key, '0' AS detail FROM {topics} t WHERE t.category NOT IN (SELECT category FROM rated)
+        "gaps": f"""WITH {conflicts}, {PROOFS}, {best} SELECT 'zero-coverage' AS gap_type, t.category AS key, '0' AS detail FROM {topics} t WHERE t.category NOT IN (SELECT category FROM rated WHERE status <> 'deprecated')
             UNION ALL SELECT 'review-backlog', product_id || '/' || category || '/' || trim(string_split(location, '>')[1]), count(*)::VARCHAR FROM rated WHERE status = 'needs-review' GROUP BY ALL
             UNION ALL SELECT 'open-conflict', product_id, count(*)::VARCHAR FROM conflicts GROUP BY product_id
             UNION ALL SELECT 'proof-without-claim', product_id, count(*)::VARCHAR FROM linked WHERE ids IS NULL GROUP BY product_id
             UNION ALL SELECT 'doc-correction', id, o_orderkey::VARCHAR FROM orders JOIN claims ON id = {CID.format('o_custkey')} WHERE o_orderstatus = 'P'
-            UNION ALL SELECT 'unanswered-objection', item_id::VARCHAR, '' FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM pairs WHERE overlap >= 0.9)""",
+            UNION ALL SELECT 'unanswered-objection', item_id::VARCHAR, '' FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM best WHERE r = 1 AND covered >= 0.5)""",
     }

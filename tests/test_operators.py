@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factgate.functions import text as T
@@ -156,14 +157,40 @@ def test_top_matches_against_brute_force(spark):
     words = ["amber", "basil", "cedar", "dune", "ember", "fjord", "grove"]
     q = [(i, " ".join(rng.choices(words, k=4))) for i in range(6)]
     t = [(i, " ".join(rng.choices(words, k=5))) for i in range(30)]
-    sets = search.token_sets(spark.createDataFrame(q, "query_id int, text string"), "query_id", "text"), search.token_sets(spark.createDataFrame(t, "target_id int, text string"), "target_id", "text")
-    got = {(r.query_id, r["rank"]): r.target_id for r in search.top_matches(search.similar(*sets), 3).collect()}
+    sets = search.token_arrays(spark.createDataFrame(q, "query_id int, text string"), "query_id", "text"), search.token_arrays(spark.createDataFrame(t, "target_id int, text string"), "target_id", "text")
+    got = {(r.query_id, r["rank"]): r.target_id for r in search.best_matches(*sets, 3).collect()}
     for i, x in q:
         a = set(x.split())
         scored = sorted((-round(len(a & set(y.split())) / (len(a) * len(set(y.split()))) ** 0.5, 3), j) for j, y in t if a & set(y.split()))
         assert [got[i, k + 1] for k in range(3)] == [j for _, j in scored[:3]]
 
 
+@pytest.mark.parametrize("measure,k,broadcast,spread", [("score", 1, 10**6, True), ("score", 4, 0, False), ("shared", 3, 10**6, False), ("shared", 1, 0, True)])
+def test_bounded_matches_find_every_best_target(spark, monkeypatch, measure, k, broadcast, spread):
+    monkeypatch.setattr(search, "BROADCAST_TOKENS", broadcast)
+    rng = random.Random(k)
+    words = [f"w{int(rng.paretovariate(0.6)) % 200}" for _ in range(2000)]  # some words are in most texts
+    text = lambda n: rng.sample(words, n)
+    t = [(p, i, text(rng.randrange(0, 40))) for p in "ab" for i in range(120)]
+    q = [(p, f"{p}{i}", x[: rng.randrange(len(x) + 1)] + text(rng.randrange(6))) for p, i, x in t[::3]] + [("a", "none", ["zz"]), ("c", "alone", ["w1"]), ("a", "empty", []), ("a", "twice", ["w1", "w1", "w2"])]
+    frames = spark.createDataFrame(q, "p string, query_id string, tokens array<string>"), spark.createDataFrame(t, "p string, target_id int, tokens array<string>")
+    got = {(r.p, r.query_id, r["rank"]): (r.target_id, r.shared) for r in search.best_matches(*frames, k, ("p",), measure, spread).collect()}
+    want = {}
+    for p, i, x in q:
+        a = set(x)
+        pairs = [(len(a & set(y)), len(set(y)), j) for pp, j, y in t if pp == p and a & set(y)]
+        key = (lambda s: (-(s[0] / (len(a) ** 0.5 * s[1] ** 0.5)), s[2])) if measure == "score" else (lambda s: (-s[0], s[2]))
+        want |= {(p, i, r + 1): (s[2], s[0]) for r, s in enumerate(sorted(pairs, key=key)[:k])}
+    assert got == want
+
+
+def test_answers_and_links_follow_stems(spark):
+    claims = spark.createDataFrame([("c1", "Exports run nightly to storage buckets"), ("c2", "Exports, exporting and exported reports"), ("c3", "Billing is monthly")], "target_id string, text string")
+    asks = spark.createDataFrame([(1, "exporting report nightly"), (2, "monthly invoices for partner resellers abroad"), (3, "nothing alike"), (4, "")], "query_id int, text string")
+    assert {r.query_id for r in search.unanswered(asks, claims).collect()} == {2, 3, 4}
+    assert {(r.query_id, r.target_id) for r in search.proof_links(asks, claims).collect()} == {(1, "c2")}
+
+
 def test_auc_and_threshold_against_pairs(spark):
     rng = random.Random(5)
     rows = [(rng.randint(0, 6) / 6, rng.randint(0, 1)) for _ in range(60)]
