@@ -79,7 +79,7 @@ def split_sentences(c: Column) -> Column:
     abbreviations = "|".join(a.replace(".", r"\.") for a in L.ABBREVIATIONS)
     t = F.regexp_replace(t, rf"(?i)(^|[^A-Za-z.])({abbreviations})\.(?=\s)", rf"$1$2{dot}")
     t = F.regexp_replace(t, r"(\d)\.(?= ?\d)", rf"$1{dot}")
-    t = F.regexp_replace(t, r"([.!?](?:\s*\[\[[A-Z0-9\-]+\]\])*)\s+(?=[\"'(\[]?[A-Z0-9])", rf"$1{mark}")
+    t = F.regexp_replace(t, r"([.!?](?:\s*\[\[[A-Z0-9\-]+\]\])*+)\s+(?=[\"'(\[]?[A-Z0-9])", rf"$1{mark}")
     parts = F.transform(F.split(t, mark), lambda s: F.trim(F.translate(s, dot, ".")))
     return F.filter(parts, lambda s: s != "")
 
@@ -110,7 +110,7 @@ def stems_gate(c: Column) -> Column:
 
 def numbers(c: Column) -> Column:
     """Distinct numbers with their units, without spaces; digits right behind a letter do not count."""
-    raw = found(strip_tags(c), r"(?<![A-Za-z])" + L.NUMBER_WITH_UNIT)
+    raw = found(strip_tags(c), r"(?<![A-Za-z])" + L.NUMBER_WITH_UNIT.replace(r"(?:[.,]\d+)*", r"(?:[.,]\d++)*+"))
     return F.array_distinct(F.transform(raw, lambda n: F.regexp_replace(F.lower(F.regexp_replace(n, r"\s", "")), r"[.,]+$", "")))
 
 

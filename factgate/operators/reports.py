@@ -177,7 +177,7 @@ def batches(rows: DataFrame, by: str, order: str, size: int = 40) -> DataFrame:
 
 def leaked_names(texts: DataFrame, key: str, allowed: tuple[str, ...] = ()) -> DataFrame:
     """Keys whose texts hold a name: two or more capitalised words in a row that are not in the allow-list."""
-    names = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"), 0)
+    names = F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]++(?: [A-Z][a-z]++)++"), 0)
     return texts.where(F.exists(names, lambda n: ~n.isin(*allowed) if allowed else F.lit(True))).select(key).distinct()
 
 

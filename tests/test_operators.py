@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,6 +247,35 @@ def test_draft_units(spark):
     assert {u["section"] for u in units} == {"T"}
 
 
+def test_html_scanner_is_linear_and_never_recurses(spark):
+    attributes = " ".join(f'a{i}="x>{i}"' for i in range(100_000))
+    pages = {
+        1: "<p " + "a" * 10_000_000 + ">one</p>",
+        2: f"<div {attributes}>two</div><p>more</p>",
+        3: "<a 'b>" * 50_000 + "three" + "<a \"b>" * 50_001 + "<p>left</p>",
+        4: "<p>" + "<b" * 2_000 + ">four",
+        5: "<!-- " * 2_000 + "<p>five</p>",
+    }
+    rows = parse.html_blocks(spark.createDataFrame(list(pages.items()), "page_id long, html string")).orderBy("page_id", "block_pos").collect()
+    texts = {}
+    for r in rows:
+        texts.setdefault(r.page_id, []).append(r.text)
+    assert texts[1] == ["one"] and texts[2] == ["two", "more"] and texts[4] == ["four"] and texts[5][-1] == "five"
+
+
+def test_scanner_reads_what_the_plain_pattern_reads():
+    rng = random.Random(2)
+    for _ in range(3000):
+        html = "".join(rng.choice(["<", ">", '"', "'", "a", " ", "</", "<!--", "-->", "<script>", "</script>", "/", "="]) for _ in range(rng.randrange(40)))
+        assert re.findall(parse.MARKUP.replace(r"\z", r"\Z"), html) == re.findall(parse.SCANNED.replace(r"\z", r"\Z"), html), html
+
+
+def test_long_runs_of_tags_and_numbers(spark):
+    text = "It ends." + " [[AB-001]]" * 30_000 + " Next one has " + "1," * 30_000 + "1 units."
+    row = spark.createDataFrame([(text,)], "t string").select(F.size(T.split_sentences(F.col("t"))).alias("n"), F.size(T.numbers(F.col("t"))).alias("m")).first()
+    assert (row.n, row.m) == (2, 1)
+
+
 def test_html_blocks(spark):
     html = (
         "<html><head><title>T &amp; <b>x</b>B</title><script>var a='</p><h1>no</h1>'</script></head><body><nav>n<h1>gone</h1></nav><h1>A<br>after</h1><p>one <b>two</b> &eacute;&#233;&#x20AC;&nbsp;z &lt;b&gt; 5 < 6 &bogus;</p>"
