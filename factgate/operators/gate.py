@@ -43,7 +43,7 @@ def unit_verdicts(citations: DataFrame, keys: Sequence[str]) -> DataFrame:
     return citations.groupBy(*keys).agg(first).select(*keys, "v.verdict", "v.reason")
 
 
-def _said(text: Column) -> Column:
+def said(text: Column) -> Column:
     """What two versions of a sentence are compared by: without tags, single spaces, lower case."""
     return F.lower(T.single_spaced(T.strip_tags(text)))
 
@@ -54,11 +54,11 @@ def align_verdicts(units: DataFrame, reviewed: DataFrame, key: str = "item_id")
     reviewed: (key, index, text, verdict, reason); of several for an index or a text the last by seq (index without it) counts.
     """
     seq = F.col("seq") if "seq" in reviewed.columns else F.col("index")
-    r = reviewed.select(F.col(key).alias("__key"), F.col("index").alias("__index"), _said(F.col("text")).alias("__said"), F.struct(seq.alias("seq"), "index", "verdict", "reason").alias("v"))
+    r = reviewed.select(F.col(key).alias("__key"), F.col("index").alias("__index"), said(F.col("text")).alias("__said"), F.struct(seq.alias("seq"), "index", "verdict", "reason").alias("v"))
     last = lambda of: r.groupBy("__key", of).agg(F.max_by(F.struct("__said", "v"), F.col("v")).alias("last")).select("__key", of, "last.*")
     by_index = last("__index").select(F.col("__key").alias(key), F.col("__index").alias("index"), F.col("__said").alias("__i_said"), F.col("v").alias("__i"))
     by_text = r.groupBy("__key", "__said").agg(F.max("v").alias("__t")).withColumnRenamed("__key", key)
-    both = units.withColumn("__said", _said(F.col("text"))).join(by_index, [key, "index"], "left").join(by_text, [key, "__said"], "left")
+    both = units.withColumn("__said", said(F.col("text"))).join(by_index, [key, "index"], "left").join(by_text, [key, "__said"], "left")
     v = F.when(F.col("__i_said") == F.col("__said"), F.col("__i")).otherwise(F.col("__t"))
     return both.withColumn("__v", v).select(*units.columns, F.col("__v.verdict").alias("r_verdict"), F.col("__v.reason").alias("r_reason"))
 
@@ -79,8 +79,8 @@ def enforce(units: DataFrame, mechanical: DataFrame, marks: DataFrame | None = N
     )
     both = both.withColumn("__t", takes)
     if marks is not None:
-        marked = marks.select(key, _said(F.col("sentence")).alias("__said")).distinct().withColumn("__marked", F.lit(True))
-        both = both.withColumn("__said", _said(F.col("text"))).join(marked, [key, "__said"], "left")
+        marked = marks.select(key, said(F.col("sentence")).alias("__said")).distinct().withColumn("__marked", F.lit(True))
+        both = both.withColumn("__said", said(F.col("text"))).join(marked, [key, "__said"], "left")
         clears = F.col("__marked") & (F.col("__t.verdict") == "block") & (F.col("__t.reason") == "untagged") & (F.size(T.tags_in(F.col("text"))) == 0)
         both = both.withColumn("__t", F.when(clears, outcome(F.lit("pass"), F.lit(None).cast("string"))).otherwise(F.col("__t")))
     return both.select(key, "index", "text", "__t.verdict", "__t.reason")
@@ -203,8 +203,8 @@ def registry_overlap(sentences: DataFrame, claims: DataFrame, keys: Sequence[str
     Equal sentences are matched once.
     """
     text = T.strip_tags(F.col("text"))
-    said = sentences.select(product, text.alias("__q")).distinct()
-    queries = token_arrays(said.select(product, F.col("__q").alias("query_id"), F.col("__q").alias("t")), "query_id", "t", (product,))
+    distinct = sentences.select(product, text.alias("__q")).distinct()
+    queries = token_arrays(distinct.select(product, F.col("__q").alias("query_id"), F.col("__q").alias("t")), "query_id", "t", (product,))
     best = best_matches(queries, token_arrays(claims.withColumnRenamed("id", "target_id"), "target_id", "text", (product,)), 1, (product,), spread=True)
     best = best.select(product, F.col("query_id").alias("__q"), F.col("target_id").alias("best_id"))
     best = best.join(claims.select(product, F.col("id").alias("best_id"), F.col("text").alias("__c")), [product, "best_id"])
@@ -251,25 +251,25 @@ def implied_conclusions(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
     pairs = verdicts.select("*", F.lag("index").over(w).alias("before"), F.lag("ids").over(w).alias("ids_before"))
     text = T.strip_tags(F.col("text"))
     pairs = pairs.where(text.rlike(L.CONCLUSION) & (F.col("verdict") == "pass") & (F.size("ids") > 0) & (F.size("ids_before") > 0) & (F.size(F.array_except("ids_before", "ids")) > 0))
-    said = pairs.select("item_id", "index", F.explode("ids").alias("id")).join(claims.select("id", F.col("text").alias("ctext")), "id").groupBy("item_id", "index").agg(F.concat_ws(" ", F.collect_list("ctext")).alias("ctext"))
+    cited_text = pairs.select("item_id", "index", F.explode("ids").alias("id")).join(claims.select("id", F.col("text").alias("ctext")), "id").groupBy("item_id", "index").agg(F.concat_ws(" ", F.collect_list("ctext")).alias("ctext"))
     extra = F.array_except(F.array_except(T.stems_gate(text), T.stems_gate(F.col("ctext"))), T.strings(L.GENERIC_STEMS))
-    return pairs.join(said, ["item_id", "index"]).where(F.size(extra) >= 2).select("item_id", "before", "index", F.lit("combined-conclusion").alias("reason"))
+    return pairs.join(cited_text, ["item_id", "index"]).where(F.size(extra) >= 2).select("item_id", "before", "index", F.lit("combined-conclusion").alias("reason"))
 
 
 def page_tension(units: DataFrame, conflicts: DataFrame, claims: DataFrame) -> DataFrame:
-    """(item_id, conflict_id, kind, first_index, n_sentences, verdict, reason) of drafts that cite a member of an open conflict (id, kind, status, claim_ids).
+    """(item_id, conflict_id, kind, first_index, n_sentences, indexes, verdict, reason) of drafts that cite a member of an open conflict (id, kind, status, claim_ids).
 
     An absolute against an exception is a collision, and blocks where a claim that the page cites has a superlative; all else flags as tension.
     """
     members = conflicts.where("status = 'open'").select(F.col("id").alias("conflict_id"), F.col("kind").alias("__kind"), F.explode("claim_ids").alias("cited_id"))
     bold = claims.select(F.col("id").alias("cited_id"), F.col("text").rlike(L.SUPERLATIVE).alias("__bold"))
     found = units.join(members.join(bold, "cited_id", "left"), "cited_id").groupBy("item_id", "conflict_id", "__kind").agg(
-        F.min("index").alias("first_index"), F.countDistinct("index").alias("n_sentences"), F.coalesce(F.max("__bold"), F.lit(False)).alias("__bold")
+        F.min("index").alias("first_index"), F.array_sort(F.collect_set("index")).alias("indexes"), F.coalesce(F.max("__bold"), F.lit(False)).alias("__bold")
     )
     collides = F.col("__kind") == "absolute-vs-exception"
     found = found.withColumn("verdict", F.when(collides & F.col("__bold"), "block").otherwise("flag"))
     kind, reason = F.when(collides, "colliding-absolutes").otherwise("tension"), F.when(F.col("verdict") == "block", "overstated").otherwise("tension")
-    return found.select("item_id", "conflict_id", kind.alias("kind"), "first_index", "n_sentences", "verdict", reason.alias("reason"))
+    return found.select("item_id", "conflict_id", kind.alias("kind"), "first_index", F.size("indexes").cast("long").alias("n_sentences"), "indexes", "verdict", reason.alias("reason"))
 
 
 def affected(stale: DataFrame, live: DataFrame, conflicts: DataFrame) -> DataFrame:

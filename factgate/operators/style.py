@@ -249,7 +249,7 @@ def seed_set(claims: DataFrame, per_kind: int = 12, seed: int = 7) -> DataFrame:
         *(F.when(verified, F.lit(x)) for x in ("true", "untagged", "overstated", "partial")), F.when(verified & (number != ""), F.lit("false")), F.when(F.col("status").isin("needs-review", "deprecated"), F.lit("not-citable"))
     ))
     s = claims.select("product_id", "id", "text", number.alias("number"), F.explode(labels).alias("label"))
-    w = Window.partitionBy("product_id", "label").orderBy(F.xxhash64("id", "label", F.lit(seed)), "id")
+    w = Window.partitionBy("product_id", "label").orderBy(F.md5(F.concat_ws("/", "id", "label", F.lit(str(seed)))), "id")
     s = s.select("*", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
     s = s.where(F.col("rn") <= F.when(F.col("label") == "partial", 2 * per_kind).otherwise(per_kind))
     s = s.where((F.col("label") != "partial") | ((F.col("rn") % 2 == 1) & (F.col("rn") < 2 * per_kind) & F.col("next").isNotNull()))

@@ -7,7 +7,7 @@ from ..functions import text as T
 from .sql_text import listed, q, stem, stripped_tags, tokens
 
 
-def _said(c: str) -> str:
+def said(c: str) -> str:
     return f"lower(trim(regexp_replace({stripped_tags(c)}, {q(T.SPACE + '+')}, ' ', 'g')))"
 
 
@@ -41,14 +41,14 @@ def report(verdicts: str, high: str) -> str:
     ), fits AS (
       SELECT o_orderkey AS item_id, o_orderstatus <> 'P' AND o_orderkey % 13 <> 0 AS ok, o_totalprice, o_orderpriority, o_custkey FROM orders
     ), rev AS (
-      SELECT item_id, index + CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS index, {_said('text')} AS said, CASE WHEN way < 2 THEN 'block' ELSE 'pass' END AS verdict, CASE way WHEN 0 THEN 'partial' WHEN 1 THEN 'untagged' END AS reason
+      SELECT item_id, index + CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS index, {said('text')} AS said, CASE WHEN way < 2 THEN 'block' ELSE 'pass' END AS verdict, CASE way WHEN 0 THEN 'partial' WHEN 1 THEN 'untagged' END AS reason
       FROM li JOIN fits USING (item_id) WHERE ok AND way <> 8
     ), by_text AS (SELECT item_id, said, arg_max(verdict, index) AS verdict, arg_max(coalesce(reason, ''), index) AS reason FROM rev GROUP BY item_id, said
     ), u AS (
-      SELECT li.item_id, li.index, li.l_suppkey, li.l_tax, CASE WHEN i.said = {_said('li.text')} THEN i.verdict ELSE t.verdict END AS rv, CASE WHEN i.said = {_said('li.text')} THEN i.reason ELSE nullif(t.reason, '') END AS rr,
+      SELECT li.item_id, li.index, li.l_suppkey, li.l_tax, CASE WHEN i.said = {said('li.text')} THEN i.verdict ELSE t.verdict END AS rv, CASE WHEN i.said = {said('li.text')} THEN i.reason ELSE nullif(t.reason, '') END AS rr,
              CASE WHEN li.l_tax = 0 THEN NULL WHEN c.id IS NULL THEN 'missing-claim' WHEN c.status = 'deprecated' THEN 'deprecated' WHEN c.status <> 'verified' THEN 'needs-review'
                   WHEN c.confidence = 'low' AND c.category IN ({high}) THEN 'high-risk-low-confidence' WHEN c.confidence = 'low' THEN 'low-confidence' END AS mr
-      FROM li LEFT JOIN rated c ON c.id = li.cid LEFT JOIN rev i ON i.item_id = li.item_id AND i.index = li.index LEFT JOIN by_text t ON t.item_id = li.item_id AND t.said = {_said('li.text')}
+      FROM li LEFT JOIN rated c ON c.id = li.cid LEFT JOIN rev i ON i.item_id = li.item_id AND i.index = li.index LEFT JOIN by_text t ON t.item_id = li.item_id AND t.said = {said('li.text')}
     ), v AS (
       SELECT item_id, CASE WHEN mr IS NOT NULL AND mr <> 'low-confidence' THEN 'block' WHEN mr = 'low-confidence' AND rv = 'pass' THEN 'flag'
                            WHEN ok AND l_suppkey % 2 = 0 AND l_tax = 0 AND coalesce(rv, 'block') = 'block' AND (rv IS NULL OR rr = 'untagged') THEN 'pass' ELSE coalesce(rv, 'block') END AS verdict FROM u JOIN fits USING (item_id)
@@ -74,12 +74,12 @@ def seeds(claims: str) -> str:
         {{'index': 0, 'label': 'true', 'text': text || ' [[' || id || ']]'}}, {{'index': 1, 'label': 'false', 'text': regexp_replace(text, '(\\d+) (units|per|connectors)', '9\\1 \\2', 'g') || ' [[' || id || ']]'}},
         {{'index': 2, 'label': 'overstated', 'text': 'Always ' || text || ' [[' || id || ']]'}}, {{'index': 3, 'label': 'untagged', 'text': text}},
         {{'index': 4, 'label': 'partial', 'text': regexp_replace(text, '\\.$', '') || ' and reconciles quarterly ledgers across warehouses. [[' || id || ']]'}}]) AS s FROM claims
-    ), seeds AS (SELECT item_id, product_id, claim_status, claim, s.index AS index, s.label AS label, s.text AS text, {stripped_tags('s.text')} AS plain FROM kinds)"""
+    ), seeds AS (SELECT item_id, product_id, claim_status, claim, s.index AS index, s.label AS label, s.label <> 'untagged' AS tagged, s.text AS text, {stripped_tags('s.text')} AS plain FROM kinds)"""
 
 
-def overlap(claims: str) -> str:
-    """CTEs up to `near`: seeds with best_id, reg_n, reg_ratio."""
-    return f"""{seeds(claims)}, ct AS (SELECT product_id, id, text AS ctext, list_distinct({tokens('text')}) AS t FROM claims),
+def overlap(made: str) -> str:
+    """CTEs up to `near`, from those up to `seeds`: seeds with best_id, reg_n, reg_ratio."""
+    return f"""{made}, ct AS (SELECT product_id, id, text AS ctext, list_distinct({tokens('text')}) AS t FROM claims),
     qt AS (SELECT DISTINCT product_id, plain, list_distinct({tokens('plain')}) AS t FROM seeds),
     pairs AS (SELECT qt.product_id, plain, id, len(list_intersect(qt.t, ct.t)) / (sqrt(len(qt.t)) * sqrt(len(ct.t))) AS score FROM qt JOIN ct ON qt.product_id = ct.product_id AND list_has_any(qt.t, ct.t)),
     best AS (SELECT product_id, plain, id AS best_id FROM pairs QUALIFY row_number() OVER (PARTITION BY product_id, plain ORDER BY score DESC, id) = 1),
@@ -89,15 +89,15 @@ def overlap(claims: str) -> str:
              FROM seeds s JOIN st USING (plain) LEFT JOIN best USING (product_id, plain) LEFT JOIN cst ON cst.id = best_id)"""
 
 
-def verified(claims: str) -> str:
-    """CTEs up to `verdicts`: near with classification, verdict, reason; each seed cites its own claim or nothing."""
+def verified(made: str) -> str:
+    """CTEs up to `verdicts`, from those up to `seeds`: near with classification, verdict, reason; each seed cites its own claim or nothing."""
     matches = lambda p, c="t": f"regexp_matches({c}, {q(p)})"
     keys = f"list_filter({tokens('cond')}, lambda w: length(w) > 2)"
-    return f"""{overlap(claims)}, vocab AS (
+    return f"""{overlap(made)}, vocab AS (
       SELECT product_id, list(stem) AS vocabulary FROM (SELECT product_id, stem, count(*) AS n FROM (SELECT product_id, id, unnest({stems('text')}) AS stem FROM claims) GROUP BY ALL) JOIN (SELECT product_id, count(*) AS size FROM claims GROUP BY ALL) USING (product_id)
       WHERE n >= 2 AND n < greatest(5, size * 0.2::DOUBLE) GROUP BY product_id
     ), f AS (
-      SELECT *, trim(plain) AS t, label <> 'untagged' AS tagged, {_numbers('plain')} AS sn, {_numbers('claim')} AS cn, {stems('plain')} AS sst, {stems('claim')} AS cst2,
+      SELECT *, trim(plain) AS t, {_numbers('plain')} AS sn, {_numbers('claim')} AS cn, {stems('plain')} AS sst, {stems('claim')} AS cst2,
              {matches(L.SUPERLATIVE, 'trim(plain)')} AS absolute, {matches(L.FACT_VERB, 'trim(plain)')} AS verb, {matches(L.NORMATIVE, 'trim(plain)')} AS normative FROM near LEFT JOIN vocab USING (product_id)
     ), c AS (
       SELECT *, CASE WHEN t = '' OR ends_with(t, '?') OR ({matches(L.CALL_TO_ACTION)} AND len(sn) = 0) THEN 'positioning'
@@ -119,7 +119,47 @@ def verified(claims: str) -> str:
 
 
 def repairs(claims: str) -> str:
-    return f"""WITH {verified(claims)}, w AS (
+    return f"""WITH {verified(seeds(claims))}, w AS (
       SELECT label, v.item_id, reason, CASE WHEN reason IN ('overstated', 'partial', 'contradicted', 'combined-conclusion') AND tagged THEN v.item_id WHEN reason = 'untagged' THEN best_id END AS want, tagged, sst, reason AS why FROM verdicts v WHERE verdict = 'block'
     ), x AS (SELECT w.*, c.id AS got, tagged AND why <> 'untagged' OR len(list_intersect(sst, {stems('c.text')})) / greatest(1, len(sst)) >= 0.8 AS good FROM w LEFT JOIN claims c ON c.id = want AND c.status = 'verified')
     SELECT label, reason, count(*) AS n, count(got) FILTER (good) AS n_repaired, count(*) FILTER (good AND got = item_id) AS n_own FROM x GROUP BY label, reason"""
+
+
+def sampled(claims: str) -> str:
+    """CTEs up to `seeds`, from those up to `rated`: at most 12 labelled sentences a product and label, and their place on a page of 40."""
+    whole, bare = f"md5(concat_ws('/', id, label, '7'))", "regexp_replace({}, '\\.+$', '')"
+    condition = f"regexp_extract(text, {q(L.SAMPLE_CONDITION)}, 1)"
+    verb, head = f"regexp_extract(text, {q(L.SAMPLE_VERB)}, 2)", f"regexp_extract(text, {q(L.SAMPLE_VERB)}, 1)"
+    bold = f"({listed(L.OVERSTATING)})[(rn - 1) % {len(L.OVERSTATING)} + 1]"
+    return f"""{claims}, drawn AS (
+      SELECT *, row_number() OVER w AS rn, lead(text) OVER w AS next FROM (
+        SELECT product_id, id, text, status, unnest(CASE WHEN status <> 'verified' THEN ['not-citable'] WHEN category = 'market-evidence' THEN []::VARCHAR[] WHEN regexp_matches(text, '\\b\\d+\\b') THEN ['true', 'untagged', 'false', 'overstated', 'partial'] ELSE ['true', 'untagged', 'overstated', 'partial'] END) AS label FROM rated)
+      WINDOW w AS (PARTITION BY product_id, label ORDER BY {whole}, id)
+    ), worded AS (
+      SELECT *, CASE label WHEN 'false' THEN regexp_replace(text, '\\b\\d+', (CASE WHEN n < 1000 THEN 2 * n + 1 ELSE n // 2 END)::VARCHAR)
+          WHEN 'overstated' THEN CASE WHEN {condition} <> '' AND rn % 2 = 1 THEN replace(replace(text, {condition}, ''), ' .', '.')
+            WHEN {verb} = '' THEN 'Only ' || lower(text[1]) || text[2:] WHEN {verb} IN ('is', 'are') THEN concat_ws(' ', {head}, {verb}, {bold}) || regexp_replace(text, {q(L.SAMPLE_VERB)}, '')
+            ELSE concat_ws(' ', {head}, regexp_replace({bold}, '^the ', ''), {verb}) || regexp_replace(text, {q(L.SAMPLE_VERB)}, '') END
+          WHEN 'partial' THEN {bare.format('text')} || ', and it also ' || regexp_replace({bare.format('next')}, {q(L.GRAFTED_VERB)}, '\\1') ELSE text END AS said
+      FROM (SELECT *, nullif(regexp_extract(text, '\\b(\\d+)(\\.\\d+)?\\b', 1), '')::BIGINT AS n FROM drawn)
+      WHERE CASE WHEN label = 'partial' THEN rn % 2 = 1 AND rn < 24 AND next IS NOT NULL ELSE rn <= 12 END
+    ), labelled AS (
+      SELECT product_id, id, id AS item_id, label, status AS claim_status, text AS claim, label <> 'untagged' AS tagged, said || CASE WHEN label = 'untagged' THEN '' WHEN regexp_matches(said, '[.!?]$') THEN ' [[' || id || ']]' ELSE '. [[' || id || ']]' END AS text FROM worded
+      UNION ALL SELECT product_id, 'pos-' || i, NULL, 'positioning', NULL, NULL, false, ({listed(L.POSITIONING_SAMPLES)})[i + 1] FROM (SELECT DISTINCT product_id FROM claims), (SELECT unnest(range({len(L.POSITIONING_SAMPLES)})) AS i)
+    ), seeds AS (
+      SELECT *, (row_number() OVER (PARTITION BY product_id ORDER BY md5(concat_ws('/', id, label)), id, label) - 1) // 40 AS page, {stripped_tags('text')} AS plain FROM labelled
+    )"""
+
+
+def eval_pages(claims: str, high: str) -> str:
+    """claims: CTEs up to `rated` and `conflicts`.  Each seed is one sentence here, so a unit of its page."""
+    return f"""WITH {verified(sampled(claims))}, units AS (
+      SELECT v.product_id, page, v.label, v.item_id, {said('v.plain')} AS words, v.verdict = 'block' OR (tagged AND r.confidence = 'low' AND r.category IN ({high})) AS blocks, r.id AS cited
+      FROM verdicts v LEFT JOIN rated r ON tagged AND r.id = v.item_id
+    ), here AS (
+      SELECT product_id, page, a, b, bool_or(kind = 'absolute-vs-exception' AND regexp_matches(claims.text, {q(L.SUPERLATIVE)})) AS bad
+      FROM units u JOIN conflicts x USING (product_id) JOIN claims ON claims.id = u.cited WHERE cited IN (a, b) GROUP BY ALL
+    ), judged AS (
+      SELECT u.*, blocks OR EXISTS (SELECT 1 FROM here h WHERE h.bad AND h.product_id = u.product_id AND h.page = u.page AND u.cited IN (h.a, h.b)) AS blocked FROM units u
+    ), told AS (SELECT *, bool_or(blocked) OVER (PARTITION BY product_id, page, words) AS stopped FROM judged)
+    SELECT label, count(*) AS n, count(*) FILTER (stopped) AS blocked, count(*) FILTER (stopped = (label IN ('true', 'positioning'))) AS misses FROM told GROUP BY label"""

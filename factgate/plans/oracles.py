@@ -168,12 +168,13 @@ ORACLES: dict[str, str] = {
     "gate_eval_score": f"""WITH {VERDICTS}, o AS (SELECT (['true', 'false', 'untagged', 'overstated', 'partial'])[index % 5 + 1] AS label, (verdict = 'block')::INTEGER AS b FROM verdicts)
         SELECT avg(b) FILTER (label IN ('false', 'overstated', 'partial')) AS catch_rate, avg(b) FILTER (label = 'true') AS false_block_rate, avg(b) FILTER (label = 'untagged') AS untagged_rate, count(*) AS n FROM o""",
     "gate_report": gate_sql.report(RATED, HIGH),
-    "registry_overlap": f"WITH {gate_sql.overlap(CLAIMS_SQL)} SELECT item_id, index, best_id, reg_n, round(reg_ratio, 6) AS reg_ratio FROM near",
-    "verify_sentences": f"""WITH {gate_sql.verified(CLAIMS_SQL)} SELECT label, claim_status, classification, verdict, reason, count(*) AS n, count(*) FILTER (reason = 'untagged' AND best_id = item_id) AS n_suggested, sum(reg_n)::BIGINT AS reg_n FROM verdicts GROUP BY ALL""",
-    "gate_eval_run": f"""WITH {gate_sql.verified(CLAIMS_SQL)}, o AS (SELECT label, (verdict = 'block')::INTEGER AS b FROM verdicts WHERE claim_status = 'verified')
+    "registry_overlap": f"WITH {gate_sql.overlap(gate_sql.seeds(CLAIMS_SQL))} SELECT item_id, index, best_id, reg_n, round(reg_ratio, 6) AS reg_ratio FROM near",
+    "verify_sentences": f"""WITH {gate_sql.verified(gate_sql.seeds(CLAIMS_SQL))} SELECT label, claim_status, classification, verdict, reason, count(*) AS n, count(*) FILTER (reason = 'untagged' AND best_id = item_id) AS n_suggested, sum(reg_n)::BIGINT AS reg_n FROM verdicts GROUP BY ALL""",
+    "gate_eval_run": f"""WITH {gate_sql.verified(gate_sql.seeds(CLAIMS_SQL))}, o AS (SELECT label, (verdict = 'block')::INTEGER AS b FROM verdicts WHERE claim_status = 'verified')
         SELECT avg(b) FILTER (label IN ('false', 'overstated', 'partial')) AS catch_rate, avg(b) FILTER (label = 'true') AS false_block_rate, avg(b) FILTER (label = 'untagged') AS untagged_rate, count(*) AS n FROM o""",
-    "gate_labels": f"WITH {gate_sql.verified(CLAIMS_SQL)} SELECT label, count(*) AS n, count(*) FILTER (verdict = 'block') AS blocked, count(*) FILTER ((label = 'true') = (verdict = 'block')) AS misses FROM verdicts GROUP BY label",
-    "gate_targets": f"""WITH {gate_sql.verified(CLAIMS_SQL)}, o AS (SELECT label, (verdict = 'block')::INTEGER AS b FROM verdicts WHERE claim_status = 'verified')
+    "gate_eval_pages": gate_sql.eval_pages(f"{RATED}, conflicts AS (WITH {CONFLICTS} SELECT * FROM conflicts)", HIGH),
+    "gate_labels": f"WITH {gate_sql.verified(gate_sql.seeds(CLAIMS_SQL))} SELECT label, count(*) AS n, count(*) FILTER (verdict = 'block') AS blocked, count(*) FILTER ((label = 'true') = (verdict = 'block')) AS misses FROM verdicts GROUP BY label",
+    "gate_targets": f"""WITH {gate_sql.verified(gate_sql.seeds(CLAIMS_SQL))}, o AS (SELECT label, (verdict = 'block')::INTEGER AS b FROM verdicts WHERE claim_status = 'verified')
         SELECT 'catch_rate' AS metric, avg(b) AS value, 0.95::DOUBLE AS target, avg(b) >= 0.95::DOUBLE AS passed FROM o WHERE label IN ('false', 'overstated', 'partial')
         UNION ALL SELECT 'false_block_rate', avg(b), 0.1::DOUBLE, avg(b) <= 0.1::DOUBLE FROM o WHERE label = 'true' UNION ALL SELECT 'untagged_rate', avg(b), 0.95::DOUBLE, avg(b) >= 0.95::DOUBLE FROM o WHERE label = 'untagged'""",
     "discovered": r"""WITH p AS (SELECT regexp_extract(url, '^(\w+://[^/]+)', 1) || '/' AS url, html FROM pages), l AS (SELECT url, unnest(list_distinct(list_transform(regexp_extract_all(html, 'href="([^"#]+)"', 1), lambda u: CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN u WHEN starts_with(u, '/') THEN rtrim(url, '/') || u ELSE url || u END))) AS link FROM p)

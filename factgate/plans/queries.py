@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import gate, measures, planning, quality, registry, reports, search, style
+from ..operators import evaluation, gate, measures, planning, quality, registry, reports, search, style
 from ..sources import driver_tables as D
 from ..sources import parse, store
 from ..sources.shared import shared_folder
@@ -138,7 +138,7 @@ def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def page_tension(spark: SparkSession, d: str) -> DataFrame:
     c = conflict_pairs(spark, d).select(F.concat_ws("~", "a", "b").alias("id"), "kind", F.lit("open").alias("status"), F.array("a", "b").alias("claim_ids"))
-    return gate.page_tension(D.units(spark, d), c, D.claims(spark, d))
+    return gate.page_tension(D.units(spark, d), c, D.claims(spark, d)).drop("indexes")
 
 
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -567,6 +567,13 @@ def seed_set(spark: SparkSession, d: str) -> DataFrame:
     return style.seed_set(D.claims(spark, d)).groupBy("product_id", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size(T.tags_in(F.col("text"))) > 0).alias("n_tagged"))
 
 
+def gate_eval_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled sentences of every brand, put into pages of 40, judged, and counted by label."""
+    claims = D.claims(spark, d)
+    conflicts = conflict_pairs(spark, d).select(F.concat_ws("~", "a", "b").alias("id"), "kind", F.lit("open").alias("status"), F.array("a", "b").alias("claim_ids"))
+    return measures.gate_labels(evaluation.run(style.seed_set(claims), claims, conflicts))
+
+
 def off_brand(spark: SparkSession, d: str) -> DataFrame:
     chunks = _documents(spark, d).select("doc_id", F.lit(0).alias("chunk"), "text")
     return style.off_brand(chunks).select("doc_id", "variant", F.md5("text").alias("digest"))
@@ -620,7 +627,7 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gate_citations, category_mix, registry_stats, word_counts, sentence_split, tags, text_measure, style_scores, claim_extract, registry_build, registry_absent, id_allocation, ruling_fold, conflict_pairs, page_tension,
-    doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, repairs, affected,
+    doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, gate_eval_pages, repairs, affected,
     vocabulary, seed_set, off_brand, allowed_claims, citations_view, proof_links, search_blocks, budget_state, correction_notes, browse, seed_batches, leaked_names, token_estimate,
     gate_labels, gate_targets, discovered, kb_status, onboarding, blocks_by_reason, newest_drafts, auto_rounds, export_live, pending_extraction, claims_with_sources, unsupported_asks, relink_proofs, fact_check, pick_persona, golden_matches, reproducible, dq_sweep, column_constraints,
     value_counts, phrases, links, html_blocks, markdown_blocks, draft_units, greedy_chunks, quality_dash, cost_dash, review_queue, coverage, gaps, section_alloc, dq_rules, log_rollup, audit_rollup_stream, rebuild_text,
