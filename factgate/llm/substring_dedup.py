@@ -23,7 +23,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +38,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LAST = np.iinfo(np.int64).max  # null ids come after all others
+#: Of each of two hashes: a random number for each byte, an odd base, and its inverse modulo 2^64.
+_BYTES = np.random.default_rng(20).integers(0, 1 << 64, (2, 256), np.uint64)
+_POWERS = [(np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 class Words:
@@ -66,9 +68,24 @@ class Words:
         self.windows = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + self.bases[self.text_of]
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of each word."""
-        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.vocabulary.to_pylist())), np.uint64).reshape(-1, 2)[self.codes]
-        return both[:, 0].copy(), both[:, 1].copy()
+        """Two independent hashes of each word, from sums over the bytes of the whole vocabulary."""
+        v = self.vocabulary
+        at = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1].astype(np.int64)
+        data = np.frombuffer(v.buffers()[2] or b"", np.uint8)[: at[-1]]
+        out = []
+        for numbers, (base, inverse) in zip(_BYTES, _POWERS):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(numbers[data] * _geometric(base, len(data)), dtype=np.uint64)])
+            h = (sums[at[1:]] - sums[at[:-1]]) * _geometric(inverse, len(data) + 1)[at[:-1]]
+            h ^= h >> np.uint64(32)
+            out.append((h * _BASE)[self.codes])
+        return out[0], out[1]
+
+
+def _geometric(base: np.uint64, n: int) -> np.ndarray:
+    """1, base, base^2, … modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def _rolled(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
@@ -195,31 +212,46 @@ def _confirmed(rows: pa.Table) -> pa.Table:
     return pa.table({"block": out["shard"], "text": out["text"], "start": out["start"], "here": out["here"]})
 
 
-def _phrases(starts: np.ndarray, codes: np.ndarray) -> list[tuple[int, ...]]:
-    """The phrases of the passages that runs of consecutive windows make."""
-    cut = np.flatnonzero(np.diff(starts) > 1) + 1
-    out = set()
-    for run in np.split(starts, cut) if len(starts) else []:
-        for p in range(int(run[0]), int(run[-1]) + WINDOW - PHRASE + 1, PHRASE):
-            out.add(tuple(codes[p : p + PHRASE].tolist()))
-    return sorted(out)
+def _phrases(starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The distinct phrases, as rows of codes, of the passages that runs of consecutive windows make."""
+    if not len(starts):
+        return np.zeros((0, PHRASE), np.int32)
+    cut = np.flatnonzero(np.diff(starts) > 1)
+    first, last = starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
+    n = (last - first + WINDOW - PHRASE) // PHRASE + 1
+    at = np.repeat(first, n) + PHRASE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return np.unique(codes[at[:, None] + np.arange(PHRASE)], axis=0)
 
 
-def _occurrences(words: Words, phrases: list[tuple[int, ...]]) -> np.ndarray:
-    """Where phrases stand in any of the texts, by automata of at most SHARD_PHRASES phrases."""
-    found: list[int] = []
-    if not phrases:
+def _occurrences(codes: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+    """Where phrases stand in a text of codes, by automata of at most SHARD_PHRASES phrases.
+
+    A word is spelled in three letters, each of an alphabet of its own, so that a node has few children and a match begins
+    at a word; words of no phrase are all spelled alike.
+    """
+    if not len(phrases):
         return np.zeros(0, np.int64)
-    texts = [tuple(words.codes[a:b].tolist()) for a, b in zip(words.bases[:-1], words.bases[1:])]
+    used = np.unique(phrases)
+    number = np.zeros(int(codes.max()) + 1, np.int64)
+    number[used] = 1 + np.arange(len(used))
+    base = 2
+    while base**3 <= len(used):
+        base += 1
+
+    def spelled(x: np.ndarray) -> str:
+        n = number[x]
+        letters = np.stack([n // (base * base), n // base % base + base, n % base + 2 * base], axis=-1) + 0x100
+        return letters.astype("<u4").tobytes().decode("utf-32-le")
+
+    text, found = spelled(codes), []
     for s in range(0, len(phrases), SHARD_PHRASES):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for p in phrases[s : s + SHARD_PHRASES]:
-            automaton.add_word(p)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        part, size = spelled(phrases[s : s + SHARD_PHRASES].ravel()), 3 * PHRASE
+        for i in range(0, len(part), size):
+            automaton.add_word(part[i : i + size])
         automaton.make_automaton()
-        for base, text in zip(words.bases.tolist(), texts):
-            if len(text) >= WINDOW:
-                found += [base + end - PHRASE + 1 for end, _ in automaton.iter(text)]
-    return np.array(found, np.int64)
+        found.append(np.fromiter((end for end, _ in automaton.iter(text)), np.int64) // 3 - PHRASE + 1)
+    return np.concatenate(found)
 
 
 def _later(words: Words, first: np.ndarray, here: np.ndarray) -> np.ndarray:
@@ -227,15 +259,20 @@ def _later(words: Words, first: np.ndarray, here: np.ndarray) -> np.ndarray:
     order = np.argsort(first)
     first, here = first[order], here[order]
     near = np.zeros(len(words.codes) + 1, np.int64)
-    hits = _occurrences(words, _phrases(first, words.codes))
+    hits = _occurrences(words.codes, _phrases(first, words.codes))
     np.add.at(near, np.maximum(hits - (WINDOW - PHRASE), 0), 1)
     np.add.at(near, hits + 1, -1)
     possible = words.windows[np.cumsum(near)[words.windows] > 0]
-    said, size = words.codes.tobytes(), words.codes.itemsize
-    at = lambda i: said[i * size : (i + WINDOW) * size]
-    known = {at(i): 2 * i + h for i, h in zip(first.tolist(), here.tolist())}
-    got = [(i, v) for i in possible.tolist() if (v := known.get(at(i))) is not None]
-    return np.array([i for i, v in got if v != 2 * i + 1], np.int64)  # all but the first of all
+    if not len(possible):
+        return possible
+    key = _rolled(words.hashes()[0], WINDOW, _BASE)
+    by_key = np.argsort(key[first])
+    at = first[by_key]
+    got = np.minimum(np.searchsorted(key[at], key[possible]), len(at) - 1)
+    same = np.ones(len(possible), bool)
+    for j in range(WINDOW):  # word by word: what hashes alike need not be alike
+        same &= words.codes[possible + j] == words.codes[at[got] + j]
+    return possible[same & ~((here[by_key][got] > 0) & (at[got] == possible))]  # all but the first of all
 
 
 _RESULT = "id {0}, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept_text string"
