@@ -2,11 +2,13 @@
 
 The kernel of two words counts the letter triples they share as subsequences, each occurrence weighted by DECAY to the
 power of its span, so letters put between or into those of an insult only lower it.  Words are rows of bytes between
-two boundary marks, with punctuation deleted.  A sentence is a bag of words, and its margin that of its worst word: the
-labels of documents go to their sentences, and the words that bear a positive label are found by how surely they occur
-in toxic documents alone.  The SVM is trained on those words, with inserted and gapped variants, against the words of
-clean sentences, the hardest of which are mined from the whole labelled sample.  Landmarks make the kernel expansion
-a short sum, which collapses into one weight per triple: documents are scored by table look-ups.
+two boundary marks, with punctuation deleted.  Labels are of documents, and a document is read as one labelled sentence: a
+bag of words, whose margin is that of its worst word.  No text is split further.  The words that bear a positive label are
+found by how surely they occur in toxic documents alone; all of them train the SVM, with inserted and gapped variants.
+Against them stand the words of clean documents.  Training works on a growing set of those: as long as any clean word
+of the whole labelled sample lies inside the margin, the hardest join the set, so the machine is that of all of them.
+Landmarks make the kernel expansion a short sum, which collapses into one weight per triple: documents are scored by
+table look-ups.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from .byte_bpe import _slices
 from .common import hold, prepare, stored, whole
 
 DECAY, ALPHABET, LETTERS = 0.6, 64, 22
-#: Labelled documents used at most; words of each kind and landmarks the SVM sees at most; rounds of mining.
-LABELLED, POSITIVES, NEGATIVES, LANDMARKS, ROUNDS = 50_000, 600, 4000, 800, 2
+#: Labelled documents used at most; rank of the Nyström approximation.
+LABELLED, LANDMARKS = 50_000, 800
+#: Clean words that training begins with and that join it at a time; how far inside the margin (-1) those left out may lie.
+STEP, TOLERANCE = 2000, 0.05
 REMEMBERED = 400_000
 #: Weight of the training errors against the norm.
 STRICT = 20_000
@@ -205,22 +209,26 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_co
     # So many toxic documents a word needs, and no clean one, that by chance no word would have them.
     often = {r["d"]: r["n"] for r in words.groupBy(F.least(F.col("pos") + F.col("neg"), F.lit(64)).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     need = next((d for d in range(3, 65) if sum(n for k, n in often.items() if k >= d) * share**d < 0.25), 64)
-    sure = words.where((F.col("pos") >= need) & (F.col("neg") <= F.col("pos") / 50) & (F.length("word") > 1)).orderBy(F.desc("pos"), "word").limit(POSITIVES).collect()
+    sure = words.where((F.col("pos") >= need) & (F.col("neg") <= F.col("pos") / 50) & (F.length("word") > 1)).orderBy(F.desc("pos"), "word").collect()
     if not sure:
         return None
     positive = [bytes(r["word"]) for r in sure]
     clean = words.where(F.col("neg") > F.col("pos") / 5)  # also what both kinds of documents say: an insult is as good as never in clean ones
-    frequent = [bytes(r["word"]) for r in clean.orderBy(F.desc("neg"), "word").limit(NEGATIVES // 4).collect()]
-    others = [bytes(r["word"]) for r in clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 4).collect()]
+    frequent = [bytes(r["word"]) for r in clean.orderBy(F.desc("neg"), "word").limit(STEP // 2).collect()]
+    others = [bytes(r["word"]) for r in clean.orderBy(F.xxhash64("word"), "word").limit(STEP // 2).collect()]
     negative = list(dict.fromkeys(frequent + others))
-    machine = fit(positive, negative)
-    for _ in range(ROUNDS):
-        hard = [(float(r["margin"]), bytes(r["word"])) for r in _margins(clean.select("word"), machine).orderBy(F.desc("margin"), "word").limit(NEGATIVES // 8).collect()]
-        negative = list(dict.fromkeys([w for x, w in hard if x > -1] + negative))
+    machine, top = fit(positive, negative), -1.0
+    while True:
+        inside = _margins(clean.select("word"), machine).where(F.col("margin") > TOLERANCE - 1).orderBy(F.desc("margin"), "word")
+        known = set(negative)
+        hard = [(float(r["margin"]), bytes(r["word"])) for r in inside.limit(len(known) + STEP).collect()]  # known ones stay inside where they must
+        top = max((x for x, _ in hard), default=-1.0)
+        new = [w for _, w in hard if w not in known][:STEP]
+        if not new:
+            break
+        negative = new + negative
         machine = fit(positive, negative)
-    worst = _margins(clean.select("word"), machine).orderBy(F.desc("margin")).limit(1).collect()
     low = float(np.quantile(margins(machine, positive), 0.02))
-    top = float(worst[0]["margin"]) if worst else -1.0
     return machine._replace(cut=top + (low - top) * (0.35 if top < low else 0.5))  # nearer to the clean words: insults unseen so far lie in between
 
 
