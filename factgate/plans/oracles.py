@@ -208,6 +208,8 @@ ORACLES: dict[str, str] = {
     "seed_set": f"""WITH {RATED}, s AS (SELECT product_id, unnest(CASE WHEN status <> 'verified' THEN ['not-citable'] WHEN regexp_matches(text, '\\b\\d+\\b') THEN ['true', 'untagged', 'false', 'overstated', 'partial'] ELSE ['true', 'untagged', 'overstated', 'partial'] END) AS label FROM rated),
         n AS (SELECT product_id, label, CASE label WHEN 'partial' THEN least(24, count(*)) // 2 ELSE least(12, count(*)) END AS n FROM s GROUP BY product_id, label)
         SELECT product_id, label, n, CASE label WHEN 'untagged' THEN 0 ELSE n END AS n_tagged FROM n WHERE n > 0 UNION ALL SELECT DISTINCT product_id, 'positioning', 6, 0 FROM claims""",
+    "positioning_packs": """SELECT p_brand AS source_id, 'First words' AS positioning_statement, 'theme' AS kind, p_type AS name, count(*)::INTEGER AS n, md5('Packed as it ships|' || string_agg(p_name, '|' ORDER BY p_partkey)) AS digest FROM part GROUP BY ALL
+        UNION ALL SELECT p_brand, 'First words', 'persona', 'Buyer ' || p_size, 2, md5('buyer; ' || min(p_name) || '|cost|' || max(p_type) || '|' || CASE WHEN p_size % 2 = 0 THEN 'unaware' ELSE 'problem-aware' END) FROM part GROUP BY p_brand, p_size""",
     "off_brand": r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\byour\b', 'the user''s', 'g'), '(?i)\byou\b', 'the user', 'g') AS third FROM documents),
         v AS (SELECT doc_id, 'hype' AS variant, 'A revolutionary, game-changing way! ' || replace(text, '.', '!') AS t FROM d UNION ALL SELECT doc_id, 'third-person', regexp_replace(third, '\.\s+', ', and ', 'g') FROM d
               UNION ALL SELECT doc_id, 'wrong-name', 'Productify: ' || text FROM d UNION ALL SELECT doc_id, 'banned', text || ' seamless leverage.' FROM d)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
-from ..operators import evaluation, gate, measures, planning, quality, registry, reports, search, style
+from ..operators import evaluation, gate, measures, planning, positioning, quality, registry, reports, search, style
 from ..sources import driver_tables as D
 from ..sources import parse, store
 from ..sources.shared import shared_folder
@@ -574,6 +574,22 @@ def gate_eval_pages(spark: SparkSession, d: str) -> DataFrame:
     return measures.gate_labels(evaluation.run(style.seed_set(claims), claims, conflicts))
 
 
+def positioning_packs(spark: SparkSession, d: str) -> DataFrame:
+    """The positioning deck of every brand: types are its themes, parts their proofs, sizes its personas; one row for each theme and persona."""
+    part = D.load(spark, d, "part")
+    of = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), "\n\n")
+    themes = part.groupBy("p_brand", "p_type").agg(F.concat(F.lit("### "), F.col("p_type"), F.lit("\n\nPacked as it ships\n\n"), of("p_partkey", F.concat(F.lit("Proof: "), "p_name"))).alias("t"))
+    personas = part.groupBy("p_brand", "p_size").agg(F.concat(F.lit("### Buyer "), F.col("p_size").cast("string"), F.lit("\n\nRole: buyer; "), F.min("p_name"), F.lit("\n\nPains: cost; "), F.max("p_type"), F.lit(" ;\n\nStage: "), F.when(F.col("p_size") % 2 == 0, "unaware").otherwise("sure")).alias("t"))
+    rows = lambda df, order: df.groupBy("p_brand").agg(of(order, F.col("t")).alias(order))
+    deck = rows(themes, "p_type").join(rows(personas, "p_size"), "p_brand").select(
+        F.col("p_brand").alias("source_id"), F.concat(F.lit("# Deck\n\nFirst words\n\n## Value themes\n\n"), "p_type", F.lit("\n\n## Personas\n\n"), "p_size", F.lit("\n\n## Objections\n\nToo dear => It saves time\n")).alias("md")
+    )
+    packs = positioning.packs(parse.markdown_blocks(deck, "source_id", "md"))
+    t = packs.select("source_id", "positioning_statement", F.explode("value_themes").alias("x")).select("source_id", "positioning_statement", F.lit("theme").alias("kind"), "x.name", F.size("x.proof_points").alias("n"), F.md5(F.concat_ws("|", "x.message", F.array_join("x.proof_points", "|"))).alias("digest"))
+    p = packs.select("source_id", "positioning_statement", F.explode("personas").alias("x")).select("source_id", "positioning_statement", F.lit("persona").alias("kind"), "x.name", F.size("x.pains").alias("n"), F.md5(F.concat_ws("|", "x.role", F.array_join("x.pains", "|"), "x.stage")).alias("digest"))
+    return t.unionByName(p)
+
+
 def off_brand(spark: SparkSession, d: str) -> DataFrame:
     chunks = _documents(spark, d).select("doc_id", F.lit(0).alias("chunk"), "text")
     return style.off_brand(chunks).select("doc_id", "variant", F.md5("text").alias("digest"))
@@ -627,7 +643,7 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gate_citations, category_mix, registry_stats, word_counts, sentence_split, tags, text_measure, style_scores, claim_extract, registry_build, registry_absent, id_allocation, ruling_fold, conflict_pairs, page_tension,
-    doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, gate_eval_pages, repairs, affected,
+    doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, gate_eval_pages, positioning_packs, repairs, affected,
     vocabulary, seed_set, off_brand, allowed_claims, citations_view, proof_links, search_blocks, budget_state, correction_notes, browse, seed_batches, leaked_names, token_estimate,
     gate_labels, gate_targets, discovered, kb_status, onboarding, blocks_by_reason, newest_drafts, auto_rounds, export_live, pending_extraction, claims_with_sources, unsupported_asks, relink_proofs, fact_check, pick_persona, golden_matches, reproducible, dq_sweep, column_constraints,
     value_counts, phrases, links, html_blocks, markdown_blocks, draft_units, greedy_chunks, quality_dash, cost_dash, review_queue, coverage, gaps, section_alloc, dq_rules, log_rollup, audit_rollup_stream, rebuild_text,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factgate.functions import text as T
-from factgate.operators import gate, measures, planning, quality, registry, reports, search
+from factgate.operators import evaluation, gate, measures, planning, positioning, quality, registry, reports, search
 from factgate.plans import queries
 from factgate.sources import parse, store
 from factgate.streaming import feeds
@@ -438,3 +438,110 @@ def test_greedy_chunks_reads_all_languages(spark, tmp_path):
         chunks += [words] if words >= 90 or words and not chunks else []
         want += [(i, k, n) for k, n in enumerate(chunks)]
     assert sorted((r.doc_id, r.chunk, r.words) for r in queries.greedy_chunks(spark, str(tmp_path)).collect()) == want
+
+
+def test_positioning_packs_and_links(spark):
+    md = """# Deck
+
+Intro words
+
+## Positioning statement
+
+We move goods
+
+Second line
+
+## Competitive alternatives
+
+Spreadsheets: slow; error-prone
+
+Nothing
+
+## Value themes
+
+loose text without a theme
+
+### Speed
+
+PROOF:  Exports run nightly to storage
+
+Say it is fast
+
+Say more
+
+Proof: Nobody ever claimed this anywhere
+
+### Trust
+
+Proof: Records are encrypted
+
+## Personas
+
+### Ana
+
+Role: lead; owner
+
+Pains: delays ; ; cost
+
+Stage: sure
+
+Stage: product-aware
+
+role: buyer
+
+### Bo
+
+Hello
+
+## Objections
+
+Too dear => It saves days
+
+No answer
+
+## Messaging
+
+Short: a
+
+short: b
+
+Long
+"""
+    docs = spark.createDataFrame([("s", md), ("t", "# X\n\n## Other\n\nonly text"), ("n", None)], "source_id string, body string")
+    pack = {r.source_id: r for r in positioning.packs(parse.markdown_blocks(docs)).collect()}
+    s = pack["s"]
+    assert set(pack) == {"s", "t"} and s.positioning_statement == "We move goods" and s.category == "" and pack["t"].positioning_statement == "only text"
+    assert [tuple(a) for a in s.alternatives] == [("Spreadsheets", "slow; error-prone"), ("Nothing", "")]
+    assert [(t.name, t.message, t.proof_points) for t in s.value_themes] == [("Speed", "Say it is fast", ["Exports run nightly to storage", "Nobody ever claimed this anywhere"]), ("Trust", "", ["Records are encrypted"])]
+    assert [tuple(p) for p in s.personas] == [("Ana", "buyer", ["delays", "cost"], [], "product-aware"), ("Bo", "", [], [], "problem-aware")]
+    assert [tuple(o) for o in s.objections] == [("Too dear", "It saves days"), ("No answer", "")] and s.stages == {} and s.messaging == {"short": "b", "long": ""}
+    claims = spark.createDataFrame([("P", "c1", "Exports run nightly to storage buckets", "verified"), ("P", "c2", "Records are encrypted at rest", "deprecated"), ("Q", "c3", "Records are encrypted", "verified")], "product_id string, id string, text string, status string")
+    got = positioning.linked(positioning.packs(parse.markdown_blocks(docs)).withColumn("product_id", F.lit("P")), claims).where("source_id = 's'").first()
+    assert [[(p.status, p.claim_ids) for p in t.proof_points] for t in got.value_themes] == [[("has-claim", ["c1"]), ("needs-claim", [])], [("needs-claim", [])]]
+
+
+def test_evaluation_by_pages(spark):
+    claims = spark.createDataFrame(
+        [("P", i, f"PR-{i:03d}", text, status, "other", "high") for i, (text, status) in enumerate([("Exports run nightly to storage buckets", "verified"), ("Backups are kept for 30 days on the pro plan", "verified"), ("Audit logs are never deleted by operators", "verified"), ("Billing runs monthly for partner resellers", "deprecated")])],
+        "product_id string, pos int, id string, text string, status string, category string, confidence string",
+    )
+    golden = spark.createDataFrame(
+        [("P", "g1", "combined-conclusion", "Exports run nightly, so backups are kept for 30 days on the pro plan", ["Exports run nightly to storage buckets", "backups are kept for 30 days on the pro plan"]), ("P", "g2", "true", "Billing runs monthly for partner resellers", ["Billing runs monthly for partner resellers"]),
+         ("P", "g3", "false", "Nothing holds this", ["a quote that no claim has"]), ("P", "g4", "partial", "No quote at all", []), ("P", "g5", "positioning", "Start where you are.", []), ("P", "g6", "untagged", "Exports run nightly to storage buckets", ["Exports run nightly to storage buckets"])],
+        "product_id string, id string, label string, text string, quotes array<string>",
+    )
+    seeds, skipped = evaluation.golden_seeds(golden, claims)
+    assert {(r.id, r.label, r.text) for r in seeds.collect()} == {
+        ("g1", "combined-conclusion", "Exports run nightly, so backups are kept for 30 days on the pro plan. [[PR-000]] [[PR-001]]"), ("g2", "not-citable", "Billing runs monthly for partner resellers. [[PR-003]]"),
+        ("g5", "positioning", "Start where you are."), ("g6", "untagged", "Exports run nightly to storage buckets"),
+    }
+    assert {(r.id, r.why) for r in skipped.collect()} == {("g3", "support quote not found in registry"), ("g4", "no support quote")}
+
+    own = spark.createDataFrame([("P", "t", "true", "Audit logs are never deleted by operators. [[PR-002]]"), ("P", "two", "false", "Audit logs are never deleted by operators. [[PR-002]] Backups are kept for 90 days on the pro plan. [[PR-001]]"), ("P", "e", "positioning", "")], "product_id string, id string, label string, text string")
+    conflicts = spark.createDataFrame([("k", "absolute-vs-exception", "open", ["PR-002", "PR-009"]), ("done", "absolute-vs-exception", "resolved", ["PR-000"])], "id string, kind string, status string, claim_ids array<string>")
+    run = lambda size, conf: {r.id: r.blocked for r in evaluation.run(own.unionByName(seeds), claims, conf, size).collect()}
+    free = run(40, conflicts.where("id = 'done'"))
+    assert free == {"t": False, "two": True, "e": False, "g1": True, "g2": True, "g5": False, "g6": True}
+    assert run(40, conflicts) == {**free, "t": True}  # the page cites a member of an open collision
+    placed = evaluation.paged(own.unionByName(seeds), 2)
+    assert sorted(r["count"] for r in placed.groupBy("item_id").count().collect()) == [1, 2, 2, 2]
