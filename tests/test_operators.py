@@ -526,13 +526,13 @@ def test_evaluation_by_pages(spark):
         "product_id string, pos int, id string, text string, status string, category string, confidence string",
     )
     golden = spark.createDataFrame(
-        [("P", "g1", "combined-conclusion", "Exports run nightly, so backups are kept for 30 days on the pro plan", ["Exports run nightly to storage buckets", "backups are kept for 30 days on the pro plan"]), ("P", "g2", "true", "Billing runs monthly for partner resellers", ["Billing runs monthly for partner resellers"]),
+        [("P", "g1", "combined-conclusion", "Exports run nightly, so backups give auditors complete recovery for 30 days", ["Exports run nightly to storage buckets", "backups are kept for 30 days on the pro plan"]), ("P", "g2", "true", "Billing runs monthly for partner resellers", ["Billing runs monthly for partner resellers"]),
          ("P", "g3", "false", "Nothing holds this", ["a quote that no claim has"]), ("P", "g4", "partial", "No quote at all", []), ("P", "g5", "positioning", "Start where you are.", []), ("P", "g6", "untagged", "Exports run nightly to storage buckets", ["Exports run nightly to storage buckets"])],
         "product_id string, id string, label string, text string, quotes array<string>",
     )
     seeds, skipped = evaluation.golden_seeds(golden, claims)
     assert {(r.id, r.label, r.text) for r in seeds.collect()} == {
-        ("g1", "combined-conclusion", "Exports run nightly, so backups are kept for 30 days on the pro plan. [[PR-000]] [[PR-001]]"), ("g2", "not-citable", "Billing runs monthly for partner resellers. [[PR-003]]"),
+        ("g1", "combined-conclusion", "Exports run nightly, so backups give auditors complete recovery for 30 days. [[PR-000]] [[PR-001]]"), ("g2", "not-citable", "Billing runs monthly for partner resellers. [[PR-003]]"),
         ("g5", "positioning", "Start where you are."), ("g6", "untagged", "Exports run nightly to storage buckets"),
     }
     assert {(r.id, r.why) for r in skipped.collect()} == {("g3", "support quote not found in registry"), ("g4", "no support quote")}
