@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ DECAY, ALPHABET, LETTERS = 0.6, 64, 22
 #: Labelled documents used at most; rank of the Nyström approximation.
 LABELLED, LANDMARKS = 50_000, 800
 #: Clean words that training begins with and that join it at a time; how far inside the margin (-1) those left out may lie.
-STEP, TOLERANCE = 2000, 0.05
+STEP, TOLERANCE = 4000, 0.05
 REMEMBERED = 400_000
 #: Weight of the training errors against the norm.
 STRICT = 20_000
@@ -71,6 +72,12 @@ def words_of(text: str) -> set[bytes]:
     return found
 
 
+def signature(text: str) -> int:
+    """The least hash of the text's runs of three words (of all of it, if shorter): near copies mostly share it."""
+    w = text.lower().encode().split()
+    return min((xxhash.xxh3_64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2)))) - (1 << 63)
+
+
 def coded(words: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate([[OPEN], CODES[np.frombuffer(w, np.uint8)], [CLOSE]]).astype(np.int64) for w in words]
 
@@ -162,30 +169,51 @@ def variants(word: bytes) -> list[bytes]:
     return [word[:mid] + b"x" + word[mid:], word[:2] + word[1:], b"x".join([word[:2], word[2:4], word[4:]])[:LETTERS]]
 
 
+class Trainer:
+    """Squared-hinge SVM on Nyström features, by Newton steps from the weights before; both classes weigh the same.
+
+    Landmarks are fixed, so the features of a word are computed once, however often others join.
+    """
+
+    def __init__(self, positive: list[bytes], negative: list[bytes], landmarks: int = LANDMARKS) -> None:
+        pos = features(positive + [v for p in positive for v in variants(p)])
+        neg = features(negative)
+        self.base = pos[: landmarks // 2] + neg[: landmarks // 2]  # insults and their variants; the hardest clean words
+        values, axes = np.linalg.eigh(kernel(self.base, self.base))
+        good = values > 1e-6 * values.max()
+        self.to = axes[:, good] / np.sqrt(values[good])
+        self.x = [self._rows(pos), self._rows(neg)]
+        self.w = np.zeros(self.to.shape[1] + 1)
+
+    def _rows(self, words: list) -> np.ndarray:
+        return np.hstack([kernel(words, self.base) @ self.to, np.ones((len(words), 1))]).astype(np.float32)
+
+    def add(self, negative: list[bytes]) -> None:
+        self.x[1] = np.vstack([self.x[1], self._rows(features(negative))])
+
+    def fit(self) -> Machine:
+        ridge = np.eye(len(self.w))
+        ridge[-1, -1] = 1e-6
+        for _ in range(30):
+            left, right = ridge.copy(), np.zeros(len(self.w))
+            for x, y in zip(self.x, (1.0, -1.0)):
+                on = x[y * (x @ self.w.astype(np.float32)) < 1].astype(np.float64)
+                left += on.T @ on * (STRICT / len(x))
+                right += on.sum(axis=0) * (y * STRICT / len(x))
+            new = np.linalg.solve(left, right)
+            done = np.allclose(new, self.w, atol=1e-6)
+            self.w = new
+            if done:
+                break
+        table = np.zeros(ALPHABET**3)
+        for a, (keys, v) in zip(self.to @ self.w[:-1], self.base):
+            table[keys] += a * v
+        return Machine(table.astype(np.float32), float(self.w[-1]), 0.0)
+
+
 def fit(positive: list[bytes], negative: list[bytes], landmarks: int = LANDMARKS) -> Machine:
-    """Squared-hinge SVM on Nyström features, by Newton steps; both classes weigh the same."""
-    extra = [v for p in positive for v in variants(p)]
-    pos, neg = features(positive + extra), features(negative)
-    base = pos[: landmarks // 2] + neg[: landmarks // 2]  # insults and their variants; the hardest clean words
-    values, axes = np.linalg.eigh(kernel(base, base))
-    good = values > 1e-6 * values.max()
-    to = axes[:, good] / np.sqrt(values[good])
-    x = np.hstack([kernel(pos + neg, base) @ to, np.ones((len(pos) + len(neg), 1))])
-    y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
-    weight = np.where(y > 0, 1 / len(pos), 1 / len(neg)) * STRICT
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
-    for _ in range(30):
-        on = y * (x @ w) < 1
-        xs = x[on] * weight[on, None]
-        new = np.linalg.solve(ridge + xs.T @ x[on], xs.T @ y[on])
-        if np.allclose(new, w, atol=1e-9):
-            break
-        w = new
-    table = np.zeros(ALPHABET**3)
-    for a, (keys, v) in zip(to @ w[:-1], base):
-        table[keys] += a * v
-    return Machine(table.astype(np.float32), float(w[-1]), 0.0)
+    """A machine of these words alone."""
+    return Trainer(positive, negative, landmarks).fit()
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> Machine | None:
@@ -197,11 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_co
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            label, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-            found = [(x, w) for x, t in zip(label, text) for w in words_of(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([w for _, w in found], pa.binary())], ["label", "word"])
+            texts = b.column(1).to_pylist()
+            columns = [b.column(0), pa.array(map(signature, texts), pa.int64()), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "signature", "words"])
 
-    words = stored(rows.mapInArrow(units, "label int, word binary").groupBy("word").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg")))
+    # A word is as sure as the texts that hold it are many: copies and most near copies count once.
+    texts = rows.mapInArrow(units, "label int, signature long, words array<binary>").dropDuplicates(["label", "signature"])
+    words = stored(texts.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg")))
     share = sample.agg(F.avg("label")).first()[0]
     if not share:
         return None
@@ -214,9 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_co
         return None
     positive = [bytes(r["word"]) for r in sure]
     clean = words.where(F.col("neg") > F.col("pos") / 5)  # also what both kinds of documents say: an insult is as good as never in clean ones
-    frequent = [bytes(r["word"]) for r in clean.orderBy(F.desc("neg"), "word").limit(STEP // 2).collect()]
-    others = [bytes(r["word"]) for r in clean.orderBy(F.xxhash64("word"), "word").limit(STEP // 2).collect()]
+    frequent = [bytes(r["word"]) for r in clean.orderBy(F.desc("neg"), "word").limit(STEP // 4).collect()]
+    others = [bytes(r["word"]) for r in clean.orderBy(F.xxhash64("word"), "word").limit(STEP // 4).collect()]
     negative = list(dict.fromkeys(frequent + others))
+    trainer: Trainer | None = None
     machine, top = fit(positive, negative), -1.0
     while True:
         inside = _margins(clean.select("word"), machine).where(F.col("margin") > TOLERANCE - 1).orderBy(F.desc("margin"), "word")
@@ -227,7 +258,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_co
         if not new:
             break
         negative = new + negative
-        machine = fit(positive, negative)
+        if trainer is None:  # landmarks are the hardest words of the first look at all of them
+            trainer = Trainer(positive, negative)
+        else:
+            trainer.add(new)
+        machine = trainer.fit()
     low = float(np.quantile(margins(machine, positive), 0.02))
     return machine._replace(cut=top + (low - top) * (0.35 if top < low else 0.5))  # nearer to the clean words: insults unseen so far lie in between
 

@@ -160,3 +160,32 @@ def test_top_k_against_brute_force(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     few = topk_pivot.top_k(df.where("vec_id IN (0, 1, 2)"), F.col("vec_id") % 50 == 0).collect()
     assert len(few) == 2 and topk_pivot.top_k(df.limit(0), F.lit(True)).collect() == []
+
+
+def test_toxicity_scores_follow_the_definition(spark):
+    """Scores in plain loops: all letter triples of each word, weighted by their span, against the table; the worst word decides."""
+    from itertools import combinations
+    from math import exp, log, sqrt
+
+    insult = ["zorgle", "blimfutt", "quandrix"]
+    clean = ["meadow", "planet", "window", "market", "number", "letter", "garden", "silver", "bridge", "copper"]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.sample(clean, 5) + ([rng.choice(insult)] if i % 4 == 0 else []) + [f"n{i}"])) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (500, ""), (501, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    machine = toxicity_ssk.train(docs, labels, "toxic", F.lit(True))
+
+    def margin(word):
+        codes = [toxicity_ssk.OPEN, *(int(toxicity_ssk.CODES[b]) for b in word), toxicity_ssk.CLOSE]
+        v = {}
+        for a, b, c in combinations(range(len(codes)), 3):
+            k = (codes[a] * 64 + codes[b]) * 64 + codes[c]
+            v[k] = v.get(k, 0.0) + 0.6 ** (c - a + 1)
+        return sum(x * float(machine.table[k]) for k, x in v.items()) / sqrt(sum(x * x for x in v.values())) + machine.bias
+
+    for r in toxicity_ssk.score_toxicity(docs, machine).collect():
+        text = dict(rows).get(r.doc_id, "")
+        words = toxicity_ssk.words_of(text)
+        want = 1 / (1 + exp(-(8 * (max(map(margin, words)) - machine.cut) + log(0.7 / 0.3)))) if words else 0.0
+        assert abs(r.score - want) < 1e-4 and (r.score >= 0.7) == any(w in text for w in insult)
+    assert toxicity_ssk.signature("a b c d e") == toxicity_ssk.signature("A  b c d\ne") and toxicity_ssk.signature("") == toxicity_ssk.signature(" ")
