@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources.shared import materialized
 
 
 def pick(sorted_values: Column, p: float) -> Column:
@@ -108,17 +109,31 @@ def gate_labels(outcomes: DataFrame) -> DataFrame:
 def greedy_chunks(paragraphs: DataFrame, target: int = 180, tail: int = 90) -> DataFrame:
     """(doc_id, chunk, words, text) packing each document's paragraphs (doc_id, pos, text) until `target` words; a shorter last chunk stays if it has `tail` words or is the only one.
 
-    A running sum with reset, so a fold over each document's paragraphs; a document is one row, as its text was.
+    A running sum with reset: where the chunk that begins at a paragraph ends depends on that paragraph alone, so each one
+    points to the begin of the next chunk, and the begins are those that the first one reaches.  Pointers are doubled: after
+    k rounds the begins of the first 2^k chunks are known, and a document of any length is never one row.
     """
-    empty = F.array().cast("array<struct<words:int,text:string>>")
-    init = F.struct(empty.alias("done"), F.lit(0).alias("words"), F.lit("").alias("text"))
-
-    def step(acc: Column, p: Column) -> Column:
-        words, text = (acc["words"] + p["w"]).cast("int"), F.when(acc["text"] == "", p["text"]).otherwise(F.concat(acc["text"], F.lit("\n\n"), p["text"]))
-        closed = F.struct(F.concat(acc["done"], F.array(F.struct(words.alias("words"), text.alias("text")))).alias("done"), F.lit(0).alias("words"), F.lit("").alias("text"))
-        return F.when(words >= target, closed).otherwise(F.struct(acc["done"].alias("done"), words.alias("words"), text.alias("text")))
-
-    ordered = F.array_sort(F.collect_list(F.struct("pos", T.word_count(F.col("text")).alias("w"), "text")))
-    d = paragraphs.groupBy("doc_id").agg(F.aggregate(ordered, init, step).alias("a"))
-    rest = F.when((F.col("a.words") >= tail) | ((F.size("a.done") == 0) & (F.col("a.words") > 0)), F.array(F.struct(F.col("a.words").alias("words"), F.col("a.text").alias("text")))).otherwise(empty)
-    return d.select("doc_id", F.posexplode(F.concat("a.done", rest)).alias("chunk", "c")).select("doc_id", "chunk", "c.words", "c.text")
+    words = T.word_count(F.col("text")).cast("long")
+    by = Window.partitionBy("doc_id").orderBy("pos")
+    p = paragraphs.select("doc_id", "pos", "text", words.alias("w"), F.row_number().over(by).cast("long").alias("i"))
+    p = materialized(p.withColumn("sum", F.sum("w").over(by)))
+    # The end of a chunk is the first paragraph at which the sum has grown by `target` since before the begin.
+    ends = p.select("doc_id", F.col("sum").alias("at"), F.col("i").alias("end"))
+    wanted = p.select("doc_id", (F.col("sum") - F.col("w") + target).alias("at"), F.col("i").alias("begin"))
+    both = wanted.withColumn("end", F.lit(None).cast("long")).unionByName(ends.withColumn("begin", F.lit(None).cast("long")))
+    later = Window.partitionBy("doc_id").orderBy(F.desc("at"), F.col("begin").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = p.groupBy("doc_id").agg(F.max("i").alias("last"))
+    jump = both.withColumn("next", F.min("end").over(later) + 1).where("begin IS NOT NULL").join(last, "doc_id")
+    jump = materialized(jump.select("doc_id", "begin", F.when(F.col("next") <= F.col("last"), F.col("next")).alias("next")))
+    begins = p.where("i = 1").select("doc_id", F.col("i").alias("begin"))
+    while True:
+        ahead = materialized(begins.join(jump, ["doc_id", "begin"]).where("next IS NOT NULL").select("doc_id", F.col("next").alias("begin")))
+        if ahead.isEmpty():
+            break
+        begins = begins.unionByName(ahead)
+        jump = materialized(jump.join(jump.select("doc_id", F.col("begin").alias("next"), F.col("next").alias("far")), ["doc_id", "next"], "left").select("doc_id", "begin", F.col("far").alias("next")))
+    marked = p.join(begins.select("doc_id", F.col("begin").alias("i"), F.lit(1).alias("opens")), ["doc_id", "i"], "left")
+    chunk = (F.sum(F.coalesce("opens", F.lit(0))).over(Window.partitionBy("doc_id").orderBy("i")) - 1).cast("int")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"])
+    chunks = marked.withColumn("chunk", chunk).groupBy("doc_id", "chunk").agg(F.sum("w").cast("int").alias("words"), F.array_join(F.filter(texts, lambda t: t != ""), "\n\n").alias("text"))
+    return chunks.where((F.col("words") >= tail) | (F.col("words") >= target) | ((F.col("chunk") == 0) & (F.col("words") > 0)))

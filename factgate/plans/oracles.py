@@ -208,6 +208,12 @@ ORACLES: dict[str, str] = {
     "seed_set": f"""WITH {RATED}, s AS (SELECT product_id, unnest(CASE WHEN status <> 'verified' THEN ['not-citable'] WHEN regexp_matches(text, '\\b\\d+\\b') THEN ['true', 'untagged', 'false', 'overstated', 'partial'] ELSE ['true', 'untagged', 'overstated', 'partial'] END) AS label FROM rated),
         n AS (SELECT product_id, label, CASE label WHEN 'partial' THEN least(24, count(*)) // 2 ELSE least(12, count(*)) END AS n FROM s GROUP BY product_id, label)
         SELECT product_id, label, n, CASE label WHEN 'untagged' THEN 0 ELSE n END AS n_tagged FROM n WHERE n > 0 UNION ALL SELECT DISTINCT product_id, 'positioning', 6, 0 FROM claims""",
+    "greedy_chunks": f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM l),
+        w AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), {_q(L.WORD)}))::INTEGER AS w FROM p), f(doc_id, i, chunk, acc) AS (
+          SELECT doc_id, i, 0, w FROM w WHERE i = 1
+          UNION ALL SELECT w.doc_id, w.i, CASE WHEN acc >= 180 THEN chunk + 1 ELSE chunk END, CASE WHEN acc >= 180 THEN w ELSE acc + w END FROM f JOIN w ON w.doc_id = f.doc_id AND w.i = f.i + 1
+        ), c AS (SELECT doc_id, chunk, max(acc) AS words, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY i) FILTER (text <> ''), '') AS text FROM f JOIN w USING (doc_id, i) GROUP BY doc_id, chunk)
+        SELECT * FROM c WHERE words >= 90 OR (chunk = 0 AND words > 0)""",
     "positioning_packs": """SELECT p_brand AS source_id, 'First words' AS positioning_statement, 'theme' AS kind, p_type AS name, count(*)::INTEGER AS n, md5('Packed as it ships|' || string_agg(p_name, '|' ORDER BY p_partkey)) AS digest FROM part GROUP BY ALL
         UNION ALL SELECT p_brand, 'First words', 'persona', 'Buyer ' || p_size, 2, md5('buyer; ' || min(p_name) || '|cost|' || max(p_type) || '|' || CASE WHEN p_size % 2 = 0 THEN 'unaware' ELSE 'problem-aware' END) FROM part GROUP BY p_brand, p_size""",
     "off_brand": r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\byour\b', 'the user''s', 'g'), '(?i)\byou\b', 'the user', 'g') AS third FROM documents),

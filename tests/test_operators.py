@@ -545,3 +545,21 @@ def test_evaluation_by_pages(spark):
     assert run(40, conflicts) == {**free, "t": True}  # the page cites a member of an open collision
     placed = evaluation.paged(own.unionByName(seeds), 2)
     assert sorted(r["count"] for r in placed.groupBy("item_id").count().collect()) == [1, 2, 2, 2]
+
+
+def test_chunks_by_pointers_equal_a_fold(spark):
+    rng = random.Random(8)
+    docs = {i: ["w " * rng.choice([0, 1, 3, 50, 120, 400]) for _ in range(n)] for i, n in enumerate([0, 1, 2, 5, 40, 90])}
+    want = set()
+    for i, paragraphs in docs.items():
+        done, words, said = [], 0, []
+        for p in paragraphs:
+            words, said = words + len(p.split()), [*said, p]
+            if words >= 180:
+                done, words, said = [*done, (words, said)], 0, []
+        if words >= 90 or (not done and words > 0):
+            done.append((words, said))
+        want |= {(i, c, w, "\n\n".join(t for t in x if t)) for c, (w, x) in enumerate(done)}
+    rows = [(i, 10 * at, t) for i, paragraphs in docs.items() for at, t in enumerate(paragraphs)]
+    got = measures.greedy_chunks(spark.createDataFrame(rows, "doc_id long, pos int, text string")).collect()
+    assert {(r.doc_id, r.chunk, r.words, r.text) for r in got} == want and len(got) == len(want)
