@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..sources.shared import materialized
 
 
 def extract_claims(blocks: DataFrame, min_words: int = 5, max_quote: int = 59) -> DataFrame:
@@ -117,8 +118,8 @@ def doc_freq(tokens: DataFrame, keys: Sequence[str] = ("product_id",), token: st
     return tokens.select(*keys, "id", token).distinct().groupBy(*keys, token).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _candidates(feats: DataFrame) -> DataFrame:
-    """(product_id, a, b): pairs that may satisfy a rule, by prefix filters on stems in order of rarity.
+def _candidates(feats: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(product_id, a, b): pairs that may satisfy a rule, by prefix filters on stems in order of rarity; with `among` (product_id, id) only those with such a claim.
 
     Sets whose Jaccard similarity is at least t share one of the first n - ceil(t * n) + 1 stems of each, in any common
     order; those that share three, one of the first n - 2.  Only claims that a rule can apply to look for partners under it.
@@ -137,7 +138,9 @@ def _candidates(feats: DataFrame) -> DataFrame:
     way = F.explode(F.array(*(F.struct(F.lit(i).alias("way"), lf.alias("left"), rt.alias("right"), F.when(lf | rt, st).alias("stems")) for i, (lf, rt, st) in enumerate(entries)))).alias("w")
     posted = feats.select("product_id", "id", way).where("w.stems IS NOT NULL").select("product_id", "id", "w.way", "w.left", "w.right", F.explode("w.stems").alias("stem"))
     keys = ["product_id", "way", "stem"]
-    pairs = posted.where("left").select(*keys, F.col("id").alias("a")).join(posted.where("right").select(*keys, F.col("id").alias("b")), keys)
+    left, right = posted.where("left").select(*keys, F.col("id").alias("a")), posted.where("right").select(*keys, F.col("id").alias("b"))
+    only = lambda side, x: side.join(among.withColumnRenamed("id", x), ["product_id", x], "left_semi")
+    pairs = left.join(right, keys) if among is None else only(left, "a").join(right, keys).select(*keys, "a", "b").unionByName(left.join(only(right, "b"), keys).select(*keys, "a", "b"))
     return pairs.where("a < b").select("product_id", "a", "b").distinct()
 
 
@@ -149,6 +152,12 @@ def conflict_pairs(claims: DataFrame, sources: DataFrame | None = None) -> DataF
     the claim of the newest living source, or without one of the newest source, holds for the time being, but for
     absolutes against exceptions.
     """
+    feats = conflict_features(claims, sources)
+    return _judged(_candidates(feats), feats)
+
+
+def conflict_features(claims: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """What the rules of conflict_pairs look at, one row per active claim, written to the shared folder: a build that conflict_delta can start from."""
     active = claims.where("status <> 'deprecated' AND category <> 'market-evidence'")
     stems = active.select("product_id", "id", F.explode(T.stems_registry(F.col("text"))).alias("stem"))
     sizes = active.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_claims"))
@@ -161,11 +170,28 @@ def conflict_pairs(claims: DataFrame, sources: DataFrame | None = None) -> DataF
         sources = active.select("source_id").distinct().select("source_id", *(F.lit(None).cast("string").alias(c) for c in ("kind", "updated", "fetched_at")))
     source = sources.select("source_id", F.col("kind").alias("src"), F.struct(F.coalesce(F.col("updated").cast("string"), F.lit("")), F.coalesce(F.col("fetched_at").cast("string"), F.lit(""))).alias("age"))
     text = F.col("text")
-    feats = active.join(per_claim, ["product_id", "id"]).join(shared_common, "product_id", "left").join(source, "source_id", "left").select(
+    return materialized(active.join(per_claim, ["product_id", "id"]).join(shared_common, "product_id", "left").join(source, "source_id", "left").select(
         "product_id", "id", "text", F.col("ranked").alias("salient"), "ranked", "src", "age", F.coalesce("common", F.array().cast("array<string>")).alias("common"), T.release_status(text).alias("rel"), T.num_nouns(text).alias("nn"),
         T.subject(text).alias("subj"), T.qualifiers(text).alias("scope"), text.rlike(L.ABSOLUTE).alias("abs"), text.rlike(L.EXCEPTION).alias("exc"), text.rlike(L.REGISTRY_NEGATION).alias("neg"),
-    ).persist()
-    pairs = _candidates(feats)
+    ))
+
+
+def conflict_delta(feats: DataFrame, before: DataFrame, known: DataFrame) -> DataFrame:
+    """The conflict_pairs of feats, from the pairs known of an earlier build and its features: only claims that changed look for partners.
+
+    A claim has changed if anything that a rule looks at has, the stems that count among it, or if it is new or gone; known
+    pairs of changed claims are withdrawn, all others stay.
+    """
+    seen = F.xxhash64(F.to_json(F.struct("text", F.array_sort("salient"), "src", "age", "rel", "nn", "subj", "scope", "abs", "exc", "neg", F.array_sort(F.array_intersect("nn.noun", "common")))))
+    now, then = feats.select("product_id", "id", seen.alias("now")), before.select("product_id", "id", seen.alias("then"))
+    changed = materialized(now.join(then, ["product_id", "id"], "full_outer").where(~F.col("now").eqNullSafe(F.col("then"))).select("product_id", "id"))
+    gone = lambda pairs, x: pairs.join(changed.withColumnRenamed("id", x), ["product_id", x], "left_anti")
+    fresh = _judged(_candidates(feats, changed), feats)
+    return gone(gone(known, "a"), "b").select(*fresh.columns).unionByName(fresh)
+
+
+def _judged(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+    """Pairs (product_id, a, b) that a rule fits, with kind, rule and interim default."""
     side = lambda x: feats.select("product_id", *(F.col(c).alias(f"{x}_{c}") for c in feats.columns if c != "product_id")).withColumnRenamed(f"{x}_id", x)
     p = pairs.join(side("a"), ["product_id", "a"]).join(side("b"), ["product_id", "b"]).where("a_text <> b_text")
     sa, sb = F.col("a_salient"), F.col("b_salient")

@@ -214,6 +214,9 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT w.doc_id, w.i, CASE WHEN acc >= 180 THEN chunk + 1 ELSE chunk END, CASE WHEN acc >= 180 THEN w ELSE acc + w END FROM f JOIN w ON w.doc_id = f.doc_id AND w.i = f.i + 1
         ), c AS (SELECT doc_id, chunk, max(acc) AS words, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY i) FILTER (text <> ''), '') AS text FROM f JOIN w USING (doc_id, i) GROUP BY doc_id, chunk)
         SELECT * FROM c WHERE words >= 90 OR (chunk = 0 AND words > 0)""",
+    "conflict_delta": f"WITH {CONFLICTS} SELECT product_id, a, b, kind, rule, interim_default FROM conflicts",
+    "changes_stream": "SELECT user_id, event_type, event_id FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)",
+    "compacted_orders": "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "positioning_packs": """SELECT p_brand AS source_id, 'First words' AS positioning_statement, 'theme' AS kind, p_type AS name, count(*)::INTEGER AS n, md5('Packed as it ships|' || string_agg(p_name, '|' ORDER BY p_partkey)) AS digest FROM part GROUP BY ALL
         UNION ALL SELECT p_brand, 'First words', 'persona', 'Buyer ' || p_size, 2, md5('buyer; ' || min(p_name) || '|cost|' || max(p_type) || '|' || CASE WHEN p_size % 2 = 0 THEN 'unaware' ELSE 'problem-aware' END) FROM part GROUP BY p_brand, p_size""",
     "off_brand": r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\byour\b', 'the user''s', 'g'), '(?i)\byou\b', 'the user', 'g') AS third FROM documents),

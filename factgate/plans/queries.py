@@ -136,6 +136,13 @@ def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
     return registry.conflict_pairs(D.claims(spark, d), D.sources(spark, d))
 
 
+def conflict_delta(spark: SparkSession, d: str) -> DataFrame:
+    """The conflicts of all claims, found from an earlier build in which every ninth claim said something else and every eleventh was not there."""
+    claims, sources = D.claims(spark, d), D.sources(spark, d)
+    old = claims.where("num % 11 > 0").withColumn("text", F.when(F.col("num") % 9 == 0, F.concat(F.lit("Earlier "), "text")).otherwise(F.col("text")))
+    return registry.conflict_delta(registry.conflict_features(claims, sources), registry.conflict_features(old, sources), registry.conflict_pairs(old, sources))
+
+
 def page_tension(spark: SparkSession, d: str) -> DataFrame:
     c = conflict_pairs(spark, d).select(F.concat_ws("~", "a", "b").alias("id"), "kind", F.lit("open").alias("status"), F.array("a", "b").alias("claim_ids"))
     return gate.page_tension(D.units(spark, d), c, D.claims(spark, d)).drop("indexes")
@@ -546,6 +553,25 @@ def log_rollup(spark: SparkSession, d: str) -> DataFrame:
     return feeds.log_rollup(D.load(spark, d, "events"))
 
 
+def changes_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events at which a user turns to another type, by keyed state over a stream of the events files, run to the end."""
+    path = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(D.load(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    rows = stream.select(F.col("user_id").alias("source_id"), F.col("event_type").alias("sha256"), F.struct("ts", "event_id").alias("arrived_at"))
+    rows = rows.select("source_id", "sha256", F.concat_ws("/", F.date_format("arrived_at.ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("arrived_at.event_id").cast("string"), 20, "0")).alias("arrived_at"))
+    feeds.keyed_changes(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out").select(F.col("source_id").alias("user_id"), F.col("sha256").alias("event_type"), F.substring_index("arrived_at", "/", -1).cast("long").alias("event_id"))
+
+
+def compacted_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The last order of each customer, of a table that three merges have brought up to date."""
+    orders = D.load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    for n in range(3):
+        store.commit(spark, path, *store.merge(orders.where(F.col("o_orderkey") % 3 == n), path, ["o_custkey"], ["o_orderdate", "o_orderkey"]))
+    return store.compacted(spark, path, orders.schema)
+
+
 def audit_rollup_stream(spark: SparkSession, d: str) -> DataFrame:
     """The rollup as a stream over the events files, run to the end; its batch twin is log_rollup."""
     path = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
@@ -646,5 +672,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, gate_eval_pages, positioning_packs, repairs, affected,
     vocabulary, seed_set, off_brand, allowed_claims, citations_view, proof_links, search_blocks, budget_state, correction_notes, browse, seed_batches, leaked_names, token_estimate,
     gate_labels, gate_targets, discovered, kb_status, onboarding, blocks_by_reason, newest_drafts, auto_rounds, export_live, pending_extraction, claims_with_sources, unsupported_asks, relink_proofs, fact_check, pick_persona, golden_matches, reproducible, dq_sweep, column_constraints,
-    value_counts, phrases, links, html_blocks, markdown_blocks, draft_units, greedy_chunks, quality_dash, cost_dash, review_queue, coverage, gaps, section_alloc, dq_rules, log_rollup, audit_rollup_stream, rebuild_text,
+    value_counts, phrases, links, html_blocks, markdown_blocks, draft_units, greedy_chunks, quality_dash, cost_dash, review_queue, coverage, gaps, section_alloc, dq_rules, log_rollup, audit_rollup_stream, changes_stream, compacted_orders, conflict_delta, rebuild_text,
 )}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +29,48 @@ def current(versions: DataFrame) -> DataFrame:
     return latest(versions, ["workspace_id", "id"], ["updated_at", "seq"])
 
 
+#: Buckets of a compacted table: rows of its manifest, and the unit that a compaction rewrites.
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """The last committed version of a compacted table, and the folder of each bucket that has rows (BUCKETS at most)."""
+    try:
+        rows = spark.read.schema("version long, bucket int, folder string").parquet(f"{path}/manifest/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, {}
+    last = rows.groupBy("version").agg(F.collect_list(F.struct("bucket", "folder")).alias("m")).orderBy(F.desc("version")).first()
+    return (last["version"], {x["bucket"]: x["folder"] for x in last["m"]}) if last else (0, {})
+
+
+def compacted(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The latest version of each key, as of the last commit: one read of one folder a bucket, no aggregate over the history."""
+    folders = sorted(set(_manifest(spark, path)[1].values()))
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def merge(versions: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = BUCKETS) -> tuple[int, dict[int, str]]:
+    """Write the buckets that new versions touch anew, and return what to commit: (version, folders).  Until then readers see the old view."""
+    spark = versions.sparkSession
+    version, folders = _manifest(spark, path)
+    new = versions.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in new.select("__bucket").distinct().collect()]  # at most `buckets`
+    old = [folders[b] for b in touched if b in folders]
+    if old:
+        new = new.unionByName(spark.read.schema(versions.schema).parquet(*old).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    folder = f"{path}/data/{uuid.uuid4().hex}"
+    latest(new, [*keys, "__bucket"], order).repartition("__bucket").write.partitionBy("__bucket").parquet(folder)
+    return version + 1, folders | {b: f"{folder}/__bucket={b}" for b in touched}
+
+
+def commit(spark: SparkSession, path: str, version: int, folders: dict[int, str]) -> None:
+    """Make a merge the current view: one small file, renamed into place."""
+    rows = spark.createDataFrame([(version, b, f) for b, f in sorted(folders.items())], "version long, bucket int, folder string")
+    rows.coalesce(1).write.parquet(f"{path}/manifest/{version:012d}")
+
+
 def soft_delete(sources: DataFrame, ids: DataFrame) -> DataFrame:
     gone = ids.select(F.col("source_id"), F.lit(True).alias("__gone"))
     return sources.join(gone, "source_id", "left").withColumn("status", F.when(F.col("__gone"), "removed").otherwise(F.col("status"))).drop("__gone")

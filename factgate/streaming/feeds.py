@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..operators.gate import affected
@@ -44,6 +46,37 @@ def batch_changes(batch: DataFrame, current: DataFrame) -> DataFrame:
     return first.unionByName(rows.where("__before IS NOT NULL AND __before <> sha256").drop("__before"))
 
 
+def version_changes(versions: DataFrame) -> DataFrame:
+    """The versions (source_id, sha256, arrived_at, …) that change something, in order of arrival; a null digest says that the source is gone.
+
+    The first version of a source changes something unless it is gone; equal neighbours change nothing.
+    """
+    w = Window.partitionBy("source_id").orderBy("arrived_at", F.col("sha256").isNotNull(), "sha256")
+    return versions.withColumn("__before", F.lag("sha256").over(w)).where(~F.col("sha256").eqNullSafe(F.col("__before"))).drop("__before")
+
+
+def keyed_changes(stream: DataFrame) -> DataFrame:
+    """version_changes of a stream (source_id, sha256, arrived_at, …), with each source's last digest as keyed state.
+
+    No table is read: the state store holds one digest a source, survives restarts with the checkpoint, and a replayed
+    batch starts from the state before it.  Micro-batches arrive in order; rows of one are sorted here.  A source that is
+    gone keeps no state.
+    """
+
+    def changed(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts), ignore_index=True)
+        rows = rows.assign(__here=rows["sha256"].notna()).sort_values(["arrived_at", "__here", "sha256"], kind="stable").drop(columns="__here")
+        digests = [None if pd.isna(x) else x for x in rows["sha256"]]
+        before = [state.get[0] if state.exists else None, *digests[:-1]]
+        if digests[-1] is not None:
+            state.update((digests[-1],))
+        elif state.exists:
+            state.remove()
+        yield rows[[a != b for a, b in zip(digests, before)]]
+
+    return stream.groupBy("source_id").applyInPandasWithState(changed, stream.schema, "sha256 string", "append", GroupStateTimeout.NoTimeout)
+
+
 def change_feed(stream: DataFrame, current: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
     """A writer that hands each micro-batch's changes to `apply` with the batch's number, by which it can make replays idempotent."""
 

@@ -563,3 +563,49 @@ def test_chunks_by_pointers_equal_a_fold(spark):
     rows = [(i, 10 * at, t) for i, paragraphs in docs.items() for at, t in enumerate(paragraphs)]
     got = measures.greedy_chunks(spark.createDataFrame(rows, "doc_id long, pos int, text string")).collect()
     assert {(r.doc_id, r.chunk, r.words, r.text) for r in got} == want and len(got) == len(want)
+
+
+def test_keyed_changes_over_restarts_and_replays(spark, tmp_path):
+    schema = "source_id string, sha256 string, arrived_at timestamp"
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    batches = [[("a", "A", at(1)), ("a", "A", at(2)), ("b", "X", at(1))], [("a", "B", at(3)), ("a", "A", at(4)), ("b", "X", at(2))], [("a", "A", at(5)), ("b", None, at(3)), ("c", None, at(1))], [("b", "X", at(4)), ("a", "C", at(7)), ("a", "B", at(6))]]
+    run = lambda: feeds.keyed_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    for rows in batches:  # each run is a restart from the checkpoint
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    newest = sorted((tmp_path / "c" / "commits").glob("[0-9]*"), key=lambda f: int(f.name))[-1]
+    (newest.parent / f".{newest.name}.crc").unlink(missing_ok=True)
+    newest.unlink()  # the last batch was not committed: it is replayed, from the state before it
+    run()
+    every = spark.createDataFrame([r for b in batches for r in b], schema)
+    want = sorted(map(repr, feeds.version_changes(every).collect()))
+    assert sorted(map(repr, spark.read.schema(schema).parquet(str(tmp_path / "out")).collect())) == want and len(want) == 8
+
+
+def test_a_merge_that_is_not_committed_is_not_seen(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, v int, said string"
+    rows = lambda *x: spark.createDataFrame(x, schema)
+    view = lambda: {(r.k, r.said) for r in store.compacted(spark, path, schema).collect()}
+    assert view() == set()
+    store.commit(spark, path, *store.merge(rows(*((i, 1, "old") for i in range(50))), path, ["k"], ["v"], 8))
+    before = store._manifest(spark, path)
+    assert view() == {(i, "old") for i in range(50)}
+    pending = store.merge(rows((3, 2, "new"), (3, 0, "late"), (99, 1, "more")), path, ["k"], ["v"], 8)
+    assert view() == {(i, "old") for i in range(50)} and store._manifest(spark, path) == before
+    store.commit(spark, path, *pending)
+    assert view() == {(i, "old") for i in range(50) if i != 3} | {(3, "new"), (99, "more")}
+    assert sum(pending[1][b] != before[1].get(b) for b in pending[1]) <= 2  # other buckets stay as they are
+
+
+def test_conflict_delta_equals_a_full_run(spark):
+    rng = random.Random(6)
+    ends = ["supports up to {} seats", "never supports {} seats", "supports up to {} seats except on trial", "is in beta", "is generally available", "is retired"]
+    text = lambda: f"The {rng.choice(['amber', 'basil', 'cedar'])} {rng.choice(['export', 'billing', 'audit'])} module {rng.choice(ends).format(rng.randrange(1, 4))}"
+    old = [("P", i, f"c{i:03d}", text(), i % 3, "verified", "capability", "high") for i in range(60)]
+    new = [(*r[:3], text(), *r[4:]) if r[1] % 7 == 0 else (*r[:5], "deprecated", *r[6:]) if r[1] % 11 == 0 else r for r in old if r[1] % 13] + [("P", 60 + i, f"c{60 + i:03d}", text(), 1, "verified", "capability", "high") for i in range(5)]
+    schema = "product_id string, num int, id string, text string, source_id int, status string, category string, confidence string"
+    a, b = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    sources = spark.createDataFrame([(0, "living", "1", "x"), (1, "changelog", "2", "x"), (2, "other", "3", "x")], "source_id int, kind string, updated string, fetched_at string")
+    rows = lambda df: sorted(map(tuple, df.select("product_id", "a", "b", "kind", "rule", "interim_default").collect()), key=repr)
+    delta = registry.conflict_delta(registry.conflict_features(b, sources), registry.conflict_features(a, sources), registry.conflict_pairs(a, sources))
+    assert rows(delta) == rows(registry.conflict_pairs(b, sources)) != rows(registry.conflict_pairs(a, sources))
