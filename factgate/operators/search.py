@@ -14,6 +14,9 @@ from ..sources.shared import materialized
 #: Tokens of the query side of a join up to which it is broadcast (some 20 bytes each).
 BROADCAST_TOKENS = 2_000_000
 
+#: Tokens of a text that are compared in the time in which one posting is counted.
+COUNTED = 10
+
 #: Postings that are looked at for each wanted target before a query has its bound.
 PROBED = 8
 
@@ -36,27 +39,34 @@ def _rarest_first(queries: DataFrame, targets: DataFrame, by: Sequence[str]) ->
     return materialized(ranked)
 
 
-def _scored(looked_up: DataFrame, targets: DataFrame, by: Sequence[str], measure: str, spread: bool) -> DataFrame:
+def _scored(looked_up: DataFrame, targets: DataFrame, by: Sequence[str], measure: str, spread: bool, count: bool = False) -> DataFrame:
     """(by, query_id, target_id, shared, score, overlap) of targets that share a looked-up token and can reach the bound of the query, each once.
 
     looked_up: (by, query_id, n, q, bound, r, token).  A target of t_n tokens reaches the bound only with `need` tokens, so
-    it has one of the n - need + 1 rarest; the pair is scored at the rarest token that it shares.
+    it has one of the n - need + 1 rarest; the pair is scored at the rarest token that it shares.  With `count`, looked_up
+    has all tokens of the queries, and the common ones are counted instead, target by target, where its rows lie.
     """
     need = F.greatest(F.lit(1), F.ceil((F.col("bound") * F.sqrt(F.col("n") * F.col("t_n")) if measure == "score" else F.col("bound")) - 1e-9))
-    can = (need <= F.least("n", "t_n")) & (F.col("r") <= F.col("n") - need + 1)
     sized = targets.select(*by, "target_id", F.col("tokens").alias("t"), F.size("tokens").alias("t_n"))
-    sized = sized.repartition(*by, "target_id") if spread else sized
-    size = looked_up.agg(F.sum(F.size("q") + 4)).first()[0] or 0
-    if size <= BROADCAST_TOKENS:
-        hits = sized.withColumn("token", F.explode("t")).join(F.broadcast(looked_up), [*by, "token"]).where(can)
-    else:  # ids meet first, and texts only for the pairs that are left
-        pairs = sized.select(*by, "target_id", "t_n", F.explode("t").alias("token")).join(looked_up.drop("q"), [*by, "token"]).where(can)
-        texts = looked_up.select(*by, "query_id", "q").dropDuplicates([*by, "query_id"])
-        hits = pairs.join(sized.drop("t_n"), [*by, "target_id"]).join(texts, [*by, "query_id"])
-    both = F.array_intersect("q", "t")
-    once = hits.where(F.get(both, F.lit(0)) == F.col("token"))
-    shared = F.size(both)
-    return once.select(*by, "query_id", "target_id", shared.alias("shared"), (shared / (F.sqrt("n") * F.sqrt("t_n"))).alias("score"), (shared / F.col("n")).alias("overlap"))
+    sized = sized.repartition(*by, "target_id") if spread or count else sized
+    if count:
+        rows = looked_up.select(*by, "query_id", "n", "bound", "token")
+        hits = sized.select(*by, "target_id", "t_n", F.explode("t").alias("token")).join(F.broadcast(rows), [*by, "token"]).where(need <= F.least("n", "t_n"))
+        found = hits.groupBy(*by, "target_id", "query_id", "n", "t_n").agg(F.count(F.lit(1)).alias("shared"))
+    else:
+        can = (need <= F.least("n", "t_n")) & (F.col("r") <= F.col("n") - need + 1)
+        both = F.array_intersect("q", "t")
+        if (looked_up.agg(F.sum(F.size("q") + 4)).first()[0] or 0) <= BROADCAST_TOKENS:
+            hits = sized.withColumn("token", F.explode("t")).join(F.broadcast(looked_up), [*by, "token"]).where(can)
+            found = hits.where(F.get(both, F.lit(0)) == F.col("token"))
+        else:  # ids meet first, and texts only for the pairs that are left
+            pairs = sized.select(*by, "target_id", "t_n", F.explode("t").alias("token")).join(looked_up.drop("q"), [*by, "token"]).where(can)
+            texts = looked_up.select(*by, "query_id", "q").dropDuplicates([*by, "query_id"])
+            pairs = pairs.select(*by, "query_id", "target_id", "n", "t_n").distinct()
+            found = pairs.join(sized.drop("t_n"), [*by, "target_id"]).join(texts, [*by, "query_id"])
+        found = found.withColumn("shared", F.size(both).cast("long"))
+    shared = F.col("shared")
+    return found.select(*by, "query_id", "target_id", "shared", (shared / (F.sqrt("n") * F.sqrt("t_n"))).alias("score"), (shared / F.col("n")).alias("overlap"))
 
 
 def best_matches(queries: DataFrame, targets: DataFrame, k: int, by: Sequence[str] = (), measure: str = "score", spread: bool = False) -> DataFrame:
@@ -68,9 +78,11 @@ def best_matches(queries: DataFrame, targets: DataFrame, k: int, by: Sequence[st
 
     Exact and bounded: the rarest tokens of a query are looked up first, which gives k targets and so the least measure of
     its k best.  Only targets that can reach it are scored then: they share one of the query's rarest tokens, so those that
-    most targets have are never looked up.  spread: deal the targets to all tasks first, where they are few and queries many.
+    most targets have are not looked up.  Where texts are long and bounds weak, counting all common tokens of the targets whose
+    size can reach the bound is cheaper, and is done.  spread: deal the targets to all tasks first, where they are few and queries many.
     """
-    queries, targets = (x.select(*by, i, F.array_distinct("tokens").alias("tokens")) for x, i in ((queries, "query_id"), (targets, "target_id")))
+    # Both are read several times: texts are cut into tokens once.
+    queries, targets = (materialized(x.select(*by, i, F.array_distinct("tokens").alias("tokens"))) for x, i in ((queries, "query_id"), (targets, "target_id")))
     ranked = _rarest_first(queries.where("size(tokens) > 0"), targets, by)
     each = ranked.select(*by, "query_id", "n", "ranked", F.transform("ranked", lambda x: x["token"]).alias("q"))
 
@@ -85,8 +97,14 @@ def best_matches(queries: DataFrame, targets: DataFrame, k: int, by: Sequence[st
     bounded = each.join(bounds, [*by, "query_id"], "left").fillna(0.0, ["bound"])
     least = F.col("bound") * F.col("bound") * F.col("n") if measure == "score" else F.col("bound")  # a target has no fewer tokens than it shares
     last = F.col("n") - F.greatest(F.lit(1), F.ceil(least - 1e-9)) + 1
-    rows = looked_up(bounded, lambda x: (x["df"] > 0) & (x["r"] <= last))
-    best = _scored(rows, targets, by, measure, spread).where(F.col(measure) > 0)
+    rare = lambda x: (x["df"] > 0) & (x["r"] <= last)
+    # Postings that bounds leave, each to be compared with a text, against all postings, each to be counted.
+    total = lambda keep: F.sum(F.aggregate(F.filter("ranked", keep), F.lit(0).cast("long"), lambda a, x: a + x["df"]))
+    left, every, tokens = bounded.agg(total(rare), total(lambda x: x["df"] > 0), F.sum("n")).first()
+    width = targets.agg(F.avg(F.size("tokens"))).first()[0] or 0.0
+    count = (tokens or 0) <= BROADCAST_TOKENS and (left or 0) * (1 + width / COUNTED) > (every or 0)
+    rows = looked_up(bounded, (lambda x: x["df"] > 0) if count else rare)
+    best = _scored(rows, targets, by, measure, spread, count).where(F.col(measure) > 0)
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 3))
 
 
