@@ -215,6 +215,17 @@ def registry_overlap(sentences: DataFrame, claims: DataFrame, keys: Sequence[str
     return out.withColumns({"reg_n": F.coalesce("reg_n", F.lit(0)), "reg_ratio": F.coalesce("reg_ratio", F.lit(0.0))})
 
 
+def page_claims(sentences: DataFrame, claims: DataFrame, k: int = 3, product: str = "product_id") -> DataFrame:
+    """(item_id, claim_ids): the claims that a page (item_id, product, text) cites, if they exist, and the k verified ones nearest to each of its sentences."""
+    said_as = sentences.select("item_id", product, T.strip_tags(F.col("text")).alias("query_id"), T.tags_in(F.col("text")).alias("__ids"))
+    distinct = said_as.select(product, "query_id", F.col("query_id").alias("t")).distinct()
+    verified = claims.where("status = 'verified'").select(product, F.col("id").alias("target_id"), "text")
+    near = best_matches(token_arrays(distinct, "query_id", "t", (product,)), token_arrays(verified, "target_id", "text", (product,)), k, (product,), spread=True)
+    related = said_as.join(near, [product, "query_id"]).select("item_id", F.col("target_id").alias("id"))
+    named = said_as.select("item_id", F.explode("__ids").alias("id")).join(claims.select("id"), "id", "left_semi")
+    return related.unionByName(named.select("item_id", "id")).groupBy("item_id").agg(F.array_sort(F.collect_set("id")).alias("claim_ids"))
+
+
 def known_vocabulary(claims: DataFrame, product: str = "product_id") -> DataFrame:
     """(product, vocabulary): stems that at least two, but not many, of the product's claims have."""
     df = claims.select(product, "id", F.explode(T.stems_gate(F.col("text"))).alias("stem")).groupBy(product, "stem").agg(F.count(F.lit(1)).alias("n"))

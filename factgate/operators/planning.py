@@ -19,6 +19,12 @@ PROOF_CATEGORIES = ("metric", "compliance", "security", "customer-reference")
 ASKS = r"(?i)\b(certif|customer|logo|fastest|faster|only|first|guarantee|award|\d+%)"
 WANTS = {"hero": 1, "headline": 1, "subject": 0, "title": 1, "cta": 0, "ask": 0, "problem": 1, "opening": 1}
 WANTS_ELSE = 3
+FRAMEWORK = {"unaware": "PAS", "problem-aware": "PAS", "solution-aware": "BAB", "product-aware": "AIDA", "most-aware": "AIDA"}
+
+
+def framework(stage: Column) -> Column:
+    """The framework that copy for a stage follows; null for an unknown stage."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in FRAMEWORK.items() for x in pair)), stage)
 
 
 def citable(claims: DataFrame) -> DataFrame:

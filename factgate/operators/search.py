@@ -108,26 +108,6 @@ def best_matches(queries: DataFrame, targets: DataFrame, k: int, by: Sequence[st
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 3))
 
 
-def _few(queries: DataFrame) -> DataFrame:
-    """The queries, to be broadcast if their tokens are counted few."""
-    return F.broadcast(queries) if (queries.agg(F.sum(F.size("q") + 4)).first()[0] or 0) <= BROADCAST_TOKENS else queries
-
-
-def covered(queries: DataFrame, targets: DataFrame, least: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, query_id, target_id) of pairs where the target has at least `least` of the query's tokens; both are (by, id, tokens).
-
-    A target that has them has one of any n - ceil(least * n) + 1 of the n tokens: only the longest ones, which tend to be
-    rare, look for targets.
-    """
-    tokens = F.array_distinct("tokens")
-    q = queries.select(*by, "query_id", tokens.alias("q"))
-    rank = F.transform(F.array_sort(F.transform("q", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), lambda x: x["t"])
-    seeds = q.select(*by, "query_id", "q", F.explode(F.slice(rank, F.lit(1), F.size("q") - F.ceil(F.size("q") * least - 1e-9).cast("int") + 1)).alias("token")).where("size(q) > 0")
-    t = targets.select(*by, "target_id", tokens.alias("t")).select(*by, "target_id", "t", F.explode("t").alias("token"))
-    found = t.join(_few(seeds), [*by, "token"]).where(F.size(F.array_intersect("q", "t")) >= F.size("q") * least - 1e-9)
-    return found.select(*by, "query_id", "target_id").distinct()
-
-
 def _stems_covered(best: DataFrame, queries: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
     """best (by, query_id, target_id, …) with covered, the share of the query's stems that the target has; queries and targets: (by, id, text)."""
     texts = queries.select(*by, "query_id", F.col("text").alias("__q"))

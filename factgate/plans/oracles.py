@@ -217,6 +217,8 @@ ORACLES: dict[str, str] = {
     "conflict_delta": f"WITH {CONFLICTS} SELECT product_id, a, b, kind, rule, interim_default FROM conflicts",
     "changes_stream": "SELECT user_id, event_type, event_id FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)",
     "compacted_orders": "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "page_claims": f"""WITH {gate_sql.overlap(gate_sql.seeds(CLAIMS_SQL))}, near3 AS (SELECT product_id, plain, p.id FROM pairs p JOIN claims c USING (product_id, id) WHERE c.status = 'verified' QUALIFY row_number() OVER (PARTITION BY product_id, plain ORDER BY score DESC, p.id) <= 3),
+        u AS (SELECT item_id, near3.id FROM seeds JOIN near3 USING (product_id, plain) UNION SELECT item_id, item_id FROM seeds WHERE tagged) SELECT item_id, string_agg(id, ',' ORDER BY id) AS claim_ids FROM u GROUP BY item_id""",
     "positioning_packs": """SELECT p_brand AS source_id, 'First words' AS positioning_statement, 'theme' AS kind, p_type AS name, count(*)::INTEGER AS n, md5('Packed as it ships|' || string_agg(p_name, '|' ORDER BY p_partkey)) AS digest FROM part GROUP BY ALL
         UNION ALL SELECT p_brand, 'First words', 'persona', 'Buyer ' || p_size, 2, md5('buyer; ' || min(p_name) || '|cost|' || max(p_type) || '|' || CASE WHEN p_size % 2 = 0 THEN 'unaware' ELSE 'problem-aware' END) FROM part GROUP BY p_brand, p_size""",
     "off_brand": r"""WITH d AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)\byour\b', 'the user''s', 'g'), '(?i)\byou\b', 'the user', 'g') AS third FROM documents),

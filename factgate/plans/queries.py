@@ -301,6 +301,11 @@ def registry_overlap(spark: SparkSession, d: str) -> DataFrame:
     return gate.registry_overlap(_seeds(spark, d), D.claims(spark, d)).select("item_id", "index", "best_id", "reg_n", F.round("reg_ratio", 6).alias("reg_ratio"))
 
 
+def page_claims(spark: SparkSession, d: str) -> DataFrame:
+    """What the seeded sentences of each claim, as one page, cite or come near to."""
+    return gate.page_claims(_seeds(spark, d), D.claims(spark, d)).select("item_id", F.array_join("claim_ids", ",").alias("claim_ids"))
+
+
 def gate_eval_run(spark: SparkSession, d: str) -> DataFrame:
     """The gate's rates on seeded sentences of verified claims, as measured by its own verdicts."""
     v = _verified(spark, d).where("claim_status = 'verified'")
@@ -669,7 +674,7 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     gate_citations, category_mix, registry_stats, word_counts, sentence_split, tags, text_measure, style_scores, claim_extract, registry_build, registry_absent, id_allocation, ruling_fold, conflict_pairs, page_tension,
-    doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, gate_eval_pages, positioning_packs, repairs, affected,
+    doc_freq, topk_claims, unanswered, staleness, stale_sources, change_detection, latest_per_key, reflag, rollback_live, retention, adjacent_units, round_compare, auc, youden, gate_eval_score, verify_sentences, gate_report, registry_overlap, gate_eval_run, gate_eval_pages, page_claims, positioning_packs, repairs, affected,
     vocabulary, seed_set, off_brand, allowed_claims, citations_view, proof_links, search_blocks, budget_state, correction_notes, browse, seed_batches, leaked_names, token_estimate,
     gate_labels, gate_targets, discovered, kb_status, onboarding, blocks_by_reason, newest_drafts, auto_rounds, export_live, pending_extraction, claims_with_sources, unsupported_asks, relink_proofs, fact_check, pick_persona, golden_matches, reproducible, dq_sweep, column_constraints,
     value_counts, phrases, links, html_blocks, markdown_blocks, draft_units, greedy_chunks, quality_dash, cost_dash, review_queue, coverage, gaps, section_alloc, dq_rules, log_rollup, audit_rollup_stream, changes_stream, compacted_orders, conflict_delta, rebuild_text,

@@ -609,3 +609,9 @@ def test_conflict_delta_equals_a_full_run(spark):
     rows = lambda df: sorted(map(tuple, df.select("product_id", "a", "b", "kind", "rule", "interim_default").collect()), key=repr)
     delta = registry.conflict_delta(registry.conflict_features(b, sources), registry.conflict_features(a, sources), registry.conflict_pairs(a, sources))
     assert rows(delta) == rows(registry.conflict_pairs(b, sources)) != rows(registry.conflict_pairs(a, sources))
+
+
+def test_frameworks_and_kinds_of_sources(spark):
+    rows = spark.createDataFrame([("unaware", "Release notes 4", None), ("solution-aware", "Guide", " Changelog"), ("most-aware", "Launch brief", "other"), ("odd", "Guide", None), (None, None, None)], "stage string, name string, told string")
+    got = rows.select(planning.framework(F.col("stage")), parse.source_kind(F.col("name"), F.col("told"))).collect()
+    assert [tuple(r) for r in got] == [("PAS", "changelog"), ("BAB", "changelog"), ("AIDA", "brief"), (None, "living"), (None, "living")]
