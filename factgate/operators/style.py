@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicon as L
 from ..functions import text as T
 from .measures import auc, most_common, youden_threshold
+from .search import unanswered
 
 #: Words that overpromise, in profiles and in off-brand samples.
 HYPE = ("revolutionary", "game-changing", "cutting-edge", "best-in-class", "world-class", "seamless", "synergy", "leverage", "unparalleled", "disruptive", "next-generation", "robust")
@@ -184,7 +185,9 @@ def style_check(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def structure_audit(units: DataFrame, content_types: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    """(item_id, scores by criterion, score): structure, call to action, length, positioning and stage of drafts, and their mean.
+    """(item_id, scores by criterion, score, flags, passed): structure, call to action, length, positioning and stage of drafts, their mean, and what is wrong.
+
+    flags are (severity, issue, detail) in the order of the criteria; a draft passes without any high one.
 
     units: (item_id, content_type, index, kind, level, text); level 1 is the headline.  content_types: (content_type, required
     section names, min_words, max_words).  context: (item_id, stage, product_name, pains), pains null without a persona:
@@ -203,7 +206,8 @@ def structure_audit(units: DataFrame, content_types: DataFrame, context: DataFra
         context = per.select("item_id", F.lit(None).cast("string").alias("stage"), F.lit("").alias("product_name"), F.lit(None).cast("array<string>").alias("pains"))
     j = j.join(context, "item_id", "left")
     zero = lambda c: F.greatest(F.lit(0.0), c)
-    missing = F.size(F.filter(F.slice("required", F.lit(2), F.greatest(F.size("required"), F.lit(1))), lambda r: ~F.exists("titles", lambda t: F.contains(t, F.lower(r)))))
+    absent = F.filter(F.slice("required", F.lit(2), F.greatest(F.size("required"), F.lit(1))), lambda r: ~F.exists("titles", lambda t: F.contains(t, F.lower(r))))
+    missing = F.size(absent)
     email = F.col("content_type") == "email"
     structure = F.when(F.col("headlines") > 0, 1.0).otherwise(0.3) - F.when(email, 0.0).otherwise(0.15 * missing)
     cta = F.when(F.col("ctas") == 0, 0.0).when(F.col("cta_kinds") > 2, 0.7).otherwise(1.0)
@@ -215,7 +219,23 @@ def structure_audit(units: DataFrame, content_types: DataFrame, context: DataFra
     early = F.col("stage").isin("unaware", "problem-aware") & (F.col("product_name") != "") & F.contains("opening", F.lower("product_name")) & F.col("pains").isNull()
     stage = F.when(early, 0.5).otherwise(1.0)
     total = (structure + cta + length + positioning + stage) / 5
-    return j.select("item_id", zero(structure).alias("structure"), cta.alias("cta"), length.alias("length"), positioning.alias("positioning"), stage.alias("stage"), zero(F.round(total, 3)).alias("score"))
+    flag = lambda cond, severity, issue, detail=None: F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), (F.lit(None) if detail is None else detail).cast("string").alias("detail")))
+    flags = F.array_compact(F.array(
+        flag((F.col("headlines") == 0) & ~email, "high", "no-headline"), flag((missing > 0) & ~email, "low", "missing-sections", F.array_join(absent, ", ")), flag(F.col("ctas") == 0, "high", "no-call-to-action"),
+        flag(F.col("cta_kinds") > 2, "low", "several-calls-to-action"), flag(length < 1, "low", "length", F.col("words")), flag(F.col("pains").isNotNull() & (touched < 0.2), "low", "pains-untouched"), flag(F.coalesce(early, F.lit(False)), "low", "opens-with-product"),
+    ))
+    out = j.select("item_id", zero(structure).alias("structure"), cta.alias("cta"), length.alias("length"), positioning.alias("positioning"), stage.alias("stage"), zero(F.round(total, 3)).alias("score"), flags.alias("flags"))
+    return out.withColumn("passed", ~F.exists("flags", lambda f: f["severity"] == "high"))
+
+
+def open_objections(drafts: DataFrame, personas: DataFrame, claims: DataFrame) -> DataFrame:
+    """(item_id, objection, answerable) of objections that a draft has less than half the stems of: whether the product's best verified claim (product_id, id, text, status) has them."""
+    share = F.size(F.array_intersect(T.stems_gate(F.col("objection")), T.stems_gate(F.col("text")))) / F.greatest(F.lit(1), F.size(T.stems_gate(F.col("objection"))))
+    rows = drafts.join(personas.select("product_id", F.explode("objections").alias("objection")), "product_id").where(share < 0.5).select("item_id", "product_id", "objection")
+    asked = rows.select("product_id", F.col("objection").alias("query_id"), F.col("objection").alias("text")).distinct()
+    targets = claims.where("status = 'verified'").select("product_id", F.col("id").alias("target_id"), "text")
+    lost = unanswered(asked, targets, by=("product_id",)).select("product_id", F.col("query_id").alias("objection"), F.lit(False).alias("__answerable"))
+    return rows.join(lost, ["product_id", "objection"], "left").select("item_id", "objection", F.coalesce("__answerable", F.lit(True)).alias("answerable"))
 
 
 def reader_coverage(drafts: DataFrame, personas: DataFrame) -> DataFrame:

@@ -55,12 +55,19 @@ def test_structure_and_readers(spark):
     got = {r.item_id: r for r in style.structure_audit(units, types).collect()}
     assert (got[1].structure, got[1].cta, got[1].length, got[1].positioning, got[1].stage, got[1].score) == (1.0, 1.0, 1.0, 0.5, 1.0, 0.9)
     assert got[2].cta == 0.0 and abs(got[2].structure - 0.15) < 1e-9 and got[3].structure == 0.3
+    issues = {i: [(f.severity, f.issue, f.detail) for f in r.flags] for i, r in got.items()}
+    assert issues[1] == [] and issues[2] == [("high", "no-headline", None), ("low", "missing-sections", "benefits"), ("high", "no-call-to-action", None), ("low", "length", "2")]
+    assert {i: r.passed for i, r in got.items()} == {1: True, 2: False, 3: not any(f.severity == "high" for f in got[3].flags)}
     context = spark.createDataFrame([(1, "aware", "Lantern", ["demo booked late"]), (3, "unaware", "Lantern", None)], "item_id int, stage string, product_name string, pains array<string>")
     told = {r.item_id: r for r in style.structure_audit(units, types, context).collect()}
     assert told[1].positioning == 1.0 and told[3].stage == 0.5 and told[2].stage == 1.0
+    assert [f.issue for f in told[3].flags if f.issue == "opens-with-product"] == ["opens-with-product"]
     drafts = spark.createDataFrame([(1, "P", "Fast setup and clear pricing for security reviews."), (2, "P", "Hello."), (3, "P", "Fast setup.")], "item_id int, product_id string, text string")
     personas = spark.createDataFrame([("P", ["fast setup", "clear pricing"], ["security reviews"])], "product_id string, priorities array<string>, objections array<string>")
     assert {r.item_id: r.verdict for r in style.reader_coverage(drafts, personas).collect()} == {1: "yes", 2: "no", 3: "maybe"}
+    claims = spark.createDataFrame([("P", "c1", "Security reviews run yearly", "verified"), ("P", "c2", "Security audits", "deprecated"), ("Q", "c3", "Security reviews", "verified")], "product_id string, id string, text string, status string")
+    more = personas.withColumn("objections", F.array(F.lit("security reviews"), F.lit("hidden onboarding fees")))
+    assert {tuple(r) for r in style.open_objections(drafts, more, claims).collect()} == {(1, "hidden onboarding fees", False), (2, "security reviews", True), (2, "hidden onboarding fees", False), (3, "security reviews", True), (3, "hidden onboarding fees", False)}
 
 
 def test_seeds_are_bounded_and_repeatable(spark):
