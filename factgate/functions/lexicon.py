@@ -87,3 +87,7 @@ SAMPLE_CONDITION = (
 )
 SAMPLE_VERB = r"^(\S+(?:\s\S+)?)\s(is|are|can|supports?|provides?|lets?|keeps?|sends?|stores?)\b"
 GRAFTED_VERB = r"^.*?\b(is|are|can|supports?|provides?|lets?|sends?|stores?|keeps?|includes?)\b"
+#: Decisions that ban words, name the product and leave topics out; fixed values.
+BANNED_DECISION = r"(?i)^(?:never|do not|don't) use (?:the )?(?:word|term|phrase)s?\s+(.+?)(?: in [\w\s-]+)?\.?$"
+NAMING_DECISION = r"(?i)^always call it\s+(.+?),\s*never\s+(.+?)\.?$"
+TOPIC_DECISION = r"(?i)^deprioriti[sz]e\s+(?:the\s+)?(.+?)(?:\s+(?:deployment|option|model|feature))?(?:\s+in copy)?\.?$"

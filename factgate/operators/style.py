@@ -36,10 +36,10 @@ def guardrails(decisions: DataFrame) -> DataFrame:
     """
     s = decisions.select("product_id", F.col("id").alias("decision_id"), F.posexplode(F.filter(F.split(F.trim("text"), r"(?<=[.!])\s+"), lambda x: x != "")).alias("pos", "s"))
     part = lambda pattern, group=1: F.regexp_extract("s", pattern, group)
-    banned = part(r"(?i)^(?:never|do not|don't) use (?:the )?(?:word|term|phrase)s?\s+(.+?)(?: in [\w\s-]+)?\.?$")
-    naming = r"(?i)^always call it\s+(.+?),\s*never\s+(.+?)\.?$"
+    banned = part(L.BANNED_DECISION)
+    naming = L.NAMING_DECISION
     keep, drop = F.trim(F.translate(part(naming), "'\"", "")), F.transform(_terms(part(naming, 2), r",| or "), lambda x: F.trim(F.regexp_replace(x, r"(?i)^(just|only)\s+", "")))
-    topic = F.trim(F.translate(part(r"(?i)^deprioriti[sz]e\s+(?:the\s+)?(.+?)(?:\s+(?:deployment|option|model|feature))?(?:\s+in copy)?\.?$"), ".", ""))
+    topic = F.trim(F.translate(part(L.TOPIC_DECISION), ".", ""))
     listed = lambda terms: F.array_join(F.transform(terms, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
     none = F.array().cast("array<string>")
     banned_terms = _terms(banned, r",\s*|\s+or\s+|\s+and\s+")
@@ -64,6 +64,30 @@ def term_lists(rules: DataFrame) -> DataFrame:
     )
 
 
+def apply_rules(profiles: DataFrame, rules: DataFrame) -> DataFrame:
+    """profiles (product_id, product_name, status, banned, preferred, forbidden, variants, derived, issues) after the guardrails (product_id, decision_id, pos, type, terms, rule).
+
+    Banned words and names to avoid are those of the profile and of the rules, sorted; a preferred word that is banned in any
+    case, and a variant that is to be avoided, go.  derived gains each (decision_id, rule) of those types that it lacks, in
+    order.  A product name that is to be avoided is an issue, and a profile with issues is a draft.
+    """
+    mine = rules.where(F.col("type").isin("banned-term", "naming"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("decision_id", "pos", "rule"))), lambda x: F.struct(x["decision_id"].alias("decision_id"), x["rule"].alias("rule")))
+    of = lambda kind, terms: F.flatten(F.collect_list(F.when(F.col("type") == kind, F.expr(terms))))
+    told = mine.groupBy("product_id").agg(of("banned-term", "terms").alias("__banned"), of("naming", "slice(terms, 2, greatest(size(terms) - 1, 0))").alias("__avoid"), F.array_distinct(listed).alias("__rules"))
+    j = profiles.join(told, "product_id", "left")
+    none = F.array().cast("array<string>")
+    both = lambda own, more: F.array_sort(F.array_union(own, F.coalesce(more, none)))
+    j = j.withColumns({"banned": both("banned", F.col("__banned")), "forbidden": both("forbidden", F.col("__avoid")), "derived": F.array_union("derived", F.coalesce("__rules", F.array().cast("array<struct<decision_id:string,rule:string>>")))})
+    low = F.transform("banned", lambda b: F.lower(b))
+    clash = F.array_contains("forbidden", F.col("product_name"))
+    j = j.withColumns({
+        "preferred": F.filter("preferred", lambda w: ~F.array_contains(low, F.lower(w))), "variants": F.array_except("variants", "forbidden"),
+        "issues": F.when(F.coalesce(clash, F.lit(False)), F.concat("issues", F.array(F.lit("product-name-forbidden")))).otherwise(F.col("issues")),
+    })
+    return j.withColumn("status", F.when(F.size("issues") > 0, "draft").otherwise(F.col("status"))).select(*profiles.columns)
+
+
 def has_term(text: Column, term: Column) -> Column:
     return F.rlike(F.lower(text), F.concat(F.lit(r"\b\Q"), F.lower(term), F.lit(r"\E\b")))
 

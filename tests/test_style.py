@@ -93,3 +93,15 @@ def test_variants_and_heading_case(spark):
     assert [(r.variant, r.n) for r in v] == [("See Acme Cloud", 4)]
     one = lambda t: spark.createDataFrame([(t,)], "t array<string>").select(style.heading_case(F.col("t")).alias("x")).first()["x"]
     assert one(["Why Teams Choose Lantern"]) == "title" and one(["Why teams choose lantern"]) == "sentence" and one([]) == "sentence"
+
+
+def test_rules_change_profiles(spark):
+    schema = "product_id string, product_name string, status string, banned array<string>, preferred array<string>, forbidden array<string>, variants array<string>, derived array<struct<decision_id:string,rule:string>>, issues array<string>"
+    profiles = spark.createDataFrame([("P", "Lantern", "active", ["synergy"], ["Robust", "calm", "synergy"], ["Lamp"], ["Lantern App", "Light", "Lamp"], [("d1", "Do not use 'robust' in copy.")], []), ("Q", "Moth", "active", [], ["calm"], [], ["Moth"], [], []), ("R", "Owl", "active", [], [], [], [], [], ["odd"])], schema)
+    decisions = spark.createDataFrame([("P", "d1", "Never use the words 'robust', 'agile'."), ("P", "d2", "Always call it Lantern, never Light."), ("Q", "d3", "Always call it Bat, never Moth. Deprioritize the on-prem option.")], "product_id string, id string, text string")
+    got = {r.product_id: r for r in style.apply_rules(profiles, style.guardrails(decisions)).collect()}
+    p, q = got["P"], got["Q"]
+    assert (p.banned, p.preferred, p.forbidden, p.variants, p.status) == (["agile", "robust", "synergy"], ["calm"], ["Lamp", "Light"], ["Lantern App"], "active")
+    assert [d.decision_id for d in p.derived] == ["d1", "d1", "d2"] and p.derived[0].rule != p.derived[1].rule
+    assert (q.forbidden, q.variants, q.issues, q.status) == (["Moth"], [], ["product-name-forbidden"], "draft") and [d.decision_id for d in q.derived] == ["d3"]
+    assert got["R"].status == "draft" and got["R"].derived == []
