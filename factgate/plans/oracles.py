@@ -44,7 +44,7 @@ def _split(passes: int) -> str:
 
 _SPLIT, _SPLIT_ALL = _split(1), _split(2)
 SENTENCES, SENTENCES_ALL = (f"sentences AS (SELECT doc_id, source, {x} AS s FROM documents)" for x in (_SPLIT, _SPLIT_ALL))
-MEASURED = rf"""{SENTENCES}, one AS (SELECT source, unnest(s) AS t FROM sentences), w AS (
+MEASURED = rf"""{SENTENCES_ALL}, one AS (SELECT source, unnest(s) AS t FROM sentences), w AS (
   SELECT source, len(regexp_extract_all(t, {_q(L.WORD)}))::BIGINT AS w, ends_with(t, '?') AS q, ends_with(t, '!') AS x, regexp_matches(t, '(?i)\b(you|your|yours)\b') AS y FROM one
 ), measured AS (
   SELECT source, count(*) AS sentences, sum(w)::BIGINT AS words, sum(w)::DOUBLE / count(*) AS mean_words,
