@@ -207,7 +207,7 @@ ORACLES: dict[str, str] = {
     "log_rollup": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     "audit_rollup_stream": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL",
     "markdown_blocks": parse_sql.MARKDOWN,
-    "draft_units": parse_sql.draft_units(_SPLIT, _strip_tags("said")),
+    "draft_units": parse_sql.draft_units(_SPLIT_ALL, _strip_tags("said")),
     "html_blocks": parse_sql.HTML,
     "rebuild_text": "SELECT doc_id AS source_id, md5(text) AS digest FROM documents",
     "vocabulary": f"""WITH w AS (SELECT source, doc_id, unnest({_tokens('text')}) AS word FROM documents), c AS (
