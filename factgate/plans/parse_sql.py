@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from ..functions import text as T
 from ..sources import parse
 from .sql_text import q as _q
@@ -76,8 +78,11 @@ SELECT key AS item_id, (row_number() OVER (PARTITION BY key ORDER BY pos, part)
 
 _NAMES = ", ".join(map(_q, (*parse.HEADS, *parse.BLOCKS)))
 _SKIPS = ", ".join(map(_q, parse.SKIPPED))
-#: The entities that the driver's pages hold; the operator knows all.
-_PLAIN = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+#: All entities that the operator decodes; names end with their semicolon if they have one.
+_ENTITIES = "(VALUES " + ", ".join(f"({_q('&' + name)}, {_q(chars)})" for name, chars in json.loads(parse._ENTITIES).items()) + ") AS entities(name, chars)"
+_DIGITS = "ltrim(regexp_replace(e, '[&#xX;]', '', 'g'), '0')"
+_CODE = f"CASE WHEN length({_DIGITS}) BETWEEN 1 AND 7 THEN CASE WHEN regexp_matches(e, '^&#[xX]') THEN ('0x' || {_DIGITS})::BIGINT ELSE {_DIGITS}::BIGINT END ELSE 0 END"
+_CHAR = "CASE WHEN code <= 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(code::INT) END"
 HTML = rf"""WITH m AS (SELECT page_id AS key, regexp_extract_all(html, {_q(parse.MARKUP)}) AS m FROM pages), t AS (SELECT key, unnest(m) AS token, generate_subscripts(m, 1) AS pos FROM m),
 n AS (SELECT *, starts_with(token, '</') AS closes, regexp_matches(token, '(?is)^<(script|style)\b.*</|/>$') AS whole,
         CASE WHEN starts_with(token, '<') AND length(token) > 1 THEN lower(regexp_extract(token, '^</?([A-Za-z][^\s/>]*)', 1)) END AS name FROM t),
@@ -88,5 +93,8 @@ e AS (SELECT *, sum(flush::INT) OVER w AS run, CASE WHEN flush THEN CASE WHEN re
 k AS (SELECT *, depth > least(0, min(depth) OVER (PARTITION BY key ORDER BY pos)) AS skipped FROM e),
 r AS (SELECT key, min(pos) AS pos, coalesce(max(opened), 0) AS level, coalesce(string_agg(token, '' ORDER BY pos) FILTER (name IS NULL AND NOT in_title AND NOT skipped), '') AS raw FROM k GROUP BY key, run),
 g AS (SELECT key, coalesce(string_agg(token, '' ORDER BY pos) FILTER (name IS NULL AND in_title), '') AS title FROM k GROUP BY key),
-b AS (SELECT key, pos, level, {_single(_PLAIN.format('raw'))} AS text, {_strip(_PLAIN.format('title'))} AS title FROM r JOIN g USING (key)), x AS (SELECT * FROM b WHERE text <> '')
+d AS (SELECT key, pos, unnest(regexp_extract_all(raw, {_q(parse.ENTITY)})) AS e, generate_subscripts(regexp_extract_all(raw, {_q(parse.ENTITY)}), 1) AS i FROM (SELECT key, pos, raw FROM r UNION ALL SELECT key, -1, title FROM g)),
+c AS (SELECT *, CASE WHEN starts_with(e, '&#') AND length(e) > 2 THEN {_CODE} END AS code FROM d),
+u AS (SELECT key, pos, string_agg(CASE WHEN code IS NOT NULL THEN {_CHAR} ELSE coalesce(chars, e) END, '' ORDER BY i) AS said FROM c LEFT JOIN {_ENTITIES} ON e = name GROUP BY key, pos),
+b AS (SELECT key, r.pos, level, {_single("coalesce(u.said, '')")} AS text, {_strip("coalesce(h.said, '')")} AS title FROM r LEFT JOIN u USING (key, pos) LEFT JOIN (SELECT key, said FROM u WHERE pos = -1) h USING (key)), x AS (SELECT * FROM b WHERE text <> '')
 SELECT key AS page_id, block_pos, level, title, path, text FROM ({_located('x', ', title')})"""
