@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..sources.shared import materialized
 from .search import best_matches, token_arrays
 from .style import has_term
 
@@ -75,14 +76,15 @@ def unsupported_asks(briefs: DataFrame, claims: DataFrame, least: float = 0.5) -
     """(brief_id, pos, need): sentences of briefs (brief_id, product_id, notes) that ask for facts of which the nearest verified claim has less than `least` of the stems."""
     s = briefs.select("brief_id", "product_id", F.posexplode(F.split("notes", r"(?<=[.;])\s+")).alias("pos", "need")).withColumn("need", F.trim("need"))
     s = s.where((F.col("need") != "") & F.col("need").rlike(ASKS))
-    key = F.concat_ws("~", "brief_id", "pos")
-    q = token_arrays(s.select("product_id", key.alias("query_id"), F.col("need").alias("t")), "query_id", "t", ("product_id",))
-    verified = claims.where("status = 'verified'")
-    best = best_matches(q, token_arrays(verified.withColumnRenamed("id", "target_id"), "target_id", "text", ("product_id",)), 1, ("product_id",), spread=True)
-    best = best.join(verified.select("product_id", F.col("id").alias("target_id"), F.col("text").alias("__c")), ["product_id", "target_id"]).select("query_id", "__c")
+    asked = materialized(s.select("product_id", "need").distinct())  # equal asks are matched once
+    q = token_arrays(asked.select("product_id", F.col("need").alias("query_id"), F.col("need").alias("t")), "query_id", "t", ("product_id",))
+    verified = claims.where("status = 'verified'").groupBy("product_id", "text").agg(F.min("id").alias("target_id"))
+    best = best_matches(q, token_arrays(verified, "target_id", "text", ("product_id",)), 1, ("product_id",), spread=True)
+    best = best.join(verified.select("product_id", "target_id", F.col("text").alias("__c")), ["product_id", "target_id"]).select("product_id", F.col("query_id").alias("need"), "__c")
     own = T.stems_gate(F.col("need"))
     near = F.size(F.array_intersect(own, T.stems_gate(F.coalesce("__c", F.lit(""))))) / F.greatest(F.lit(1), F.size(own))
-    return s.withColumn("query_id", key).join(best, "query_id", "left").where(F.col("__c").isNull() | (near < least)).select("brief_id", "pos", "need")
+    lacking = asked.join(best, ["product_id", "need"], "left").where(F.col("__c").isNull() | (near < least)).select("product_id", "need")
+    return s.join(lacking, ["product_id", "need"]).select("brief_id", "pos", "need")
 
 
 def proof_gaps(proofs: DataFrame, objections: DataFrame, asks: DataFrame) -> DataFrame:
@@ -111,17 +113,19 @@ def pick_persona(briefs: DataFrame, personas: DataFrame) -> DataFrame:
 def fact_check(aids: DataFrame, products: DataFrame, claims: DataFrame, least: float = 0.6) -> DataFrame:
     """(aid_id, product_id, pos, sentence, issue, claim_id) of sentences in a product's reference texts (aid_id, product_id, text) that name it (product_id, name) and say what its verified claims lack, or negate."""
     names = products.select("product_id", F.array_union(F.array(F.lower("name")), F.filter(F.split(F.lower("name"), r"\s+"), lambda w: F.length(w) > 3)).alias("__names"))
-    s = aids.join(names, "product_id").select("aid_id", "product_id", "__names", F.posexplode(T.split_sentences(F.regexp_replace("text", "[#*`>-]", " "))).alias("pos", "sentence"))
+    texts = aids.select("product_id", "text").distinct()  # equal texts are read, and equal sentences matched, once
+    s = texts.join(names, "product_id").select("product_id", "text", "__names", F.posexplode(T.split_sentences(F.regexp_replace("text", "[#*`>-]", " "))).alias("pos", "sentence"))
     s = s.where((F.size(F.split("sentence", r"\s+")) >= 5) & F.exists("__names", lambda n: F.contains(F.lower("sentence"), n))).drop("__names")
-    by, key = ("product_id",), F.concat_ws("~", "aid_id", "pos")
-    q = token_arrays(s.select(*by, key.alias("query_id"), F.col("sentence").alias("t")), "query_id", "t", by)
-    verified = claims.where("status = 'verified'")
-    best = best_matches(q, token_arrays(verified.withColumnRenamed("id", "target_id"), "target_id", "text", by), 1, by, "shared", spread=True)
-    best = best.join(verified.select(*by, F.col("id").alias("target_id"), F.col("text").alias("__c")), [*by, "target_id"]).select(*by, "query_id", "overlap", F.col("target_id").alias("claim_id"), "__c")
-    j = s.withColumn("query_id", key).join(best, [*by, "query_id"], "left")
+    by, s = ("product_id",), materialized(s)
+    said = s.select(*by, F.col("sentence").alias("query_id"), F.col("sentence").alias("t")).distinct()
+    verified = claims.where("status = 'verified'").groupBy(*by, "text").agg(F.min("id").alias("target_id"))
+    best = best_matches(token_arrays(said, "query_id", "t", by), token_arrays(verified, "target_id", "text", by), 1, by, "shared", spread=True)
+    best = best.join(verified.select(*by, "target_id", F.col("text").alias("__c")), [*by, "target_id"]).select(*by, F.col("query_id").alias("sentence"), "overlap", F.col("target_id").alias("claim_id"), "__c")
+    j = s.join(best, [*by, "sentence"], "left")
     negates = F.col("sentence").rlike(L.REGISTRY_NEGATION) != F.col("__c").rlike(L.REGISTRY_NEGATION)
     issue = F.when(F.coalesce("overlap", F.lit(0.0)) < least, "not-in-registry").when(negates, "contradicts")
-    return j.withColumn("issue", issue).where("issue IS NOT NULL").select("aid_id", "product_id", "pos", "sentence", "issue", F.when(F.col("issue") == "contradicts", F.col("claim_id")).alias("claim_id"))
+    j = j.withColumn("issue", issue).where("issue IS NOT NULL").select(*by, "text", "pos", "sentence", "issue", F.when(F.col("issue") == "contradicts", F.col("claim_id")).alias("claim_id"))
+    return aids.join(j, [*by, "text"]).select("aid_id", *by, "pos", "sentence", "issue", "claim_id")
 
 
 def reproducible(evidence: DataFrame, responses: DataFrame) -> DataFrame:
