@@ -1,6 +1,7 @@
 """Copies of a text are worked on once, and get what each of them would get alone."""
 
-from factgate.operators import search
+from factgate.operators import planning, search
+from factgate.plans import queries
 
 
 def test_copies_are_matched_once(spark, monkeypatch):
@@ -22,3 +23,19 @@ def test_copies_are_matched_once(spark, monkeypatch):
         for rank, (_, i, n) in enumerate([x for x in sorted((round(s, 9), i, n) for s, i, n in scored) if x[2]][:12], 1):
             want[q, rank] = (i, n)
     assert got == want and seen == [(4, 3)]
+
+
+def test_briefs_with_one_ask_are_allocated_once(spark, monkeypatch, tmp_path):
+    import duckdb
+    import oracle
+
+    c = oracle.connect()
+    sizes = []
+    inner = planning.allocate_sections
+    monkeypatch.setattr(planning, "allocate_sections", lambda rows, *more: sizes.append(rows.select("brief_id").distinct().count()) or inner(rows, *more))
+    for t in ("part", "region"):
+        c.sql(f"SELECT * FROM {t}").write_parquet(f"{tmp_path}/{t}.parquet")
+    c.sql("SELECT * REPLACE ((c_custkey + r.i * 25 * 101)::BIGINT AS c_custkey) FROM customer, range(3) r(i) WHERE c_custkey < 100").write_parquet(f"{tmp_path}/customer.parquet")
+    rows = queries.section_alloc(spark, str(tmp_path)).select("brief_id").distinct().count()
+    asks = duckdb.sql(f"SELECT count(DISTINCT (c_custkey % 25, c_custkey % 101)) FROM '{tmp_path}/customer.parquet'").fetchall()[0][0]
+    assert sizes and sizes[0] <= asks and rows > sizes[0]
