@@ -1,6 +1,6 @@
 """Copies of a text are worked on once, and get what each of them would get alone."""
 
-from factgate.operators import planning, search
+from factgate.operators import planning, registry, search
 from factgate.plans import queries
 
 
@@ -39,3 +39,23 @@ def test_briefs_with_one_ask_are_allocated_once(spark, monkeypatch, tmp_path):
     rows = queries.section_alloc(spark, str(tmp_path)).select("brief_id").distinct().count()
     asks = duckdb.sql(f"SELECT count(DISTINCT (c_custkey % 25, c_custkey % 101)) FROM '{tmp_path}/customer.parquet'").fetchall()[0][0]
     assert sizes and sizes[0] <= asks and rows > sizes[0]
+
+
+def test_conflicts_of_copies_are_judged_once(spark, monkeypatch, tmp_path):
+    import duckdb
+    import oracle
+    from factgate.plans.oracles import ORACLES
+
+    c = oracle.connect()
+    for t in ("part", "region"):
+        copies = "SELECT * REPLACE ((p_partkey + r.i * 100000)::BIGINT AS p_partkey) FROM part, range(4) r(i)" if t == "part" else "SELECT * FROM region"
+        c.sql(copies).write_parquet(f"{tmp_path}/{t}.parquet")
+    own = duckdb.connect()
+    for t in ("part", "region"):
+        own.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    looked, inner = [], registry._candidates
+    monkeypatch.setattr(registry, "_candidates", lambda feats, among=None: looked.append((feats.count(), feats.select("product_id", "text", "src", "age").distinct().count())) or inner(feats, among))
+    for name in ("conflict_pairs", "conflict_delta"):
+        got, want = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), own.sql(ORACLES[name]).df()
+        assert len(got) and oracle.rows(got) == oracle.rows(want[list(got.columns)])
+    assert looked and all(n == distinct for n, distinct in looked)
