@@ -1,6 +1,8 @@
 """Copies of a text are worked on once, and get what each of them would get alone."""
 
-from factgate.operators import planning, registry, search
+from pyspark.sql import functions as F
+
+from factgate.operators import gate, planning, registry, search
 from factgate.plans import queries
 
 
@@ -59,3 +61,26 @@ def test_conflicts_of_copies_are_judged_once(spark, monkeypatch, tmp_path):
         got, want = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), own.sql(ORACLES[name]).df()
         assert len(got) and oracle.rows(got) == oracle.rows(want[list(got.columns)])
     assert looked and all(n == distinct for n, distinct in looked)
+
+
+def test_matching_is_dealt_and_keeps_to_its_bound(spark):
+    target = spark.createDataFrame([("p", i, ["red", f"w{i}"]) for i in range(40)], "p string, target_id long, tokens array<string>")
+    asked = [("p", 1, 2, ["w1", "red"], bound, r, token) for r, token, bound in ((1, "w1", 1.0), (2, "red", 0.0))]
+    looked = spark.createDataFrame(asked, "p string, query_id long, n int, q array<string>, bound double, r int, token string")
+    tight = search._scored(looked.where("bound = 1"), target, ("p",), "score", True)
+    assert [(r.target_id, round(r.score, 9)) for r in tight.collect()] == [(1, 1.0)]
+    counted = search._scored(looked.where("r = 2").withColumn("bound", F.lit(0.9)), target, ("p",), "score", True, count=True)
+    assert counted.count() == 0  # one of two tokens is 0.5
+    dealt = search._scored(looked.where("bound = 0"), target, ("p",), "score", True)
+    assert dealt.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_sentences_of_copies_are_judged_once(spark, monkeypatch):
+    of = spark.createDataFrame
+    claims = of([(f"PT-10{i}", "p", "verified", "Widget supports up to 5 units.") for i in range(9)], "id string, product_id string, status string, text string")
+    said = [(i, 0, "p", f"Widget supports up to {5 if i % 3 else 7} units. [[PT-10{i}]]", "sentence") for i in range(9)]
+    near = gate.registry_overlap(of(said, "item_id long, index int, product_id string, text string, kind string"), claims)
+    sizes, inner = [], gate._cases
+    monkeypatch.setattr(gate, "_cases", lambda rows: sizes.append(inner(rows).count()) or inner(rows))
+    got = {r.item_id: (r.verdict, r.reason) for r in gate.verify(near, claims, vocabulary=gate.known_vocabulary(claims)).collect()}
+    assert got == {i: ("pass", None) if i % 3 else ("block", "contradicted") for i in range(9)} and sizes == [2]
