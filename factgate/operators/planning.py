@@ -138,11 +138,17 @@ def reproducible(evidence: DataFrame, responses: DataFrame) -> DataFrame:
     return asked.join(n, ["source_id", "__f", "__v"], "left").join(all_, "source_id", "left").where(same).select(*evidence.columns)
 
 
+def _quotable(claims: DataFrame) -> DataFrame:
+    """(product_id, c, best): of claims that say the same c, the one that is found for a quote: a verified one first, then in order."""
+    said = F.lower(T.norm_ws(F.col("text")))
+    return claims.groupBy("product_id", said.alias("c")).agg(F.min(F.struct((F.col("status") != "verified").alias("other"), "pos", "id")).alias("best"))
+
+
 def golden_matches(golden: DataFrame, claims: DataFrame, share: float = 0.6) -> DataFrame:
     """golden (product_id, quote) with claim_id: a claim (product_id, pos, id, text, status) whose text equals the quote, holds it, or is held by it and longer than `share` of it; verified ones first, then in order.
 
     Candidates share the longest inner word of the shorter text, which stands whole in a text that holds it; texts of up
-    to two words have none and are looked for in all texts of the product.
+    to two words have none and are looked for in all texts of the product.  Quotes and claims that say the same meet once.
     """
     norm = lambda c: F.lower(T.norm_ws(F.col(c)))
     words = lambda c: F.array_union(F.array_distinct(F.split(c, " ")), F.array(F.lit("")))
@@ -152,11 +158,12 @@ def golden_matches(golden: DataFrame, claims: DataFrame, share: float = 0.6) ->
         inner = F.when(F.size(w) > 2, F.slice(w, F.lit(2), F.size(w) - 2))
         return F.coalesce(F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("l"), x.alias("w"))))["w"], F.lit(""))
 
-    g = golden.select("product_id", "quote", norm("quote").alias("g")).distinct()
-    c = claims.select("product_id", "pos", "id", "status", norm("text").alias("c"))
+    asked = golden.withColumn("g", F.when(F.col("quote").isNotNull(), norm("quote")))
+    g = asked.where("g IS NOT NULL").select("product_id", "g").distinct()
+    c = materialized(_quotable(claims))
     by = ["product_id", "w"]
     inside = g.withColumn("w", longest(F.col("g"))).join(c.withColumn("w", F.explode(words(F.col("c")))), by).where(F.contains("c", F.col("g")))
     around = g.withColumn("w", F.explode(words(F.col("g")))).join(c.withColumn("w", longest(F.col("c"))), by).where(F.contains("g", F.col("c")) & (F.length("c") > share * F.length("g")))
-    found = inside.select("product_id", "quote", "pos", "id", "status").unionByName(around.select("product_id", "quote", "pos", "id", "status"))
-    best = found.groupBy("product_id", "quote").agg(F.min_by("id", F.struct(F.col("status") != "verified", "pos")).alias("claim_id"))
-    return golden.join(best, ["product_id", "quote"], "left")
+    found = inside.select("product_id", "g", "best").unionByName(around.select("product_id", "g", "best"))
+    best = found.groupBy("product_id", "g").agg(F.min("best")["id"].alias("claim_id"))
+    return asked.join(best, ["product_id", "g"], "left").drop("g")

@@ -84,3 +84,12 @@ def test_sentences_of_copies_are_judged_once(spark, monkeypatch):
     monkeypatch.setattr(gate, "_cases", lambda rows: sizes.append(inner(rows).count()) or inner(rows))
     got = {r.item_id: (r.verdict, r.reason) for r in gate.verify(near, claims, vocabulary=gate.known_vocabulary(claims)).collect()}
     assert got == {i: ("pass", None) if i % 3 else ("block", "contradicted") for i in range(9)} and sizes == [2]
+
+
+def test_claims_that_say_the_same_are_quoted_once(spark):
+    rows = [("p", i, f"C-{i}", "verified" if i > 3 else "deprecated", f"Widget  supports {i % 2} units.") for i in range(8)]
+    claims = spark.createDataFrame(rows, "product_id string, pos int, id string, status string, text string")
+    golden = spark.createDataFrame([("p", "supports 1 units."), ("p", "SUPPORTS 1  units."), ("p", None), ("q", "supports 1 units.")], "product_id string, quote string")
+    assert planning._quotable(claims).count() == 2
+    got = [(r.product_id, r.quote, r.claim_id) for r in planning.golden_matches(golden, claims).collect()]
+    assert sorted(got, key=str) == sorted([("p", "supports 1 units.", "C-5"), ("p", "SUPPORTS 1  units.", "C-5"), ("p", None, None), ("q", "supports 1 units.", None)], key=str)
