@@ -1,9 +1,11 @@
 """Copies of a text are worked on once, and get what each of them would get alone."""
 
+import oracle
 from pyspark.sql import functions as F
 
 from factgate.operators import gate, planning, registry, search
 from factgate.plans import queries
+from factgate.sources import driver_tables
 
 
 def test_copies_are_matched_once(spark, monkeypatch):
@@ -93,3 +95,12 @@ def test_claims_that_say_the_same_are_quoted_once(spark):
     assert planning._quotable(claims).count() == 2
     got = [(r.product_id, r.quote, r.claim_id) for r in planning.golden_matches(golden, claims).collect()]
     assert sorted(got, key=str) == sorted([("p", "supports 1 units.", "C-5"), ("p", "SUPPORTS 1  units.", "C-5"), ("p", None, None), ("q", "supports 1 units.", None)], key=str)
+
+
+def test_parts_are_dealt_before_claims_are_rendered(spark):
+    on = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(on, "false")
+    try:
+        assert driver_tables.claims(spark, oracle.SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset(on)
