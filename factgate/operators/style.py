@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..sources.shared import materialized
 from .measures import auc, most_common, youden_threshold
 from .search import unanswered
 
@@ -93,8 +94,9 @@ def has_term(text: Column, term: Column) -> Column:
 
 
 def hits(text: Column, terms: Column) -> Column:
-    """The terms that occur in the text as words, in any case."""
-    return F.filter(terms, lambda w: has_term(text, w))
+    """The terms that occur in the text as words, in any case: patterns are sought only for those that it holds at all, and it is lowered once."""
+    of = lambda low: F.filter(terms, lambda w: F.contains(low, F.lower(w)) & F.rlike(low, F.concat(F.lit(r"\b\Q"), F.lower(w), F.lit(r"\E\b"))))
+    return F.transform(F.array(F.lower(text)), of)[0]
 
 
 def allowed_claims(claims: DataFrame, lists: DataFrame) -> DataFrame:
@@ -176,17 +178,20 @@ def profile_score(drafts: DataFrame, profiles: DataFrame, weights: Mapping[str,
     text = T.strip_tags(F.col("md"))
     sentences = T.split_sentences(F.regexp_replace(text, r"(?m)^#+\s+.*$", ""))
     heads = headings(F.col("md"))
-    d = drafts.join(profiles.withColumnRenamed("heading_case", "__case"), "product_id").withColumns({"__t": text, "__s": sentences, "__heads": F.size(heads), "heading_case": heading_case(heads)})
+    profiles = materialized(profiles.withColumnRenamed("heading_case", "__case"))  # its true size lets Spark broadcast it: products are few, and would be few tasks
+    d = drafts.join(profiles, "product_id").withColumns({"__t": text, "__s": sentences, "__heads": F.size(heads), "heading_case": heading_case(heads)})
     n = F.greatest(F.lit(1), F.size("__s"))
     rate = lambda cond: F.size(F.filter("__s", cond)) / n
     mean = F.aggregate("__s", F.lit(0), lambda a, x: a + T.word_count(x)) / n
+    # Scores are used twice, what they need of the text is a column each.
+    d = d.withColumns({"__mean": mean, "__you": rate(lambda x: x.rlike(r"(?i)\b(you|your|yours)\b")), "__x": rate(lambda x: x.endswith("!")), "__used": F.size(hits(F.col("__t"), F.col("preferred")))})
     d = d.withColumns({"hype": hits(F.col("__t"), F.col("avoid")), "banned_hits": hits(F.col("__t"), F.col("banned")), "forbidden_hits": F.filter("forbidden", lambda f: F.rlike(F.col("__t"), F.concat(F.lit(r"(?<![\w-])\Q"), f, F.lit(r"\E(?![\w-])(?!\s+[A-Z0-9])"))))})
     base = F.greatest(F.lit(1.0), "avg_sentence_words")
     zero = lambda c: F.greatest(F.lit(0.0), c)
-    used = F.size(hits(F.col("__t"), F.col("preferred"))) / F.greatest(F.lit(1), F.least(F.lit(6), F.size("preferred")))
+    used = F.col("__used") / F.greatest(F.lit(1), F.least(F.lit(6), F.size("preferred")))
     scores = {
-        "cadence": zero(1 - F.abs(mean - F.col("avg_sentence_words")) / base),
-        "voice": zero(1 - F.abs(rate(lambda x: x.rlike(r"(?i)\b(you|your|yours)\b")) - F.col("second_person_rate")) * 1.5 - rate(lambda x: x.endswith("!")) * 3),
+        "cadence": zero(1 - F.abs(F.col("__mean") - F.col("avg_sentence_words")) / base),
+        "voice": zero(1 - F.abs(F.col("__you") - F.col("second_person_rate")) * 1.5 - F.col("__x") * 3),
         "vocabulary": zero(F.least(F.lit(1.0), used) - 0.2 * F.size("hype")),
         "naming": F.when(F.size("forbidden_hits") > 0, 0.0).when(F.contains(F.lower("__t"), F.lower("product_name")), 1.0).otherwise(0.6),
         "formatting": F.when((F.col("heading_case") == F.col("__case")) | (F.col("__heads") == 0), 1.0).otherwise(0.5),

@@ -105,3 +105,11 @@ def test_rules_change_profiles(spark):
     assert [d.decision_id for d in p.derived] == ["d1", "d1", "d2"] and p.derived[0].rule != p.derived[1].rule
     assert (q.forbidden, q.variants, q.issues, q.status) == (["Moth"], [], ["product-name-forbidden"], "draft") and [d.decision_id for d in q.derived] == ["d3"]
     assert got["R"].status == "draft" and got["R"].derived == []
+
+
+def test_terms_are_sought_where_the_text_holds_them(spark):
+    rows = [("Best-in-class, the BEST. It costs $5 (net)", ["best", "Best-in-Class", "cost", "$5", "net", "a.b", ""]), (None, ["best"]), ("none", None), ("", [""]), ("axb", ["a.b"])]
+    df = spark.createDataFrame(rows, "t string, w array<string>")
+    got = [r.h for r in df.select(style.hits(F.col("t"), F.col("w")).alias("h")).collect()]
+    plain = [r.h for r in df.select(F.filter("w", lambda w: style.has_term(F.col("t"), w)).alias("h")).collect()]
+    assert got == plain and got[0][:2] == ["best", "Best-in-Class"] and "contains" in str(style.hits(F.col("t"), F.col("w")))
