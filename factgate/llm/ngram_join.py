@@ -36,8 +36,9 @@ from .common import hold, packed, prepare, stored, whole
 WORDS, PERCENT = 5, 80
 #: Counters of the sketch (it is broadcast at one byte each), and the parts it is summed in.
 SKETCH, PARTS = 1 << 22, 64
-#: Entries of a block in the exhaustive step, at least; keys that are broadcast at most when texts are fetched; pairs of a member before it is split.
-BLOCK, FETCH_BROADCAST, HOT = 256, 200_000, 256
+#: Entries of a block in the exhaustive step, at least; keys that are broadcast at most when texts are fetched; pairs of a member before it is split,
+#: and shingles of these pairs, as they are texts in one task.
+BLOCK, FETCH_BROADCAST, HOT, HOT_SHINGLES = 256, 200_000, 256, 1 << 17
 #: Entries up to which runs are compared together, and rows of a tile of longer ones.
 SHORT, TILE = 64, 64
 #: Map tasks whose counts one task of the sketch sums, and rows of a key from which on a join broadcasts its entry.
@@ -221,41 +222,54 @@ def _could_link(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(per_task, "a binary, b binary")
 
 
+def _texts_dealt(pairs: DataFrame, active: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, a_copy, b, text): the text of each a with a null b, and behind it those of the b that it is paired with; a row holds one text.
+
+    active (member, pairs, n) are the members of the pairs.  Texts of members with very many or very long pairs are copied,
+    and the pairs dealt to the copies, so that neither a task nor a batch of rows has to hold them all.
+    """
+    share = F.greatest(F.col("pairs") / HOT, F.least(F.col("pairs") * F.col("n") / HOT_SHINGLES, F.col("pairs")))
+    hot = active.select("member", F.ceil(share).cast("int").alias("copies")).where(F.col("copies") > 1).checkpoint()
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= FETCH_BROADCAST else hot
+    copies = F.coalesce("copies", F.lit(1))
+    for x, y in (("b", "a"), ("a", "b")):
+        copy = F.pmod(F.xxhash64(y), copies).cast("int") if n_hot else F.lit(0)
+        pairs = (pairs.join(hot.withColumnRenamed("member", x), x, "left") if n_hot else pairs).withColumn(f"{x}_copy", copy).drop("copies")
+    texts = (texts.join(hot, "member", "left") if n_hot else texts).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)) if n_hot else F.lit(0)).drop("copies")
+    side = lambda x: texts.select(F.col("member").alias(x), F.col("copy").alias(f"{x}_copy"), "text")
+    left = side("a").join(pairs.select("a").distinct(), "a", "left_semi").withColumn("b", F.lit(None).cast("binary"))
+    rows = left.unionByName(pairs.join(side("b"), ["b", "b_copy"]).drop("b_copy"))
+    return rows.repartition("a", "a_copy").sortWithinPartitions("a", "a_copy", F.col("b").asc_nulls_first()).select("a", "a_copy", "b", "text")
+
+
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of the member pairs (a, b), those that link, by the shingle sets of their whole texts."""
     pairs = pairs.checkpoint()
-    active = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).groupBy("member").agg(F.count(F.lit(1)).alias("pairs")).join(members.select("member", "tkey"), "member").checkpoint()
+    active = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).groupBy("member").agg(F.count(F.lit(1)).alias("pairs")).join(members.select("member", "tkey", "n"), "member").checkpoint()
     keys = active.select(F.col("tkey").alias("key"))
     if active.count() <= FETCH_BROADCAST:
         keys = F.broadcast(keys)
     texts = docs.join(keys, F.col("tkey") == F.col("key"), "left_semi").groupBy("tkey").agg(F.first("text").alias("text"))
     texts = stored(active.join(texts, "tkey").select("member", "text"))
-    side = lambda x: texts.select(F.col("member").alias(x), F.col("copy").alias(f"{x}_copy"), F.col("text").alias(f"{x}_text"))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("ngram_join", HASHES.clear)
-        last, left = None, None
+        own, left = "", None
         for batch in _slices(batches):
             keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if a != last:
-                    last, left = a, shingles(x)
-                right = shingles(y)
+            for b, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if b is None:
+                    own, left = text, None
+                    keep.append(False)
+                    continue
+                left = shingles(own) if left is None else left
+                right = shingles(text)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # Texts of members with very many pairs are copied, and the pairs dealt to the copies.
-    hot = active.where(F.col("pairs") > HOT).select("member", F.ceil(F.col("pairs") / HOT).cast("int").alias("copies")).checkpoint()
-    n_hot = hot.count()
-    hot = F.broadcast(hot) if n_hot <= FETCH_BROADCAST else hot
-    copies = F.coalesce("copies", F.lit(1))
-    for x, y in (("b", "a"), ("a", "b")):
-        copy = F.pmod(F.xxhash64(y), copies).cast("int") if n_hot else F.lit(0)
-        pairs = (pairs.join(hot.withColumnRenamed("member", x), x, "left") if n_hot else pairs).withColumn(f"{x}_copy", copy).drop("copies")
-    texts = (texts.join(hot, "member", "left") if n_hot else texts).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)) if n_hot else F.lit(0)).drop("copies")
-    whole_pairs = pairs.join(side("b"), ["b", "b_copy"]).join(side("a"), ["a", "a_copy"]).select("a", "b", "a_text", "b_text")
-    return whole_pairs.mapInArrow(per_task, "a binary, b binary").checkpoint()
+    return _texts_dealt(pairs, active, texts).mapInArrow(per_task, "a binary, b binary").checkpoint()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,7 +295,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _next_in_group(members: DataFrame) -> DataFrame:
-    """(a, b, a_n, b_n, a_sig, b_sig): each member with the next one of its group, dealt by range; the last of a task has none."""
+    """(a, b, a_n, b_n, a_sig, b_sig): each member with the next one of its group, dealt by range; the last of a task has none.
+
+    Written out: whoever filters them in Python would have two workers a task otherwise.
+    """
     names = ["member", "n", "sig"]
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +312,7 @@ def _next_in_group(members: DataFrame) -> DataFrame:
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select("grp", *names).repartitionByRange(parts, "grp", "member").sortWithinPartitions("grp", "member")
-    return dealt.mapInArrow(per_task, "a binary, b binary, a_n long, b_n long, a_sig binary, b_sig binary")
+    return dealt.mapInArrow(per_task, "a binary, b binary, a_n long, b_n long, a_sig binary, b_sig binary").checkpoint()
 
 
 def _blocked(entries: DataFrame, keys: list[str], sizes: DataFrame, sigs: DataFrame) -> DataFrame:

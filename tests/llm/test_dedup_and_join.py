@@ -153,3 +153,24 @@ def test_signature_bound_never_exceeds_the_difference():
     for a, b in (("a b c d e f g h", "a b c d e f g x"), ("a " * 50, "b"), (" ".join(map(str, range(300))), " ".join(map(str, range(40, 900))))):
         x, y = ngram_join.shingles(a), ngram_join.shingles(b)
         assert ngram_join.differ(ngram_join.signature(x), ngram_join.signature(y)) <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_verified_texts_are_dealt_one_a_row(spark, monkeypatch):
+    ngram_join.prepare(spark)
+    monkeypatch.setattr(ngram_join, "HOT_SHINGLES", 100)
+    name = lambda i: bytes([i])
+    pairs = spark.createDataFrame([(bytearray(name(0)), bytearray(name(i))) for i in range(1, 41)], "a binary, b binary")
+    active = spark.createDataFrame([(bytearray(name(i)), 40 if i == 0 else 1, 20) for i in range(41)], "member binary, pairs long, n long")
+    texts = spark.createDataFrame([(bytearray(name(i)), f"text {i}") for i in range(41)], "member binary, text string")
+    rows = ngram_join._texts_dealt(pairs, active, texts)
+    assert rows.columns == ["a", "a_copy", "b", "text"]
+    dealt = defaultdict(list)
+    for r in rows.collect():
+        dealt[r.a_copy].append((None if r.b is None else bytes(r.b), r.text))
+    assert len(dealt) == 8 and max(map(len, dealt.values())) < 20
+    assert all(own[0] == (None, "text 0") and all(b is not None and t == f"text {b[0]}" for b, t in own[1:]) for own in dealt.values())
+    assert sorted(b[0] for own in dealt.values() for b, _ in own[1:]) == list(range(1, 41))
+    # Phases that filter in Python read written rows, so that no task has two workers.
+    members = spark.createDataFrame([(bytearray(name(i)), 1, 20, bytearray(8)) for i in range(5)], "member binary, grp long, n long, sig binary")
+    near = ngram_join._next_in_group(members)
+    assert "MapInArrow" not in near._jdf.queryExecution().executedPlan().toString()
