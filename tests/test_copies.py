@@ -104,3 +104,46 @@ def test_parts_are_dealt_before_claims_are_rendered(spark):
         assert driver_tables.claims(spark, oracle.SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     finally:
         spark.conf.unset(on)
+
+
+def test_texts_are_cut_into_tokens_once(spark, monkeypatch):
+    written, inner = [], search.materialized
+    monkeypatch.setattr(search, "materialized", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or inner(df))
+    rows = spark.createDataFrame([(1, "A red fox. Don't."), (2, "a RED fox don't"), (3, "blue hens")], "target_id long, text string")
+    one, members = search._classes(search.token_arrays(rows, "target_id", "text"), "target_id", ())
+    assert {(r.target_id, tuple(sorted(r.tokens))) for r in one.collect()} == {(1, ("don't", "fox", "red")), (3, ("blue", "hens"))}
+    assert {(r.target_id, r["__class"]) for r in members.collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert [x.count("regexp_extract_all") for x in written] == [1, 0, 0]
+
+
+def test_texts_of_other_targets_are_not_shuffled_for_stems(spark):
+    best = spark.createDataFrame([(1, 7)], "query_id long, target_id long")
+    said = spark.createDataFrame([(i, f"red fox {i}") for i in range(50)], "target_id long, text string")
+    got = search._stems_covered(best, spark.createDataFrame([(1, "red foxes")], "query_id long, text string"), said, ())
+    assert [(r.query_id, r.target_id) for r in got.collect()] == [(1, 7)] and "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_units_and_verdicts_are_shuffled_once(spark):
+    units = spark.createDataFrame([(1, 0, "One."), (None, 1, "Two."), (1, None, "Two.")], "item_id int, index int, text string")
+    reviewed = spark.createDataFrame([(1, 0, "one.", "pass", "a"), (None, 1, "two.", "flag", "b"), (1, None, "other", "block", "c")], "item_id int, index long, text string, verdict string, reason string")
+    got = gate.align_verdicts(units, reviewed)
+    assert got.schema["index"].dataType.simpleString() == "int"
+    assert sorted(((r.item_id, r["index"], r.r_verdict) for r in got.collect()), key=repr) == sorted([(1, 0, "pass"), (None, 1, None), (1, None, None)], key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_drafts_and_sentences_are_read_once(spark):
+    d = "/root/testdata/sf0.001"
+    plan = lambda q: q(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in plan(queries.gate_report) and "split(" not in plan(queries.staleness)
+
+
+def test_markdown_lines_are_stripped_once(spark):
+    from factgate.functions import text as T
+    from factgate.sources import parse
+
+    df = spark.createDataFrame([("s", "# A\n\n| x | y |\ntext")], "source_id string, body string")
+    plan = parse.markdown_blocks(df)._jdf.queryExecution().optimizedPlan().toString()
+    strips = f"^{T.JAVA_SPACE}+|{T.JAVA_SPACE}+$"
+    assert plan.count(f"regexp_replace(line#") and sum(strips in x for x in plan.split("regexp_replace(line#")[1:]) <= 2
