@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,10 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def hold(owner: str, clear: Callable[[], None]) -> None:
-    """In a Python worker: this operator's caches stay from task to task, those of other operators go."""
-    for other in [x for x in _HELD if x != owner]:
+    """In a Python worker: this operator's caches stay from task to task, those of other operators go, and so does what Arrow keeps of their batches."""
+    others = [x for x in _HELD if x != owner]
+    for other in others:
         _HELD.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
     _HELD[owner] = clear

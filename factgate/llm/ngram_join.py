@@ -20,6 +20,7 @@ group of copies.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,7 +133,7 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = summed(batches)
-        logs = [np.log2(np.maximum(x, 1).astype(np.float64)).astype(np.uint8).tobytes() for x in held.values()]
+        logs = [zlib.compress(np.log2(np.maximum(x, 1).astype(np.float64)).astype(np.uint8).tobytes()) for x in held.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(logs, pa.binary())], ["part", "logs"])
 
     counted = texts.mapInArrow(per_task, "part int, counts binary")
@@ -142,7 +143,7 @@ def frequency_sketch(texts: DataFrame) -> np.ndarray:
     parts = counted.repartition(PARTS, "part").mapInArrow(total, "part int, logs binary").collect()
     out = np.zeros(SKETCH, np.uint8)
     for r in parts:
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["logs"], np.uint8)
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["logs"]), np.uint8)
     return out
 
 
@@ -294,6 +295,14 @@ def components(links: DataFrame) -> DataFrame:
     return labels.checkpoint()
 
 
+def _further(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed (member, comp, label, …) with the labels that further links (a, b) of members give: only components that these connect are looked at again."""
+    of = lambda x: placed.select(F.col("member").alias(x), F.col("comp").alias(f"{x}_comp"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    merged = components(between).select(F.col("member").alias("comp"), F.col("label").alias("further"))
+    return placed.join(merged, "comp", "left").withColumn("label", F.coalesce("further", "label")).drop("further")
+
+
 def _next_in_group(members: DataFrame) -> DataFrame:
     """(a, b, a_n, b_n, a_sig, b_sig): each member with the next one of its group, dealt by range; the last of a task has none.
 
@@ -420,7 +429,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     links = _verified(_could_link(between.unionByName(_next_in_group(members))), members, rows, percent)
 
     # 2. Whatever may still link two components: group pairs, then their members.
-    placed = members.join(components(links), "member", "left").select("member", "grp", "n", "sig", F.coalesce("label", "member").alias("comp")).checkpoint()
+    placed = members.join(components(links), "member", "left").select("member", "id", "copies", "grp", "n", "sig", "label", F.coalesce("label", "member").alias("comp")).checkpoint()
     lone = F.count(F.lit(1)) == 1
     spread = placed.groupBy("grp").agg(
         F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.when(lone, F.first("sig")).alias("sig"), F.when(lone, F.first("member")).alias("only")
@@ -449,12 +458,11 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
         itself = F.array(F.struct(F.col("a_grp").alias("grp"), F.lit(0).alias("role")))
         both = F.array(F.struct(F.col("a_grp").alias("grp"), F.lit(1).alias("role")), F.struct(F.col("b_grp").alias("grp"), F.lit(2).alias("role")))
         told = many.select("a_grp", "b_grp", F.explode(F.when(F.col("a_grp") == F.col("b_grp"), itself).otherwise(both)).alias("e")).select("a_grp", "b_grp", "e.grp", "e.role")
-        told = told.join(placed.drop("sig"), "grp").select("a_grp", "b_grp", "role", F.col("member").alias("id"), "comp", "n", F.lit(0).alias("pos"))
+        told = told.join(placed.select("grp", "member", "comp", "n"), "grp").select("a_grp", "b_grp", "role", F.col("member").alias("id"), "comp", "n", F.lit(0).alias("pos"))
         more = single.unionByName(_across(_blocked(told, ["a_grp", "b_grp"], many, placed.select(F.col("member").alias("id"), "sig")), percent)).distinct()
-    links = links.unionByName(_verified(more, members, rows, percent))
-    labels = components(links)
+    labels = _further(placed, _verified(more, members, rows, percent))
 
-    copies = members.select("member", F.col("id").alias("least_id"), "copies").join(labels, "member", "left")
+    copies = labels.select("member", F.col("id").alias("least_id"), "copies", "label")
     return _joined_to(every.select("id", "tkey", "n", "member"), copies, "member", "copies")
 
 

@@ -8,6 +8,7 @@ products, and the nearest ones vote, weighted by similarity.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -105,6 +106,18 @@ def _counts_of(rows: DataFrame, more: str) -> DataFrame:
     return rows.mapInArrow(per_task, f"{more}, counts binary")
 
 
+def _voters_of(made: DataFrame, per_class: int) -> list[tuple[int, bytes]]:
+    """(label, counts) in order, of each class the first per_class by counts: picked on the executors, and sent to the driver in some tenth of their size."""
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(x) for x in b.column(1).to_pylist()], pa.binary())], ["label", "counts"])
+
+    picked = [made.where(F.col("label") == x).orderBy("counts").limit(per_class) for x in (0, 1)]
+    sent = picked[0].unionByName(picked[1]).mapInArrow(per_task, "label int, counts binary").collect()  # at most 2 * per_class rows
+    return sorted((r["label"], zlib.decompress(r["counts"])) for r in sent)
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Voters | None:
     """Voters from at most per_class different labelled documents of each class, of the first ids by hash; None without any.
 
@@ -116,11 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, id_co
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class rows of an id and a label
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).join(sample, "id").select("label", "text")
     made = _counts_of(rows, "label int").distinct().checkpoint()  # ids that repeat may bring more rows than the sample has
-    got = [r for x in (0, 1) for r in made.where(F.col("label") == x).orderBy("counts").limit(per_class).collect()]
+    got = _voters_of(made, per_class)
     if not got:
         return None
-    counts = np.frombuffer(b"".join(r["counts"] for r in got), np.float32).reshape(len(got), TERMS)
-    return fit(counts, np.array([r["label"] for r in got]))
+    counts = np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(len(got), TERMS)
+    return fit(counts, np.array([label for label, _ in got]))
 
 
 def score_quality(docs: DataFrame, voters: Voters | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:

@@ -130,7 +130,7 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, weight
     base = base.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)))
 
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap).checkpoint()  # a row per source, read in five places
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
     offsets = offsets.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "offset", "source_size", "no", "target")

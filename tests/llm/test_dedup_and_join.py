@@ -130,6 +130,15 @@ def test_links_between_the_members_of_two_groups(spark, monkeypatch, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
 
 
+def test_second_step_labels_anew_only_what_it_connects(spark, monkeypatch):
+    real, calls = ngram_join.components, []
+    monkeypatch.setattr(ngram_join, "components", lambda links: calls.append(links.count()) or real(links))
+    rows = near_copies()
+    got = ngram_join.ngram_join(docs(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+    assert len(calls) == 2 and calls[0] > calls[1]
+
+
 def test_runs_of_equal_keys_over_batches():
     rows = [0, 0, 1, 1, 1, 2, 3, 3, 3, 3, 4]
     for size in (1, 2, 3, 4, 11):

@@ -177,6 +177,12 @@ def test_mix_near_targets_and_reruns_agree(spark):
     assert mix_sources(df.limit(0)).collect() == [] and mix_sources(df.where("text IS NULL")).first()["taken"] == 0
 
 
+def test_targets_are_worked_out_once(spark):
+    df = spark.createDataFrame([(i, "w " * (i % 7), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    plan = mix_sources(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "source_size" in plan and "level" not in plan
+
+
 def test_blocks_of_the_mix_are_its_order(spark):
     rows = [(i, f"{'abc'[i % 3]}", " ".join(f"w{i}x{j}" for j in range(i % 17))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")

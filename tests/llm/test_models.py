@@ -132,6 +132,20 @@ def test_quality_voters_are_capped_by_class(spark):
     assert sorted(voters.labels.tolist()) in ([0.0, 1.0], [0.0, 0.0, 1.0, 1.0], [0.0, 1.0, 1.0], [0.0, 0.0, 1.0])
 
 
+def test_voters_reach_the_driver_small_and_in_order(spark, labelled, monkeypatch):
+    docs, labels, marks = labelled
+    sent, kind = [], type(docs)
+    real = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: sent.extend(rows := real(df)) or rows)
+    voters = quality_knn.train(docs, labels, "quality", F.col("doc_id") % 5 != 0)
+    assert len(sent) == len(voters.labels) > 300 and sum(len(r["counts"]) for r in sent) < len(sent) * quality_knn.TERMS * 4 / 3
+    monkeypatch.undo()
+    quality = {i: q for i, q, _ in marks if i is not None and q is not None and i % 5}
+    made = sorted({(quality[r.doc_id], quality_knn.term_counts(r.text or "").tobytes()) for r in docs.collect() if r.doc_id in quality})
+    again = quality_knn.fit(np.array([np.frombuffer(c, np.float32) for _, c in made]), np.array([q for q, _ in made]))
+    assert all(np.array_equal(x, y) for x, y in zip(voters, again))
+
+
 def test_equally_near_voters_vote_in_order():
     v = quality_knn.Voters(np.ones(2, np.float32), np.eye(2, dtype=np.float32), np.array([[1, 0]] * 20 + [[0, 1]], np.float32), np.array([1.0] * 10 + [0.0] * 11, np.float32))
     assert quality_knn.vote(v, np.array([[1, 0]], np.float32), 10)[0] == 1.0 and abs(quality_knn.vote(v, np.array([[1, 0], [1, 1]], np.float32), 20)[0] - 0.5) < 1e-9
