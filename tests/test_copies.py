@@ -1,5 +1,7 @@
 """Copies of a text are worked on once, and get what each of them would get alone."""
 
+import re
+
 import oracle
 from pyspark.sql import functions as F
 
@@ -147,3 +149,11 @@ def test_markdown_lines_are_stripped_once(spark):
     plan = parse.markdown_blocks(df)._jdf.queryExecution().optimizedPlan().toString()
     strips = f"^{T.JAVA_SPACE}+|{T.JAVA_SPACE}+$"
     assert plan.count(f"regexp_replace(line#") and sum(strips in x for x in plan.split("regexp_replace(line#")[1:]) <= 2
+
+
+def test_claims_are_not_broadcast_to_pages(spark, tmp_path):
+    c = oracle.connect()
+    c.sql("SELECT * REPLACE ((p_partkey + r.i * 100000)::BIGINT AS p_partkey) FROM part, range(20) r(i)").write_parquet(f"{tmp_path}/part.parquet")
+    plan = queries.page_claims(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)
+    assert "SortMergeJoin" in plan and all("token" in k for k in keys)  # looked-up tokens alone, which are bounded
