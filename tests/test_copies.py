@@ -1,5 +1,6 @@
 """Copies of a text are worked on once, and get what each of them would get alone."""
 
+import random
 import re
 
 import oracle
@@ -157,3 +158,41 @@ def test_claims_are_not_broadcast_to_pages(spark, tmp_path):
     plan = queries.page_claims(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)
     assert "SortMergeJoin" in plan and all("token" in k for k in keys)  # looked-up tokens alone, which are bounded
+
+
+def _classes_of_conflicts(spark):
+    """Two products' claims in classes, and conflicts between these, as classes and as pairs of members."""
+    rng = random.Random(4)
+    members = [(f"P{i % 2}", f"c{i:02}", f"c{i % 12:02}") for i in range(36)]
+    found = [(f"P{a % 2}", f"c{a:02}", f"c{b:02}", rng.choice(["absolute-vs-exception", "contradiction"]), "x", rng.choice(["a", "b", None])) for a in range(12) for b in range(a + 2, 12, 2) if rng.random() < 0.6]
+    claims = [(p, i, f"It is {'always ' if c[-1] in '134' else ''}so.") for p, i, c in members]
+    of = lambda rows, cols: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols.split()))
+    return of(found, "product_id a b kind rule held"), of(members, "product_id id class"), of(claims, "product_id id text")
+
+
+def test_tension_by_class_equals_that_of_all_pairs(spark):
+    found, members, claims = _classes_of_conflicts(spark)
+    rng = random.Random(5)
+    units = [(rng.randrange(9), rng.choice([None, *range(6)]), f"c{rng.randrange(40):02}") for _ in range(90)] + [(None, 1, "c01"), (None, 2, "c03"), (7, 1, None)]
+    units = spark.createDataFrame(units, "item_id int, index int, cited_id string")
+    pairs = registry.conflict_members(found, members).select(F.concat_ws("~", "a", "b").alias("id"), "kind", F.lit("open").alias("status"), F.array("a", "b").alias("claim_ids"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = gate.class_tension(units, found, members, claims)
+    assert rows(got) == rows(gate.page_tension(units, pairs, claims).select(*got.columns)) and got.where("verdict = 'block' AND n_sentences > 1").count()
+
+
+def test_pairs_of_conflicts_are_not_shuffled(spark):
+    found, members, claims = _classes_of_conflicts(spark)
+    stale = claims.where("id < 'c07'").select("product_id", "id")
+    touched, every = registry.conflict_members(found, members, stale), registry.conflict_members(found, members)
+    old = {r.id for r in stale.collect()}
+    want = [(r.a, r.b, r.a in old, r.b in old, r.interim_default) for r in every.collect() if {r.a, r.b} & old]
+    assert sorted(want, key=repr) == sorted(map(tuple, touched.select("a", "b", "a_asked", "b_asked", "interim_default").collect()), key=repr) and want
+    units = spark.createDataFrame([(1, 0, "c01")], "item_id int, index int, cited_id string")
+    conflicts = touched.select(F.concat_ws("~", "a", "b").alias("id"), F.array_compact(F.array(F.when(F.col("a_asked"), F.col("a")), F.when(F.col("b_asked"), F.col("b")))).alias("claim_ids"))
+    listed = lambda df: sorted((r.kind, r.id, tuple(r.claim_ids)) for r in df.collect())
+    all_pairs = every.select(F.concat_ws("~", "a", "b").alias("id"), F.array("a", "b").alias("claim_ids"))
+    got = gate.affected(stale, units, conflicts, touched=True)
+    assert listed(got) == listed(gate.affected(stale, units, all_pairs))
+    before_pairs = lambda df, n: "Exchange" not in "".join(df._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin [product_id")[:n])
+    assert before_pairs(touched, 1) and before_pairs(every, 1)  # nothing is shuffled after members have met
