@@ -609,6 +609,9 @@ def test_conflict_delta_equals_a_full_run(spark):
     rows = lambda df: sorted(map(tuple, df.select("product_id", "a", "b", "kind", "rule", "interim_default").collect()), key=repr)
     delta = registry.conflict_delta(registry.conflict_features(b, sources), registry.conflict_features(a, sources), registry.conflict_pairs(a, sources))
     assert rows(delta) == rows(registry.conflict_pairs(b, sources)) != rows(registry.conflict_pairs(a, sources))
+    before = registry.conflict_features(a, sources)
+    by_class = registry.conflict_delta(registry.conflict_features(b, sources), before, registry.conflict_classes(before))
+    assert rows(by_class) == rows(delta)
 
 
 def test_frameworks_and_kinds_of_sources(spark):
