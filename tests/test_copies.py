@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factgate.operators import gate, planning, registry, search
 from factgate.plans import queries
+from factgate.plans.oracles import ORACLES
 from factgate.sources import driver_tables
 
 
@@ -196,3 +197,17 @@ def test_pairs_of_conflicts_are_not_shuffled(spark):
     assert listed(got) == listed(gate.affected(stale, units, all_pairs))
     before_pairs = lambda df, n: "Exchange" not in "".join(df._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin [product_id")[:n])
     assert before_pairs(touched, 1) and before_pairs(every, 1)  # nothing is shuffled after members have met
+
+
+def test_sentences_of_a_report_are_not_written(spark, monkeypatch):
+    written, inner = [], queries.materialized
+    monkeypatch.setattr(queries, "materialized", lambda df: written.append(df.columns) or inner(df))
+    oracle.same(queries.gate_report(spark, oracle.SF), ORACLES["gate_report"])
+    assert written and not any("text" in columns for columns in written)
+
+
+def test_aligned_units_keep_their_columns(spark):
+    units = spark.createDataFrame([(1, 1, "A  b", "x"), (1, 2, "c", "y"), (None, 3, "c", "z"), (2, None, None, None)], "item_id int, index int, text string, more string")
+    reviewed = spark.createDataFrame([(1, 9, "a b", "pass", None, 1), (1, 2, "other", "flag", "r", 2), (1, 8, "c", "block", "s", 3), (None, 3, "c", "pass", None, 4)], "item_id long, index long, text string, verdict string, reason string, seq int")
+    got = gate.align_verdicts(units, reviewed)
+    assert got.schema[:4] == units.schema[:4] and sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 1, "A  b", "x", "pass", None), (1, 2, "c", "y", "block", "s"), (None, 3, "c", "z", None, None), (2, None, None, None, None, None)], key=repr)
